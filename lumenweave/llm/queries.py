@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenweave.llm.common import LOWER, UPPER, WORD
+from lumenweave.llm.decontaminate import decontaminate
 from lumenweave.llm.exact_dedup import exact_dedup
 from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
 from lumenweave.session import table
@@ -56,11 +57,30 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
 FROM d LEFT JOIN found USING (doc_id)
 """
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, i, least(i + 9, len(w))) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+m AS (SELECT DISTINCT len(win) AS m FROM win),
+g AS (SELECT doc_id, i, m, list_slice(w, i, i + m - 1) AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, m WHERE len(w) >= m)),
+hit AS (SELECT doc_id, i, m, item_id FROM g JOIN win USING (win)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_license_scan": OP2_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
