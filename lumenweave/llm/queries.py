@@ -10,7 +10,8 @@ from lumenweave.llm.common import LOWER, UPPER, WORD
 from lumenweave.llm.decontaminate import decontaminate
 from lumenweave.llm.exact_dedup import exact_dedup
 from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
-from lumenweave.session import table
+from lumenweave.llm.token_shards import read_token_shards, write_token_shards
+from lumenweave.session import new_path, table
 
 #: The lower-cased text in DuckDB, whose lower() would change more than A-Z.
 SQL_NORM = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -74,9 +75,14 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_shards(spark, write_token_shards(table(spark, sf_dir, "documents"), new_path(spark, "tokens")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
+    "op7_token_shards": op7_token_shards,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
