@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenweave.llm.common import LOWER, UPPER, WORD
 from lumenweave.llm.decontaminate import decontaminate
 from lumenweave.llm.exact_dedup import exact_dedup
+from lumenweave.llm.language_id import identify
 from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
 from lumenweave.llm.token_shards import read_token_shards, write_token_shards
 from lumenweave.session import new_path, table
@@ -75,6 +76,10 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, write_token_shards(table(spark, sf_dir, "documents"), new_path(spark, "tokens")))
 
@@ -82,6 +87,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
+    "op6_language_id": op6_language_id,
     "op7_token_shards": op7_token_shards,
     "op10_decontaminate": op10_decontaminate,
 }
