@@ -11,6 +11,7 @@ from lumenweave.llm.decontaminate import decontaminate
 from lumenweave.llm.exact_dedup import exact_dedup
 from lumenweave.llm.language_id import identify
 from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
+from lumenweave.llm.mixing import schedule
 from lumenweave.llm.token_shards import read_token_shards, write_token_shards
 from lumenweave.session import new_path, table
 
@@ -59,6 +60,10 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
 FROM d LEFT JOIN found USING (doc_id)
 """
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op6_language_id": op6_language_id,
     "op7_token_shards": op7_token_shards,
+    "op8_mixing": op8_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
