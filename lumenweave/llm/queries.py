@@ -11,6 +11,7 @@ from lumenweave.llm.decontaminate import decontaminate
 from lumenweave.llm.exact_dedup import exact_dedup
 from lumenweave.llm.language_id import identify
 from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
+from lumenweave.llm.lm_score import lm_score
 from lumenweave.llm.mixing import schedule
 from lumenweave.llm.token_shards import read_token_shards, write_token_shards
 from lumenweave.session import new_path, table
@@ -64,6 +65,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_token_shards": op7_token_shards,
     "op8_mixing": op8_mixing,
+    "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
