@@ -13,6 +13,7 @@ from lumenweave.llm.language_id import identify
 from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
 from lumenweave.llm.lm_score import lm_score
 from lumenweave.llm.mixing import schedule
+from lumenweave.llm.near_dedup import near_dedup
 from lumenweave.llm.token_shards import read_token_shards, write_token_shards
 from lumenweave.session import new_path, table
 
@@ -86,6 +87,10 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
+    "op4_near_dedup": op4_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_token_shards": op7_token_shards,
     "op8_mixing": op8_mixing,
