@@ -14,6 +14,7 @@ from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
 from lumenweave.llm.lm_score import lm_score
 from lumenweave.llm.mixing import schedule
 from lumenweave.llm.near_dedup import near_dedup
+from lumenweave.llm.suffix_dedup import suffix_dedup
 from lumenweave.llm.token_shards import read_token_shards, write_token_shards
 from lumenweave.session import new_path, table
 
@@ -91,6 +92,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_near_dedup": op4_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_token_shards": op7_token_shards,
     "op8_mixing": op8_mixing,
