@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Words of the scans: runs of ASCII digits, ASCII lower-case letters and all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: All other ASCII characters.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def lower_ascii(text: Column) -> Column:
@@ -24,7 +26,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    """The words of ``WORD`` in the lower-cased text; null has none.
+
+    One pass of ``translate`` lower-cases A-Z and blanks what stands between
+    words; splitting at a fixed character is several times faster than a pattern.
+    """
+    blanked = F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(blanked, " "), "")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -18,6 +18,8 @@ from lumenweave.session import cut
 
 #: Rows of a table made from the benchmark alone up to which it is broadcast; beyond, Spark joins by shuffle.
 MOST_BROADCAST = 200_000
+#: Stands for the end of a text in the index; no word is empty.
+END = ""
 
 
 def _bounded(side: DataFrame) -> DataFrame:
@@ -49,8 +51,14 @@ def rare_terms(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index: ``term, doc, pos`` of every place in the corpus where one of ``terms`` stands. Words count from 0."""
-    return _words(docs, id_col, text_col).select("doc", F.posexplode("w").alias("pos", "term")).join(_bounded(cut(terms.select("term").distinct())), "term", "left_semi").select("term", "doc", "pos")
+    """The index: ``term, doc, pos`` of every place in the corpus where one of ``terms`` stands. Words count from 0.
+
+    Each row of ``docs`` also has a posting of :data:`END` behind its last word,
+    whose ``pos`` is the number of its words.
+    """
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(END,)], "term string")).distinct()
+    places = _words(docs, id_col, text_col).select("doc", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "term"))
+    return places.join(_bounded(cut(wanted)), "term", "left_semi").select("term", "doc", "pos")
 
 
 def _intersect(rare: DataFrame, index: DataFrame, lists: int, slop: int = 0) -> DataFrame:
@@ -61,21 +69,27 @@ def _intersect(rare: DataFrame, index: DataFrame, lists: int, slop: int = 0) ->
         other = index.select(F.col("term").alias("t"), F.col("doc").alias("d"), F.col("pos").alias("p"))
         if slop:  # the place may be off by some words: the other list is offered at each
             other = other.withColumn("p", F.explode(F.sequence(F.col("p") - slop, F.col("p") + slop))).distinct()
-        nth = F.col("rare")[k]
-        more = hits.where(F.size("rare") > k).withColumns({"t": nth["term"], "p": F.col("start") + nth["at"]})
-        more = more.join(other, (F.col("doc") == F.col("d")) & (more["p"] == other["p"]) & (more["t"] == other["t"]), "left_semi")
-        hits = more.drop("t", "p").unionByName(hits.where(F.size("rare") <= k))
+        nth = F.expr(f"rare[{k} % size(rare)]")  # a window of fewer words asks for its first again
+        more = hits.withColumns({"t": nth["term"], "p": F.col("start") + nth["at"]})
+        hits = more.join(other, (F.col("doc") == F.col("d")) & (more["p"] == other["p"]) & (more["t"] == other["t"]), "left_semi").drop("t", "p")
     return hits.select("key", "doc", "start")
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: int = 10, lists: int = 3) -> DataFrame:
-    """Exact phrase matches: ``doc`` (id, fp), ``start``, ``m``, ``items``; one row for a window and a place."""
+def _index(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, words: int, lists: int) -> tuple[DataFrame, DataFrame]:
     windows = cut(benchmark_windows(benchmark, item_col, item_text, words))
     rare = cut(rare_terms(docs, windows, id_col, text_col, lists))
-    index = cut(postings(docs, rare.select(F.explode("rare.term").alias("term")), id_col, text_col))
+    return rare, cut(postings(docs, rare.select(F.explode("rare.term").alias("term")), id_col, text_col))
+
+
+def occurrences(docs: DataFrame, rare: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: int = 3) -> DataFrame:
+    """Exact phrase matches: ``doc`` (id, fp), ``start``, ``m``, ``items``; one row for a window and a place."""
     hits = _intersect(rare, index, lists).where("start >= 0").join(rare.select("key", "win", "m", "items"), "key")
-    places = hits.groupBy("doc").agg(F.collect_set(F.struct("start", "m", "win", "items")).alias("places"))
-    return _words(docs, id_col, text_col).join(places, "doc").select("doc", "w", F.explode("places").alias("x")).where("slice(w, x.start + 1, x.m) = x.win").select("doc", "x.start", "x.m", "x.items").distinct()
+    places = cut(hits.groupBy("doc").agg(F.collect_set(F.struct("start", "m", "win", "items")).alias("places")))
+    texts = keyed(docs, id_col, text_col).select(F.struct("id", "fp").alias("doc"), "text")
+    # only texts that are still suspected travel, unless there are too many to say so to every task
+    some = texts.join(_bounded(places.select("doc")), "doc", "left_semi")
+    again = some.join(places, "doc").select("doc", "places", words_of(F.col("text")).alias("w"))
+    return again.select("doc", "w", F.explode("places").alias("x")).where("slice(w, x.start + 1, x.m) = x.win").select("doc", "x.start", "x.m", "x.items").distinct()
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: int = 10, lists: int = 3, slop: int = 2) -> DataFrame:
@@ -84,9 +98,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     ``start`` is where the window would begin by its rarest term and may be
     negative. Nothing is said of the other words; exact matches are among the rows.
     """
-    windows = cut(benchmark_windows(benchmark, item_col, item_text, words))
-    rare = cut(rare_terms(docs, windows, id_col, text_col, lists))
-    index = cut(postings(docs, rare.select(F.explode("rare.term").alias("term")), id_col, text_col))
+    rare, index = _index(docs, benchmark, id_col, text_col, item_col, item_text, words, lists)
     hits = _intersect(rare, index, lists, slop).join(rare.select("key", "items"), "key")
     return hits.select(F.col("doc.id").alias(id_col), "start", "items").distinct()
 
@@ -97,7 +109,7 @@ def covered(spans: str) -> Column:
     return F.expr(step.replace("spans", spans))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: int = 10, lists: int = 3) -> DataFrame:
     """One row per input row: ``id_col, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     A word is hit inside any occurrence of a window of ``words`` consecutive item
@@ -105,10 +117,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     With an empty benchmark nothing is hit. Rows that repeat id and text are each
     returned; other columns of ``docs`` and ``benchmark`` are ignored.
     """
-    found = occurrences(docs, benchmark, id_col, text_col, **options)
+    rare, index = _index(docs, benchmark, id_col, text_col, item_col, item_text, words, lists)
+    found = occurrences(docs, rare, index, id_col, text_col, lists)
     hit = found.groupBy("doc").agg(F.collect_set(F.struct("start", "m")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hit = hit.select(F.col("doc").alias("d"), covered("spans").alias("n_hit"), "items")
-    rows = _words(docs, id_col, text_col).select("doc", F.size("w").cast("long").alias("n_words"))
+    rows = index.where(F.col("term") == END).select("doc", F.col("pos").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return rows.join(hit, F.col("doc") == F.col("d"), "left").select(
