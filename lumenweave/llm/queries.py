@@ -11,6 +11,7 @@ from lumenweave.llm.decontaminate import decontaminate
 from lumenweave.llm.exact_dedup import exact_dedup
 from lumenweave.llm.language_id import identify
 from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
+from lumenweave.llm.line_dedup import line_dedup
 from lumenweave.llm.lm_score import lm_score
 from lumenweave.llm.mixing import schedule
 from lumenweave.llm.near_dedup import near_dedup
@@ -88,6 +89,10 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -107,6 +112,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
