@@ -52,9 +52,9 @@ def degree_score(n: Column) -> Column:
 
 def tier(days: Column) -> Column:
     out = F
-    for least, name, _ in TIERS:
+    for least, name, _ in TIERS[:-1]:
         out = out.when(days >= least, name)
-    return out
+    return out.otherwise(TIERS[-1][1])
 
 
 def tier_price(name: Column) -> Column:

@@ -100,8 +100,8 @@ def any_keyword(text: Column, words: Column) -> Column:
 
 def unique_ci(values: Column, n: int) -> Column:
     """Trimmed, distinct whatever the case (the first spelling stays), in order, ``n`` at most."""
-    clean = F.filter(F.transform(values, F.trim), lambda v: v != "")
-    lows = F.transform(clean, F.lower)
+    clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+    lows = F.transform(clean, lambda v: F.lower(v))
     first = F.filter(F.transform(clean, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: F.array_position(lows, F.lower(s["v"])) == s["i"] + 1)
     return F.slice(F.transform(first, lambda s: s["v"]), 1, n)
 

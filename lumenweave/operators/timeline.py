@@ -84,13 +84,13 @@ def sliding(spans: DataFrame, key: str, duration: str, length: int, overlap: int
     return spans.where(F.col(duration) > 0).select(key, duration, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("n")).select(key, "n", (F.col("n") * step).alias("start_ms"), F.least(F.col(duration), F.col("n") * step + length).alias("end_ms"))
 
 
-def midpoints(frames: DataFrame, key: str, at: str, order: list[str], duration: Column) -> DataFrame:
+def midpoints(frames: DataFrame, key: str, at: str, order: list[str], duration: Column, digits: int = 3) -> DataFrame:
     """Of each frame the span to the middle between its neighbours; the first from 0, the last to the duration."""
     w = Window.partitionBy(key).orderBy(at, *order)
     prev, nxt = F.lag(at).over(w), F.lead(at).over(w)
     lo = F.when(prev.isNull(), 0.0).otherwise((prev + F.col(at)) / 2)
     hi = F.when(nxt.isNull(), F.greatest(duration, F.col(at) + 1)).otherwise((F.col(at) + nxt) / 2)
-    return frames.withColumns({"lo": F.round(lo, 3), "hi": F.round(hi, 3)}).withColumn("hi", F.greatest("lo", "hi"))
+    return frames.withColumns({"lo": F.round(lo, digits), "hi": F.round(hi, digits)}).withColumn("hi", F.greatest("lo", "hi"))
 
 
 def thin(rows: DataFrame, key: str, at: str, gap: int) -> DataFrame:
@@ -135,7 +135,7 @@ def every_nth(rows: DataFrame, key: str, order: list[str], limit: int) -> DataFr
     return rows.withColumns({"_n": n, "_step": F.ceil(total / limit)}).where("_n % _step = 0").drop("_n", "_step")
 
 
-def after_last(chunks_: DataFrame, segments: DataFrame, key: str, chunk: str) -> DataFrame:
+def after_last(segments: DataFrame, key: str, chunk: str) -> DataFrame:
     """Segments that don't start before the latest end of an earlier chunk's segments."""
     ends = segments.groupBy(key, chunk).agg(F.max("end_ms").alias("_end"))
     until = ends.withColumn("_until", F.max("_end").over(Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)))
