@@ -399,3 +399,247 @@ def connected_components(spark, d):
 def shared_and_unique(spark, d):
     a = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     return a.select(F.explode("k").alias("event_type"), F.size("k").alias("n")).groupBy("event_type").agg(F.count("*").alias("users"), F.sum((F.col("n") == 1).cast("long")).alias("only_here"))
+
+
+# search
+
+QUERY_SQL = "q AS (SELECT v AS q FROM vectors WHERE node_id = 0)"
+DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
+COS = f"({DOT.format('{0}', '{1}')} / (sqrt({DOT.format('{0}', '{0}')}) * sqrt({DOT.format('{1}', '{1}')})))"
+COS_VQ = COS.format("v", "q")
+
+
+def _query_vector(nodes: DataFrame):
+    return F.array(*[F.lit(float(x)).cast("float") for x in nodes.where("node_id = 0").first().v])  # one stated query
+
+
+@query(f"SELECT * FROM (WITH {QUERY_SQL}, c AS (SELECT node_id, video_id, v, q, {COS.format('v[1:16]', 'q[1:16]')} AS coarse FROM vectors, q), t AS (SELECT * FROM c WHERE coarse >= 0.1 ORDER BY coarse DESC, node_id LIMIT 50) SELECT node_id, video_id, round({COS_VQ}, 6) AS score FROM t WHERE {COS_VQ} >= 0.2 ORDER BY {COS_VQ} DESC, node_id LIMIT 10)", "vectors")
+def vector_search(spark, d):
+    n = V.vectors(spark, d)
+    return R.vector_search(n, _query_vector(n), 10, 0.2).select("node_id", "video_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT * FROM (WITH p AS (SELECT a.node_id AS query, b.node_id AS node, {COS.format('a.v', 'b.v')} AS score FROM vectors a JOIN vectors b ON a.video_id <> b.video_id WHERE a.node_id % 20 = 0) SELECT query, node, round(score, 6) AS score FROM p WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 5)", "vectors")
+def similar_across_videos(spark, d):
+    n = V.vectors(spark, d)
+    return R.nearest_vectors(n.where("node_id % 20 = 0"), n, 5, 0.1).select("query", "node", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT * FROM (WITH {QUERY_SQL}, s AS (SELECT video_id AS parent, node_id AS node, {COS_VQ} AS score FROM vectors, q) SELECT parent, node, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY parent ORDER BY score DESC, node) <= 3)", "vectors")
+def search_children(spark, d):
+    n = V.vectors(spark, d)
+    edges = n.select(F.col("video_id").alias("src"), F.col("node_id").alias("dst"))
+    return R.children_search(n.select(F.col("video_id").alias("parent")).distinct(), edges, n.select(F.col("node_id").alias("node"), "v"), _query_vector(n), 3).select("parent", "node", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT * FROM (WITH e AS (SELECT video_id, node_id % 3 + 1 AS w, unnest(range(1, 65)) AS i, unnest(v)::DOUBLE AS x FROM vectors), m AS (SELECT video_id, i, sum(w * x) / sum(w) AS x FROM e GROUP BY ALL)
+SELECT video_id, i - 1 AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY video_id)), 6) AS x FROM m)""", "vectors")
+def pooled_embeddings(spark, d):
+    n = V.vectors(spark, d).withColumn("w", F.col("node_id") % 3 + 1)
+    return R.pool(n, "video_id", "v", "w").select("video_id", F.posexplode("pooled").alias("pos", "x")).select("video_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query(f"SELECT node_id, list_transform(range(8), lambda i: round(v[(i * 8) + 1] / sqrt(s), 6)) AS small FROM (SELECT node_id, v, list_sum(list_transform(range(8), lambda i: v[(i * 8) + 1]::DOUBLE * v[(i * 8) + 1]::DOUBLE)) AS s FROM vectors)", "vectors")
+def compressed_embeddings(spark, d):
+    return V.vectors(spark, d).select("node_id", F.transform(S.spread(F.col("v").cast("array<double>"), 8), lambda x: F.round(x, 6)).alias("small"))
+
+
+TERMS = ["license", "the", "der"]
+BM25_SQL = """t AS (SELECT doc_id AS node, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), len AS (SELECT doc_id AS node, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS l FROM documents),
+tf AS (SELECT node, term, count(*) AS tf FROM t WHERE term IN ('license', 'the', 'der') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), tot AS (SELECT count(*) AS n, avg(l) AS a FROM len),
+bm AS (SELECT node, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN df USING (term) JOIN len USING (node), tot GROUP BY node)"""
+
+
+@query(f"WITH {BM25_SQL} SELECT node AS doc_id, round(score, 6) AS score FROM bm")
+def bm25_search(spark, d):
+    return R.bm25(table(spark, d, "documents"), TERMS, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {BM25_SQL}, docs AS (SELECT doc_id, (n_chars % 101) / 100.0::DOUBLE AS vs, CASE WHEN doc_id % 5 > 0 THEN doc_id % 600 END AS ts FROM documents), ft AS (SELECT node AS doc_id, score / max(score) OVER () AS fs FROM bm),
+v AS (SELECT doc_id, vs FROM docs WHERE vs >= 0.3 ORDER BY vs DESC, doc_id LIMIT 100),
+c AS (SELECT doc_id, vs, coalesce(fs, 0) AS fs FROM v LEFT JOIN ft USING (doc_id) UNION ALL (SELECT doc_id, 0, fs FROM ft WHERE doc_id NOT IN (SELECT doc_id FROM v) ORDER BY fs DESC, doc_id LIMIT 20)),
+s AS (SELECT c.doc_id, c.vs AS vs, fs, least(1, (1 + c.doc_id % 60) / 50.0) AS g, CASE WHEN ts IS NULL THEN 0.5 ELSE exp(-0.5 * power((ts - 300) / 200.0, 2)) END AS t FROM c JOIN docs d USING (doc_id) WHERE ts IS NULL OR ts BETWEEN 100 AND 500)
+SELECT doc_id, round(0.25 * vs + 0.40 * fs + 0.20 * g + 0.15 * t, 6) AS combined_score FROM (SELECT doc_id, s.vs, fs, g, t FROM s) ORDER BY 0.25 * vs + 0.40 * fs + 0.20 * g + 0.15 * t DESC, doc_id LIMIT 20""")
+def hybrid_search(spark, d):
+    docs = table(spark, d, "documents")
+    vs = docs.select(F.col("doc_id").alias("node_id"), (F.col("n_chars") % 101 / 100).alias("score")).where("score >= 0.3").orderBy(F.desc("score"), "node_id").limit(100)
+    facts = docs.select(F.col("doc_id").alias("node_id"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 600).alias("ts"), (F.col("doc_id") % 60).alias("related"))
+    both = R.fuse(vs, R.bm25(docs, TERMS, "doc_id", "text").withColumnRenamed("doc_id", "node_id"))
+    return R.weigh(both.join(facts, "node_id"), 20, "text", lo=100, hi=500).select(F.col("node_id").alias("doc_id"), F.round("combined_score", 6).alias("combined_score"))
+
+
+@query("""WITH r AS (SELECT d.doc_id, c.turn AS related, c.turn % 2 + 1 AS distance, c.text FROM documents d JOIN conversations c ON c.conv_id = d.doc_id), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, related) AS i, CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'and') THEN 1 ELSE 0 END AS s FROM r),
+b AS (SELECT doc_id, avg(s / 2.0 / (distance + 1)) AS m FROM n WHERE i <= 10 AND s > 0 GROUP BY doc_id) SELECT doc_id, round(0.5 * (1 + least(0.2, coalesce(m, 0))), 6) AS combined_score FROM documents LEFT JOIN b USING (doc_id)""")
+def context_rerank(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.lit(0.5).alias("combined_score"))
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("node_id"), F.col("turn").alias("related"), (F.col("turn") % 2 + 1).alias("distance"), "text")
+    return R.rerank(docs, docs.select("node_id").join(c, "node_id"), ["the", "and"]).select(F.col("node_id").alias("doc_id"), F.round("combined_score", 6).alias("combined_score"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations) WHERE run <= 400")
+def rag_context(spark, d):
+    rows = table(spark, d, "conversations").withColumn("size", F.length("text"))
+    return R.within_budget(rows, "conv_id", [F.col("turn")], "size", 400).select("conv_id", "turn")
+
+
+@query("SELECT video_id, frame_id FROM frames QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_id) <= 3", "frames")
+def best_per_video(spark, d):
+    return R.per_group(V.frames(spark, d), "video_id", [F.desc("score"), F.col("frame_id")], 3).select("video_id", "frame_id")
+
+
+@query("""SELECT * FROM (WITH m AS (SELECT video_id, frame_id, score FROM frames WHERE kind = 'purchase' QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_id) <= 3)
+SELECT video_id, list(frame_id ORDER BY score DESC, frame_id) AS matches, round(max(score), 3) AS relevance FROM m GROUP BY video_id ORDER BY max(score) DESC, video_id LIMIT 5)""", "frames")
+def search_across_videos(spark, d):
+    m = R.per_group(V.frames(spark, d).where("kind = 'purchase'"), "video_id", [F.desc("score"), F.col("frame_id")], 3)
+    g = m.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "frame_id"))).alias("m"), F.max("score").alias("best"))
+    return g.orderBy(F.desc("best"), "video_id").limit(5).select("video_id", F.transform("m", lambda x: x["frame_id"]).alias("matches"), F.round("best", 3).alias("relevance"))
+
+
+@query("""SELECT * FROM (WITH RECURSIVE c AS (SELECT video_id, frame_id, ts_ms / 1000.0::DOUBLE - 3600 AS lo, ts_ms / 1000.0::DOUBLE + 3600 AS hi, row_number() OVER (PARTITION BY video_id ORDER BY -score, frame_id) AS i FROM frames WHERE score > 50),
+k AS (SELECT video_id, 0::BIGINT AS i, []::STRUCT(lo DOUBLE, hi DOUBLE)[] AS t FROM (SELECT DISTINCT video_id FROM c) UNION ALL
+SELECT k.video_id, c.i, CASE WHEN len(t) < 5 AND len(list_filter(t, lambda r: c.lo < r.hi AND c.hi > r.lo)) = 0 THEN list_append(t, {'lo': c.lo, 'hi': c.hi}) ELSE t END FROM k JOIN c ON c.video_id = k.video_id AND c.i = k.i + 1),
+z AS (SELECT video_id, unnest(t) AS r FROM k QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY i DESC) = 1) SELECT video_id, round(r.lo, 3) AS lo, round(r.hi, 3) AS hi FROM z)""".replace("z AS (SELECT video_id, unnest(t) AS r FROM k QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY i DESC) = 1)", "y AS (SELECT video_id, t FROM k QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY i DESC) = 1), z AS (SELECT video_id, unnest(t) AS r FROM y)"), "frames")
+def highlights(spark, d):
+    f = V.frames(spark, d).where("score > 50").withColumns({"rank": -F.col("score"), "lo": F.col("ts_ms") / 1000 - 3600, "hi": F.col("ts_ms") / 1000 + 3600})
+    return R.pick_apart(f, "video_id", ["rank", "frame_id"], "lo", "hi", 5).select("video_id", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
+
+
+@query("SELECT kind, count(*) AS n, count(DISTINCT video_id) AS videos FROM frames GROUP BY kind", "frames")
+def facets(spark, d):
+    return V.frames(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("video_id").alias("videos"))
+
+
+@query("""SELECT video_id, speaker, t, s FROM (SELECT video_id, speaker, start_ms AS t, 'audio' AS s FROM segments UNION ALL SELECT video_id, kind, ts_ms, 'visual' FROM frames)
+QUALIFY row_number() OVER (PARTITION BY video_id, t // 100000 ORDER BY s DESC, t, speaker) = 1""", "segments", "frames")
+def deduped_timeline(spark, d):
+    both = V.segments(spark, d).select("video_id", "speaker", F.col("start_ms").alias("t"), F.lit("audio").alias("s")).unionByName(V.frames(spark, d).select("video_id", F.col("kind").alias("speaker"), F.col("ts_ms").alias("t"), F.lit("visual").alias("s")))
+    return B.latest(both.withColumn("_b", F.floor(F.col("t") / 100_000)), ["video_id", "_b"], [F.desc("s"), F.col("t"), F.col("speaker")]).drop("_b")
+
+
+# keyed tables and operations
+
+
+@query("""SELECT coalesce(t.k, u.k) AS k, CASE WHEN u.k IS NULL THEN t.v ELSE u.v END AS v, CASE WHEN t.k IS NOT NULL THEN t.created_at ELSE u.created_at END AS created_at
+FROM (SELECT c_custkey AS k, c_acctbal AS v, 1 AS created_at FROM customer WHERE c_custkey % 3 > 0) t FULL JOIN (SELECT c_custkey AS k, round(c_acctbal * 2, 2) AS v, 2 AS created_at FROM customer WHERE c_custkey % 2 = 0) u ON t.k = u.k""")
+def keyed_merge(spark, d):
+    c = table(spark, d, "customer")
+    t = c.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(1).alias("created_at"))
+    u = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.round(F.col("c_acctbal") * 2, 2).alias("v"), F.lit(2).alias("created_at"))
+    return B.merge(t, u, ["k"])
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_row(spark, d):
+    return B.latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT p_partkey AS upsert_id, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN 'applied' ELSE 'pending' END AS status FROM part")
+def applied_stays_applied(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("upsert_id"), F.to_json(F.struct("p_brand", "p_name")).alias("properties_json"))
+    old = p.where("upsert_id % 2 = 0").withColumns({"status": F.lit("applied"), "properties_json": F.when(F.col("upsert_id") % 3 > 0, F.col("properties_json")).otherwise("{}")})
+    return B.keep_applied(p, old).select("upsert_id", "status")
+
+
+@query("SELECT p_partkey, list_filter([CASE WHEN NOT p_size >= 10 THEN 'size' END, CASE WHEN NOT p_retailprice < 1500 THEN 'price' END, CASE WHEN NOT p_brand IN ('Brand#1', 'Brand#2') THEN 'brand' END], lambda x: x IS NOT NULL) AS failed_gates FROM part")
+def quality_gates(spark, d):
+    gates = {"size": F.col("p_size") >= 10, "price": F.col("p_retailprice") < 1500, "brand": F.col("p_brand").isin("Brand#1", "Brand#2")}
+    return B.split_by_gates(table(spark, d, "part"), gates).select("p_partkey", "failed_gates")
+
+
+@query("SELECT event_id AS outbox_id FROM events WHERE event_type <> 'view' ORDER BY ts, event_id LIMIT 100")
+def outbox_poll(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("outbox_id"), F.col("ts").alias("emitted_at"), F.when(F.col("event_type") == "view", F.col("ts")).alias("consumed_at"))
+    return B.unconsumed(e, 100).select("outbox_id")
+
+
+@query("""SELECT media_id, CASE s WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, CASE WHEN s = 'purchase' THEN 1.0 ELSE round(p / 1000, 6) END::DOUBLE AS progress FROM (
+SELECT user_id AS media_id, event_type AS s, value AS p FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)""")
+def status_projection(spark, d):
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("progress")
+    events = e.select(F.col("user_id").alias("media_id"), F.lit("d1").alias("dispatch_id"), status.alias("status"), F.round(F.col("value") / 1000, 6).alias("progress"), F.col("ts").alias("emitted_at"), F.col("event_id").alias("outbox_id"))
+    control = e.select(F.col("user_id").alias("media_id")).distinct().select("media_id", F.lit("d1").alias("dispatch_id"), F.lit("queued").alias("status"), F.lit(0.0).alias("progress"), F.lit(False).alias("processed"))
+    return B.project_status(control, events).select("media_id", "status", "progress")
+
+
+@query("SELECT event_type, day, round(v, 6) AS v, round(baseline, 6) AS baseline, coalesce(v < baseline - 0.03, FALSE) AS regressed FROM (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS baseline FROM (SELECT event_type, ts::DATE AS day, avg(value) AS v FROM events GROUP BY ALL))")
+def rolling_regressions(spark, d):
+    days = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    return B.regressions(days, "event_type", "day", "v").select("event_type", "day", F.round("v", 6).alias("v"), F.round("baseline", 6).alias("baseline"), "regressed")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def content_distinct(spark, d):
+    return B.hash_distinct(table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "text", ["doc_id"]).select("doc_id", "sha256")
+
+
+@query()
+def stratified_sample(spark, d):
+    return B.stratified(table(spark, d, "documents"), "lang", "doc_id", 100).select("doc_id", "lang")
+
+
+@query("SELECT o_orderstatus AS stage, o_orderpriority AS status, count(*) AS n, round(avg(o_totalprice), 4) AS avg_s, round(quantile_cont(o_totalprice, 0.95), 4) AS p95, sum(CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END)::BIGINT AS retries, max(o_totalprice) AS longest FROM orders GROUP BY ALL")
+def ops_stage_durations(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("status")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("avg_s"), F.round(F.percentile("o_totalprice", F.lit(0.95)), 4).alias("p95"), F.sum((F.col("o_totalprice") > 200000).cast("long")).alias("retries"), F.max("o_totalprice").alias("longest"))
+
+
+@query("SELECT event_type AS status, count(*) AS n, min(ts) AS oldest, max(ts) AS newest FROM events WHERE json_extract_string(props, '$.k')::INT % 2 = 0 GROUP BY event_type")
+def ops_outbox_backlog(spark, d):
+    return table(spark, d, "events").where(F.get_json_object("props", "$.k").cast("int") % 2 == 0).groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+
+
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT c_custkey, c_mktsegment, o_orderkey, o_orderstatus, n FROM customer LEFT JOIN l ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O', 'P') OR c_acctbal < 0""")
+def ops_active_runs(spark, d):
+    last = B.latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderstatus")
+    n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    j = table(spark, d, "customer").join(last, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return j.where("o_orderstatus IN ('O', 'P') OR c_acctbal < 0").select("c_custkey", "c_mktsegment", "o_orderkey", "o_orderstatus", "n")
+
+
+@query("""SELECT n_nationkey, coalesce(a.n, 0) AS suppliers, coalesce(b.n, 0) AS customers, coalesce(b.s, 0) AS balance FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) a ON s_nationkey = n_nationkey
+LEFT JOIN (SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS s FROM customer GROUP BY 1) b ON c_nationkey = n_nationkey""")
+def ops_coverage(spark, d):
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    j = table(spark, d, "nation").join(s, "n_nationkey", "left").join(c, "n_nationkey", "left")
+    return j.select("n_nationkey", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("suppliers", "customers")], F.coalesce("balance", F.lit(0.0)).alias("balance"))
+
+
+@query("SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL")
+def ops_stage_metrics(spark, d):
+    return table(spark, d, "events").where(F.col("event_type").isin("click", "view")).groupBy("event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE AS success_rate FROM events GROUP BY user_id")
+def success_rate(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.try_divide(F.sum((F.col("event_type") != "error").cast("long")), F.count("*")).alias("success_rate"))
+
+
+@query("SELECT event_id, 'at [' || event_id % 60 || ':05] or (1:' || lpad((event_id % 60)::VARCHAR, 2, '0') || ') or ' || event_id % 9 || ':30' AS answer, [event_id % 60 || ':05', '1:' || lpad((event_id % 60)::VARCHAR, 2, '0'), event_id % 9 || ':30'] AS cited FROM events")
+def citations(spark, d):
+    n = F.col("event_id")
+    answer = F.concat(F.lit("at ["), n % 60, F.lit(":05] or (1:"), F.lpad((n % 60).cast("string"), 2, "0"), F.lit(") or "), n % 9, F.lit(":30"))
+    return table(spark, d, "events").select("event_id", answer.alias("answer"), E.citations(answer).alias("cited"))
+
+
+@query("SELECT event_id, substr('ABCDE', (event_id % 5)::INT + 1, 1) AS said, CASE WHEN event_id % 5 < 4 THEN substr('ABCD', (event_id % 5)::INT + 1, 1) END AS choice FROM events")
+def multiple_choice(spark, d):
+    said = F.substring(F.lit("ABCDE"), (F.col("event_id") % 5 + 1).cast("int"), F.lit(1))
+    return table(spark, d, "events").select("event_id", said.alias("said"), E.choice(F.concat(F.lit("  The answer is "), said, F.lit("."))).alias("choice"))
+
+
+@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '\b(beginning|start|middle|end|later|earlier|before|after|during)\b') AS soft FROM conversations")
+def soft_references(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", E.soft_reference(F.col("text")).alias("soft"))
+
+
+@query("SELECT l_orderkey, l_partkey, rank FROM (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) WHERE rank <= 2")
+def top_children(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(w).alias("rank")).where("rank <= 2")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 25")
+def paged(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(25).limit(25)
