@@ -27,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,11 @@ MAGIC = b"LWTOKEN1"
 #: index offset and bytes, bloom offset and bytes, documents, ids, CRC-32, width, magic
 FOOTER = struct.Struct("<QQQQQQIB8s")
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 << 10, 10, 7
-#: Words whose ids a task remembers before it starts anew.
-WORDS_KEPT = 300_000
+#: Words whose ids a process remembers, and as many older ones.
+WORDS_KEPT = 500_000
+#: With this in a text, which may be of a special token, its letters are left as they are.
+SPECIAL = b"<|"
+STOPS = (b".", b",")
 META = "part int, name string, n_docs long, n_ids long"
 
 
@@ -176,31 +180,54 @@ class Shard:
         return None
 
 
-def word_ids(tokenizer: str):
-    """A function from texts to the bytes of their ids, and the width of an id.
+class WordIds:
+    """Encodes texts to the bytes of their ids.
 
-    The tokenizer's pattern never crosses white space, so each word between ASCII
-    white space is encoded once and remembered.
+    The tokenizer's pattern never crosses white space, so the ids of a text are
+    those of its words between ASCII white space. Each word is encoded once, in
+    company of others, and remembered: the latest words and the ones before them.
+    It also lower-cases, and ends a word of letters before a full stop or comma;
+    so such words are remembered in one form.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(public_path(tokenizer))
-    width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
-    known: dict[bytes, bytes] = {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, f"<u{width}").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    return encode, width
+    def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(public_path(tokenizer))
+        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 200):
+            part = [w.decode() for w in words[lo : lo + 200]]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, f"<u{self.width}")
+            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+            ends = np.searchsorted(at, np.cumsum([len(w) + 1 for w in part]))
+            for w, a, b in zip(words[lo : lo + 200], [0, *ends.tolist()], ends.tolist(), strict=False):
+                self.known[w] = ids[a:b].tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [(b if SPECIAL in b else b.lower()).split() for b in map(str.encode, texts)]
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        missing = {w for words in split for w in words if w not in self.known}
+        ended = [w for w in missing if w[-1:] in STOPS and w[-2:-1].isalpha()]
+        missing.difference_update(ended)
+        missing.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in self.known)
+        self.known.update((w, self.older[w]) for w in missing if w in self.older)
+        self._learn([w for w in missing if w not in self.known])
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+@cache
+def word_ids(tokenizer: str) -> WordIds:
+    """The encoder of this process: the tasks of a Python worker share what it remembers."""
+    return WordIds(tokenizer)
 
 
 def _text_groups(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
@@ -244,7 +271,8 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, width = word_ids(tokenizer)
+        encode = word_ids(tokenizer)
+        width = encode.width
         end = end_id.to_bytes(width, "little")
         entries = ((key_of(i), v + end) for ids, texts in _text_groups(batches) for i, v in zip(ids, encode(texts), strict=True))
         one = next(entries, None)
