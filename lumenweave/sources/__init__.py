@@ -31,10 +31,10 @@ def first_of(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
 
 
 def sniff(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, kind`` of files: empty, parquet, html, json, text or binary, by their first bytes."""
+    """``path, length, kind`` of files: parquet, html, json, text or binary, by their first bytes. Spark doesn't list empty files."""
     files = spark.read.format("binaryFile").load(path)
     head = F.lower(F.ltrim(F.decode(F.substring("content", 1, 64), "ISO-8859-1")))
-    kind = F.when(F.col("length") == 0, "empty").when(F.substring("content", 1, 4) == F.lit(b"PAR1"), "parquet").when(head.rlike("^(<!doctype|<html)"), "html").when(head.rlike(r"^[\[{]"), "json").when(F.contains(head, F.lit("\x00")), "binary").otherwise("text")
+    kind = F.when(F.substring("content", 1, 4) == F.lit(b"PAR1"), "parquet").when(head.rlike("^(<!doctype|<html)"), "html").when(head.rlike(r"^[\[{]"), "json").when(F.contains(head, F.lit("\x00")), "binary").otherwise("text")
     return files.select("path", "length", kind.alias("kind"))
 
 
