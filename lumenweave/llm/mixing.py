@@ -65,9 +65,9 @@ def phases(blocks: dict, weights: dict, q: int) -> dict:
 
 
 def _placed(docs: DataFrame, source_col: str, id_col: str, text_col: str, weights: dict | None, block_bytes: int, q: int, temperature: float, buckets: int, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``_source, _bytes, _start, _block, _slot``."""
+    """The columns ``keep`` of ``docs`` as ``_row``, with ``_source, _bytes, _start, _block, _slot``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*[F.col(c) for c in keep], F.col(source_col).cast("string").alias("_source"), F.greatest(F.octet_length(text), F.lit(1)).cast("long").alias("_bytes"), F.xxhash64(F.col(id_col), text).alias("_mix"), F.col(id_col).alias("_id"))
+    rows = docs.select(F.struct(*keep).alias("_row"), F.col(source_col).cast("string").alias("_source"), F.greatest(F.octet_length(text), F.lit(1)).cast("long").alias("_bytes"), F.xxhash64(F.col(id_col), text).alias("_mix"), F.col(id_col).alias("_id"))
     rows = rows.withColumns({"_bucket": F.pmod("_mix", F.lit(buckets)), "_source": F.coalesce("_source", F.lit("")), "_null": F.col("_source").isNull()})
 
     # a source may hold any share of the rows: it is numbered bucket by bucket, from summed sizes
@@ -91,7 +91,7 @@ def _placed(docs: DataFrame, source_col: str, id_col: str, text_col: str, weight
     placed = placed.join(F.broadcast(table), "_source")  # at most MOST_SOURCES rows
     placed = placed.withColumn("_p", F.expr("element_at(filter(_phases, x -> x.block <= _block), -1)")).withColumn("_k", F.col("_block") - F.col("_p.block"))
     slot = F.expr(f"_p.slot + (_k div _p.share) * {q} + _p.slots[cast(_k % _p.share as int)]")
-    return placed.select(*keep, F.when(~F.col("_null"), F.col("_source")).alias("_source"), "_bytes", "_start", "_block", slot.alias("_slot"))
+    return placed.select("_row", F.when(~F.col("_null"), F.col("_source")).alias("_source"), "_bytes", "_start", "_block", slot.alias("_slot"))
 
 
 def schedule(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, block_bytes: int = 64 << 10, slots_per_period: int = 1000, temperature: float = 0.5, buckets: int = 4096) -> DataFrame:
@@ -105,10 +105,10 @@ def schedule(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id"
     own, named "" in ``weights``. Rows that repeat each other are each scheduled.
     """
     placed = _placed(docs.select(F.col(id_col), F.col(source_col), F.col(text_col)), source_col, id_col, text_col, weights, block_bytes, slots_per_period, temperature, buckets, [id_col])
-    return placed.select(F.col(id_col), F.col("_source").alias("source"), F.col("_bytes").alias("n_bytes"), F.col("_start").alias("start"), F.col("_block").alias("block"), F.col("_slot").alias("slot"))
+    return placed.select(F.col(f"_row.{id_col}").alias(id_col), F.col("_source").alias("source"), F.col("_bytes").alias("n_bytes"), F.col("_start").alias("start"), F.col("_block").alias("block"), F.col("_slot").alias("slot"))
 
 
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, block_bytes: int = 64 << 10, slots_per_period: int = 1000, temperature: float = 0.5, buckets: int = 4096) -> DataFrame:
     """All columns and rows of ``docs`` in the order of the mix; partitions follow each other in it."""
     placed = _placed(docs, source_col, id_col, text_col, weights, block_bytes, slots_per_period, temperature, buckets, docs.columns)
-    return placed.repartitionByRange("_slot", "_start").sortWithinPartitions("_slot", "_start").select(*docs.columns)
+    return placed.repartitionByRange("_slot", "_start").sortWithinPartitions("_slot", "_start").select("_row.*")
