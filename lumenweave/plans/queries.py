@@ -643,3 +643,101 @@ def top_children(spark, d):
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 25")
 def paged(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(25).limit(25)
+
+
+# more of the same kinds
+
+
+@query("SELECT frame_id FROM (SELECT frame_id, CASE WHEN frame_id % 7 > 0 THEN ts_ms END AS t FROM frames) WHERE t IS NULL OR t BETWEEN 1000000 AND 90000000", "frames")
+def time_range_or_unknown(spark, d):
+    t = F.when(F.col("frame_id") % 7 > 0, F.col("ts_ms"))
+    return V.frames(spark, d).where(t.isNull() | t.between(1_000_000, 90_000_000)).select("frame_id")
+
+
+@query(f"WITH {EDGES_SQL}, n AS (SELECT 'r' || r_regionkey AS node FROM region UNION SELECT 'n' || n_nationkey FROM nation) SELECT DISTINCT src, dst, rel_type FROM edges WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
+def induced_subgraph(spark, d):
+    e = _tree(spark, d)
+    nodes = e.where("src LIKE 'r%'").select(F.explode(F.array("src", "dst")).alias("node"))
+    return G.induced(nodes, e).select("src", "dst", "rel_type")
+
+
+@query("SELECT doc_id, 'question ' || doc_id || ' (' || mode || ')' AS query, ground_truth, mode FROM (SELECT doc_id, upper(substr(text, 1, 1)) AS ground_truth FROM documents), (VALUES ('with'), ('without')) m(mode) WHERE ground_truth IN ('A', 'B', 'C', 'D')")
+def benchmark_rows(spark, d):
+    q = table(spark, d, "documents").select("doc_id", F.upper(F.substring("text", 1, 1)).alias("ground_truth")).where(F.col("ground_truth").isin("A", "B", "C", "D"))
+    return q.withColumn("mode", F.explode(F.array(F.lit("with"), F.lit("without")))).select("doc_id", F.concat(F.lit("question "), "doc_id", F.lit(" ("), "mode", F.lit(")")).alias("query"), "ground_truth", "mode")
+
+
+@query("""SELECT lang, 'doc' AS bucket, count(*) AS n FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents) WHERE i <= 25 GROUP BY lang""")
+def equal_quotas(spark, d):
+    q = R.per_group(table(spark, d, "documents"), "lang", [F.col("doc_id")], 25)
+    return q.groupBy("lang").agg(F.lit("doc").alias("bucket"), F.count("*").alias("n"))
+
+
+@query("SELECT video_id, speaker, start_ms, phase FROM (SELECT s.*, CASE WHEN end_ms < 30000 THEN 'before' WHEN start_ms > 40000 THEN 'after' ELSE 'during' END AS phase FROM segments s) QUALIFY row_number() OVER (PARTITION BY video_id, phase ORDER BY abs(start_ms - 35000), start_ms) <= 3", "segments")
+def scene_context(spark, d):
+    phase = F.when(F.col("end_ms") < 30_000, "before").when(F.col("start_ms") > 40_000, "after").otherwise("during")
+    s = V.segments(spark, d).withColumn("phase", phase)
+    return B.latest(s, ["video_id", "phase", "start_ms"], [F.col("idx")]).withColumn("_n", F.row_number().over(Window.partitionBy("video_id", "phase").orderBy(F.abs(F.col("start_ms") - 35_000), "start_ms"))).where("_n <= 3").select("video_id", "speaker", "start_ms", "phase")
+
+
+@query("SELECT video_id, string_agg('[' || (start_ms // 1000 // 60) || ':' || lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0') || '] **' || speaker || '**: ' || text, chr(10) ORDER BY idx) AS transcript, count(*) AS n, count(DISTINCT speaker) AS speakers FROM segments GROUP BY video_id", "segments")
+def transcripts(spark, d):
+    s = V.segments(spark, d)
+    line = F.concat(F.lit("["), S.clock(F.col("start_ms") / 1000), F.lit("] **"), "speaker", F.lit("**: "), "text")
+    g = s.withColumn("line", line).groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n").alias("transcript"), F.count("*").alias("n"), F.countDistinct("speaker").alias("speakers"))
+    return g
+
+
+@query("SELECT video_id, min(idx) AS first, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS speakers, max(end_ms) / 1000.0::DOUBLE AS duration, sum(length(text))::BIGINT AS chars, list(text ORDER BY length(text) DESC, idx)[1] AS longest FROM segments GROUP BY video_id", "segments")
+def video_overview(spark, d):
+    s = V.segments(spark, d)
+    return s.groupBy("video_id").agg(F.min("idx").alias("first"), F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"), (F.max("end_ms") / 1000).alias("duration"), F.sum(F.length("text")).alias("chars"), F.max_by("text", F.struct(F.length("text"), -F.col("idx"))).alias("longest"))
+
+
+@query("SELECT o_orderkey, coalesce(nullif(o_totalprice, 0), m, 0) AS duration FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def duration_fallback(spark, d):
+    m = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("m"))
+    return table(spark, d, "orders").join(m, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.nullif(F.col("o_totalprice"), F.lit(0.0)), "m", F.lit(0.0)).alias("duration"))
+
+
+@query("""SELECT video_id, speaker, round(lex + rec, 6) AS score FROM (SELECT video_id, speaker, idx, 2.0 * (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'und') THEN 1 ELSE 0 END) AS lex, greatest(0, 1 - (row_number() OVER (PARTITION BY video_id ORDER BY idx DESC) - 1) / 20.0) AS rec FROM segments)
+QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY lex + rec DESC, idx DESC) = 1""", "segments")
+def memory_ranking(spark, d):
+    s = V.segments(spark, d)
+    lex = 2.0 * X.overlap(F.col("text"), F.array(F.lit("the"), F.lit("und")))
+    rec = F.greatest(F.lit(0.0), 1 - (F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("idx"))) - 1) / 20)
+    ranked = s.withColumn("score", lex + rec)
+    return B.latest(ranked, ["video_id"], [F.desc("score"), F.desc("idx")]).select("video_id", "speaker", F.round("score", 6).alias("score"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem GROUP BY ALL")
+def label_rollup(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+@query("SELECT source, lang, status, n, first_id, last_id FROM (SELECT source, lang, CASE WHEN n_chars % 3 = 0 THEN 'failed' ELSE 'pending' END AS status, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY ALL)")
+def ops_unapplied_upserts(spark, d):
+    status = F.when(F.col("n_chars") % 3 == 0, "failed").otherwise("pending")
+    return table(spark, d, "documents").groupBy("source", "lang", status.alias("status")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars < 500")
+def ops_quarantine(spark, d):
+    return table(spark, d, "documents").where("n_chars < 500").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic")
+
+
+@query("SELECT user_id AS src, event_type AS dst, count(*) AS evidence_count, max(value) AS weight, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL")
+def semantic_edges(spark, d):
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("src"), F.col("event_type").alias("dst")).agg(F.count("*").alias("evidence_count"), F.max("value").alias("weight"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unreferenced(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+
+
+@query("SELECT video_id, i, greatest(0, least(round(duration * (i + 0.5) / 10, 3), duration - 0.1)) AS at FROM (SELECT video_id, max(ts_ms) // 1000 + 0.0::DOUBLE AS duration FROM frames GROUP BY video_id), range(10) r(i)", "frames")
+def uniform_samples(spark, d):
+    v = V.frames(spark, d).groupBy("video_id").agg(F.floor(F.max("ts_ms") / 1000).cast("double").alias("duration")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    return v.select("video_id", "i", F.greatest(F.lit(0.0), F.least(F.round(F.col("duration") * (F.col("i") + 0.5) / 10, 3), F.col("duration") - 0.1)).alias("at"))
