@@ -19,10 +19,11 @@ SQL = {
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user as the frames of a video; time in ms from the first."""
-    e, w = table(spark, d, "events"), Window.partitionBy("user_id")
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
-    ms = F.floor((us - F.min(us).over(w)) / 1000).cast("long")
-    return e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_id"), ms.alias("ts_ms"), F.col("event_type").alias("kind"), F.col("value").alias("score"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_id"), us.alias("us"), F.col("event_type").alias("kind"), F.col("value").alias("score"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    # under its new name before the window, so that later windows find the rows already dealt out by it
+    ms = F.floor((F.col("us") - F.min("us").over(Window.partitionBy("video_id"))) / 1000).cast("long")
+    return e.select("video_id", "frame_id", ms.alias("ts_ms"), "kind", "score", "k")
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
