@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.session import cut
+from lumenweave.session import written
 
 
 def cooccurrence(contains: DataFrame, frame: str = "frame_id", entity: str = "entity_id", keep: int = 5) -> DataFrame:
@@ -57,15 +59,15 @@ def neighbours(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """``start, node, distance``: what is within ``hops`` undirected steps, by the least distance; the start itself is left out."""
     if hops < 1:
         return starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("distance")).limit(0)
-    steps = both_ways(edges)
-    reached = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).distinct()
-    edge = reached
+    steps = written(both_ways(edges)) if hops > 1 else both_ways(edges)
+    edge = starts.select("start", F.col("start").alias("node")).distinct()
+    found = []
     for d in range(1, hops + 1):
-        edge = edge.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(d))
-        reached = reached.union(edge)
-        reached = reached.groupBy("start", "node").agg(F.min("distance").alias("distance"))
-        edge = reached.where(F.col("distance") == d)
-    return reached.where("distance > 0")
+        edge = edge.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        edge = written(edge) if d < hops else edge
+        found.append(edge.withColumn("distance", F.lit(d)))
+    reached = reduce(lambda x, y: x.union(y), found).where("node <> start")
+    return reached.groupBy("start", "node").agg(F.min("distance").alias("distance"))
 
 
 def context(starts: DataFrame, edges: DataFrame, hops: int, most: int = 30, per_distance: int = 5) -> DataFrame:
@@ -107,13 +109,13 @@ def quota_sample(nodes: DataFrame, video: str, label: str, node: str, quotas: di
 
 def connected(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node that edges reach. Labels run along the edges and jump, written down each round."""
-    e = cut(both_ways(edges, "a", "b"))
-    labels = cut(e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    e = written(both_ways(edges, "a", "b"))
+    labels = written(e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
         near = e.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("top"))
-        new = cut(low.join(up, "low", "left").select("node", "was", F.least("low", F.coalesce("top", "low")).alias("component")))
+        new = written(low.join(up, "low", "left").select("node", "was", F.least("low", F.coalesce("top", "low")).alias("component")))
         if new.where("component <> was").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
