@@ -37,5 +37,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder.
+
+    Unlike a checkpoint, which keeps the estimates of the plan it came from, the
+    table has its own size: in a loop of joins the estimates don't multiply.
+    """
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def text_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Whole texts go to Python some at a time: a batch of Spark's usual 10,000 rows would be tens of MB in every task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
