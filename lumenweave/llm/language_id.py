@@ -10,16 +10,20 @@ scoring reads every whole text. The model is one number for each piece and langu
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenweave.llm.memory import held
 from lumenweave.llm.vocab import rank_pieces
+from lumenweave.session import text_batches
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -27,8 +31,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 STRETCH = 32
 #: Every byte counts this much, so that a word's sum stays near 1; it is taken off again.
 LIFT = 32.0
-#: Words whose scores a task remembers before it starts anew.
-WORDS_KEPT = 300_000
+#: Twice so many words' scores a process remembers before it starts anew.
+WORDS_KEPT = 150_000
+WORDS_AT_ONCE = 4000
 
 
 def words_in(text: str | None) -> list[str]:
@@ -40,7 +45,7 @@ class Lattice:
     """All segmentations of some words: an edge for each piece that stands in one."""
 
     def __init__(self, words: list[str], pieces: dict[bytes, int], longest: int):
-        starts, ends, ids, sizes = [], [], [], []
+        starts, ends, ids = array("i"), array("i"), array("i")
         base, self.word_of = 0, []  # of each stretch: its word, its first node
         firsts, lasts = [], []
         for w, word in enumerate(words):
@@ -54,7 +59,6 @@ class Lattice:
                             starts.append(base + i)
                             ends.append(base + j)
                             ids.append(p)
-                            sizes.append(j - i)
                 self.word_of.append(w)
                 firsts.append(base)
                 lasts.append(base + n)
@@ -62,7 +66,8 @@ class Lattice:
         self.nodes, self.n_words = base, len(words)
         self.first, self.last = np.array(firsts, np.int64), np.array(lasts, np.int64)
         self.word_of = np.array(self.word_of, np.int64)
-        start, end, piece, size = (np.array(x, np.int64) for x in (starts, ends, ids, sizes))
+        start, end, piece = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (starts, ends, ids))
+        size = end - start
         depth = np.zeros(base, np.int64)  # of a node in its stretch
         depth[self.first] = 1
         depth = np.arange(base) - np.maximum.accumulate(np.where(depth > 0, np.arange(base), 0))
@@ -77,7 +82,7 @@ class Lattice:
         """Of each node, the summed probability of all ways to it; p has a row for each piece and a column for each language."""
         a = np.zeros((self.nodes, p.shape[1]))
         a[self.first] = 1
-        lifted = p[self.piece] * (LIFT**self.size)[:, None]
+        lifted = p[self.piece] * (LIFT ** self.size.astype(float))[:, None]
         for lo, hi in zip(self.steps, self.steps[1:], strict=False):
             flow, to = a[self.start[lo:hi]] * lifted[lo:hi], self.end[lo:hi]
             at = np.flatnonzero(np.diff(to, prepend=-1))
@@ -97,7 +102,7 @@ class Lattice:
         b = np.zeros(self.nodes)
         b[self.last] = 1
         start, end, piece, size = (x[self.back] for x in (self.start, self.end, self.piece, self.size))
-        lifted = p[piece] * LIFT**size
+        lifted = p[piece] * LIFT ** size.astype(float)
         for lo, hi in zip(self.back_steps, self.back_steps[1:], strict=False):
             flow, to = b[end[lo:hi]] * lifted[lo:hi], start[lo:hi]
             at = np.flatnonzero(np.diff(to, prepend=-1))
@@ -114,6 +119,44 @@ class LanguageModel:
     languages: list[str]
     pieces: str
     p: np.ndarray  # pieces x languages
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+class Scorer:
+    """Scores texts by their words, each word once: what it has learned stays with the process."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, known = model, rank_pieces(model.pieces)
+        self.ids, self.longest = {b: i for i, b in enumerate(known)}, min(STRETCH, max(map(len, known)))
+        self.row_of: dict[str, int] = {}
+        self.table = np.zeros((WORDS_KEPT * 2, len(model.languages)), np.float64)
+
+    @staticmethod
+    def of(model: LanguageModel) -> Scorer:
+        return held(("scorer", model.name), lambda: Scorer(model))
+
+    def __call__(self, texts: list[list[str]]) -> list[tuple[str, float]]:
+        """Of each list of words the language and its posterior."""
+        new = list({w for words in texts for w in words if w not in self.row_of})
+        if self.row_of and len(self.row_of) + len(new) > len(self.table):
+            self.row_of, new = {}, list({w for words in texts for w in words})
+        if new and self.model.languages:
+            at = len(self.row_of)
+            if at + len(new) > len(self.table):
+                self.table = np.zeros((at + len(new), self.table.shape[1]))
+            for lo in range(0, len(new), WORDS_AT_ONCE):
+                part = new[lo : lo + WORDS_AT_ONCE]
+                self.table[at + lo : at + lo + len(part)] = Lattice(part, self.ids, self.longest).scores(self.model.p)
+            self.row_of.update(zip(new, range(at, at + len(new)), strict=True))
+        out = []
+        for words in texts:
+            if not words or not self.model.languages:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.table[np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))].sum(0)
+            best = int(total.argmax())
+            out.append((self.model.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
+        return out
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,43 +197,26 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", pieces
     return LanguageModel(languages, pieces, np.stack(columns, 1))
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``id_col``, the columns of ``carry``, ``lang_pred`` and ``score`` (posterior, 0 to 1).
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """One row per input row: ``id_col``, the columns of ``carry``, then the language and its posterior (0 to 1) under ``names``.
 
     ``und`` with score 0 where the text is null or has no letter, or if the model
     has learned no language. Only the text decides; repeated rows are each returned.
     """
     spark, kept = docs.sparkSession, [id_col, *carry]
-    rows = docs.select(*kept, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", lang_pred string, score double"
+    text_batches(spark)
+    rows = docs.select(*kept) if text_col in kept else docs.select(*kept, text_col)
+    at_text = rows.columns.index(text_col)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(kept)]) + f", `{names[0]}` string, `{names[1]}` double"
     shared = spark.sparkContext.broadcast(model)  # a number for each piece of the vocabulary and language
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known = rank_pieces(m.pieces)
-        ids, longest = {b: i for i, b in enumerate(known)}, min(STRETCH, max(map(len, known)))
-        row_of: dict[str, int] = {}
-        table = np.zeros((0, len(m.languages)))
+        scorer = Scorer.of(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                split = [words_in(t) for t in part.column(len(kept)).to_pylist()]
-                if len(row_of) > WORDS_KEPT:
-                    row_of, table = {}, table[:0]
-                if new := list({w for ws in split for w in ws if w not in row_of}) if m.languages else []:
-                    row_of.update(zip(new, range(len(row_of), len(row_of) + len(new)), strict=True))
-                    table = np.concatenate([table, Lattice(new, ids, longest).scores(m.p)])
-                langs, scores = [], []
-                for ws in split:
-                    if not ws or not m.languages:
-                        langs.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    total = table[np.fromiter(map(row_of.__getitem__, ws), np.int64, len(ws))].sum(0)
-                    best = int(total.argmax())
-                    langs.append(m.languages[best])
-                    scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                langs, scores = zip(*scorer([words_in(t) for t in part.column(at_text).to_pylist()]), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, *names])
 
     return rows.mapInArrow(score, schema)
 
@@ -202,6 +228,6 @@ def held_out(id_col: str, mod: int = 3, rest: int = 1) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", **options) -> DataFrame:
     """Fits on the documents that aren't held out and predicts all: ``id_col, held_out, lang_pred, score``."""
-    rows = docs.withColumn("_held", held_out(id_col))
-    model = fit(rows.where("NOT _held"), lang_col, text_col, **options)
-    return predict(rows, model, id_col, text_col, ("_held",)).withColumnRenamed("_held", "held_out")
+    rows = docs.select(id_col, lang_col, text_col, held_out(id_col).alias("held_out"))
+    model = fit(rows.where("NOT held_out"), lang_col, text_col, **options)
+    return predict(rows, model, id_col, text_col, ("held_out",))

@@ -27,7 +27,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenweave.llm.memory import held
 from lumenweave.llm.vocab import public_path
-from lumenweave.session import cut
+from lumenweave.session import cut, text_batches
 
 MAGIC = b"LWTOKEN1"
 #: index offset and bytes, bloom offset and bytes, documents, ids, CRC-32, width, magic
@@ -224,10 +224,9 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-@cache
 def word_ids(tokenizer: str) -> WordIds:
     """The encoder of this process: the tasks of a Python worker share what it remembers."""
-    return WordIds(tokenizer)
+    return held(("word ids", tokenizer), lambda: WordIds(tokenizer))
 
 
 def _text_groups(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
@@ -262,6 +261,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_
     next to each other, by text. An empty table writes no shard. Only the figures
     of each shard go to the driver.
     """
+    text_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     integer = kind in ("tinyint", "smallint", "int", "bigint")
     if not integer and kind != "string":
