@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.session import cut
+from lumenweave.session import cut, text_batches
 
 #: The end of a text as a token. No word can be white space.
 END = b"\n"
 #: Distinct words that a task counts before it hands the counts on.
 WORDS_HELD = 300_000
-DOCS = 200  # texts looked at together
+DOCS = 1000  # texts looked at together: the more, the more contexts they share
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class Shape:
     """The size of a model. ``words``: tokens of their own; ``head``: words whose counts every task gets."""
 
     words: int = 1024
-    head: int = 1 << 18
+    head: int = 1 << 17
     size: int = 24
     context: int = 2
     noise: int = 24
@@ -103,9 +103,10 @@ class Trainer:
 
     @staticmethod
     def _by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        return rows[order][first], np.add.reduceat(grad[order], first, axis=0)
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # few bits sort by counting; a shape has fewer words
+        ranked = rows[order]
+        first = np.flatnonzero(np.diff(ranked, prepend=-1))
+        return ranked[first], np.add.reduceat(grad[order], first, axis=0)
 
     def learn(self, contexts: np.ndarray, target: np.ndarray) -> None:
         p, shape = self.p, self.shape
@@ -118,8 +119,12 @@ class Trainer:
             g_n = -sigmoid(q_hat @ p.q[noise].T + p.b[noise] - self.log_kp[noise])
             scale = np.float32(1 / len(t))
             g_hat = (g_t[:, None] * p.q[t] + g_n @ p.q[noise]) * scale
-            rows, g_q = self._by_row(np.concatenate([t, noise]), np.concatenate([g_t[:, None] * q_hat, g_n.T @ q_hat]) * scale)
-            _, g_b = self._by_row(np.concatenate([t, noise]), np.concatenate([g_t, g_n.sum(0)]) * scale)
+            wide = np.empty((len(t) + len(noise), shape.size + 1), np.float32)  # vectors and, last, biases
+            np.multiply(g_t[:, None], q_hat, out=wide[: len(t), :-1])
+            np.matmul(g_n.T, q_hat, out=wide[len(t) :, :-1])
+            wide[: len(t), -1], wide[len(t) :, -1] = g_t, g_n.sum(0)
+            rows, g_wide = self._by_row(np.concatenate([t, noise]), wide)
+            g_q, g_b = g_wide[:, :-1] * scale, g_wide[:, -1] * scale
             moves = [(ctx[:, i], g_hat @ p.c[i].T, p.r[ctx[:, i]].T @ g_hat) for i in range(shape.context)]
             self._step(2, rows, g_q)
             self._step(3, rows, g_b)
@@ -222,12 +227,30 @@ def train(rows: DataFrame, text_col: str, model: Model) -> Params:
     return Params.of(flat, n, shape)
 
 
+def most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """At most ``most`` words, each more frequent than those left out, by count.
+
+    Their least count comes from a histogram of the counts' logarithms, whose
+    length is fixed; so nothing is sorted, and no more than these words move.
+    """
+    step = F.floor(F.log(F.col("n")) * 64).cast("int")
+    room, least = most, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # a row for each step of 1.6 %
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r.step
+    if least is None:
+        return {}
+    got = counts.where(step >= least).toArrow()
+    pairs = zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True)
+    return dict(sorted(pairs, key=lambda x: (-x[1], x[0])))
+
+
 def fit(rows: DataFrame, text_col: str = "text", shape: Shape = Shape()) -> tuple[Model, DataFrame]:
     """The model and the table of all counts (``word, n``), from whole texts."""
     counts = cut(count_words(rows, text_col))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(shape.head).collect()  # a fixed number of words
-    model = Model(shape, {bytes(r.word): r.n for r in head}, sums.total, sums.distinct)
+    model = Model(shape, most_frequent(counts, shape.head), sums.total, sums.distinct)
     if model.head:
         model.params = train(rows, text_col, model)
     return model, counts
@@ -244,10 +267,11 @@ def log_probs(params: Params, tokens: np.ndarray, contexts: np.ndarray) -> np.nd
     starts = np.searchsorted(which[order], np.arange(0, len(first) + 4096, 4096))
     for lo, a, b in zip(range(0, len(first), 4096), starts, starts[1:], strict=False):
         s = params.predict(contexts[first[lo : lo + 4096]]) @ params.q.T + params.b
-        top = s.max(1)
-        norm = top + np.log(np.exp(s - top[:, None]).sum(1))
-        at = order[a:b]
-        out[at] = s[which[at] - lo, tokens[at]] - norm[which[at] - lo]
+        at, top = order[a:b], s.max(1)
+        picked = s[which[at] - lo, tokens[at]]
+        s -= top[:, None]
+        np.exp(s, out=s)
+        out[at] = picked - (top + np.log(s.sum(1)))[which[at] - lo]
     return out / np.log(10)
 
 
@@ -329,6 +353,7 @@ def held_out(id_col: str, mod: int = 7, rest: int = 2) -> Column:
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
     """Fits on the documents that aren't held out and scores all: ``id_col, held_out`` and what :func:`score` gives."""
+    text_batches(docs.sparkSession)
     rows = docs.select(id_col, text_col).withColumn("held_out", held_out(id_col))
     model, counts = fit(rows.where("NOT held_out"), text_col, shape)
     return score(rows, model, counts, id_col, text_col, ("held_out",))
