@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import keyed
-from lumenweave.session import cut, new_path
+from lumenweave.session import cut, new_path, text_batches
 
 #: Buckets of letters in a line's bag, four bits each.
 BUCKETS = 15
@@ -93,9 +93,39 @@ def distance(a: bytes, b: bytes, most: int) -> int:
     return min(score, most + 1)
 
 
+def bags(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each line (``data`` up to its end) how often each bucket of letters occurs, modulo 16."""
+    line = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    counts = np.bincount(line * BUCKETS + data % BUCKETS, minlength=len(ends) * BUCKETS).reshape(-1, BUCKETS) & 15
+    return (counts.astype(np.int64) << np.arange(0, 4 * BUCKETS, 4)).sum(1)
+
+
 def bag(line: bytes) -> int:
-    counts = np.bincount(np.frombuffer(line, np.uint8) % BUCKETS, minlength=BUCKETS) & 15
-    return int((counts.astype(np.int64) << np.arange(0, 4 * BUCKETS, 4)).sum())
+    return int(bags(np.frombuffer(line, np.uint8), np.array([len(line)]))[0])
+
+
+class Strings:
+    """Hashes of any substrings of a stretch of bytes, from sums that are made once.
+
+    A byte at place j weighs BASE ** -j, so a difference of two sums times BASE to
+    the substring's start is the same wherever the substring stands.
+    """
+
+    BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    up = down = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray):
+        if len(Strings.up) <= len(data):
+            n = 2 * len(data) + 1
+            powers = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]))
+            Strings.up, Strings.down = powers(Strings.BASE), powers(Strings.INVERSE)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * Strings.down[: len(data)], out=self.sums[1:])
+
+    def hashes(self, lo: np.ndarray, hi: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        h = (self.sums[hi] - self.sums[lo]) * Strings.up[lo] + tag.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        return h ^ (h >> np.uint64(29))
 
 
 def _apart(x: np.ndarray, y: np.int64) -> np.ndarray:
@@ -123,30 +153,42 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(threshold: int, least: int):
-    plans: dict[int, list] = {}
+    plans: dict[int, np.ndarray] = {}
+
+    def plan(n: int) -> np.ndarray:
+        """Of a line of ``n`` bytes: side, tag (length and segment), start and end of its entries."""
+        if n not in plans:
+            rows = [(0, n * 64 + i, at, at + size) for i, (at, size) in enumerate(segments(n, threshold + 1))]
+            rows += [(1, length * 64 + i, at, at + size) for length, i, at, size in probes(n, threshold)]
+            plans[n] = np.array(rows, np.int64).T
+        return plans[n]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From text: k, h1, bag; the lowest bit of k says that the line looks up."""
         seen: set[int] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                ks, hs, bags = [], [], []
-                for text in batch.slice(lo, 500).column(0).to_pylist():
+            for at in range(0, batch.num_rows, 200):
+                lines, hashes = [], []
+                for text in batch.slice(at, 200).column(0).to_pylist():
                     for line in map(normal, text.split("\n")):
-                        n = len(line)
-                        h = _hash(line)[0] if n >= least else None
-                        if h is None or h in seen:
-                            continue
-                        if len(seen) > LINES_KEPT:
-                            seen.clear()
-                        seen.add(h)
-                        if n not in plans:
-                            plans[n] = [(0, b"%d %d " % (n, i), at, at + size) for i, (at, size) in enumerate(segments(n, threshold + 1))]
-                            plans[n] += [(1, b"%d %d " % (length, i), at, at + size) for length, i, at, size in probes(n, threshold)]
-                        ks += [xxhash.xxh64_intdigest(prefix + line[a:b]) >> 1 & ~1 | side for side, prefix, a, b in plans[n]]
-                        hs += [h] * len(plans[n])
-                        bags += [bag(line)] * len(plans[n])
-                yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(hs, pa.int64()), pa.array(bags, pa.int64())], ["k", "h1", "bag"])
+                        if len(line) >= least and (h := _hash(line)[0]) not in seen:
+                            if len(seen) > LINES_KEPT:
+                                seen.clear()
+                            seen.add(h)
+                            lines.append(line)
+                            hashes.append(h)
+                if not lines:
+                    continue
+                ends = np.cumsum([len(line) for line in lines])
+                data = np.frombuffer(b"".join(lines), np.uint8)
+                each = [plan(len(line)) for line in lines]
+                side, tag, lo, hi = np.concatenate(each, axis=1)
+                counts = [x.shape[1] for x in each]
+                first = np.repeat(np.concatenate([[0], ends[:-1]]), counts)
+                k = (Strings(data).hashes(lo + first, hi + first, tag) >> np.uint64(1)).astype(np.int64) & ~1 | side
+                h1, own = np.repeat(np.array(hashes, np.int64), counts), np.repeat(bags(data, ends), counts)
+                for a in range(0, len(k), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 20_000]) for x in (k, h1, own)], ["k", "h1", "bag"])
 
     return index
 
@@ -243,6 +285,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blank line. Null ids come first. Rows that repeat an id and a text share their
     lines: each gets the result of the first. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col).select("id", "fp", "text")
     kind = dict(texts.dtypes)["id"]
     path = new_path(texts.sparkSession, "lines")
