@@ -7,12 +7,16 @@ with it; in a sparse region they are all that share the shortest prefix, in a de
 one the nearest, whose prefixes are the longest, so the depth follows the region.
 The orders are range-partitioned by sampled splitters, and what stands next to a
 splitter is compared across it. Candidates are confirmed on the full sets: first the
-most frequent of each node, then those that could still join two components.
+most frequent of each node, then those that could still join two components. Where
+more nodes share the shortest prefix than the neighbours reach, the order only finds
+a first partner; all pairs there that are still apart are compared on full sets, tile
+by tile.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +32,11 @@ from lumenweave.session import cut, text_batches
 #: Trees, values in a tree, and those of them that candidates share at least.
 #: Two sets of similarity 0.8 share them in none of 24 trees, or in one alone, with probability below 1e-6.
 TREES, DEPTH, SHORTEST = 24, 5, 3
-#: Neighbours before it in an order with which a node is compared.
+#: Neighbours before it in an order with which a node is compared; where more share the prefix, tiles compare all.
 NEIGHBOURS = 16
+#: Nodes and shingles in a tile, about; nodes that are compared at once, and shingles that are counted at once.
+TILE_NODES, TILE_SHINGLES = 1024, 1 << 18
+STRIPE, COUNTED = 256, 2048
 #: Keys of texts up to which they are broadcast to pick those texts; beyond, texts and keys meet in a shuffle.
 MOST_BROADCAST = 200_000
 WORDS_KEPT = 400_000
@@ -108,51 +115,182 @@ def _sign(k: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From key, node in order: a, b, weight; and the rows at either end of the partition as key, a.
+    """From key, node in order: a, b, weight; the rows at either end of the partition as key, a; and dense ones as tree, region, a.
 
-    Where a region has more nodes than are compared, it goes on at its full depth:
-    only neighbours that share all values count there, and they count twice.
+    A region is a prefix that more nodes share than are compared. It is left to
+    ``_exact``; here a node meets only the one before it, which counts twice.
     """
-    shared, window, first, n_first = 1 + 4 * SHORTEST, [], [], 0
-    a, b, weight = [], [], []
+    shared, window, first = 1 + 4 * SHORTEST, [], []
+    a, b, weight, dense = [], [], [], []
+    region, run = None, []
 
     def out(keys=()) -> pa.RecordBatch:
-        rows = [pa.array([None] * len(a) + [k for k, _ in keys], pa.binary()), pa.array(a + [n for _, n in keys], pa.binary()), pa.array(b + [None] * len(keys), pa.binary()), pa.array(weight + [0] * len(keys), pa.int32())]
-        return pa.RecordBatch.from_arrays(rows, ["key", "a", "b", "weight"])
+        none, zero = [None] * len(a), [0] * len(a)
+        rows = [
+            pa.array(none + [k for k, _ in keys] + [None] * len(dense), pa.binary()), pa.array(a + [n for _, n in keys] + [n for _, n in dense], pa.binary()), pa.array(b + [None] * (len(keys) + len(dense)), pa.binary()),
+            pa.array(weight + [0] * (len(keys) + len(dense)), pa.int32()), pa.array(zero + [0] * len(keys) + [p[0] for p, _ in dense], pa.int32()), pa.array(none + [None] * len(keys) + [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p, _ in dense], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(rows, ["key", "a", "b", "weight", "tree", "region"])
 
     for batch in batches:
         for key, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if len(first) < NEIGHBOURS:
                 first.append((key, node))
             prefix = key[:shared]
-            same = [n for k, n in window if k[:shared] == prefix]
-            dense = len(same) == NEIGHBOURS
-            if dense:
-                same = [n for k, n in window if k == key]
-            for other in same:
+            if prefix != region:
+                region, run, crowded = prefix, [], False
+            if not crowded and len(run) == NEIGHBOURS:
+                crowded = True
+                dense += [(prefix, n) for n in run]
+            if crowded:
+                dense.append((prefix, node))
+            for other in run[-1:] if crowded else run:
                 if other != node:
                     a.append(min(node, other))
                     b.append(max(node, other))
-                    weight.append(2 if dense else 1)
+                    weight.append(2 if crowded else 1)
+            run.append(node)
             window.append((key, node))
+            if len(run) > NEIGHBOURS:
+                run.pop(0)
             if len(window) > NEIGHBOURS:
                 window.pop(0)
-        if len(a) > 50_000:
+        if len(a) + len(dense) > 50_000:
             yield out()
-            a, b, weight = [], [], []
+            a, b, weight, dense = [], [], [], []
     yield out(first + window)
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """``a, b, weight``: neighbours in two orders or more, or in a dense region."""
-    schema = "key binary, a binary, b binary, weight int"
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b, weight``: neighbours in two orders or more, or in a dense region; and ``tree, region, node`` of the dense regions."""
+    schema = "key binary, a binary, b binary, weight int, tree int, region long"
     rows = nodes.select(F.explode("keys").alias("key"), "node")
     found = cut(rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_neighbours, schema))
     # the ends of the partitions: a fixed number of rows of each, compared with each other
     ends = found.where("key IS NOT NULL").select("key", F.col("a").alias("node")).distinct()
-    across = ends.coalesce(1).sortWithinPartitions("key").mapInArrow(_neighbours, schema)
-    pairs = found.unionByName(across).where("b IS NOT NULL")
-    return cut(pairs.groupBy("a", "b").agg(F.sum("weight").cast("int").alias("weight")).where("weight >= 2"))
+    across = cut(ends.coalesce(1).sortWithinPartitions("key").mapInArrow(_neighbours, schema))
+    every = found.unionByName(across)
+    pairs = cut(every.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("weight").cast("int").alias("weight")).where("weight >= 2"))
+    return pairs, every.where("region IS NOT NULL").select("tree", "region", F.col("a").alias("node")).distinct()
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of ``x`` with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    flat = [np.concatenate(s) for s in (x, y)]
+    row = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    both = np.intersect1d(*flat)
+    if len(both):
+        at = [np.searchsorted(both, f) for f in flat]
+        held = [both[np.minimum(i, len(both) - 1)] == f for i, f in zip(at, flat, strict=True)]
+        at, row = ([v[h] for v, h in zip(vs, held, strict=True)] for vs in (at, row))
+        for lo in range(0, len(both), COUNTED):
+            side = []
+            for i, r, s in zip(at, row, (x, y), strict=True):
+                here = (i >= lo) & (i < lo + COUNTED)
+                m = np.zeros((len(s), min(COUNTED, len(both) - lo)), np.float32)
+                m[r[here], i[here] - lo] = 1
+                side.append(m)
+            out += side[0] @ side[1].T
+    return out
+
+
+def _tile(percent: int):
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From tree and the members of two tiles (root, regions, s): a, b, roots that links join, each tile's as a forest."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tree, up = batch.column(0)[i].as_py(), {}
+
+                def find(x, up=up):
+                    while up.setdefault(x, x) != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                sides = []
+                for c in (1, 2):
+                    v = batch.column(c)[i].as_py()
+                    sets = [_unpack(np.frombuffer(m["s"], np.uint8).reshape(-1, 5)) for m in v]
+                    where = np.zeros((len(v), TREES), np.int64)
+                    for j, m in enumerate(v):
+                        for at in m["regions"]:
+                            where[j, at["tree"]] = at["region"]
+                    sides.append(([m["root"] for m in v], sets, np.array([len(s) for s in sets]), where))
+                (rx, sx, nx, wx), (ry, sy, ny, wy) = sides
+                number = {r: j for j, r in enumerate(dict.fromkeys(rx + ry))}
+                ix, iy = (np.array([number[r] for r in rs]) for rs in (rx, ry))
+                links = set()
+                for p in range(0, len(rx), STRIPE):
+                    for q in range(0, len(ry), STRIPE):
+                        p_, q_ = slice(p, p + STRIPE), slice(q, q + STRIPE)
+                        x, y = nx[p_, None], ny[None, q_]
+                        open_ = (ix[p_, None] != iy[None, q_]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+                        for t in range(tree):  # an earlier region that both share has compared them
+                            open_ &= (wx[p_, None, t] != wy[None, q_, t]) | (wx[p_, None, t] == 0)
+                        if not open_.any():
+                            continue
+                        both = _common(sx[p_], sy[q_]).astype(np.int64)
+                        u, v = np.nonzero(open_ & (100 * both >= percent * (x + y - both)))
+                        for g, h in zip(ix[p_][u].tolist(), iy[q_][v].tolist(), strict=True):
+                            g2, h2 = find(g), find(h)
+                            if g2 != h2:
+                                up[g2] = h2
+                                links.add((g, h))
+                if links:
+                    name = list(number)
+                    yield pa.RecordBatch.from_arrays([pa.array([name[g] for g, _ in links], pa.binary()), pa.array([name[h] for _, h in links], pa.binary())], ["a", "b"])
+
+    return tile
+
+
+def _exact(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: roots that a link within a dense region joins.
+
+    Every pair of a region that is not yet in one component and whose sizes allow a
+    link is compared, in the first tree where both share a region. A region is dealt
+    over tiles by hash within classes of size; nodes of two classes that do not
+    touch are no pair.
+    """
+    sized = dense.join(reps.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    step = math.log(max(100 / percent, 1.05))
+    sized = cut(sized.withColumn("class", F.floor(F.log("n") / step).cast("int")))
+    # a region within one component holds nothing to find
+    open_ = sized.groupBy("tree", "region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "region")
+    sized = cut(sized.join(open_, ["tree", "region"]))
+    if sized.isEmpty():
+        return sized.select(F.col("root").alias("a"), F.col("root").alias("b"))
+    tiles = sized.groupBy("tree", "region", "class").agg(F.greatest(F.ceil(F.count("*") / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
+    regions = sized.groupBy("node").agg(F.collect_list(F.struct("tree", "region")).alias("regions"))
+    wanted = regions.join(reps, "node").select("id", "fp")
+    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["fp"] == wanted["fp"]), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(k), "node binary, s binary").groupBy("node").agg(F.first("s").alias("s"))
+    member = F.struct("root", "regions", "s")
+    placed = sized.join(tiles, ["tree", "region", "class"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    placed = placed.join(regions, "node").join(sets, "node").groupBy("tree", "region", "class", "tile").agg(F.collect_list(member).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    placed = cut(placed)
+    x = placed.select("tree", "region", *(F.col(c).alias(f"x_{c}") for c in ("class", "tile", "members", "lo", "hi")))
+    y = placed.select("tree", "region", *(F.col(c).alias(f"y_{c}") for c in ("class", "tile", "members", "lo", "hi")))
+    next_ = "(x_class = y_class AND x_tile <= y_tile OR x_class + 1 = y_class) AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)"
+    met = x.join(y, ["tree", "region"]).where(next_).select("tree", "x_members", "y_members")
+    # a row holds two tiles of up to some MB: few go to Python at once
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark, usual = docs.sparkSession, docs.sparkSession.conf.get(key)
+    spark.conf.set(key, "8")
+    try:
+        return cut(met.mapInArrow(_tile(percent), "a binary, b binary").distinct())
+    finally:
+        spark.conf.set(key, usual)
+
+
+def _sets(k: int):
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                sets = [s for t in batch.slice(at, DOCS).column(0).to_pylist() if len(s := shingles(t, k, hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(map(_pack, sets), pa.binary())], ["node", "s"])
+
+    return sets_of
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -161,13 +299,6 @@ def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent
     few = wanted.count() <= MOST_BROADCAST
     texts = docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["fp"] == wanted["fp"]), "left_semi").select("text")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                sets = [shingles(t, k, hashes) for t in batch.slice(at, DOCS).column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(map(_pack, sets), pa.binary())], ["node", "s"])
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -178,11 +309,18 @@ def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = texts.mapInArrow(sets_of, "node binary, s binary")
+    sets = texts.mapInArrow(_sets(k), "node binary, s binary")
     met = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return cut(met.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary").distinct())
 
 
+def _led(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after links between roots; a node without a row is its own root."""
+    joined = cut(components(links)).select(F.col("node").alias("old"), F.col("root").alias("top"))
+    alone = joined.select(F.col("old").alias("node"), F.col("old").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return roots.unionByName(alone).join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id, kept``.
 
@@ -198,11 +336,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(texts.dtypes)["id"]
     signed = cut(texts.select("id", "fp", "text").mapInArrow(_sign(words), f"id {kind}, fp long, node binary, n long, keys array<binary>"))
     some = signed.where("n > 0")
-    first = some.groupBy("node").agg(F.min("id").alias("low"), F.min_by(F.struct("id", "fp"), F.struct(F.col("id").isNull(), "id", "fp")).alias("rep"))
-    reps = cut(first.select("node", "low", "rep.id", "rep.fp"))
+    first = some.groupBy("node").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.min_by(F.struct("id", "fp"), F.struct(F.col("id").isNull(), "id", "fp")).alias("rep"))
+    reps = cut(first.select("node", "low", "n", "rep.id", "rep.fp"))
     # of the rows that share a node only its first brings the keys along
     keys = some.join(reps.select("node", F.col("id").alias("i"), F.col("fp").alias("f")), "node").where("id <=> i AND fp = f").select("node", "keys")
-    pairs = _candidates(keys)
+    pairs, dense = _candidates(keys)
 
     places = reps.select("node", "id", "fp")
     # first the two most frequent of each node; of the others only those that could still join two components
@@ -216,9 +354,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = apart.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
     rest = cut(apart.where("ra <> rb").select("a", "b", "ra", "rb"))
     more = _confirm(texts, rest.select("a", "b"), places, words, percent).join(rest, ["a", "b"]).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
-    roots = roots.unionByName(alone).join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = cut(_led(roots, more))
+    roots = _led(roots, _exact(texts, dense, reps.select("node", "id", "fp", "n"), roots, words, percent))
 
     labelled = reps.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component"))

@@ -178,6 +178,26 @@ def test_near_dedup(spark, awkward, k):
     assert got == sorted((str(a), b, str(c)) for a, b, c in want)
 
 
+def test_near_dedup_links_every_copy_of_a_star_and_a_template(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for g in range(1100):  # each within 0.8 of the base and far from each other: only links to the base join them
+        words = list(base)
+        for i in rng.sample(range(0, 200, 5), 4):
+            words[i + 2] = f"c{g} {i}".replace(" ", "x")
+        texts.append(" ".join(words))
+    page = [f"t{i}" for i in range(100)]
+    for g in range(600):  # pages at about 0.7 with each other; every 50th has a copy at over 0.8
+        own = [f"p{g}x{i}" for i in range(18)]
+        texts.append(" ".join(page + own))
+        if g % 50 == 0:
+            texts.append(" ".join(page + own[:-8]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.near_dedup(docs, words=5).collect())
+    assert got == sorted(shingle_components(list(enumerate(texts)), 5, 80))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
