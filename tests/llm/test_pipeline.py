@@ -4,6 +4,7 @@ import corpus_pipeline as P
 import pytest
 
 from lumenweave.llm import queries as Q
+from lumenweave.llm.mixing import schedule
 from tests.compare import DATA
 from tests.llm.test_operators import rows_of, shingle_components
 
@@ -57,3 +58,14 @@ def test_token_stage(stages):
     got = sorted(tuple(r) for r in after.collect())
     assert [r[0] for r in got] == sorted(r.doc_id for r in before.select("doc_id").collect())
     assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_token_output_follows_the_mix(stages, spark):
+    unmixed, _ = stages[3]
+    _, after = stages[4]
+    order = lambda df: [r.doc_id for r in sorted(df.collect(), key=lambda r: r.mix_start)]
+    slots = [(r.slot, r.start, r.doc_id) for r in schedule(unmixed).collect()]
+    assert order(after) == [i for _, _, i in sorted(slots)]
+    assert order(P.token_output(spark, unmixed, DATA)) != order(after)
+    rows = sorted(after.collect(), key=lambda r: r.mix_start)
+    assert rows[0].mix_start == 0 and all(a.mix_start + a.n_tokens == b.mix_start for a, b in zip(rows, rows[1:], strict=False))
