@@ -27,6 +27,8 @@ LINES_KEPT = 500_000
 #: Keys of texts up to which they are broadcast to pick those texts; beyond, texts and keys meet in a shuffle.
 MOST_BROADCAST = 200_000
 BLOCK = 1 << 20
+#: Entries under one segment up to which a task compares them itself; beyond, they are dealt over tiles of about TILE.
+HOT, TILE = 8192, 4096
 
 
 def normal(line: str) -> bytes:
@@ -193,10 +195,27 @@ def _index(threshold: int, least: int):
     return index
 
 
-def _meet(threshold: int):
+def _near(holders: np.ndarray, held: np.ndarray, lookers: np.ndarray, looked: np.ndarray, threshold: int) -> list[np.ndarray]:
+    """Pairs, the smaller first, of holders and lookers whose bags may be near."""
+    out = []
+    for one, own in zip(lookers, looked, strict=True):
+        for a in range(0, len(holders), BLOCK):
+            near = holders[a : a + BLOCK][_apart(held[a : a + BLOCK], own) <= 2 * threshold]
+            near = near[near != one]
+            if len(near):
+                out.append(np.stack([np.minimum(near, one), np.maximum(near, one)]))
+    return out
+
+
+def _meet(threshold: int, hot: int):
+    names = ["a", "b", "k", "bag"]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From k, h1, bag in order of k: pairs of lines, the smaller first, that meet and may be near."""
-        rest = [np.zeros(0, np.int64)] * 3
+        """From k, h1, bag in order of k: pairs of lines a, b, the smaller first, that meet and may be near; and the entries of hot segments as a, k, bag."""
+        rest, passing = [np.zeros(0, np.int64)] * 3, None
+
+        def entries(k, h, bags) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.nulls(len(k), pa.int64()), pa.array(k), pa.array(bags)], names)
 
         def pairs(k, h, bags) -> Iterator[pa.RecordBatch]:
             group = k >> 1
@@ -207,31 +226,60 @@ def _meet(threshold: int):
                 mid = lo + int(np.searchsorted(k[lo:hi] & 1, 1))
                 if lo == mid or mid == hi:
                     continue
+                if hi - lo > hot:
+                    yield entries(k[lo:hi], h[lo:hi], bags[lo:hi])
+                    continue
                 holders, at = np.unique(h[lo:mid], return_index=True)
                 held = bags[lo:mid][at]
                 lookers, at = np.unique(h[mid:hi], return_index=True)
-                for one, own in zip(lookers, bags[mid:hi][at], strict=True):
-                    for a in range(0, len(holders), BLOCK):
-                        near = holders[a : a + BLOCK][_apart(held[a : a + BLOCK], own) <= 2 * threshold]
-                        near = near[near != one]
-                        if len(near):
-                            out.append(np.stack([np.minimum(near, one), np.maximum(near, one)]))
+                out += _near(holders, held, lookers, bags[mid:hi][at], threshold)
             if out:
                 both = np.unique(np.concatenate(out, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.int64()), pa.nulls(both.shape[1], pa.int64())], names)
 
         for batch in batches:
             k, h, bags = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True))
+            if passing is not None:  # more of a hot segment, which was handed on so far
+                n = int(np.searchsorted(k >> 1, passing, side="right"))
+                if n:
+                    yield entries(k[:n], h[:n], bags[:n])
+                k, h, bags = k[n:], h[n:], bags[n:]
+            rest = [np.zeros(0, np.int64)] * 3
             if not len(k):
                 continue
+            passing = None
             done = int(np.searchsorted(k >> 1, k[-1] >> 1))
             yield from pairs(k[:done], h[:done], bags[:done])
             rest = [k[done:], h[done:], bags[done:]]
+            if len(rest[0]) > hot:
+                yield entries(*rest)
+                passing, rest = k[-1] >> 1, [np.zeros(0, np.int64)] * 3
         yield from pairs(*rest)
 
     return meet
 
 
+def _tiles(entries: DataFrame, threshold: int, tile: int) -> DataFrame:
+    """``a, b`` from the entries of hot segments: holders and lookers are dealt by hash, and each tile of the ones meets each of the others."""
+    rows = entries.select(F.shiftright("k", 1).alias("g"), F.col("k").bitwiseAND(1).alias("side"), F.col("a").alias("h1"), "bag").distinct()
+    sizes = rows.groupBy("g", "side").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    dealt = rows.join(F.broadcast(sizes), ["g", "side"]).withColumn("tile", F.pmod(F.xxhash64("h1"), "tiles"))  # two rows a hot segment
+    packed = cut(dealt.groupBy("g", "side", "tile").agg(F.collect_list(F.struct("h1", "bag")).alias("x")).select("g", "side", "tile", F.col("x.h1").alias("h"), F.col("x.bag").alias("bag")))
+    holders = packed.where("side = 0").select("g", F.col("tile").alias("t0"), F.col("h").alias("h0"), F.col("bag").alias("b0"))
+    lookers = packed.where("side = 1").select("g", F.col("tile").alias("t1"), F.col("h").alias("h1"), F.col("bag").alias("b1"))
+    met = holders.join(lookers, "g").repartition("g", "t0", "t1").select("h0", "b0", "h1", "b1")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = _near(*(c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns), threshold)
+                if out:
+                    both = np.unique(np.concatenate(out, 1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long")
+
+
 def _texts(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The texts under some keys and, if these are few enough to be broadcast, the others."""
     if keys.count() > MOST_BROADCAST:
@@ -241,11 +289,16 @@ def _texts(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame | No
     return texts.join(side, same, "left_semi"), texts.join(side, same, "left_anti")
 
 
-def line_links(texts: DataFrame, firsts: DataFrame, threshold: int, least: int) -> DataFrame:
+def line_links(texts: DataFrame, firsts: DataFrame, threshold: int, least: int, hot: int = HOT, tile: int = TILE) -> DataFrame:
     """``a, b``: pairs of distinct lines (structs h1, h2) within ``threshold`` edits."""
     entries = texts.select("text").mapInArrow(_index(threshold, least), "k long, h1 long, bag long")
-    met = entries.repartition(F.shiftright("k", 1)).sortWithinPartitions("k", "h1").mapInArrow(_meet(threshold), "a long, b long")
-    pairs = cut(met.distinct())
+    met = entries.repartition(F.shiftright("k", 1)).sortWithinPartitions("k", "h1").mapInArrow(_meet(threshold, hot), "a long, b long, k long, bag long")
+    met = cut(met)
+    entries = met.where("k IS NOT NULL")
+    pairs = met.where("k IS NULL").select("a", "b")
+    if not entries.isEmpty():
+        pairs = pairs.unionByName(_tiles(entries, threshold, tile))
+    pairs = cut(pairs.distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct().join(firsts, "h1").select("h1", "h2", "first.id", "first.fp", "first.no")
     wanted = cut(ends.groupBy("id", "fp").agg(F.collect_list(F.struct("h1", "h2", "no")).alias("wanted")))
     some, _ = _texts(texts, wanted.select("id", "fp"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.scalar import PROFILES, cosine, degree_score, gaussian
+from lumenweave.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -101,6 +102,10 @@ def within_budget(rows: DataFrame, key: str, order: list[Column], size: str, bud
 
 def pick_apart(rows: DataFrame, key: str, order: list[str], lo: str, hi: str, most: int) -> DataFrame:
     """``key, lo, hi``: spans taken in order if they overlap none taken before, ``most`` at most."""
-    item = f"struct({', '.join(order)}, {lo}, {hi})"
-    fold = f"aggregate(array_sort(collect_list({item})), cast(array() as array<struct<lo: double, hi: double>>), (a, x) -> if(size(a) < {most} and not exists(a, r -> x.{lo} < r.hi and x.{hi} > r.lo), array_append(a, named_struct('lo', cast(x.{lo} as double), 'hi', cast(x.{hi} as double))), a))"
-    return rows.groupBy(key).agg(F.expr(fold).alias("_taken")).select(key, F.explode("_taken").alias("_t")).select(key, F.col("_t.lo").alias(lo), F.col("_t.hi").alias(hi))
+    rest = rows.select(key, F.struct(*order, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).alias("_x"))
+    taken = None
+    for _ in range(most):  # a round takes the first of each key; no group is ever gathered
+        best = cut(rest.groupBy(key).agg(F.min("_x").alias("_r")))
+        taken = best if taken is None else taken.unionByName(best)
+        rest = rest.join(best, key).where("_x > _r AND NOT (_x._lo < _r._hi AND _x._hi > _r._lo)").select(key, "_x")
+    return taken.select(key, F.col("_r._lo").cast("double").alias(lo), F.col("_r._hi").cast("double").alias(hi))

@@ -9,6 +9,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,21 @@ def test_near_dedup(spark, awkward, k):
     assert got == sorted((str(a), b, str(c)) for a, b, c in want)
 
 
+def test_line_links_of_a_hot_segment(spark):
+    rng = random.Random(5)
+    lines = [f"a notice that all of these lines begin with, no {rng.randrange(10**6):06d}" for _ in range(300)]
+    lines += [x[:-1] + "x" for x in lines[:40]]
+    texts = LD.keyed(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id", "text").select("id", "fp", "text")
+    firsts = texts.mapInArrow(LD._lines, "h1 long, h2 long, id long, fp long, no int").groupBy("h1", "h2").agg(F.min(F.struct("id", "no", "fp")).alias("first"), F.count("*").alias("n"))
+    got = {frozenset((r.a.h1, r.b.h1)) for r in LD.line_links(texts, firsts, 2, 20, hot=50, tile=64).collect()}
+    distinct = sorted({LD.normal(x) for x in lines})
+    assert got == {frozenset((LD._hash(x)[0], LD._hash(y)[0])) for x, y in combinations(distinct, 2) if LD.distance(x, y, 2) <= 2} and got
+    # a task hands a hot segment on, a batch at a time, and compares none of it
+    batch = lambda side: pa.RecordBatch.from_pydict({"k": [8 | side] * 40, "h1": list(range(40)), "bag": [0] * 40})
+    out = list(LD._meet(2, 50)(iter([batch(0)] * 3 + [batch(1)] * 3)))
+    assert sum(b.num_rows for b in out) == 240 and max(b.num_rows for b in out) <= 50 + 40 and all(b.column(1).null_count == b.num_rows for b in out)
+
+
 def test_near_dedup_links_every_copy_of_a_star_and_a_template(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]

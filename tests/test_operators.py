@@ -151,3 +151,14 @@ def test_streams(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "in"))
     assert sorted(r.n for r in streaming.session_counts(batch, "at", "k", "10 seconds", "1 hour").collect()) == [2, 2]
     assert sum(r.n for r in streaming.sliding_counts(batch, "at", "k", "60 seconds", "60 seconds", "1 hour").collect()) == 4
+
+
+def test_pick_apart_gathers_no_group(spark):
+    spans = [("v", i, float(i * 7 % 50), float(i * 7 % 50 + 6)) for i in range(50)] + [("w", 1, 0.0, 1.0)]
+    got = R.pick_apart(spark.createDataFrame(spans, "k string, o int, lo double, hi double"), "k", ["o"], "lo", "hi", 5)
+    taken = []
+    for _, _, lo, hi in spans[:50]:
+        if len(taken) < 5 and all(hi <= a or lo >= b for a, b in taken):
+            taken.append((lo, hi))
+    assert sorted(map(tuple, got.collect())) == sorted([("v", *t) for t in taken] + [("w", 0.0, 1.0)])
+    assert "collect_list" not in got._jdf.queryExecution().toString()
