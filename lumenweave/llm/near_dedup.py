@@ -271,7 +271,7 @@ def _exact(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame,
     x = placed.select("tree", "region", *(F.col(c).alias(f"x_{c}") for c in ("class", "tile", "members", "lo", "hi")))
     y = placed.select("tree", "region", *(F.col(c).alias(f"y_{c}") for c in ("class", "tile", "members", "lo", "hi")))
     next_ = "(x_class = y_class AND x_tile <= y_tile OR x_class + 1 = y_class) AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)"
-    met = x.join(y, ["tree", "region"]).where(next_).select("tree", "x_members", "y_members")
+    met = x.join(y, ["tree", "region"]).where(next_).repartition("tree", "region", "x_class", "x_tile", "y_class", "y_tile").select("tree", "x_members", "y_members")
     # a row holds two tiles of up to some MB: few go to Python at once
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark, usual = docs.sparkSession, docs.sparkSession.conf.get(key)
