@@ -97,7 +97,7 @@ def test_exact_dedup(awkward):
         groups = defaultdict(list)
         for i, t in docs:
             groups[hashlib.sha256(low(t).encode()).hexdigest()].append(i)
-        got = exact_dedup(awkward, keep=keep, slices=3).collect()
+        got = exact_dedup(awkward, keep=keep, slices=3, hot=1).collect()
         for r in got:
             own = groups[r.text_sha256]
             ids = [i for i in own if i is not None]
@@ -436,3 +436,13 @@ def test_lm_is_normalised_and_learns(spark):
     assert sums == pytest.approx(np.ones(len(contexts)), abs=1e-5)
     got = LM.score(docs, model, counts).collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_exact_dedup_takes_its_groups_from_the_order(spark):
+    texts = [f"text {i % 7}" for i in range(300)] + ["a hot text"] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((i, min(j for j, u in enumerate(texts) if u == t), texts.count(t)) for i, t in enumerate(texts))
+    for hot in (50, 1000):
+        got = exact_dedup(docs, hot=hot)
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got.collect()) == want
+        assert sum(r.kept for r in got.collect()) == 8
