@@ -3,20 +3,21 @@
 A text is the set of its word shingles. Texts with equal sets are one node. A node
 stands in several trees: sorted orders of its MinHash values, each tree with values
 of its own. Its candidates are the neighbours in each order that share a prefix
-with it; in a sparse region they are all that share the shortest prefix, in a dense
-one the nearest, whose prefixes are the longest, so the depth follows the region.
-The orders are range-partitioned by sampled splitters, and what stands next to a
-splitter is compared across it. Candidates are confirmed on the full sets: first the
-most frequent of each node, then those that could still join two components. Where
-more nodes share the shortest prefix than the neighbours reach, the order only finds
-a first partner; all pairs there that are still apart are compared on full sets, tile
-by tile.
+with it. The orders are range-partitioned by sampled splitters, and what stands next
+to a splitter is compared across it. Candidates are confirmed on the full sets: first
+the most frequent of each node, then those that could still join two components.
+
+Where more nodes share the shortest prefix than the neighbours reach, the region is
+dense and the depth follows it by content in place of hashes: its nodes first meet
+the region's leader, the node that stands in most dense regions (the hub of a star
+does), and then whatever shares one of their rarest shingles, as many as two linked
+sets can't avoid to share. Only shingles that nodes of different components share
+are looked at, so a family that is already one component costs nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,12 @@ from lumenweave.session import cut, text_batches
 #: Trees, values in a tree, and those of them that candidates share at least.
 #: Two sets of similarity 0.8 share them in none of 24 trees, or in one alone, with probability below 1e-6.
 TREES, DEPTH, SHORTEST = 24, 5, 3
-#: Neighbours before it in an order with which a node is compared; where more share the prefix, tiles compare all.
+#: Neighbours before it in an order with which a node is compared; where more share the prefix, the region is dense.
 NEIGHBOURS = 16
+#: Of its dense regions so many tell a node their leader, and so many trees its neighbour; the rarest shingles find the rest.
+LEADERS, CHAINED = 6, 2
+#: Counters of shingles, by hash, that order them by rarity; any order gives the same links.
+COUNTERS = 1 << 18
 #: Nodes and shingles in a tile, about; nodes that are compared at once, and shingles that are counted at once.
 TILE_NODES, TILE_SHINGLES = 1024, 1 << 18
 STRIPE, COUNTED = 256, 2048
@@ -75,17 +80,6 @@ def shingles(text: str | None, k: int, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def _pack(s: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash: still one number for each shingle, but for one chance in 10**12 / size ** 2."""
-    return (s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), 8), np.uint8)
-    out[:, :5] = rows
-    return out.view(np.uint64).ravel()
-
-
 def _sign(k: int):
     head = np.arange(TREES, dtype=">u1")
 
@@ -118,7 +112,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From key, node in order: a, b, weight; the rows at either end of the partition as key, a; and dense ones as tree, region, a.
 
     A region is a prefix that more nodes share than are compared. It is left to
-    ``_exact``; here a node meets only the one before it, which counts twice.
+    ``_leaders`` and ``_rarest``; here, in the first trees, a node meets the one before it, which counts twice.
     """
     shared, window, first = 1 + 4 * SHORTEST, [], []
     a, b, weight, dense = [], [], [], []
@@ -144,7 +138,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 dense += [(prefix, n) for n in run]
             if crowded:
                 dense.append((prefix, node))
-            for other in run[-1:] if crowded else run:
+            for other in (run[-1:] if key[0] < CHAINED else ()) if crowded else run:
                 if other != node:
                     a.append(min(node, other))
                     b.append(max(node, other))
@@ -195,12 +189,50 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tile(percent: int):
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From tree and the members of two tiles (root, regions, s): a, b, roots that links join, each tile's as a forest."""
+def _leaders(dense: DataFrame) -> DataFrame:
+    """``a, b``: nodes of dense regions and the leaders of some of these: who stands in most dense regions."""
+    own = cut(dense.groupBy("node").agg(F.collect_set(F.struct("tree", "region")).alias("regions")))  # as many as trees at most
+    score = F.struct(F.size("regions"), "node")
+    leader = own.select("node", score.alias("score"), F.explode("regions").alias("at")).groupBy("at").agg(F.max_by("node", "score").alias("leader"))
+    some = F.expr(f"slice(array_sort(transform(regions, r -> struct(xxhash64(node, r.tree), r as at))), 1, {LEADERS})")
+    asked = own.select("node", F.explode(some).alias("x")).select("node", "x.at")
+    met = asked.join(_bounded(cut(leader)), "at").where("node <> leader")
+    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def _bounded(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= MOST_BROADCAST else side
+
+
+def _bins(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From s: bin, n."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for v in batch.column(0):
+            np.add.at(counts, _bins(np.frombuffer(v.as_buffer(), np.uint64)), 1)
+    at = np.flatnonzero(counts)
+    for lo in range(0, len(at), 10_000):
+        part = at[lo : lo + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["bin", "n"])
+
+
+def _prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set: a set that is linked with it has one of them among its own rarest."""
+    n = len(s)
+    size = n - -(-percent * n // 100) + 1
+    return s[np.lexsort((s, counts[_bins(s)]))[:size]]
+
+
+def _share(percent: int):
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From the members of two tiles (root, at, s): a, b, roots that links join, each tile's as a forest."""
         for batch in batches:
             for i in range(batch.num_rows):
-                tree, up = batch.column(0)[i].as_py(), {}
+                up: dict = {}
 
                 def find(x, up=up):
                     while up.setdefault(x, x) != x:
@@ -208,15 +240,11 @@ def _tile(percent: int):
                     return x
 
                 sides = []
-                for c in (1, 2):
+                for c in (0, 1):
                     v = batch.column(c)[i].as_py()
-                    sets = [_unpack(np.frombuffer(m["s"], np.uint8).reshape(-1, 5)) for m in v]
-                    where = np.zeros((len(v), TREES), np.int64)
-                    for j, m in enumerate(v):
-                        for at in m["regions"]:
-                            where[j, at["tree"]] = at["region"]
-                    sides.append(([m["root"] for m in v], sets, np.array([len(s) for s in sets]), where))
-                (rx, sx, nx, wx), (ry, sy, ny, wy) = sides
+                    sets = [np.frombuffer(m["s"], np.uint64) for m in v]
+                    sides.append(([m["root"] for m in v], sets, np.array([len(s) for s in sets]), np.array([m["at"] for m in v])))
+                (rx, sx, nx, px), (ry, sy, ny, py) = sides
                 number = {r: j for j, r in enumerate(dict.fromkeys(rx + ry))}
                 ix, iy = (np.array([number[r] for r in rs]) for rs in (rx, ry))
                 links = set()
@@ -224,14 +252,16 @@ def _tile(percent: int):
                     for q in range(0, len(ry), STRIPE):
                         p_, q_ = slice(p, p + STRIPE), slice(q, q + STRIPE)
                         x, y = nx[p_, None], ny[None, q_]
-                        open_ = (ix[p_, None] != iy[None, q_]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
-                        for t in range(tree):  # an earlier region that both share has compared them
-                            open_ &= (wx[p_, None, t] != wy[None, q_, t]) | (wx[p_, None, t] == 0)
+                        # this shingle and those that are less rare are all that two sets may share, if none rarer is shared
+                        most = np.minimum(x - px[p_, None], y - py[None, q_])
+                        open_ = (ix[p_, None] != iy[None, q_]) & (100 * most >= percent * (x + y - most))
                         if not open_.any():
                             continue
-                        both = _common(sx[p_], sy[q_]).astype(np.int64)
-                        u, v = np.nonzero(open_ & (100 * both >= percent * (x + y - both)))
-                        for g, h in zip(ix[p_][u].tolist(), iy[q_][v].tolist(), strict=True):
+                        rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+                        both = _common([sx[p + j] for j in rows], [sy[q + j] for j in columns]).astype(np.int64)
+                        x, y = x[rows], y[:, columns]
+                        u, v = np.nonzero(open_[np.ix_(rows, columns)] & (100 * both >= percent * (x + y - both)))
+                        for g, h in zip(ix[p + rows[u]].tolist(), iy[q + columns[v]].tolist(), strict=True):
                             g2, h2 = find(g), find(h)
                             if g2 != h2:
                                 up[g2] = h2
@@ -240,44 +270,59 @@ def _tile(percent: int):
                     name = list(number)
                     yield pa.RecordBatch.from_arrays([pa.array([name[g] for g, _ in links], pa.binary()), pa.array([name[h] for _, h in links], pa.binary())], ["a", "b"])
 
-    return tile
+    return share
 
 
-def _exact(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b``: roots that a link within a dense region joins.
+def _rarest(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: roots that a link between two nodes of dense regions joins.
 
-    Every pair of a region that is not yet in one component and whose sizes allow a
-    link is compared, in the first tree where both share a region. A region is dealt
-    over tiles by hash within classes of size; nodes of two classes that do not
-    touch are no pair.
+    A prefix filter: a node stands under its rarest shingles. Under a shingle that
+    nodes of several components share, those of different components are compared
+    on full sets; a shingle with many nodes is dealt over tiles by hash, and each
+    tile meets the others.
     """
-    sized = dense.join(reps.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    step = math.log(max(100 / percent, 1.05))
-    sized = cut(sized.withColumn("class", F.floor(F.log("n") / step).cast("int")))
-    # a region within one component holds nothing to find
-    open_ = sized.groupBy("tree", "region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tree", "region")
-    sized = cut(sized.join(open_, ["tree", "region"]))
-    if sized.isEmpty():
-        return sized.select(F.col("root").alias("a"), F.col("root").alias("b"))
-    tiles = sized.groupBy("tree", "region", "class").agg(F.greatest(F.ceil(F.count("*") / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
-    regions = sized.groupBy("node").agg(F.collect_list(F.struct("tree", "region")).alias("regions"))
-    wanted = regions.join(reps, "node").select("id", "fp")
+    spark = docs.sparkSession
+    nodes = dense.select("node").distinct().join(reps, "node").join(roots, "node", "left").select("node", "id", "fp", F.coalesce("root", "node").alias("root"))
+    nodes = cut(nodes)
+    wanted = _bounded(nodes.select("id", "fp"))
     texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["fp"] == wanted["fp"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(k), "node binary, s binary").groupBy("node").agg(F.first("s").alias("s"))
-    member = F.struct("root", "regions", "s")
-    placed = sized.join(tiles, ["tree", "region", "class"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    placed = placed.join(regions, "node").join(sets, "node").groupBy("tree", "region", "class", "tile").agg(F.collect_list(member).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    sets = cut(sets.join(nodes.select("node", "root"), "node"))
+    counts = np.zeros(COUNTERS, np.int64)
+    got = sets.select("s").mapInArrow(_count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts[got.column("bin").to_numpy()] = got.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From node, root, s: shingle, node, root, n, at."""
+        for batch in batches:
+            for lo in range(0, batch.num_rows, DOCS):
+                part = batch.slice(lo, DOCS)
+                each = [_prefix(np.frombuffer(v.as_buffer(), np.uint64), shared.value, percent) for v in part.column(2)]
+                if not each:
+                    continue
+                take = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+                sizes = pa.array([len(v.as_buffer()) // 8 for v in part.column(2)], pa.int64()).take(take)
+                at = pa.array(np.concatenate([np.arange(len(x)) for x in each]).astype(np.int32))
+                rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), part.column(0).take(take), part.column(1).take(take), sizes, at], ["shingle", "node", "root", "n", "at"])
+                for a in range(0, rows.num_rows, 20_000):
+                    yield rows.slice(a, 20_000)
+
+    rows = cut(sets.select("node", "root", "s").mapInArrow(rare, "shingle long, node binary, root binary, n long, at int"))
+    mixed = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.greatest(F.ceil(F.count("*") / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles")).where("lo <> hi")
+    placed = rows.join(_bounded(cut(mixed.select("shingle", "tiles"))), "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    member = F.struct("root", "at", "s")
+    placed = placed.select("shingle", "tile", "node", "at").join(sets, "node").groupBy("shingle", "tile").agg(F.collect_list(member).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     placed = cut(placed)
-    x = placed.select("tree", "region", *(F.col(c).alias(f"x_{c}") for c in ("class", "tile", "members", "lo", "hi")))
-    y = placed.select("tree", "region", *(F.col(c).alias(f"y_{c}") for c in ("class", "tile", "members", "lo", "hi")))
-    next_ = "(x_class = y_class AND x_tile <= y_tile OR x_class + 1 = y_class) AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)"
-    met = x.join(y, ["tree", "region"]).where(next_).repartition("tree", "region", "x_class", "x_tile", "y_class", "y_tile").select("tree", "x_members", "y_members")
+    side = lambda x: placed.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("tile", "members", "lo", "hi")))
+    next_ = "x_tile <= y_tile AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)"
+    met = side("x").join(side("y"), "shingle").where(next_).repartition("shingle", "x_tile", "y_tile").select("x_members", "y_members")
     # a row holds two tiles of up to some MB: few go to Python at once
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark, usual = docs.sparkSession, docs.sparkSession.conf.get(key)
+    usual = spark.conf.get(key)
     spark.conf.set(key, "8")
     try:
-        return cut(met.mapInArrow(_tile(percent), "a binary, b binary").distinct())
+        return cut(met.mapInArrow(_share(percent), "a binary, b binary").distinct())
     finally:
         spark.conf.set(key, usual)
 
@@ -288,7 +333,7 @@ def _sets(k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS):
                 sets = [s for t in batch.slice(at, DOCS).column(0).to_pylist() if len(s := shingles(t, k, hashes))]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(map(_pack, sets), pa.binary())], ["node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array((s.tobytes() for s in sets), pa.binary())], ["node", "s"])
 
     return sets_of
 
@@ -303,8 +348,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint8).reshape(-1, 5) for v in (x, y))
-                x, y = _unpack(x), _unpack(y)
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -322,7 +366,7 @@ def _led(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``id_col, n_shingles, component_id, kept``.
+    """One row per input row: ``id_col, n_shingles, component_id, kept, text_hash, group``.
 
     Documents are linked whose sets of distinct ``words``-word shingles have
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest id
@@ -330,37 +374,47 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no shingle and stand alone, under their own id. A null id is never the
     smallest; a document without an id is kept only if it stands alone. Rows that
     repeat an id and a text are returned each. Other columns are ignored.
+    ``text_hash`` is the text's ``xxhash64``; ``group`` names the component also
+    where no document of it has an id, and is null for a text without a shingle.
     """
     text_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     kind = dict(texts.dtypes)["id"]
     signed = cut(texts.select("id", "fp", "text").mapInArrow(_sign(words), f"id {kind}, fp long, node binary, n long, keys array<binary>"))
     some = signed.where("n > 0")
-    first = some.groupBy("node").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.min_by(F.struct("id", "fp"), F.struct(F.col("id").isNull(), "id", "fp")).alias("rep"))
-    reps = cut(first.select("node", "low", "n", "rep.id", "rep.fp"))
-    # of the rows that share a node only its first brings the keys along
-    keys = some.join(reps.select("node", F.col("id").alias("i"), F.col("fp").alias("f")), "node").where("id <=> i AND fp = f").select("node", "keys")
-    pairs, dense = _candidates(keys)
+    # of the rows that share a node one stands for it; copies meet before the shuffle
+    row = F.struct("id", "fp", "n", "keys")
+    first = some.groupBy("node").agg(F.min("id").alias("low"), F.min_by(row, F.struct(F.col("id").isNull(), "id", "fp")).alias("rep"))
+    nodes = cut(first.select("node", "low", "rep.id", "rep.fp", "rep.n", "rep.keys"))
+    reps = nodes.drop("keys")
+    pairs, dense = _candidates(nodes.select("node", "keys"))
+    dense = cut(dense)
 
     places = reps.select("node", "id", "fp")
-    # first the two most frequent of each node; of the others only those that could still join two components
+    # first the two most frequent of each node and the leaders; of the others only those that could still join two components
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     best = each.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))).where("nth <= 2")
-    likely = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _confirm(texts, likely, places, words, percent)
+    likely = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowded = not dense.isEmpty()
+    if crowded:
+        likely = likely.unionByName(_leaders(dense))
+    links = _confirm(texts, cut(likely.distinct()), places, words, percent)
     roots = cut(components(links))
     apart = pairs.select("a", "b")
     for side in ("a", "b"):
         apart = apart.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
     rest = cut(apart.where("ra <> rb").select("a", "b", "ra", "rb"))
-    more = _confirm(texts, rest.select("a", "b"), places, words, percent).join(rest, ["a", "b"]).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    roots = cut(_led(roots, more))
-    roots = _led(roots, _exact(texts, dense, reps.select("node", "id", "fp", "n"), roots, words, percent))
+    if not rest.isEmpty():
+        more = _confirm(texts, rest.select("a", "b"), places, words, percent).join(rest, ["a", "b"]).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        roots = cut(_led(roots, more))
+    if crowded:
+        roots = cut(_led(roots, _rarest(texts, dense, places, roots, words, percent)))
 
     labelled = reps.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component"))
-    of_node = labelled.join(lowest, "root").select("node", "component")
-    rows = signed.select("id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.encode(F.concat(F.lit("alone "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "utf-8")).alias("node"))
+    of_node = labelled.join(lowest, "root").select("node", "component", "root")
+    rows = signed.select("id", "fp", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.encode(F.concat(F.lit("alone "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "utf-8")).alias("node"))
     joined = rows.join(of_node, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.col("n") == 0).alias("kept"))
+    kept = F.coalesce(F.col("id") == component, F.col("n") == 0)
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), F.col("fp").alias("text_hash"), F.hex("root").alias("group"))
