@@ -1,30 +1,47 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of equal bytes. In a period of ``q`` slots a source
-of share ``p`` gets ``p`` slots; its k-th block is released at floor(k q / p) and due
-at ceil((k + 1) q / p), and the earliest deadline among the released goes first. So
-at every slot each source is less than one block from its target. At the end of a
-period all are exactly on target, which makes the pattern of one period enough: a
-block's slot is computed from its number, on the executors. When a source ends,
-the others share its slots in proportion, with a pattern of their own.
+Each source is cut into blocks of equal bytes. Targets are whole parts: a source of
+``p`` parts among ``q`` in all gets ``p`` of every ``q`` slots; its k-th block is
+released at floor(k q / p) and due at ceil((k + 1) q / p), and the earliest deadline
+among the released goes first. So at every slot each source is less than one block
+from its target. After ``q`` slots all are exactly on target, which makes the pattern
+of one period enough at any length: a block's slot is computed from its number, on
+the executors. When a source ends, the others share its slots by the parts they have,
+with a pattern of their own.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import ceil
+from fractions import Fraction
+from math import ceil, gcd, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: More sources than this are refused: targets are given for each, and the patterns are broadcast (4 bytes x slots x sources).
 MOST_SOURCES = 1000
+#: Slots of a period: weights that need more are refused.
+MOST_PARTS = 1_000_000
+
+
+def parts_of(weights: dict) -> dict:
+    """The weights as whole parts, exactly: what a decimal or fraction says, nothing is rounded."""
+    exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    whole = lcm(*(x.denominator for x in exact.values()))
+    counts = {s: int(x * whole) for s, x in exact.items()}
+    common = gcd(*counts.values())
+    out = {s: n // common for s, n in counts.items()}
+    if sum(out.values()) > MOST_PARTS:
+        raise ValueError(f"the weights need {sum(out.values())} slots to be met exactly; give fractions of at most {MOST_PARTS} parts")
+    return out
 
 
-def shares(weights: dict, q: int) -> dict:
-    """Whole shares of ``q``, at least one each, nearest to the weights by largest remainder."""
-    total = sum(weights.values())
-    exact = {s: w * (q - len(weights)) / total for s, w in weights.items()}
+def default_parts(sizes: dict, temperature: float, q: int) -> dict:
+    """Targets where none are given: of ``q`` parts, at least one each, the nearest to the sizes to the power ``temperature``, by largest remainder."""
+    wanted = {s: n**temperature for s, n in sizes.items()}
+    total = sum(wanted.values())
+    exact = {s: w * (q - len(wanted)) / total for s, w in wanted.items()}
     out = {s: 1 + int(x) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: int(exact[s]) - exact[s])[: q - sum(out.values())]:
         out[s] += 1
@@ -47,15 +64,16 @@ def pattern(share: dict, q: int) -> dict:
     return slots
 
 
-def phases(blocks: dict, weights: dict, q: int) -> dict:
-    """Of each source its phases: (first block, first slot, share, slots in a period)."""
+def phases(blocks: dict, parts: dict) -> dict:
+    """Of each source its phases: (first block, first slot, parts, slots of a period, the source's slots in it)."""
     left, done, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, {s: [] for s in blocks}
     while left:
-        share = shares({s: weights[s] for s in left}, q)
+        share = {s: parts[s] for s in left}
+        q = sum(share.values())
         slots = pattern(share, q)
         periods = min(ceil(n / share[s]) for s, n in left.items())
         for s in list(left):
-            out[s].append((done[s], base, share[s], slots[s]))
+            out[s].append((done[s], base, share[s], q, slots[s]))
             done[s] += share[s] * periods
             left[s] -= share[s] * periods
             if left[s] <= 0:
@@ -77,30 +95,33 @@ def _placed(docs: DataFrame, source_col: str, id_col: str, text_col: str, weight
     totals = {r._source: r.n for r in sizes.groupBy("_source").agg(F.sum("_sum").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"there are more than {MOST_SOURCES} sources")
-    weigh = lambda s, n: (weights or {}).get(s, n**temperature if weights is None else None)
-    chosen = {s: weigh(s, n) for s, n in sorted(totals.items())}
-    if bad := [s for s, w in chosen.items() if w is None or w <= 0]:
-        raise ValueError(f"no positive weight for {bad[:5]}")
-    q = max(q, 10 * len(chosen))
-    plan = phases({s: ceil(totals[s] / block_bytes) for s in chosen}, chosen, q)
-    table = docs.sparkSession.createDataFrame([(s, p) for s, p in plan.items()], "_source string, _phases array<struct<block: long, slot: long, share: int, slots: array<int>>>")
+    if weights is not None and (bad := [s for s in totals if not weights.get(s) or weights[s] <= 0]):
+        raise ValueError(f"no positive weight for {sorted(bad)[:5]}")
+    named = sorted(totals)
+    chosen = default_parts({s: totals[s] for s in named}, temperature, max(q, 10 * len(named))) if weights is None else parts_of({s: weights[s] for s in named}) if named else {}
+    plan = phases({s: ceil(totals[s] / block_bytes) for s in named}, chosen)
+    table = docs.sparkSession.createDataFrame([(s, p) for s, p in plan.items()], "_source string, _phases array<struct<block: long, slot: long, share: int, q: long, slots: array<int>>>")
 
     within = Window.partitionBy("_source", "_bucket").orderBy("_mix", "_id", "_bytes").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("_bytes").over(within), F.lit(0))).join(offsets, ["_source", "_bucket"])
     placed = placed.withColumn("_start", F.col("_before") + F.col("_in")).withColumn("_block", F.floor(F.col("_start") / block_bytes).cast("long"))
     placed = placed.join(F.broadcast(table), "_source")  # at most MOST_SOURCES rows
     placed = placed.withColumn("_p", F.expr("element_at(filter(_phases, x -> x.block <= _block), -1)")).withColumn("_k", F.col("_block") - F.col("_p.block"))
-    slot = F.expr(f"_p.slot + (_k div _p.share) * {q} + _p.slots[cast(_k % _p.share as int)]")
+    slot = F.expr("_p.slot + (_k div _p.share) * _p.q + _p.slots[cast(_k % _p.share as int)]")
     return placed.select("_row", F.when(~F.col("_null"), F.col("_source")).alias("_source"), "_bytes", "_start", "_block", slot.alias("_slot"))
 
 
 def schedule(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, block_bytes: int = 64 << 10, slots_per_period: int = 1000, temperature: float = 0.5, buckets: int = 4096) -> DataFrame:
     """One row per input row: ``id_col, source, n_bytes, start, block, slot``; sorted by ``slot, start`` it is the mix.
 
-    ``weights`` gives each source its target; without it the target is the bytes of
-    the source to the power ``temperature``. Targets are met in ``slots_per_period``
-    parts. ``start`` is where the document begins in its source, in an order by hash;
-    a document belongs to the block where it begins. Nothing is left out or repeated.
+    ``weights`` gives each source its target, met exactly: decimals and fractions
+    count as written, and weights that need over MOST_PARTS slots a period are
+    refused. Without it the targets are whole parts of ``slots_per_period``, by the
+    bytes of the sources to the power ``temperature``. ``start`` is where the document
+    begins in its source, in an order by hash; a document belongs to the block where
+    it begins, so after any slot the bytes of a source are its blocks' and less than
+    its longest document more, and a block within a long document is empty. Nothing
+    is left out or repeated.
     A null text weighs one byte like an empty one. A null source is a source of its
     own, named "" in ``weights``. Rows that repeat each other are each scheduled.
     """

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import duckdb
@@ -378,39 +379,74 @@ def test_shard_has_many_blocks_and_tells_damage(tmp_path):
 def test_mixing_deviates_by_less_than_a_block():
     rng = random.Random(3)
     for n in (1, 2, 7, 20):
-        weights = {i: rng.random() ** 2 + 0.01 for i in range(n)}
-        share = M.shares(weights, 500)
-        slots = M.pattern(share, 500)
-        assert sorted(t for v in slots.values() for t in v) == list(range(500))
+        weights = {i: round(rng.random() ** 2 + 0.01, 3) for i in range(n)} | {n: 0.001}
+        parts = M.parts_of(weights)
+        q, total = sum(parts.values()), sum(map(Fraction, map(str, weights.values())))
+        assert all(Fraction(parts[s], q) == Fraction(str(w)) / total for s, w in weights.items())
+        slots = M.pattern(parts, q)
+        assert sorted(t for v in slots.values() for t in v) == list(range(q))
         for s, v in slots.items():
             for k, t in enumerate(v):
-                assert k * 500 // share[s] <= t < -(-(k + 1) * 500 // share[s])
-            own = np.cumsum(np.isin(np.arange(500), v))
-            assert np.abs(own - share[s] * np.arange(1, 501) / 500).max() < 1
+                assert k * q // parts[s] <= t < -(-(k + 1) * q // parts[s])
+            # over many periods, against the weight as it was given
+            own = np.cumsum(np.tile(np.isin(np.arange(q), v), 40))
+            assert np.abs(own - float(Fraction(str(weights[s])) / total) * np.arange(1, 40 * q + 1)).max() < 1
+    assert M.parts_of({"a": 1, "b": Fraction(1, 3), "c": 0.0005}) == {"a": 6000, "b": 2000, "c": 3}
+    with pytest.raises(ValueError):
+        M.parts_of({"a": 1.0, "b": 0.12345678901})
+
+
+def edf(blocks, parts):
+    """Slot by slot: of the released blocks the one that is due first goes; a source that has ended leaves at the end of a period."""
+    out, left, done, base = {}, set(blocks), dict.fromkeys(blocks, 0), 0
+    while left:
+        names, q = sorted(left), sum(parts[s] for s in left)
+        while all(done[s] < blocks[s] for s in names):
+            got = dict.fromkeys(names, 0)
+            for t in range(q):
+                ready = [(math.ceil(Fraction((got[s] + 1) * q, parts[s])), i, s) for i, s in enumerate(names) if got[s] < parts[s] and got[s] * q // parts[s] <= t]
+                s = min(ready)[2]
+                out[s, done[s]] = base + t
+                got[s] += 1
+                done[s] += 1
+            base += q
+        left = {s for s in left if done[s] < blocks[s]}
+    return out
 
 
 def test_schedule(awkward):
-    weights = {"": 1.0, "s0": 1.0, "s1": 2.0, "s2": 3.0, "s3": 4.0}
-    got = M.schedule(awkward, weights=weights, block_bytes=300, slots_per_period=100).collect()
-    by_slot = defaultdict(set)
-    for r in got:
-        by_slot[r.slot].add((r.source, r.block))
-        assert r.block == r.start // 300
-    assert all(len(v) == 1 for v in by_slot.values())
-    blocks = {s or "": -(-sum(r.n_bytes for r in got if r.source == s) // 300) for s in sorted({r.source for r in got}, key=lambda s: s or "")}
-    plan = M.phases(blocks, weights, 100)
-    for r in got:
-        first, base, share, slots = [p for p in plan[r.source or ""] if p[0] <= r.block][-1]
-        assert r.slot == base + (r.block - first) // share * 100 + slots[(r.block - first) % share]
-    for s in {r.source for r in got}:
-        own = sorted((r.start, r.n_bytes) for r in got if r.source == s)
-        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
+    weights = {"": 1.0, "s0": 1.0, "s1": 2.0, "s2": 3.5, "s3": Fraction(13, 3)}
+    got = M.schedule(awkward, weights=weights, block_bytes=300).collect()
+    assert all(r.block == r.start // 300 for r in got)
+    names = sorted({r.source or "" for r in got})
+    blocks = {s: -(-sum(r.n_bytes for r in got if (r.source or "") == s) // 300) for s in names}
+    want = edf(blocks, M.parts_of(weights))
+    assert all(r.slot == want[r.source or "", r.block] for r in got)
+    for s in names:
+        own = sorted((r.start, r.n_bytes, r.block) for r in got if (r.source or "") == s)
+        assert own[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:], strict=False))
+        longest = max(n for _, n, _ in own)
+        for k in range(blocks[s]):  # the bytes of the first blocks
+            assert min((k + 1) * 300, sum(n for _, n, _ in own)) <= sum(n for _, n, b in own if b <= k) < (k + 1) * 300 + longest
     mixed = M.mix(awkward, weights=weights, block_bytes=300)
     assert mixed.columns == awkward.columns and mixed.count() == awkward.count()
     with pytest.raises(ValueError):
         M.schedule(awkward, weights={"s0": 1.0})
 
 
+def test_schedule_by_default_against_brute_force(spark):
+    rows = [(i, "x" * (37 * i % 211), f"s{min(i % 11, 3)}") for i in range(400)]
+    got = M.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_bytes=500, slots_per_period=50).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.source] += r.n_bytes
+    parts = M.default_parts(dict(sorted(sizes.items())), 0.5, 50)
+    root = {s: n**0.5 for s, n in sizes.items()}
+    assert sum(parts.values()) == 50 and all(abs(parts[s] - 50 * root[s] / sum(root.values())) < 2 for s in parts)
+    want = edf({s: -(-n // 500) for s, n in sizes.items()}, parts)
+    assert len(got) == 400 and all(r.slot == want[r.source, r.block] for r in got)
+
+
 def test_lm_score(spark, awkward):
     shape = LM.Shape(words=12, head=20, size=6, noise=5, batch=64)
     docs = [(i, [*t.encode().lower().split(), b"\n"]) for i, t in rows_of(awkward)]
