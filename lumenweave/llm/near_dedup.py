@@ -39,6 +39,8 @@ NEIGHBOURS = 16
 LEADERS, CHAINED = 6, 2
 #: Counters of shingles, by hash, that order them by rarity; any order gives the same links.
 COUNTERS = 1 << 18
+#: Nodes under a shingle up to which their pairs are named and confirmed elsewhere; with more, their sets meet tile by tile.
+NAMED = 256
 #: Nodes and shingles in a tile, about; nodes that are compared at once, and shingles that are counted at once.
 TILE_NODES, TILE_SHINGLES = 1024, 1 << 18
 STRIPE, COUNTED = 256, 2048
@@ -227,6 +229,45 @@ def _prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return s[np.lexsort((s, counts[_bins(s)]))[:size]]
 
 
+def _may(x, y, px, py, percent: int):
+    """Whether sets of sizes x, y that share their rarest at px, py may be linked: that one and the less rare are all they may share."""
+    most = np.minimum(x - px, y - py)
+    return 100 * most >= percent * (x + y - most)
+
+
+def _name(percent: int):
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From shingle, node, root, n, at in order of the shingle: a, b, nodes of different roots that may be linked."""
+        rest = None
+
+        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            shingle, n, at = (t.column(i).to_numpy() for i in (0, 3, 4))
+            nodes = t.column(1).to_pylist()
+            number: dict = {}
+            root = np.array([number.setdefault(r, len(number)) for r in t.column(2).to_pylist()])
+            first = np.flatnonzero(np.diff(shingle, prepend=shingle[:1] - 1))
+            found = set()
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(shingle)], strict=True):
+                r, x, p = root[lo:hi], n[lo:hi], at[lo:hi]
+                ok = np.triu((r[:, None] != r) & _may(x[:, None], x, p[:, None], p, percent), 1)
+                found.update((min(nodes[lo + i], nodes[lo + j]), max(nodes[lo + i], nodes[lo + j])) for i, j in zip(*(v.tolist() for v in np.nonzero(ok)), strict=True))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+            shingle = t.column(0).to_numpy()
+            done = int(np.searchsorted(shingle, shingle[-1])) if len(shingle) else 0
+            if done:
+                yield from pairs(t.slice(0, done))
+            rest = t.slice(done)
+        if rest is not None and len(rest):
+            yield from pairs(rest)
+
+    return name
+
+
 def _share(percent: int):
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From the members of two tiles (root, at, s): a, b, roots that links join, each tile's as a forest."""
@@ -252,9 +293,7 @@ def _share(percent: int):
                     for q in range(0, len(ry), STRIPE):
                         p_, q_ = slice(p, p + STRIPE), slice(q, q + STRIPE)
                         x, y = nx[p_, None], ny[None, q_]
-                        # this shingle and those that are less rare are all that two sets may share, if none rarer is shared
-                        most = np.minimum(x - px[p_, None], y - py[None, q_])
-                        open_ = (ix[p_, None] != iy[None, q_]) & (100 * most >= percent * (x + y - most))
+                        open_ = (ix[p_, None] != iy[None, q_]) & _may(x, y, px[p_, None], py[None, q_], percent)
                         if not open_.any():
                             continue
                         rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
@@ -309,8 +348,15 @@ def _rarest(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame
                     yield rows.slice(a, 20_000)
 
     rows = cut(sets.select("node", "root", "s").mapInArrow(rare, "shingle long, node binary, root binary, n long, at int"))
-    mixed = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.greatest(F.ceil(F.count("*") / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles")).where("lo <> hi")
-    placed = rows.join(_bounded(cut(mixed.select("shingle", "tiles"))), "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    tiles = F.greatest(F.ceil(F.count("*") / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES))
+    mixed = cut(rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), tiles.alias("tiles")).where("lo <> hi"))
+    few = rows.join(_bounded(mixed.where(F.col("c") <= NAMED).select("shingle")), "shingle").select("shingle", "node", "root", "n", "at")
+    pairs = cut(few.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_name(percent), "a binary, b binary").distinct())
+    root = lambda side: nodes.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    named = _confirm(docs, pairs, reps, k, percent).join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+    many = _bounded(mixed.where(F.col("c") > NAMED).select("shingle", "tiles"))
+    placed = rows.join(many, "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     member = F.struct("root", "at", "s")
     placed = placed.select("shingle", "tile", "node", "at").join(sets, "node").groupBy("shingle", "tile").agg(F.collect_list(member).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     placed = cut(placed)
@@ -322,7 +368,7 @@ def _rarest(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame
     usual = spark.conf.get(key)
     spark.conf.set(key, "8")
     try:
-        return cut(met.mapInArrow(_share(percent), "a binary, b binary").distinct())
+        return cut(met.mapInArrow(_share(percent), "a binary, b binary").unionByName(named).distinct())
     finally:
         spark.conf.set(key, usual)
 

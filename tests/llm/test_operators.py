@@ -195,7 +195,9 @@ def test_line_links_of_a_hot_segment(spark):
     assert sum(b.num_rows for b in out) == 240 and max(b.num_rows for b in out) <= 50 + 40 and all(b.column(1).null_count == b.num_rows for b in out)
 
 
-def test_near_dedup_links_every_copy_of_a_star_and_a_template(spark):
+@pytest.mark.parametrize("named", [256, 0])
+def test_near_dedup_links_every_copy_of_a_star_and_a_template(spark, monkeypatch, named):
+    monkeypatch.setattr(N, "NAMED", named)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base)]
