@@ -110,7 +110,7 @@ def covered(spans: str) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: int = 10, lists: int = 3) -> DataFrame:
-    """One row per input row: ``id_col, n_words, n_hit, n_items, items_sha256, contaminated``.
+    """One row per input row: ``id_col, n_words, n_hit, n_items, items_sha256, contaminated, text_hash`` (the text's ``xxhash64``).
 
     A word is hit inside any occurrence of a window of ``words`` consecutive item
     words; A-Z are lower-cased and nothing else. Null and empty texts have no words.
@@ -125,5 +125,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return rows.join(hit, F.col("doc") == F.col("d"), "left").select(
-        F.col("doc.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        F.col("doc.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("doc.fp").alias("text_hash")
     )

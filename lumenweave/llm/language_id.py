@@ -27,7 +27,7 @@ from lumenweave.session import text_batches
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A longer word is summed over its segmentations in stretches of so many bytes.
+#: A longer word is scored by itself, with a scale of its own; in training it is cut into stretches of so many bytes.
 STRETCH = 32
 #: Every byte counts this much, so that a word's sum stays near 1; it is taken off again.
 LIFT = 32.0
@@ -114,6 +114,25 @@ class Lattice:
         return np.bincount(piece, a[start] * lifted * b[end] * of_node[start], len(p))
 
 
+def long_score(whole: bytes, pieces: dict[bytes, int], longest: int, p: np.ndarray) -> np.ndarray:
+    """Natural log of a word's probability in each language, over all its segmentations, at any length.
+
+    Only the last ``longest`` values of the forward algorithm are needed; they share
+    a scale, which is taken out as they shrink.
+    """
+    last, scale = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+    for end in range(1, len(whole) + 1):
+        here = np.zeros(p.shape[1])
+        for back in range(1, min(len(last), longest) + 1):
+            if (i := pieces.get(whole[end - back : end])) is not None:
+                here += last[-back] * p[i]
+        last = [*last[1 - longest :], here] if longest > 1 else [here]
+        if here.min() < 1e-200:
+            top = np.maximum.reduce(last)
+            last, scale = [x / top for x in last], scale + np.log(top)
+    return np.log(last[-1]) + scale
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -127,7 +146,7 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model, known = model, rank_pieces(model.pieces)
-        self.ids, self.longest = {b: i for i, b in enumerate(known)}, min(STRETCH, max(map(len, known)))
+        self.ids, self.longest = {b: i for i, b in enumerate(known)}, max(map(len, known))
         self.row_of: dict[str, int] = {}
         self.table = np.zeros((WORDS_KEPT * 2, len(model.languages)), np.float64)
 
@@ -135,8 +154,19 @@ class Scorer:
     def of(model: LanguageModel) -> Scorer:
         return held(("scorer", model.name), lambda: Scorer(model))
 
-    def __call__(self, texts: list[list[str]]) -> list[tuple[str, float]]:
-        """Of each list of words the language and its posterior."""
+    def _scores(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.table.shape[1]))
+        whole = [b" " + w.encode("utf-8", "replace") for w in words]
+        short = [i for i, b in enumerate(whole) if len(b) <= STRETCH]
+        if short:
+            out[short] = Lattice([words[i] for i in short], self.ids, min(STRETCH, self.longest)).scores(self.model.p)
+        for i, b in enumerate(whole):
+            if len(b) > STRETCH:
+                out[i] = long_score(b, self.ids, self.longest, self.model.p)
+        return out
+
+    def __call__(self, texts: list[list[str]]) -> list[tuple[str, float, float | None]]:
+        """Of each list of words the language, its posterior and the mean log-probability of a byte in it."""
         new = list({w for words in texts for w in words if w not in self.row_of})
         if self.row_of and len(self.row_of) + len(new) > len(self.table):
             self.row_of, new = {}, list({w for words in texts for w in words})
@@ -146,16 +176,17 @@ class Scorer:
                 self.table = np.zeros((at + len(new), self.table.shape[1]))
             for lo in range(0, len(new), WORDS_AT_ONCE):
                 part = new[lo : lo + WORDS_AT_ONCE]
-                self.table[at + lo : at + lo + len(part)] = Lattice(part, self.ids, self.longest).scores(self.model.p)
+                self.table[at + lo : at + lo + len(part)] = self._scores(part)
             self.row_of.update(zip(new, range(at, at + len(new)), strict=True))
         out = []
         for words in texts:
             if not words or not self.model.languages:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, None))
                 continue
             total = self.table[np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))].sum(0)
             best = int(total.argmax())
-            out.append((self.model.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
+            size = len("".join(words).encode("utf-8", "replace")) + len(words)
+            out.append((self.model.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum()), float(total[best] / size)))
         return out
 
 
@@ -169,23 +200,30 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
 
+def sample(train: DataFrame, lang_col: str, text_col: str, texts_per_language: int) -> tuple[DataFrame, list[str]]:
+    """``lang, text`` of about ``texts_per_language`` whole texts of each label, chosen by a hash of the text alone; and the labels."""
+    rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not sizes:
+        return rows, []
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, texts_per_language / n))])
+    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003), sorted(sizes)
+
+
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", pieces: str = "byte_bpe_multi_50k.tiktoken", texts_per_language: int = 600, rounds: int = 4, smooth: float = 0.02) -> LanguageModel:
     """Fits a model to labelled texts.
 
     The bound of the sample: about ``texts_per_language`` whole texts of each
     label, chosen by a hash of the text alone. Rows without label or text teach nothing.
     """
-    rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not sizes:
+    chosen, languages = sample(train, lang_col, text_col, texts_per_language)
+    if not languages:
         return LanguageModel([], pieces, np.zeros((0, 0)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, texts_per_language / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     counts = chosen.mapInArrow(word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
 
     known = rank_pieces(pieces)
     ids, longest = {b: i for i, b in enumerate(known)}, min(STRETCH, max(map(len, known)))
-    languages, columns = sorted(sizes), []
+    columns = []
     for lang in languages:
         own = counts[counts.lang == lang].sort_values("word")
         lattice, weight = Lattice(own.word.tolist(), ids, longest), own.n.to_numpy(float)
@@ -197,9 +235,12 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", pieces
     return LanguageModel(languages, pieces, np.stack(columns, 1))
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """One row per input row: ``id_col``, the columns of ``carry``, then the language and its posterior (0 to 1) under ``names``.
 
+    A third name gets the mean natural log-probability of a byte of the words in
+    that language, which unlike the posterior tells texts of no learned language.
+
     ``und`` with score 0 where the text is null or has no letter, or if the model
     has learned no language. Only the text decides; repeated rows are each returned.
     """
@@ -207,7 +248,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     text_batches(spark)
     rows = docs.select(*kept) if text_col in kept else docs.select(*kept, text_col)
     at_text = rows.columns.index(text_col)
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(kept)]) + f", `{names[0]}` string, `{names[1]}` double"
+    kinds = ["string", "double", "double"][: len(names)]
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes[: len(kept)], *zip(names, kinds, strict=True)])
     shared = spark.sparkContext.broadcast(model)  # a number for each piece of the vocabulary and language
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +257,29 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                langs, scores = zip(*scorer([words_in(t) for t in part.column(at_text).to_pylist()]), strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, *names])
+                told = zip(*scorer([words_in(t) for t in part.column(at_text).to_pylist()]), strict=True)
+                told = [pa.array(x, t) for x, t in zip(told, (pa.string(), pa.float64(), pa.float64()), strict=True)][: len(names)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *told], [*kept, *names])
 
     return rows.mapInArrow(score, schema)
 
 
+def floors(train: DataFrame, model: LanguageModel, margin: float = 1.0, lang_col: str = "lang", text_col: str = "text", texts_per_language: int = 600) -> dict[str, float]:
+    """Of each language the mean log-probability of a byte below which a text is not in it.
+
+    ``margin`` nats under the median of the sampled texts; texts with keys, numbers or
+    passages of another language in them are some tenths under it, random letters several.
+    """
+    chosen, languages = sample(train, lang_col, text_col, texts_per_language)
+    if not languages:
+        return {}
+    told = predict(chosen.withColumn("_", F.lit(0)), model, "_", "text", ("lang",), ("told", "score", "fits")).where("told = lang").select("lang", "fits")
+    fits: dict[str, list[float]] = {}
+    for r in told.collect():  # a number for each sampled text
+        fits.setdefault(r.lang, []).append(r.fits)
+    return {lang: float(np.median(x) - margin) for lang, x in fits.items()}
+
+
 def held_out(id_col: str, mod: int = 3, rest: int = 1) -> Column:
     """Whether a document is kept from training: by the CRC-32 of its id as text; one without an id always is."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(True))

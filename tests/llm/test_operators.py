@@ -325,6 +325,41 @@ def test_lattice_sums_all_segmentations():
     assert expected @ lengths == pytest.approx(sum((len(w) + 1) * x for w, x in zip(words, weight, strict=True)))
 
 
+def test_long_words_sum_all_segmentations_too():
+    rng = np.random.default_rng(1)
+    pieces = {p: i for i, p in enumerate([b" ", b"a", b"b", b"ab", b" a", b"ba", b"aba"])}
+    p = rng.random((len(pieces), 2))
+    for word in ("a", "abab", "ab" * 14):
+        want = LI.Lattice([word], pieces, 3).scores(p)[0]
+        assert LI.long_score(b" " + word.encode(), pieces, 3, p) == pytest.approx(want)
+    longer = LI.long_score(b" " + b"ab" * 20_000, pieces, 3, p * 1e-3)
+    assert np.isfinite(longer).all() and (longer < -50_000).all()
+
+
+def brute_language(text, model, pieces):
+    """The sum over all segmentations, by its definition, byte by byte."""
+    words = [b" " + w.encode() for w in LI.words_in(text)]
+    total = np.zeros(len(model.languages))
+    for w in words:
+        a = [np.ones(len(model.languages))]
+        for end in range(1, len(w) + 1):
+            a.append(sum((a[start] * model.p[pieces[w[start:end]]] for start in range(end) if w[start:end] in pieces), np.zeros(len(model.languages))))
+        total += np.log(a[-1])
+    return model.languages[int(total.argmax())] if words else "und", total
+
+
+def test_language_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = LI.fit(docs.where(~LI.held_out("doc_id")))
+    pieces = {b: i for i, b in enumerate(LI.rank_pieces(model.pieces))}
+    texts = {r.doc_id: r.text for r in docs.collect() if len(r.text or "") < 1500}
+    got = [r for r in LI.identify(docs).collect() if r.doc_id in texts]
+    assert len(got) > 50
+    for r in got:
+        lang, total = brute_language(texts[r.doc_id], model, pieces)
+        assert r.lang_pred == lang and (lang == "und" or r.score == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-6))
+
+
 def test_language_accuracy_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = LI.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -1,10 +1,14 @@
 """Each stage of the pipeline against brute force over what the one before has kept."""
 
+import random
+
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 
 from lumenweave.llm import queries as Q
 from lumenweave.llm.mixing import schedule
+from lumenweave.session import new_path
 from tests.compare import DATA
 from tests.llm.test_operators import rows_of, shingle_components
 
@@ -33,6 +37,40 @@ def test_language_stage_keeps_texts_with_letters(stages):
     assert all(any(c.isalpha() for c in r.text) for r in after.collect())
 
 
+def test_language_stage_rejects_what_no_learned_language_has(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    junk = ["".join(rng.choice("qxzjkvwy") for _ in range(9)) for _ in range(3000)]
+    foreign = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(7)) for _ in range(3000)]
+    planted = [(10**6 + i, " ".join(rng.choice(words) for _ in range(80)), None, "planted", 0) for i, words in enumerate([junk, foreign] * 5)]
+    both = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    kept = {r.doc_id for r in P.language_id(spark, both, DATA).collect()}
+    assert not kept & {r[0] for r in planted}
+    assert {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} <= kept
+
+
+AWKWARD = [(1, "one two three four five six seven", "en", "s", 1), (1, "one two three four five six seven", "en", "s", 1), (1, "another text under the same id here", "en", "s", 1), (2, "one two three four five six seven", "en", None, 1), (None, "no id but a text of some words", None, "s", 1), (None, "no id but a text of some words", None, "s", 2), (None, "no id but a text of some words, too", "en", "t", 1), (3, None, "en", "s", 0), (4, "", None, None, 0), (5, "   ", "en", "s", 3), (6, "é" * 90 + " word " * 30000, "fr", "long", 7), (None, None, None, None, None)]
+
+
+def test_stages_with_nulls_repeats_and_long_texts(spark):
+    docs = spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string, source string, n_chars long")
+    for extra in ([], ["row", "i", "h", "told", "certain", "fits", "group", "text_hash", "_row"]):
+        more = docs.withColumns({c: F.lit(f"other {c}") for c in extra})
+        for _, stage in P.STAGES[:-1]:
+            got = stage(spark, more, DATA)
+            assert got.columns == more.columns
+            assert not set(map(str, (tuple(r)[:4:3] for r in got.collect()))) - set(map(str, (tuple(r)[:4:3] for r in more.collect())))
+            assert stage(spark, more.limit(0), DATA).collect() == []
+    one = P.minhash_near_dedup(spark, docs, DATA).collect()
+    texts = [(r.doc_id, r.text) for r in one]
+    assert sorted(str(t) for t in texts if t[1] and t[1].strip() and t[0] != 6) == sorted(str(t) for t in [(1, "one two three four five six seven"), (1, "another text under the same id here"), (None, "no id but a text of some words"), (None, "no id but a text of some words, too")])
+    assert sum(1 for t in texts if not (t[1] or "").strip()) == 4
+    path = new_path(spark, "test")
+    docs.write.parquet(path)
+    out = P.token_output(spark, spark.read.parquet(path), DATA)
+    assert out.count() == len(AWKWARD) and sum(r.n_tokens for r in out.collect()) == max(r.mix_start + r.n_tokens for r in out.collect())
+
+
 def test_near_dedup_stage_keeps_one_of_each_group(stages):
     before, after = stages[1]
     assert {r.doc_id for r in after.collect()} == {d for d, _, c in shingle_components(rows_of(before), 5, 80) if d == c}
