@@ -1,12 +1,16 @@
 """Language-model scoring by a log-bilinear model.
 
 The context is the last two tokens: their vectors, each through a matrix of its
-place, add up to a prediction, whose product with a token's vector and bias is the
-token's score. The most frequent words are tokens of their own and all others share
-one, within which a word has its add-one share of the counts. Noise-contrastive
-estimation trains the vectors: every task takes one pass over its own texts, and the
-results are averaged, so that all training texts are read and none gathers in one place.
-Scores are normalised exactly, by batched matrix products over the distinct contexts.
+place, add up to a prediction. The frequent words are tokens of their own, in classes
+by rank; a word's probability is that of its class after the context times its own
+within the class, and each of the two is the softmax of the prediction's products with
+vectors, plus biases. So matrix products stay small with any vocabulary and scores are
+normalised exactly. All other words share one token, within which a word has its
+add-one share of the counts.
+
+Noise-contrastive estimation trains the vectors in rounds. In each the tasks take one
+pass over their share of the texts from the same parameters, and the results are
+averaged and sent out again: all training texts are read once and none gathers in one place.
 
 The counts come from the whole training corpus. The most frequent words are sent to
 every task, their number fixed; the others meet their counts in a join.
@@ -34,20 +38,31 @@ DOCS = 1000  # texts looked at together: the more, the more contexts they share
 
 @dataclass(frozen=True)
 class Shape:
-    """The size of a model. ``words``: tokens of their own; ``head``: words whose counts every task gets."""
+    """The size of a model. ``words``: the most tokens of their own; ``head``: words whose counts every task gets."""
 
-    words: int = 1024
+    words: int = 1 << 15
     head: int = 1 << 17
     size: int = 24
     context: int = 2
     noise: int = 24
-    batch: int = 2048
+    noise_in_class: int = 1
+    batch: int = 1024
     rate: float = 0.1
+    rounds: int = 2
+
+
+def class_starts(n: int) -> np.ndarray:
+    """First ranks of the classes of ``n`` tokens, and ``n``: one token, then two, then three; the last token is a class of its own."""
+    starts, size = [0], 1
+    while starts[-1] + size < n - 1:
+        starts.append(starts[-1] + size)
+        size += 1
+    return np.array([*starts, n - 1, n] if n > 1 else [0, n])
 
 
 @dataclass
 class Params:
-    """Vectors of context tokens, matrices of the places, vectors and biases of predicted tokens.
+    """Vectors of context tokens, matrices of the places, vectors and biases of predicted tokens and of classes.
 
     Tokens: the words by rank, then the token of all other words; a context may
     also hold the start of a text, which comes last.
@@ -57,20 +72,28 @@ class Params:
     c: np.ndarray
     q: np.ndarray
     b: np.ndarray
+    qc: np.ndarray
+    bc: np.ndarray
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.r, self.c, self.q, self.b, self.qc, self.bc
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c, self.q, self.b)]).astype(np.float32)
+        return np.concatenate([x.ravel() for x in self.arrays()]).astype(np.float32)
 
     @staticmethod
     def of(flat: np.ndarray, n: int, shape: Shape) -> Params:
-        ends = np.cumsum([(n + 1) * shape.size, shape.context * shape.size**2, n * shape.size])
-        r, c, q, b = np.split(np.asarray(flat, np.float32), ends)
-        return Params(r.reshape(n + 1, -1), c.reshape(shape.context, shape.size, -1), q.reshape(n, -1), b)
+        d, k = shape.size, len(class_starts(n)) - 1
+        r, c, q, b, qc, bc = np.split(np.array(flat, np.float32), np.cumsum([(n + 1) * d, shape.context * d * d, n * d, n, k * d]))
+        return Params(r.reshape(n + 1, d), c.reshape(shape.context, d, d), q.reshape(n, d), b, qc.reshape(k, d), bc)
 
     @staticmethod
     def start(prior: np.ndarray, shape: Shape) -> Params:
-        rng, n = np.random.default_rng(5), len(prior)
-        return Params((rng.standard_normal((n + 1, shape.size)) * 0.1).astype(np.float32), np.stack([np.eye(shape.size, dtype=np.float32)] * shape.context) / shape.context, (rng.standard_normal((n, shape.size)) * 0.1).astype(np.float32), np.log(prior).astype(np.float32))
+        """Small random vectors; the biases make it the unigram model."""
+        rng, n, starts = np.random.default_rng(5), len(prior), class_starts(len(prior))
+        some = lambda rows: (rng.standard_normal((rows, shape.size)) * 0.1).astype(np.float32)
+        turn = np.stack([np.eye(shape.size, dtype=np.float32)] * shape.context) / shape.context
+        return Params(some(n + 1), turn, some(n), np.log(prior).astype(np.float32), some(len(starts) - 1), np.log(np.add.reduceat(prior, starts[:-1])).astype(np.float32))
 
     def predict(self, contexts: np.ndarray) -> np.ndarray:
         return sum(self.r[contexts[:, i]] @ self.c[i] for i in range(contexts.shape[1]))
@@ -87,50 +110,82 @@ def contexts_of(tokens: np.ndarray, lengths: np.ndarray, n: int, context: int) -
     return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad steps; each batch shares its noise words."""
+    """Noise-contrastive estimation with AdaGrad steps, of classes and of words within their class.
+
+    A batch shares its noise classes; noise words are drawn for each token, from its class.
+    """
 
     def __init__(self, params: Params, prior: np.ndarray, shape: Shape, seed: int):
         self.p, self.shape, self.rng = params, shape, np.random.default_rng(seed)
-        self.log_kp = np.log(shape.noise * prior).astype(np.float32)
-        self.cumulated = np.cumsum(prior)
-        self.seen = [np.full_like(x, 1e-2) for x in (params.r, params.c, params.q, params.b)]
+        self.starts = class_starts(len(prior))
+        self.sum = np.concatenate([[0.0], np.cumsum(prior)])
+        self.sum[-1] = 1.0
+        of_class = np.diff(self.sum[self.starts])
+        self.class_of = np.repeat(np.arange(len(of_class)), np.diff(self.starts))
+        self.class_sum = np.cumsum(of_class)
+        self.log_class = np.log(shape.noise * of_class).astype(np.float32)
+        self.log_word = np.log(shape.noise_in_class * prior / of_class[self.class_of]).astype(np.float32)
+        self.seen = [np.full_like(x, 1e-8) for x in params.arrays()]  # far below a batch's squared gradients
 
     def _step(self, i: int, at, grad: np.ndarray) -> None:
-        param, seen = (self.p.r, self.p.c, self.p.q, self.p.b)[i], self.seen[i]
+        param, seen = self.p.arrays()[i], self.seen[i]
         seen[at] += grad**2
         param[at] += self.shape.rate * grad / np.sqrt(seen[at])
 
     @staticmethod
     def _by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # few bits sort by counting; a shape has fewer words
+        order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")  # few bits sort by counting
         ranked = rows[order]
         first = np.flatnonzero(np.diff(ranked, prepend=-1))
         return ranked[first], np.add.reduceat(grad[order], first, axis=0)
 
     def learn(self, contexts: np.ndarray, target: np.ndarray) -> None:
-        p, shape = self.p, self.shape
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        p, shape, k = self.p, self.shape, self.shape.noise_in_class
         for lo in range(0, len(target), shape.batch):
             ctx, t = contexts[lo : lo + shape.batch], target[lo : lo + shape.batch]
-            noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(shape.noise)), len(p.b) - 1)
-            q_hat = p.predict(ctx)
-            g_t = 1 - sigmoid(np.einsum("ij,ij->i", q_hat, p.q[t]) + p.b[t] - self.log_kp[t])
-            g_n = -sigmoid(q_hat @ p.q[noise].T + p.b[noise] - self.log_kp[noise])
+            c = self.class_of[t]
             scale = np.float32(1 / len(t))
-            g_hat = (g_t[:, None] * p.q[t] + g_n @ p.q[noise]) * scale
+            hat = p.predict(ctx)
+            # classes
+            noise = np.minimum(np.searchsorted(self.class_sum, self.rng.random(shape.noise)), len(p.bc) - 1)
+            g_c = 1 - _sigmoid(np.einsum("ij,ij->i", hat, p.qc[c]) + p.bc[c] - self.log_class[c])
+            g_n = -_sigmoid(hat @ p.qc[noise].T + p.bc[noise] - self.log_class[noise])
+            g_hat = g_c[:, None] * p.qc[c] + g_n @ p.qc[noise]
             wide = np.empty((len(t) + len(noise), shape.size + 1), np.float32)  # vectors and, last, biases
-            np.multiply(g_t[:, None], q_hat, out=wide[: len(t), :-1])
-            np.matmul(g_n.T, q_hat, out=wide[len(t) :, :-1])
-            wide[: len(t), -1], wide[len(t) :, -1] = g_t, g_n.sum(0)
-            rows, g_wide = self._by_row(np.concatenate([t, noise]), wide)
-            g_q, g_b = g_wide[:, :-1] * scale, g_wide[:, -1] * scale
-            moves = [(ctx[:, i], g_hat @ p.c[i].T, p.r[ctx[:, i]].T @ g_hat) for i in range(shape.context)]
-            self._step(2, rows, g_q)
-            self._step(3, rows, g_b)
-            for i, (at, g_r, g_c) in enumerate(moves):
+            np.multiply(g_c[:, None], hat, out=wide[: len(t), :-1])
+            np.matmul(g_n.T, hat, out=wide[len(t) :, :-1])
+            wide[: len(t), -1], wide[len(t) :, -1] = g_c, g_n.sum(0)
+            moves = [(4, 5, *self._by_row(np.concatenate([c, noise]), wide))]
+            # words, where the class has more than one
+            own = np.flatnonzero(self.starts[c + 1] - self.starts[c] > 1)
+            if len(own):
+                tw, cw, hw = t[own], c[own], hat[own]
+                a, b = self.sum[self.starts[cw]], self.sum[self.starts[cw + 1]]
+                drawn = np.searchsorted(self.sum, a + self.rng.random((k, len(own))) * (b - a), side="right") - 1
+                drawn = np.clip(drawn, self.starts[cw], self.starts[cw + 1] - 1)
+                every = np.concatenate([tw, *drawn])
+                vectors = p.q[every].reshape(k + 1, len(own), -1)
+                s = np.einsum("kij,ij->ki", vectors, hw) + (p.b[every] - self.log_word[every]).reshape(k + 1, -1)
+                g = -_sigmoid(s)
+                g[0] += 1
+                g_hat[own] += np.einsum("ki,kij->ij", g, vectors)
+                wide = np.empty((len(every), shape.size + 1), np.float32)
+                np.multiply(g[:, :, None], hw, out=wide[:, :-1].reshape(k + 1, len(own), -1))
+                wide[:, -1] = g.ravel()
+                moves.append((2, 3, *self._by_row(every, wide)))
+            g_hat *= scale
+            places = [(ctx[:, i], g_hat @ p.c[i].T, p.r[ctx[:, i]].T @ g_hat) for i in range(shape.context)]
+            for v, bias, rows, grad in moves:
+                self._step(v, rows, grad[:, :-1] * scale)
+                self._step(bias, rows, grad[:, -1] * scale)
+            for i, (at, g_r, g_m) in enumerate(places):
                 self._step(0, *self._by_row(at, g_r))
-                self._step(1, i, g_c)
+                self._step(1, i, g_m)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -189,41 +244,48 @@ class Model:
 
 
 def train(rows: DataFrame, text_col: str, model: Model) -> Params:
-    """One pass of every task over its own texts; the average by tokens read, summed on the executors."""
+    """Each round, one pass of every task over its part of the round's texts; the average by tokens read, summed on the executors."""
     spark, shape, n = rows.sparkSession, model.shape, len(model.prior)
-    start = Params.start(model.prior, shape)
-    shared, size = spark.sparkContext.broadcast((model, start.flat())), len(start.flat())
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m, flat = shared.value
-        part = TaskContext.get().partitionId()
-        trainer, read = Trainer(Params.of(flat.copy(), n, shape), m.prior, shape, part), 0
-        for _, texts in _texts(batches):
-            ids = [m.ids([*words, END]) for words in texts]
-            lengths = np.array([len(x) for x in ids])
-            tokens = np.concatenate([np.array(x, np.int64) for x in ids])
-            trainer.learn(contexts_of(tokens, lengths, n, shape.context), tokens)
-            read += len(tokens)
-        if read:
-            pieces = np.array_split(trainer.p.flat().astype(float) * read, 64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([part % 64] * 64, pa.int32()), pa.array([read] * 64, pa.int64()), pa.array([x.tolist() for x in pieces], pa.list_(pa.float64()))], ["piece", "part", "n", "v"])
+    flat = Params.start(model.prior, shape).flat()
+    words = spark.sparkContext.broadcast(model)
+    pieces = max(64, len(flat) >> 14)
+    schema = "piece int, part int, n long, v array<float>"
 
     def add(group):
         import pandas as pd
 
-        return pd.DataFrame({"piece": group.piece[:1], "part": group.part[:1] * 0, "n": [group.n.sum()], "v": [np.sum(np.stack(group.v.to_numpy()), 0)]})
-
-    schema = "piece int, part int, n long, v array<double>"
-    sums = rows.select(text_col).mapInArrow(learn, schema)
-    for key in (["piece", "part"], ["piece"]):  # in two steps: no task gathers a row of every other
-        sums = sums.groupBy(*key).applyInPandas(add, schema)
-    got = sorted(sums.collect())  # the size of one model
-    if not got:
-        return start
-    flat = np.concatenate([np.array(r.v) / r.n for r in got])
-    assert len(flat) == size
+        total = group.n.sum()
+        v = np.average(np.stack(group.v.to_numpy()), 0, group.n.to_numpy(float)).astype(np.float32)
+        return pd.DataFrame({"piece": group.piece[:1], "part": group.part[:1] * 0, "n": [total], "v": [v]})
+
+    # a round's texts are chosen by a hash, so that nothing depends on how the table is cut
+    round_ = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(11)), F.lit(shape.rounds))
+    for nth in range(shape.rounds):
+        shared = spark.sparkContext.broadcast(flat)
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, nth=nth) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            m, part = words.value, TaskContext.get().partitionId()
+            trainer, read = Trainer(Params.of(shared.value, n, shape), m.prior, shape, part * 64 + nth), 0
+            for _, texts in _texts(batches):
+                ids = [m.ids([*words, END]) for words in texts]
+                lengths = np.array([len(x) for x in ids])
+                tokens = np.concatenate([np.array(x, np.int64) for x in ids])
+                trainer.learn(contexts_of(tokens, lengths, n, shape.context), tokens)
+                read += len(tokens)
+            if read:
+                for i, x in enumerate(np.array_split(trainer.p.flat(), pieces)):
+                    v = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([read], pa.int64()), v], ["piece", "part", "n", "v"])
+
+        sums = rows.where(round_ == nth).select(text_col).mapInArrow(learn, schema)
+        for key in (["piece", "part"], ["piece"]):  # in two steps: no task gathers a row of every other
+            sums = sums.groupBy(*key).applyInPandas(add, schema)
+        got = sums.select("piece", "v").toArrow().sort_by("piece")  # the size of one model
+        if got.num_rows:
+            flat = got.column("v").combine_chunks().flatten().to_numpy()
+        shared.unpersist()
     return Params.of(flat, n, shape)
 
 
@@ -256,22 +318,31 @@ def fit(rows: DataFrame, text_col: str = "text", shape: Shape = Shape()) -> tupl
     return model, counts
 
 
+def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the log of the softmax at one place; ``s`` is used up."""
+    top = s.max(1)
+    picked = s[np.arange(len(s)), at] - top
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return picked - np.log(s.sum(1))
+
+
 def log_probs(params: Params, tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Normalised log10 probabilities of the tokens after their contexts."""
-    n = len(params.b)
-    code = np.zeros(len(tokens), np.int64)
-    for i in range(contexts.shape[1]):
-        code = code * (n + 1) + contexts[:, i]
-    _, first, which = np.unique(code, return_index=True, return_inverse=True)
-    out, order = np.empty(len(tokens)), np.argsort(which, kind="stable")
-    starts = np.searchsorted(which[order], np.arange(0, len(first) + 4096, 4096))
-    for lo, a, b in zip(range(0, len(first), 4096), starts, starts[1:], strict=False):
-        s = params.predict(contexts[first[lo : lo + 4096]]) @ params.q.T + params.b
-        at, top = order[a:b], s.max(1)
-        picked = s[which[at] - lo, tokens[at]]
-        s -= top[:, None]
-        np.exp(s, out=s)
-        out[at] = picked - (top + np.log(s.sum(1)))[which[at] - lo]
+    """Normalised log10 probabilities of the tokens after their contexts: of the class, and of the token within it."""
+    starts = class_starts(len(params.b))
+    classes = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[tokens]
+    out = np.empty(len(tokens))
+    order = np.argsort(classes, kind="stable")
+    for lo in range(0, len(order), 1 << 16):
+        part = order[lo : lo + (1 << 16)]
+        hat, own = params.predict(contexts[part]), classes[part]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        for a in range(0, len(part), 4096):
+            out[part[a : a + 4096]] = _log_softmax_at(hat[a : a + 4096] @ params.qc.T + params.bc, own[a : a + 4096])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+            x, y = starts[own[a]], starts[own[a] + 1]
+            if y - x > 1:
+                out[part[a:b]] += _log_softmax_at(hat[a:b] @ params.q[x:y].T + params.b[x:y], tokens[part[a:b]] - x)
     return out / np.log(10)
 
 

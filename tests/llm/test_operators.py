@@ -127,7 +127,7 @@ def items(spark):
 
 
 def test_decontaminate(spark, awkward, unique, items):
-    sql_same(D.decontaminate(unique, items.where("item_id IS NOT NULL")), unique, Q.OP10_SQL, items.where("item_id IS NOT NULL"))
+    sql_same(D.decontaminate(unique, items.where("item_id IS NOT NULL")).drop("text_hash"), unique, Q.OP10_SQL, items.where("item_id IS NOT NULL"))
     got = D.decontaminate(awkward, items)
     assert got.count() == awkward.count()
     assert got.where("doc_id = 10").count() == 2
@@ -500,9 +500,9 @@ def test_lm_score(spark, awkward):
 
 def test_lm_is_normalised_and_learns(spark):
     rng = random.Random(6)
-    texts = [" ".join(["a b", "c d"][rng.random() < 0.5] for _ in range(60)) for _ in range(80)]
+    texts = [" ".join(["a b", "c d", "e f g"][rng.randrange(3)] for _ in range(60)) for _ in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, counts = LM.fit(docs, "text", LM.Shape(words=6, head=8, size=6, noise=8, batch=64))
+    model, counts = LM.fit(docs, "text", LM.Shape(words=7, head=8, size=6, noise=8, batch=64))
     n = len(model.prior)
     contexts = np.array([[i, j] for i in range(n + 1) for j in range(n + 1)])
     sums = sum(10 ** LM.log_probs(model.params, np.full(len(contexts), t), contexts) for t in range(n))
@@ -511,11 +511,41 @@ def test_lm_is_normalised_and_learns(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_exact_dedup_takes_its_groups_from_the_order(spark):
-    texts = [f"text {i % 7}" for i in range(300)] + ["a hot text"] * 200
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = sorted((i, min(j for j, u in enumerate(texts) if u == t), texts.count(t)) for i, t in enumerate(texts))
-    for hot in (50, 1000):
-        got = exact_dedup(docs, hot=hot)
-        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got.collect()) == want
-        assert sum(r.kept for r in got.collect()) == 8
+def test_lm_classes_hold_every_token_once():
+    for n in (1, 2, 3, 7, 500, 32769):
+        starts = LM.class_starts(n)
+        assert starts[0] == 0 and starts[-1] == n and (np.diff(starts) > 0).all() and (n < 2 or starts[-2] == n - 1)
+
+
+def test_lm_held_out_is_better_than_the_base_at_any_number_of_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    gains = []
+    for parts in (2, 9):
+        got = LM.lm_score(docs.repartition(parts), shape=LM.Shape(batch=128)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        gains.append((got.s - got.b) / got.n)
+    assert min(gains) > 0.05, gains
+
+
+def brute_score(model, counts, text):
+    """The score by its definition: over the whole vocabulary, token by token."""
+    p, starts, n = model.params, LM.class_starts(len(model.prior)), len(model.prior)
+    total, before = 0.0, [n] * model.shape.context
+    for w in [*LM.split_words(text), LM.END]:
+        t = model.tokens.get(w, len(model.tokens))
+        hat = sum(p.r[c].astype(float) @ p.c[i] for i, c in enumerate(before))
+        k = int(np.searchsorted(starts, t, side="right")) - 1
+        c = np.exp(p.qc @ hat + p.bc)
+        own = np.exp(p.q[starts[k] : starts[k + 1]] @ hat + p.b[starts[k] : starts[k + 1]])
+        total += math.log10(c[k] / c.sum() * own[t - starts[k]] / own.sum())
+        if t == len(model.tokens):
+            total += math.log10((counts.get(w, 0) + 1) / model.rest)
+        before = [t, *before[:-1]]
+    return total
+
+
+def test_lm_score_against_brute_force(spark, awkward):
+    model, counts = LM.fit(awkward, "text", LM.Shape(words=12, head=20, size=6, noise=5, batch=64))
+    table = {bytes(r.word): r.n for r in counts.collect()}
+    got = LM.score(awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), model, counts).collect()
+    texts = dict(rows_of(awkward))
+    assert all(r.score == pytest.approx(brute_score(model, table, texts[r.doc_id]), rel=1e-4, abs=1e-4) for r in got)

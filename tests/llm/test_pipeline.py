@@ -82,7 +82,7 @@ def test_decontamination_stage(stages, spark):
     before, after = stages[2]
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     found = Q.decontaminate(before, bench)
-    sql_same(found, before, Q.OP10_SQL, bench)
+    sql_same(found.drop("text_hash"), before, Q.OP10_SQL, bench)
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in found.where("NOT contaminated").collect()}
 
 
