@@ -30,7 +30,8 @@ def seconds_of(text: Column) -> Column:
 
 
 def rate(n: Column, total: Column) -> Column:
-    return F.when(total > 0, F.round(n / total, 3))
+    """Null without a total; no count is none."""
+    return F.when(total > 0, F.round(F.coalesce(n, F.lit(0)) / total, 3))
 
 
 def frame_rate(text: Column) -> Column:
@@ -61,10 +62,6 @@ def tier_price(name: Column) -> Column:
     return F.create_map(*[F.lit(x) for _, t, p in TIERS for x in (t, p)])[name]
 
 
-def gap_threshold(duration: Column) -> Column:
-    return F.when(duration < 300, 10).when(duration < 1800, 20).when(duration < 3600, 30).otherwise(45)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -85,5 +82,29 @@ def unit(a: Column) -> Column:
 
 
 def spread(a: Column, d: int) -> Column:
-    """``d`` evenly spaced dimensions, brought to unit length."""
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.get(a, F.floor(i * F.size(a) / d).cast("int"))))
+    """``d`` evenly spaced dimensions, brought to unit length; a vector of no more than ``d`` as it is."""
+    return F.when(F.size(a) <= d, a.cast("array<double>")).otherwise(unit(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.get(a, F.floor(i * F.size(a) / d).cast("int")))))
+
+
+def scene_confidence(segments: Column, frames: Column, gap: Column) -> Column:
+    """Confidence in a scene candidate, by what speaks for it."""
+    return F.round(F.least(F.lit(0.95), 0.45 + F.when(segments, 0.2).otherwise(0.0) + F.when(frames, 0.15).otherwise(0.0) + F.when(gap, 0.1).otherwise(0.0)), 3)
+
+
+def strength_weight(strength: Column) -> Column:
+    """A strength of 1 to 10 as a weight of 0.1 to 1."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.1), strength / 10))
+
+
+def transition(score: Column) -> Column:
+    return F.when(score > 0.7, "cut").when(score > 0.4, "dissolve").otherwise("fade")
+
+
+def decode_seek(duration: Column, sample: Column | float) -> Column:
+    """Where a sample of a video is decoded: its middle, or earlier if the sample would not fit."""
+    return F.greatest(F.lit(0.0), F.least(duration / 2, F.greatest(duration - sample, F.lit(0.0))))
+
+
+def normalised(weights: dict[str, float]) -> dict[str, float]:
+    total = sum(weights.values())
+    return {k: w / total for k, w in weights.items()} if total > 0 and abs(total - 1) > 1e-9 else dict(weights)

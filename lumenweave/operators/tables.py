@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.session import new_path
-
 
 def merge(target: DataFrame, updates: DataFrame, keys: list[str], fixed: tuple[str, ...] = ("created_at", "started_at")) -> DataFrame:
-    """Matching rows take every column of the update but the ``fixed`` ones; the other updates are inserted."""
+    """Matching rows take every column of the update but the ``fixed`` ones; the other updates are inserted.
+
+    Null keys match null keys. Of updates with the same key one is used, the largest.
+    """
+    whole = F.struct(*[F.col(c) for c in updates.columns])
+    updates = updates.groupBy(*keys).agg(F.max(whole).alias("_u")).select("_u.*")
     u = updates.select(*[F.col(c).alias(f"u_{c}") for c in updates.columns], F.lit(True).alias("u_"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"u_{k}") for k in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"u_{k}")) for k in keys])
     take = lambda c: F.when(F.col("u_").isNull() | (F.col("t_").isNotNull() & F.lit(c in fixed)), F.col(c)).otherwise(F.col(f"u_{c}")) if c in updates.columns else F.col(c)
     return target.withColumn("t_", F.lit(True)).join(u, on, "full_outer").select(*[take(c).alias(c) for c in target.columns])
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Overwrites the Parquet table that ``df`` may itself be read from: written aside first, then moved in."""
-    spark, aside = df.sparkSession, new_path(df.sparkSession, "aside")
+    """Overwrites the Parquet table that ``df`` may itself be read from.
+
+    Written aside first; then the folders are swapped by renaming, so at any time
+    the old or the new table lies whole under ``path`` or ``path.old``.
+    """
+    spark, aside, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
     df.write.parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").parquet(path)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(jvm.Path(old), True)
+    if fs.exists(jvm.Path(path)):
+        fs.rename(jvm.Path(path), jvm.Path(old))
+    fs.rename(jvm.Path(aside), jvm.Path(path))
+    fs.delete(jvm.Path(old), True)
+    spark.catalog.refreshByPath(path)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -56,10 +71,24 @@ def project_status(control: DataFrame, events: DataFrame, key: str = "media_id")
     return control.join(e, key, "left").withColumns({"status": status, "progress": progress, "processed": done}).drop("_s", "_p")
 
 
+def by_digest(key: str, seed: int) -> Column:
+    """An order that has nothing to do with the key and is the same in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def stratified(rows: DataFrame, bucket: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows, round after round one of each bucket, in an order by hash."""
-    rn = F.row_number().over(Window.partitionBy(bucket).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return rows.withColumn("_n", rn).orderBy("_n", bucket).limit(n).drop("_n")
+    """``n`` rows, round after round one of each bucket, in an order by digest."""
+    rn = F.row_number().over(Window.partitionBy(bucket).orderBy(by_digest(key, seed), key))
+    return rows.withColumn("_n", rn).where(F.col("_n") <= n).orderBy("_n", bucket).limit(n).drop("_n")
+
+
+def equal_quotas(rows: DataFrame, bucket: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` divided by the number of buckets, at least one, of each bucket, ``n`` in all at most; all rows if there are no more than ``n``."""
+    sizes = rows.groupBy(bucket).agg(F.count("*").alias("_size"))
+    quota = sizes.agg(F.when(F.coalesce(F.sum("_size"), F.lit(0)) <= n, F.lit(1 << 62)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(n) / F.count("*")))).alias("_quota"))
+    rn = F.row_number().over(Window.partitionBy(bucket).orderBy(by_digest(key, seed), key))
+    some = rows.withColumn("_n", rn).crossJoin(F.broadcast(quota)).where(F.col("_n") <= F.col("_quota"))  # one row
+    return some.orderBy(by_digest(key, seed), key).limit(n).drop("_n", "_quota")
 
 
 def regressions(runs: DataFrame, key: str, order: str, value: str, last: int = 7, drop: float = 0.03) -> DataFrame:

@@ -5,9 +5,7 @@ The views that stand for the engine's data model are in :mod:`lumenweave.plans.v
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions import scalar as S
@@ -18,25 +16,9 @@ from lumenweave.operators import search as R
 from lumenweave.operators import tables as B
 from lumenweave.operators import timeline as L
 from lumenweave.plans import views as V
+from lumenweave.plans.registry import query
 from lumenweave.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
-    """Registers a query under its name, with SQL over the named views."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = V.with_views(sql, *views) if views else sql
-        return f
-
-    return add
-
-
 # text
 
 COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -78,19 +60,17 @@ def entity_types(spark, d):
     return table(spark, d, "events").select("event_id", X.entity_type(F.upper(F.get(names, (F.col("event_id") % (len(ALIASES) + 9)).cast("int")))).alias("type"))
 
 
-@query("SELECT c_custkey, CASE r WHEN 'NEAR' THEN 'RELATES_TO' WHEN 'PART_OF' THEN 'CONTAINS' WHEN 'HOLDS' THEN 'INTERACTS_WITH' WHEN 'CAUSES' THEN 'CAUSES' ELSE 'RELATES_TO' END AS rel FROM (SELECT c_custkey, (['NEAR', 'PART_OF', 'HOLDS', 'CAUSES', 'OTHER'])[c_custkey % 5 + 1] AS r FROM customer)")
+@query("""SELECT c_custkey, (['RELATES_TO', 'CONTAINS', 'INTERACTS_WITH', 'CAUSES', 'RELATES_TO', 'RELATES_TO', 'CONTAINS', 'SIMILAR_TO', 'INTERACTS_WITH', 'RELATES_TO'])[c_custkey % 10 + 1] AS rel FROM customer""")
 def relation_types(spark, d):
-    raw = F.get(F.array(*map(F.lit, ["near", "part of", "Holds", "causes", "other"])), (F.col("c_custkey") % 5).cast("int"))
-    return table(spark, d, "customer").select("c_custkey", X.relation_type(raw).alias("rel"))
-
-
-_stop = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+    said = ["near", " part_of ", "Holds", "causes", "other", "part of", "has", "Similar_To", "WEARS", "part-of"]
+    return table(spark, d, "customer").select("c_custkey", X.relation_type(F.get(F.array(*map(F.lit, said)), (F.col("c_custkey") % 10).cast("int"))).alias("rel"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS w FROM conversations)
-SELECT c.conv_id, c.turn, coalesce(n, 0)::BIGINT AS n_terms FROM conversations c LEFT JOIN (SELECT conv_id, turn, count(DISTINCT w) AS n FROM t WHERE w NOT IN ({_stop}) GROUP BY ALL) USING (conv_id, turn)""")
+@query(r"""WITH t AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM conversations)
+SELECT c.conv_id, c.turn, coalesce(terms, '') AS terms FROM conversations c LEFT JOIN (SELECT conv_id, turn, string_agg(w, ' ' ORDER BY w) AS terms FROM t WHERE regexp_matches(w, '^[a-z0-9]{3,}$')
+AND w NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'what', 'when', 'where', 'which', 'who', 'how', 'about', 'video', 'scene', 'please') GROUP BY ALL) USING (conv_id, turn)""")
 def query_terms(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(X.query_terms(F.col("text"))).cast("long").alias("n_terms"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(X.query_terms(F.col("text"))), " ").alias("terms"))
 
 
 @query(r"""SELECT page_id, regexp_replace(nullif(substr(trim(url), 1, 1000), ''), '([+\-&|!(){}\[\]^"~*?:\\/])', '\\\1', 'g') AS q FROM pages""")
@@ -98,7 +78,7 @@ def escape_fulltext(spark, d):
     return table(spark, d, "pages").select("page_id", X.escape_fulltext(F.col("url")).alias("q"))
 
 
-@query(r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'item') AS segment FROM pages")
+@query(r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'unknown') AS segment FROM pages")
 def safe_segments(spark, d):
     return table(spark, d, "pages").select("page_id", X.safe_segment(F.col("url")).alias("segment"))
 
@@ -153,9 +133,9 @@ def gaussian_proximity(spark, d):
     return V.frames(spark, d).select("frame_id", F.round(S.gaussian(F.col("score"), 25, 75), 6).alias("temporal"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN round(l_discount / l_tax, 3) END AS rate FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN round(coalesce(CASE WHEN l_linenumber <> 3 THEN l_discount END, 0) / l_tax, 3) END AS rate FROM lineitem")
 def rate_metric(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.rate(F.col("l_discount"), F.col("l_tax")).alias("rate"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.rate(F.when(F.col("l_linenumber") != 3, F.col("l_discount")), F.col("l_tax")).alias("rate"))
 
 
 @query("SELECT p_partkey, round(CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size::DOUBLE / (p_partkey % 7) END, 8) AS fps FROM part")
@@ -573,7 +553,7 @@ def content_distinct(spark, d):
     return B.hash_distinct(table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "text", ["doc_id"]).select("doc_id", "sha256")
 
 
-@query()
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS n FROM documents) ORDER BY n, lang NULLS FIRST LIMIT 100")
 def stratified_sample(spark, d):
     return B.stratified(table(spark, d, "documents"), "lang", "doc_id", 100).select("doc_id", "lang")
 
@@ -616,11 +596,18 @@ def success_rate(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.try_divide(F.sum((F.col("event_type") != "error").cast("long")), F.count("*")).alias("success_rate"))
 
 
-@query("SELECT event_id, 'at [' || event_id % 60 || ':05] or (1:' || lpad((event_id % 60)::VARCHAR, 2, '0') || ') or ' || event_id % 9 || ':30' AS answer, [event_id % 60 || ':05', '1:' || lpad((event_id % 60)::VARCHAR, 2, '0'), event_id % 9 || ':30'] AS cited FROM events")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN [m * 60 + 5, 3600 + m * 60 + 7, m * 60 + 30]::DOUBLE[] WHEN 1 THEN [m + 0.5, m]::DOUBLE[] WHEN 2 THEN [m * 60 + 9]::DOUBLE[] ELSE []::DOUBLE[] END AS seconds,
+CASE WHEN event_id % 4 = 1 THEN [m, 17]::INT[] ELSE []::INT[] END AS frames FROM (SELECT event_id, event_id % 60 AS m FROM events)""")
 def citations(spark, d):
-    n = F.col("event_id")
-    answer = F.concat(F.lit("at ["), n % 60, F.lit(":05] or (1:"), F.lpad((n % 60).cast("string"), 2, "0"), F.lit(") or "), n % 9, F.lit(":30"))
-    return table(spark, d, "events").select("event_id", answer.alias("answer"), E.citations(answer).alias("cited"))
+    m, n = (F.col("event_id") % 60).cast("string"), F.col("event_id") % 4
+    said = (
+        F.when(n == 0, F.concat(F.lit("from "), m, F.lit(":30 on, see [ "), m, F.lit(":05] and (1:"), F.lpad(m, 2, "0"), F.lit(":07)")))
+        .when(n == 1, F.concat(F.lit("Frame #"), m, F.lit(" and frame 17, T = "), m, F.lit(".5 s, At "), m, F.lit(" seconds")))
+        .when(n == 2, F.concat(F.lit("odds of 123:45, version 1.12:30 and 1:234, but ("), m, F.lit(":09)")))
+        .otherwise(F.lit("near the end of frames, at seconds 12, t=s"))
+    )
+    cited = E.citations(said)
+    return table(spark, d, "events").select("event_id", F.filter(F.transform(cited, lambda c: c["seconds"]), lambda x: x.isNotNull()).alias("seconds"), F.filter(F.transform(cited, lambda c: c["frame"]), lambda x: x.isNotNull()).alias("frames"))
 
 
 @query("SELECT event_id, substr('ABCDE', (event_id % 5)::INT + 1, 1) AS said, CASE WHEN event_id % 5 < 4 THEN substr('ABCD', (event_id % 5)::INT + 1, 1) END AS choice FROM events")
@@ -629,9 +616,9 @@ def multiple_choice(spark, d):
     return table(spark, d, "events").select("event_id", said.alias("said"), E.choice(F.concat(F.lit("  The answer is "), said, F.lit("."))).alias("choice"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '\b(beginning|start|middle|end|later|earlier|before|after|during)\b') AS soft FROM conversations")
+@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '\b(beginning|middle|end|opening|closing|earlier|later|after|before)\b') AS soft FROM (SELECT conv_id, turn, text || ([' the start', ' at the opening', ' during it', ' Closing scene', ' ending'])[turn % 5 + 1] AS text FROM conversations)")
 def soft_references(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", E.soft_reference(F.col("text")).alias("soft"))
+    return table(spark, d, "conversations").select("conv_id", "turn", E.soft_reference(F.concat("text", F.get(F.array(*map(F.lit, [" the start", " at the opening", " during it", " Closing scene", " ending"])), (F.col("turn") % 5).cast("int")))).alias("soft"))
 
 
 @query("SELECT l_orderkey, l_partkey, rank FROM (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) WHERE rank <= 2")
@@ -667,10 +654,9 @@ def benchmark_rows(spark, d):
     return q.withColumn("mode", F.explode(F.array(F.lit("with"), F.lit("without")))).select("doc_id", F.concat(F.lit("question "), "doc_id", F.lit(" ("), "mode", F.lit(")")).alias("query"), "ground_truth", "mode")
 
 
-@query("""SELECT lang, 'doc' AS bucket, count(*) AS n FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents) WHERE i <= 25 GROUP BY lang""")
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS n FROM documents) WHERE n <= (SELECT 100 // count(DISTINCT lang) FROM documents)""")
 def equal_quotas(spark, d):
-    q = R.per_group(table(spark, d, "documents"), "lang", [F.col("doc_id")], 25)
-    return q.groupBy("lang").agg(F.lit("doc").alias("bucket"), F.count("*").alias("n"))
+    return B.equal_quotas(table(spark, d, "documents"), "lang", "doc_id", 100, 7).select("doc_id", "lang")
 
 
 @query("SELECT video_id, speaker, start_ms, phase FROM (SELECT s.*, CASE WHEN end_ms < 30000 THEN 'before' WHEN start_ms > 40000 THEN 'after' ELSE 'during' END AS phase FROM segments s) QUALIFY row_number() OVER (PARTITION BY video_id, phase ORDER BY abs(start_ms - 35000), start_ms) <= 3", "segments")

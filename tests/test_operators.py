@@ -57,12 +57,12 @@ def test_text(spark):
     assert one(spark, X.first_sentence(F.lit(" . x"), "none")) == "none"
     assert one(spark, X.entity_name(F.lit(" Big  Red! Car "))) == "big red car"
     assert one(spark, X.entity_type(F.lit("Vehicle"))) == "object" and one(spark, X.entity_type(F.lit("?"))) == "concept"
-    assert one(spark, X.relation_type(F.lit("part of"))) == "CONTAINS"
-    assert one(spark, X.clean_generated(F.lit("1. **Title:** Summary: it\nis"), ["title:", "summary:"])) == "it is"
+    assert one(spark, X.relation_type(F.lit("part of"))) == "RELATES_TO" and one(spark, X.relation_type(F.lit(" part_of "))) == "CONTAINS"
+    assert one(spark, X.clean_generated(F.lit("1. **Title:** Summary: it\nis"), ["Title:", "Summary:", "IT"])) == "it is"
     assert one(spark, X.escape_fulltext(F.lit(" a:b (c) "))) == r"a\:b \(c\)"
     assert one(spark, X.strip_fences(F.lit("```json\n{}\n```"))) == "{}"
     assert one(spark, X.safe_segment(F.lit("..a b/c_"))) == "a_b_c"
-    assert one(spark, X.query_terms(F.lit("What about the red CAR, red?"))) == ["red", "car"]
+    assert one(spark, X.query_terms(F.lit("What about the red CAR, red café a_b video?"))) == ["red", "car"]
     assert one(spark, X.keywords(F.lit("a big, red! car"))) == ["big", "red", "car"]
 
 
@@ -78,7 +78,12 @@ def test_numbers(spark):
 
 
 def test_citations(spark):
-    assert one(spark, E.citations(F.lit("see [1:05], (0:10) and 2:00"))) == ["1:05", "0:10", "2:00"]
+    got = one(spark, E.citations(F.lit("see [1:05], (0:10) and 2:00, 123:45, 1.2:30, frame #7, t=1.5s, at 3 secs")))
+    assert [(c.kind, c.seconds, c.frame) for c in got] == [("timestamp", 65, None), ("timestamp", 10, None), ("timestamp", 120, None), ("frame", None, 7), ("timestamp", 1.5, None), ("timestamp", 3, None)]
+    assert one(spark, E.citations(F.lit(None).cast("string"))) == []
+    cited = E.citations(F.lit("[1:05] frame 100"))
+    assert one(spark, E.fraction_in_window(cited, F.lit(60), F.lit(70), F.lit(None).cast("double"))) == 0.5
+    assert one(spark, E.fraction_in_window(cited, F.lit(0), F.lit(70), F.lit(25.0))) == 1.0
     assert one(spark, E.choice(F.lit("Answer: B."))) == "B" and one(spark, E.choice(F.lit("no"))) is None
     assert one(spark, E.grounding(F.lit(0), F.lit(1), F.lit(False))) == 0.5
 

@@ -1,6 +1,6 @@
 import pytest
 
-from lumenweave.plans import queries as q
+from lumenweave.plans import queries, registry as q
 from tests.compare import DATA, same
 
 
@@ -10,7 +10,7 @@ def test_same_as_sql(spark, name):
 
 
 def test_stratified_sample_takes_turns(spark):
-    rows = q.stratified_sample(spark, DATA).collect()
+    rows = queries.stratified_sample(spark, DATA).collect()
     counts = {lang: sum(r.lang == lang for r in rows) for lang in {r.lang for r in rows}}
     there = {r.lang: r["count"] for r in spark.read.parquet(f"{DATA}/documents.parquet").groupBy("lang").count().collect()}
     assert len(rows) == 100 and all(n == there[lang] or max(counts.values()) - n <= 1 for lang, n in counts.items())
