@@ -13,7 +13,8 @@ from lumenweave.session import written
 def cooccurrence(contains: DataFrame, frame: str = "frame_id", entity: str = "entity_id", keep: int = 5) -> DataFrame:
     """``a, b, weight, frames``: entities in the same frame; the smallest ``keep`` frames are listed."""
     pairs = contains.select(F.col(frame), F.col(entity).alias("a")).join(contains.select(F.col(frame), F.col(entity).alias("b")), frame).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight"), F.slice(F.array_sort(F.collect_set(frame)), 1, keep).alias("frames"))
+    ranked = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy(frame)))
+    return ranked.groupBy("a", "b").agg(F.count("*").alias("weight"), F.array_sort(F.collect_list(F.when(F.col("_n") <= keep, F.col(frame)))).alias("frames"))
 
 
 def entity_graph(entities: DataFrame, edges: DataFrame, least: int, node: str = "entity_id", occurrences: str = "occurrences") -> DataFrame:
@@ -24,9 +25,11 @@ def entity_graph(entities: DataFrame, edges: DataFrame, least: int, node: str =
 
 def accumulate(mentions: DataFrame, keys: list[str], at: str, text: str, confidence: str, keep: int = 5) -> DataFrame:
     """One row an entity: count, first and last time, best confidence, longest text, up to ``keep`` distinct texts in order of time."""
-    w = Window.partitionBy(*keys, text).orderBy(at)
-    ranked = mentions.withColumn("_new", F.row_number().over(w) == 1)
-    texts = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("_new"), F.struct(at, text)))), 1, keep), lambda s: s[text])
+    new = F.row_number().over(Window.partitionBy(*keys, text).orderBy(at)) == 1
+    # the first of each text are numbered before any are gathered
+    nth = F.sum(F.col("_new").cast("int")).over(Window.partitionBy(*keys).orderBy(F.col(at), F.col(text)).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = mentions.withColumn("_new", new).withColumn("_n", nth)
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("_new") & (F.col("_n") <= keep), F.struct(at, text)))), lambda s: s[text])
     return ranked.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.max(confidence).alias("confidence"), F.max_by(text, F.struct(F.length(text), F.col(text))).alias("description"), texts.alias("descriptions"))
 
 
@@ -36,13 +39,15 @@ def common_entities(mentions: DataFrame, name: str, kind: str, video: str, frame
     return per.groupBy(F.col(name).alias("name"), F.col(kind).alias("type")).agg(F.array_sort(F.collect_list(video)).alias("videos"), F.count("*").alias("n_videos"), F.sum("n").alias("appearances")).where(F.col("n_videos") >= least)
 
 
-def same_entities(entities: DataFrame, node: str, name: str, kind: str, video: str, least: int = 4, gram: int = 4) -> DataFrame:
+def same_entities(entities: DataFrame, node: str, name: str, kind: str, video: str, least: int = 4, gram: int = 4, user: str | None = None) -> DataFrame:
     """``a, b, similarity`` of entities of one type in different videos: 1.0 for equal names, 0.7 if one long name contains the other.
 
     A name that contains another holds all of its ``gram``-letter pieces, so pairs
-    meet by the first piece of the shorter instead of by type alone.
+    meet by the first piece of the shorter instead of by type alone. With ``user``,
+    only entities of the same user are the same.
     """
-    e = entities.select(F.col(node).alias("id"), F.col(name).alias("name"), F.col(kind).alias("kind"), F.col(video).alias("video"))
+    of = F.struct(F.col(kind), F.col(user)) if user else F.col(kind)
+    e = entities.select(F.col(node).alias("id"), F.col(name).alias("name"), of.alias("kind"), F.col(video).alias("video"))
     equal = e.alias("x").join(e.alias("y"), F.expr("x.kind = y.kind AND x.name = y.name AND x.id < y.id AND x.video <> y.video")).selectExpr("x.id AS a", "y.id AS b", "1.0D AS similarity")
     long = e.where(F.length("name") >= least)
     heads = long.withColumn("g", F.substring("name", 1, gram))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,28 +12,78 @@ from lumenweave.session import cut
 K1, B = 1.2, 0.75
 
 
-def vector_search(nodes: DataFrame, query: Column, k: int, least: float, coarse: int = 16, wide: int = 5, node: str = "node_id", v: str = "v") -> DataFrame:
-    """``nodes`` with ``score``: the best ``wide * k`` by a prefix of the vector, of these the best ``k`` by all of it."""
-    first = nodes.withColumn("coarse", cosine(F.slice(v, 1, coarse), F.slice(query, 1, coarse)))
-    some = first.where(F.col("coarse") >= max(least - 0.15, 0.1)).orderBy(F.desc("coarse"), node).limit(wide * k)
-    return some.withColumn("score", cosine(F.col(v), query)).where(F.col("score") >= least).orderBy(F.desc("score"), node).limit(k).drop("coarse")
-
-
-def nearest_vectors(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: str = "node_id", group: str = "video_id", v: str = "v", blocks: int = 8) -> DataFrame:
-    """``query, node, score``: of each query the best ``k`` of other groups. Queries are a stated set; nodes are met block by block."""
-    q = queries.select(F.col(node).alias("query"), F.col(group).alias("q_group"), F.col(v).alias("q_v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    n = nodes.select(F.col(node).alias("node"), F.col(group).alias("n_group"), F.col(v).alias("n_v"), F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int").alias("block"))
-    scored = q.join(n, "block").where("q_group <> n_group").select("query", "node", "block", cosine(F.col("q_v"), F.col("n_v")).alias("score")).where(F.col("score") >= least)
-    for keys in (["query", "block"], ["query"]):
-        scored = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "node"))).where(F.col("_n") <= k).drop("_n")
-    return scored.select("query", "node", "score")
-
-
-def children_search(parents: DataFrame, edges: DataFrame, nodes: DataFrame, query: Column, k: int) -> DataFrame:
-    """``parent, node, score``: the best ``k`` children of each parent."""
-    kids = parents.join(edges, F.col("parent") == F.col("src")).select("parent", F.col("dst").alias("node")).join(nodes, "node")
-    ranked = kids.withColumn("score", cosine(F.col("v"), query)).withColumn("_n", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("score"), "node")))
-    return ranked.where(F.col("_n") <= k).select("parent", "node", "score")
+def vector_search(nodes: DataFrame, queries: DataFrame, k: int, least: float, coarse: int = 16, wide: int = 5, node: str = "node_id", v: str = "v") -> DataFrame:
+    """``query, node, score``: of each query the best ``wide * k`` by a prefix of the vector, of these the best ``k`` by all of it."""
+    head = lambda df: df.select(node, F.slice(v, 1, coarse).alias("v"))
+    some = nearest(head(queries), head(nodes), wide * k, max(least - 0.15, 0.1), node=node, v="v").select("query", "node")
+    side = lambda df, name: df.select(F.col(node).alias(name), F.col(v).alias(f"{name}_v"))
+    exact = some.join(side(queries, "query"), "query").join(side(nodes, "node"), "node").select("query", "node", cosine(F.col("query_v"), F.col("node_v")).alias("score"))
+    return per_group(exact.where(F.col("score") >= least), "query", [F.desc("score"), F.col("node")], k)
+
+
+def nearest(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: str = "node_id", group: str | None = None, v: str = "v", rows: int = 20_000) -> DataFrame:
+    """``query, node, score``: of each query the best ``k`` by cosine, of other groups if ``group`` is given.
+
+    Queries are a stated set. Queries and nodes are dealt by hash into blocks of about
+    ``rows``; a task takes a block of each, whose product of matrices it makes, and
+    hands on the best ``k`` of each query.
+    """
+    n_q, n_n = (F.lit(1 + df.count() // rows) for df in (queries, nodes))
+    of = (lambda df: F.col(group).cast("string")) if group else (lambda df: F.lit(None).cast("string"))
+    block = lambda n: F.pmod(F.xxhash64(node), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    q = queries.select(F.col(node).alias("id"), of(queries).alias("g"), F.col(v).cast("array<float>").alias("v"), block(n_q).alias("i"), every(n_n).alias("j"))
+    n = nodes.select(F.col(node).alias("id"), of(nodes).alias("g"), F.col(v).cast("array<float>").alias("v"), every(n_q).alias("i"), block(n_n).alias("j"))
+    kind = dict(q.dtypes)["id"]
+
+    def best(x, y):
+        import pandas as pd
+
+        out = []
+        if len(x) and len(y):
+            a, b = (np.stack(t.v.to_numpy()).astype(np.float64) for t in (x, y))
+            a, b = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300) for t in (a, b))
+            own, other = x.g.to_numpy(), y.g.to_numpy()
+            for lo in range(0, len(a), 256):
+                s = a[lo : lo + 256] @ b.T
+                if group:
+                    s[own[lo : lo + 256, None] == other[None]] = -2
+                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
+                cut_ = np.take_along_axis(s, top, 1).min(1) if s.shape[1] > k else np.full(len(s), -2.0)
+                at, to = np.nonzero((s >= cut_[:, None]) & (s >= least))  # with all that tie at the end
+                out.append(pd.DataFrame({"query": x.id.to_numpy()[lo + at], "node": y.id.to_numpy()[to], "score": s[at, to]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "node": [], "score": []})
+
+    met = q.groupBy("i", "j").cogroup(n.groupBy("i", "j")).applyInPandas(best, f"query {kind}, node {kind}, score double")
+    return per_group(met, "query", [F.desc("score"), F.col("node")], k)
+
+
+def nearest_vectors(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: str = "node_id", group: str = "video_id", v: str = "v") -> DataFrame:
+    """``query, node, score``: of each query the best ``k`` of other groups."""
+    return nearest(queries, nodes, k, least, node, group, v)
+
+
+def children_search(parents: DataFrame, edges: DataFrame, nodes: DataFrame, query: Column | None, k: int) -> DataFrame:
+    """``parent, node, score``: the best ``k`` children of each parent; without a query by the parent's own column ``q``."""
+    kids = parents.join(edges, F.col("parent") == F.col("src")).select(*parents.columns, F.col("dst").alias("node")).join(nodes, "node")
+    scored = kids.withColumn("score", cosine(F.col("v"), F.col("q") if query is None else query))
+    keys = [c for c in parents.columns if c != "q"]
+    ranked = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "node")))
+    return ranked.where(F.col("_n") <= k).select(*keys, "node", "score")
+
+
+def drill_down(queries: DataFrame, levels: list[DataFrame], edges: DataFrame, k: int) -> DataFrame:
+    """``query, path, score``: the best ``k`` nodes of the first level, of each its best ``k`` children, and so on.
+
+    ``queries`` has query and q; a level has node and v; ``edges`` lead from a level to the next.
+    """
+    top = nearest(queries.select(F.col("query").alias("node"), F.col("q").alias("v")), levels[0], k, -1.0, node="node")
+    path = top.select("query", F.array("node").alias("path"), "node", "score")
+    for level in levels[1:]:
+        parents = path.select("query", "path", F.col("node").alias("parent")).join(queries, "query")
+        kids = children_search(parents, edges, level, None, k)
+        path = kids.select("query", F.array_append("path", F.col("node")).alias("path"), "node", "score")
+    return path.select("query", "path", "score")
 
 
 def pool(members: DataFrame, key: str, v: str, weight: str) -> DataFrame:
@@ -44,26 +95,28 @@ def pool(members: DataFrame, key: str, v: str, weight: str) -> DataFrame:
     return mean.select(key, unit(F.col("m")).alias("pooled"))
 
 
-def tokens(docs: DataFrame, node: str, text: str) -> DataFrame:
-    return docs.select(F.col(node), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+def bm25(docs: DataFrame, query: list[str], node: str, text: str) -> DataFrame:
+    """``node, score`` of every text with a query term; the corpus statistics cover all texts.
 
+    A text is gone through once, for its length and how often each term stands in it.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
-def bm25(docs: DataFrame, query: list[str], node: str, text: str) -> DataFrame:
-    """``node, score`` of every text with a query term; the corpus statistics cover all texts."""
-    t = tokens(docs, node, text)
-    lengths = docs.select(F.col(node), F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("len"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = t.where(F.col("term").isin(query)).groupBy(node, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(F.broadcast(df), "term").join(lengths, node).crossJoin(F.broadcast(totals))  # a row for each query term; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return scored.groupBy(node).agg(F.sum(part).alias("score"))
+    def often(term: str) -> Column:
+        return F.coalesce(F.size(F.filter("w", lambda x: x == term)), F.lit(0))
+
+    said = docs.select(F.col(node), words.alias("w")).select(node, F.coalesce(F.size("w"), F.lit(0)).alias("len"), *[often(t).alias(f"t{i}") for i, t in enumerate(query)])
+    said = cut(said)
+    totals = said.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(query))])
+    scored = said.where(F.greatest(*[F.col(f"t{i}") for i in range(len(query))], F.lit(0)) > 0).crossJoin(F.broadcast(totals))  # one row
+    part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return scored.select(node, sum((F.when(F.col(f"t{i}") > 0, part(i)).otherwise(0.0) for i in range(len(query))), F.lit(0.0)).alias("score"))
 
 
 def fuse(vector: DataFrame, text: DataFrame, node: str = "node_id", extra: int = 20) -> DataFrame:
     """``node, vector_score, fulltext_score``: both lists together, text scores by their maximum, ``extra`` of those only in text."""
-    t = text.withColumn("fulltext_score", F.col("score") / F.max("score").over(Window.partitionBy(F.lit(1)))).drop("score")
+    best = text.agg(F.max("score").alias("_best"))
+    t = text.crossJoin(F.broadcast(best)).withColumn("fulltext_score", F.col("score") / F.col("_best")).drop("score", "_best")  # one row
     hits = vector.select(node, F.col("score").alias("vector_score")).join(t, node, "left").select(node, "vector_score", F.coalesce("fulltext_score", F.lit(0.0)).alias("fulltext_score"))
     more = t.join(vector, node, "left_anti").orderBy(F.desc("fulltext_score"), node).limit(extra).select(node, F.lit(0.0).alias("vector_score"), "fulltext_score")
     return hits.unionByName(more)
@@ -100,6 +153,19 @@ def within_budget(rows: DataFrame, key: str, order: list[Column], size: str, bud
     return rows.withColumn("_run", run).where(F.col("_run") <= budget).drop("_run")
 
 
+def fitting(rows: DataFrame, key: str, order: list[str], size: str, budget: int, most: int) -> DataFrame:
+    """Rows in order that still fit into the budget, ``most`` at most; one that doesn't is passed over."""
+    left = rows.select(key, F.struct(*order, F.col(size).alias("_size")).alias("_x")).withColumn("_left", F.lit(budget))
+    taken = None
+    for _ in range(most):  # a round takes the first of each key that fits; no group is ever gathered
+        fits = left.where("_x._size <= _left")
+        best = cut(fits.groupBy(key).agg(F.min("_x").alias("_r"), F.first("_left").alias("_was")))
+        taken = best if taken is None else taken.unionByName(best)
+        rest = best.select(key, "_r", (F.col("_was") - F.col("_r._size")).alias("_now"))
+        left = fits.join(rest, key).where("_x > _r").select(key, "_x", F.col("_now").alias("_left"))
+    return taken.select(key, *[F.col(f"_r.{c}") for c in order])
+
+
 def pick_apart(rows: DataFrame, key: str, order: list[str], lo: str, hi: str, most: int) -> DataFrame:
     """``key, lo, hi``: spans taken in order if they overlap none taken before, ``most`` at most."""
     rest = rows.select(key, F.struct(*order, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).alias("_x"))

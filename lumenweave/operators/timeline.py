@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +96,23 @@ def midpoints(frames: DataFrame, key: str, at: str, order: list[str], duration:
 
 
 def thin(rows: DataFrame, key: str, at: str, gap: int) -> DataFrame:
-    """``key, at`` of the rows kept when each must be ``gap`` or more from the last one kept."""
-    fold = f"aggregate(ts, cast(array() as array<bigint>), (kept, t) -> if(size(kept) = 0 or t - element_at(kept, -1) >= {gap}, array_append(kept, t), kept))"
-    return rows.groupBy(key).agg(F.array_sort(F.collect_set(F.col(at).cast("long"))).alias("ts")).select(key, F.explode(F.expr(fold)).alias(at))
+    """``key, at`` of the rows kept when each must be ``gap`` or more from the last one kept.
+
+    The rows of a key pass through one task in order; it remembers the last one kept.
+    """
+    some = rows.select(key, F.col(at).cast("long").alias(at))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0
+        for batch in batches:
+            keep = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if t is not None and (now != (k,) or t - last >= gap):
+                    now, last = (k,), t
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return some.repartition(key).sortWithinPartitions(key, at).mapInArrow(fold, some.schema)
 
 
 def boundary_points(durations: DataFrame, frames: DataFrame, segments: DataFrame, key: str, gap: int, most: int) -> DataFrame:
@@ -115,13 +131,18 @@ def boundary_points(durations: DataFrame, frames: DataFrame, segments: DataFrame
 
 def scenes(points: DataFrame, key: str, least: int) -> DataFrame:
     """``key, n, start_ms, end_ms, reasons``: points closer than ``least`` to the scene's start are absorbed; the last point closes."""
-    state = "named_struct('at', points[0].point, 'why', points[0].reasons, 'out', cast(array() as array<struct<start: bigint, stop: bigint, why: array<string>>>))"
-    step = f"""if(p.point - a.at < {least} and p.point <> points[size(points) - 1].point,
-        named_struct('at', a.at, 'why', array_union(a.why, p.reasons), 'out', a.out),
-        named_struct('at', p.point, 'why', p.reasons, 'out', array_append(a.out, named_struct('start', a.at, 'stop', p.point, 'why', array_sort(array_union(a.why, p.reasons))))))"""
-    fold = F.expr(f"aggregate(slice(points, 2, size(points)), {state}, (a, p) -> {step}, a -> a.out)")
-    sorted_ = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("point", "reasons"))).alias("points"))
-    return sorted_.select(key, F.posexplode(fold).alias("n", "s")).select(key, "n", F.col("s.start").alias("start_ms"), F.col("s.stop").alias("end_ms"), F.col("s.why").alias("reasons"))
+    w = Window.partitionBy(key).orderBy("point")
+    last = points.groupBy(key).agg(F.max("point").alias("point"))
+    edges = thin(points, key, "point", least).unionByName(last).distinct().withColumn("edge", F.lit(True))
+    # a scene is named by the edge at or before a point; the edge that closes it has its reasons counted too
+    marked = points.join(edges, [key, "point"], "left")
+    at = F.last(F.when(F.col("edge"), F.col("point")), ignorenulls=True)
+    held = marked.withColumns({"own": at.over(w.rowsBetween(Window.unboundedPreceding, 0)), "closed": F.when(F.col("edge"), at.over(w.rowsBetween(Window.unboundedPreceding, -1)))})
+    each = held.select(key, F.col("own").alias("start_ms"), "reasons").unionByName(held.where("closed IS NOT NULL").select(key, F.col("closed").alias("start_ms"), "reasons"))
+    why = each.select(key, "start_ms", F.explode("reasons").alias("r")).groupBy(key, "start_ms").agg(F.array_sort(F.collect_set("r")).alias("reasons"))  # a few kinds of reason
+    e = Window.partitionBy(key).orderBy("point")
+    spans = edges.select(key, (F.row_number().over(e) - 1).alias("n"), F.col("point").alias("start_ms"), F.lead("point").over(e).alias("end_ms")).where("end_ms IS NOT NULL")
+    return spans.join(why, [key, "start_ms"]).select(key, "n", "start_ms", "end_ms", "reasons")
 
 
 def chunks(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
@@ -151,9 +172,9 @@ def adjacency_boost(rows: DataFrame, key: str, at: str, score: str, other: str,
 
 
 def coverage(frames: DataFrame, key: str, at: str, durations: DataFrame) -> DataFrame:
-    """How evenly frames cover a video: ``key, n, max_gap, avg_gap, problems, score``; times in seconds.
+    """How evenly frames cover a video: ``key, n, max_gap, avg_gap, problems, density, score, advice``; times in seconds.
 
-    Gaps stand between frames and, over a second, at either end.
+    Gaps stand between frames and, over a second, at either end. ``density`` is frames a minute.
     """
     w = Window.partitionBy(key).orderBy(at)
     inner = frames.select(key, (F.lead(at).over(w) - F.col(at)).alias("gap")).where("gap IS NOT NULL")
@@ -166,4 +187,13 @@ def coverage(frames: DataFrame, key: str, at: str, durations: DataFrame) -> Data
     out = d.join(n, key, "left").join(gaps, key, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "max_gap": F.when(F.col("n").isNull(), F.col("duration")).otherwise(F.coalesce("max_gap", F.lit(0.0))), "problems": F.coalesce("problems", F.lit(0))})
     base = F.least(10 * F.coalesce(F.try_divide(F.col("n"), F.col("duration") / 60), F.lit(0.0)), F.lit(100.0)) - F.least(10.0 * F.col("problems"), F.lit(50.0))
     score = base - F.when(F.col("max_gap") > F.col("_limit"), F.least(20 * (F.col("max_gap") / F.col("_limit") - 1), F.lit(30.0))).otherwise(0.0)
-    return out.select(key, "n", F.round("max_gap", 2).alias("max_gap"), F.round("avg_gap", 2).alias("avg_gap"), "problems", F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.greatest(score, F.lit(0.0)), 1)).alias("score"))
+    score = F.when(F.col("n") == 0, 0.0).otherwise(F.greatest(score, F.lit(0.0)))
+    density = F.coalesce(F.try_divide(F.col("n"), F.col("duration") / 60), F.lit(0.0))
+    advice = F.array_compact(F.array(
+        F.when(score < 50, "Consider using DEEP_ANALYSIS or ADAPTIVE preset for better coverage"),
+        F.when(F.col("max_gap") > F.col("_limit") * 2, F.format_string("Large gap detected (%.1fs) - use HYBRID extraction to fill gaps", "max_gap")),
+        F.when(density < 5, "Low frame density - increase max_frames or reduce interval"),
+        F.when(F.col("problems") > 5, F.format_string("%d gaps over %.1fs - content may be missed", "problems", F.col("_limit").cast("double"))),
+    ))
+    advice = F.when(F.col("n") == 0, F.array(F.lit("No frames extracted"))).when(F.size(advice) == 0, F.array(F.lit("Good coverage achieved"))).otherwise(advice)
+    return out.select(key, "n", F.round("max_gap", 2).alias("max_gap"), F.round(F.coalesce("avg_gap", F.lit(0.0)), 2).alias("avg_gap"), "problems", F.round(density, 2).alias("density"), F.round(score, 1).alias("score"), advice.alias("advice"))

@@ -152,10 +152,14 @@ def next_frame_chain(spark, d):
     return L.chain(f, "video_id", ["ts_ms", "frame_id"], "frame_id", "NEXT_FRAME").join(f.select("video_id", F.col("frame_id").alias("src")), "src").select("video_id", "src", "dst", "rel_type")
 
 
-@query("""SELECT a.frame_id AS anchor, b.frame_id, b.n - a.n AS hop FROM r a JOIN r b ON a.video_id = b.video_id AND b.n - a.n BETWEEN 1 AND 5 WHERE a.frame_id % 50 = 0""".replace("FROM r a", "FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms, frame_id) AS n FROM frames) a").replace("JOIN r b", "JOIN (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms, frame_id) AS n FROM frames) b"), "frames")
+@query("""SELECT * FROM (WITH r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms, frame_id) AS n FROM frames) SELECT a.frame_id AS anchor, b.frame_id, abs(b.n - a.n) AS hop, CASE WHEN b.n > a.n THEN 'forward' ELSE 'backward' END AS direction
+FROM r a JOIN r b ON a.video_id = b.video_id AND abs(b.n - a.n) BETWEEN 1 AND 5 WHERE a.frame_id % 20 = 0)""", "frames")
 def walk_chain(spark, d):
     f = V.frames(spark, d)
-    return L.walk(f, "video_id", ["ts_ms", "frame_id"], f.where("frame_id % 50 = 0"), "frame_id", 5).select("anchor", "frame_id", F.col("hop").cast("long").alias("hop"))
+    anchors = f.where("frame_id % 20 = 0")
+    ahead = L.walk(f, "video_id", ["ts_ms", "frame_id"], anchors, "frame_id", 5).withColumn("direction", F.lit("forward"))
+    back = L.walk(f.withColumns({"_t": -F.col("ts_ms"), "_f": -F.col("frame_id")}), "video_id", ["_t", "_f"], anchors, "frame_id", 5).withColumn("direction", F.lit("backward"))
+    return ahead.select("anchor", "frame_id", "hop", "direction").unionByName(back.select("anchor", "frame_id", "hop", "direction")).withColumn("hop", F.col("hop").cast("long"))
 
 
 @query("""SELECT video_id, session, count(*) AS n, min(ts_ms) AS lo, max(ts_ms) AS hi, round(avg(score), 6) AS score FROM (
@@ -281,7 +285,10 @@ def late_segments_dropped(spark, d):
 g AS (SELECT video_id, lead(t) OVER (PARTITION BY video_id ORDER BY t) - t AS gap FROM f UNION ALL SELECT video_id, min(t) FROM f GROUP BY video_id HAVING min(t) > 1 UNION ALL SELECT f.video_id, any_value(duration) - max(t) FROM f JOIN dur USING (video_id) GROUP BY f.video_id HAVING any_value(duration) - max(t) > 1),
 a AS (SELECT video_id, max(gap) AS m, avg(gap) AS v, count(*) FILTER (gap > CASE WHEN duration < 300 THEN 10 WHEN duration < 1800 THEN 20 WHEN duration < 3600 THEN 30 ELSE 45 END) AS p, any_value(CASE WHEN duration < 300 THEN 10 WHEN duration < 1800 THEN 20 WHEN duration < 3600 THEN 30 ELSE 45 END) AS lim, any_value(duration) AS duration FROM g JOIN dur USING (video_id) WHERE gap IS NOT NULL GROUP BY video_id),
 n AS (SELECT video_id, count(*) AS n FROM f GROUP BY video_id)
-SELECT video_id, n, round(m, 2) AS max_gap, round(v, 2) AS avg_gap, p AS problems, round(greatest(least(10 * n / (duration / 60), 100) - least(10.0 * p, 50) - CASE WHEN m > lim THEN least(20 * (m / lim - 1), 30) ELSE 0 END, 0), 1)::DOUBLE AS score FROM a JOIN n USING (video_id))""", "frames")
+SELECT video_id, n, round(m, 2) AS max_gap, round(v, 2) AS avg_gap, p AS problems, round(n / (duration / 60), 2)::DOUBLE AS density, round(score, 1)::DOUBLE AS score,
+coalesce(nullif(list_filter([CASE WHEN score < 50 THEN 'Consider using DEEP_ANALYSIS or ADAPTIVE preset for better coverage' END, CASE WHEN m > lim * 2 THEN format('Large gap detected ({:.1f}s) - use HYBRID extraction to fill gaps', m) END,
+CASE WHEN n / (duration / 60) < 5 THEN 'Low frame density - increase max_frames or reduce interval' END, CASE WHEN p > 5 THEN format('{} gaps over {:.1f}s - content may be missed', p, lim::DOUBLE) END], lambda x: x IS NOT NULL), []), ['Good coverage achieved']) AS advice
+FROM (SELECT *, greatest(least(10 * n / (duration / 60), 100) - least(10.0 * p, 50) - CASE WHEN m > lim THEN least(20 * (m / lim - 1), 30) ELSE 0 END, 0) AS score FROM a JOIN n USING (video_id)))""", "frames")
 def coverage_metrics(spark, d):
     f = V.frames(spark, d).select("video_id", F.floor(F.col("ts_ms") / 1000).cast("double").alias("t"))
     return L.coverage(f, "video_id", "t", f.groupBy("video_id").agg((F.max("t") + 5).alias("duration")))
@@ -295,9 +302,9 @@ def entity_cooccurrence(spark, d):
     return G.cooccurrence(V.contains(spark, d))
 
 
-@query("SELECT p_brand, p_type, count(*) AS occurrences, min(p_size) AS first_seen, max(p_size) AS last_seen, max(p_retailprice) AS confidence, arg_max(p_name, struct_pack(l := length(p_name), n := p_name)) AS description FROM part GROUP BY ALL")
+@query("SELECT p_brand, p_type, (SELECT list_slice(list(n ORDER BY s, n), 1, 5) FROM (SELECT q.p_name AS n, min(q.p_size) AS s FROM part q WHERE q.p_brand = p.p_brand AND q.p_type = p.p_type GROUP BY q.p_name)) AS descriptions, count(*) AS occurrences, min(p_size) AS first_seen, max(p_size) AS last_seen, max(p_retailprice) AS confidence, arg_max(p_name, struct_pack(l := length(p_name), n := p_name)) AS description FROM part p GROUP BY p_brand, p_type")
 def entity_accumulate(spark, d):
-    return G.accumulate(table(spark, d, "part"), ["p_brand", "p_type"], "p_size", "p_name", "p_retailprice").drop("descriptions")
+    return G.accumulate(table(spark, d, "part"), ["p_brand", "p_type"], "p_size", "p_name", "p_retailprice")
 
 
 @query("SELECT kind AS name, 'event' AS type, list_sort(list(video_id)) AS videos, count(*) AS n_videos, sum(n)::BIGINT AS appearances FROM (SELECT kind, video_id, count(DISTINCT frame_id) AS n FROM frames GROUP BY ALL) GROUP BY kind HAVING count(*) >= 2", "frames")
@@ -314,7 +321,7 @@ def cross_video_entities(spark, d):
 EDGES_SQL = "edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'CONTAINS' AS rel_type FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'CONTAINS' FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'CONTAINS' FROM orders)"
 
 
-def _tree(spark, d) -> DataFrame:
+def _tree(spark, d):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     parts = [("nation", "r", "n_regionkey", "n", "n_nationkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("orders", "c", "o_custkey", "o", "o_orderkey")]
     edges = [table(spark, d, t).select(name(p, a).alias("src"), name(q, b).alias("dst"), F.lit("CONTAINS").alias("rel_type")) for t, p, a, q, b in parts]
@@ -322,12 +329,14 @@ def _tree(spark, d) -> DataFrame:
 
 
 BOTH_SQL = "both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
-HOPS_SQL = f"""{EDGES_SQL}, {BOTH_SQL}, h1 AS (SELECT DISTINCT src AS start, dst AS node FROM both_ WHERE src LIKE 'n%'), h2 AS (SELECT DISTINCT start, dst AS node FROM h1 JOIN both_ ON node = src),
+HOPS_SQL = f"""{EDGES_SQL}, {BOTH_SQL}, h1 AS (SELECT DISTINCT src AS start, dst AS node FROM both_ WHERE src LIKE 'r%' OR substr(src, 2)::BIGINT % 20 = 0), h2 AS (SELECT DISTINCT start, dst AS node FROM h1 JOIN both_ ON node = src),
 reached AS (SELECT start, node, min(distance) AS distance FROM (SELECT start, node, 1 AS distance FROM h1 UNION ALL SELECT start, node, 2 FROM h2 WHERE node <> start) GROUP BY start, node)"""
 
 
 def _starts(edges):
-    return edges.where("src LIKE 'n%'").select(F.col("src").alias("start")).distinct()
+    """Every node of the tree whose number is divisible by 20, and the regions, of which there are few."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("start")).distinct()
+    return nodes.where("start LIKE 'r%' OR cast(substring(start, 2) AS long) % 20 = 0")
 
 
 @query(f"WITH {HOPS_SQL} SELECT start, node, distance FROM reached")
@@ -342,7 +351,8 @@ def expand_context(spark, d):
     return G.context(_starts(e), e, 2)
 
 
-@query(f"WITH {EDGES_SQL} SELECT 'n' || n_nationkey AS start, dst AS node, rel_type, 'outgoing' AS direction FROM nation JOIN edges ON src = 'n' || n_nationkey UNION ALL SELECT 'n' || n_nationkey, src, rel_type, 'incoming' FROM nation JOIN edges ON dst = 'n' || n_nationkey")
+@query(f"""WITH {EDGES_SQL}, s AS (SELECT DISTINCT n AS start FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges) WHERE n LIKE 'r%' OR substr(n, 2)::BIGINT % 20 = 0)
+SELECT start, dst AS node, rel_type, 'outgoing' AS direction FROM s JOIN edges ON src = start UNION ALL SELECT start, src, rel_type, 'incoming' FROM s JOIN edges ON dst = start""")
 def related_one_hop(spark, d):
     e = _tree(spark, d)
     return G.one_hop(_starts(e), e)
@@ -368,10 +378,10 @@ def quota_subgraph(spark, d):
     return G.quota_sample(nodes, "video_id", "label", "node", {"Frame": 0.30, "Entity": 0.10}, 100).select("video_id", "label", "node")
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey % 10 + 100000 AS b FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT s_suppkey % 10 + 100000, s_suppkey FROM supplier WHERE s_suppkey % 3 = 0),
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey % 10 + 100000 AS b FROM supplier UNION SELECT s_suppkey % 10 + 100000, s_suppkey FROM supplier),
 r AS (SELECT DISTINCT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.node = e.a) SELECT node, min(c) AS component FROM r GROUP BY node""")
 def connected_components(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey % 3 = 0")
+    s = table(spark, d, "supplier")
     return G.connected(s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") % 10 + 100000).alias("b")))
 
 
@@ -383,20 +393,16 @@ def shared_and_unique(spark, d):
 
 # search
 
-QUERY_SQL = "q AS (SELECT v AS q FROM vectors WHERE node_id = 0)"
 DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
 COS = f"({DOT.format('{0}', '{1}')} / (sqrt({DOT.format('{0}', '{0}')}) * sqrt({DOT.format('{1}', '{1}')})))"
 COS_VQ = COS.format("v", "q")
 
 
-def _query_vector(nodes: DataFrame):
-    return F.array(*[F.lit(float(x)).cast("float") for x in nodes.where("node_id = 0").first().v])  # one stated query
-
-
-@query(f"SELECT * FROM (WITH {QUERY_SQL}, c AS (SELECT node_id, video_id, v, q, {COS.format('v[1:16]', 'q[1:16]')} AS coarse FROM vectors, q), t AS (SELECT * FROM c WHERE coarse >= 0.1 ORDER BY coarse DESC, node_id LIMIT 50) SELECT node_id, video_id, round({COS_VQ}, 6) AS score FROM t WHERE {COS_VQ} >= 0.2 ORDER BY {COS_VQ} DESC, node_id LIMIT 10)", "vectors")
+@query(f"""SELECT * FROM (WITH c AS (SELECT a.node_id AS query, b.node_id AS node, a.v AS q, b.v AS v, {COS.format('a.v[1:16]', 'b.v[1:16]')} AS coarse FROM vectors a, vectors b WHERE a.node_id % 20 = 0),
+t AS (SELECT * FROM c WHERE coarse >= 0.1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY coarse DESC, node) <= 50) SELECT query, node, round({COS_VQ}, 6) AS score FROM t WHERE {COS_VQ} >= 0.2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY {COS_VQ} DESC, node) <= 10)""", "vectors")
 def vector_search(spark, d):
     n = V.vectors(spark, d)
-    return R.vector_search(n, _query_vector(n), 10, 0.2).select("node_id", "video_id", F.round("score", 6).alias("score"))
+    return R.vector_search(n, n.where("node_id % 20 = 0"), 10, 0.2).select("query", "node", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT * FROM (WITH p AS (SELECT a.node_id AS query, b.node_id AS node, {COS.format('a.v', 'b.v')} AS score FROM vectors a JOIN vectors b ON a.video_id <> b.video_id WHERE a.node_id % 20 = 0) SELECT query, node, round(score, 6) AS score FROM p WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 5)", "vectors")
@@ -405,11 +411,14 @@ def similar_across_videos(spark, d):
     return R.nearest_vectors(n.where("node_id % 20 = 0"), n, 5, 0.1).select("query", "node", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT * FROM (WITH {QUERY_SQL}, s AS (SELECT video_id AS parent, node_id AS node, {COS_VQ} AS score FROM vectors, q) SELECT parent, node, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY parent ORDER BY score DESC, node) <= 3)", "vectors")
+@query(f"SELECT * FROM (WITH s AS (SELECT a.node_id AS query, b.video_id AS parent, b.node_id AS node, {COS.format('b.v', 'a.v')} AS score FROM vectors a, vectors b WHERE a.node_id % 20 = 0) SELECT query, parent, node, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query, parent ORDER BY score DESC, node) <= 3)", "vectors")
 def search_children(spark, d):
+    """Of every twentieth vector, the three nearest in each video."""
     n = V.vectors(spark, d)
     edges = n.select(F.col("video_id").alias("src"), F.col("node_id").alias("dst"))
-    return R.children_search(n.select(F.col("video_id").alias("parent")).distinct(), edges, n.select(F.col("node_id").alias("node"), "v"), _query_vector(n), 3).select("parent", "node", F.round("score", 6).alias("score"))
+    queries = n.where("node_id % 20 = 0").select(F.col("node_id").alias("query"), F.col("v").alias("q"))
+    parents = queries.crossJoin(F.broadcast(n.select(F.col("video_id").alias("parent")).distinct()))  # the stated queries against ten videos
+    return R.children_search(parents, edges, n.select(F.col("node_id").alias("node"), "v"), None, 3).select("query", "parent", "node", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT * FROM (WITH e AS (SELECT video_id, node_id % 3 + 1 AS w, unnest(range(1, 65)) AS i, unnest(v)::DOUBLE AS x FROM vectors), m AS (SELECT video_id, i, sum(w * x) / sum(w) AS x FROM e GROUP BY ALL)
@@ -435,17 +444,21 @@ def bm25_search(spark, d):
     return R.bm25(table(spark, d, "documents"), TERMS, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {BM25_SQL}, docs AS (SELECT doc_id, (n_chars % 101) / 100.0::DOUBLE AS vs, CASE WHEN doc_id % 5 > 0 THEN doc_id % 600 END AS ts FROM documents), ft AS (SELECT node AS doc_id, score / max(score) OVER () AS fs FROM bm),
-v AS (SELECT doc_id, vs FROM docs WHERE vs >= 0.3 ORDER BY vs DESC, doc_id LIMIT 100),
-c AS (SELECT doc_id, vs, coalesce(fs, 0) AS fs FROM v LEFT JOIN ft USING (doc_id) UNION ALL (SELECT doc_id, 0, fs FROM ft WHERE doc_id NOT IN (SELECT doc_id FROM v) ORDER BY fs DESC, doc_id LIMIT 20)),
-s AS (SELECT c.doc_id, c.vs AS vs, fs, least(1, (1 + c.doc_id % 60) / 50.0) AS g, CASE WHEN ts IS NULL THEN 0.5 ELSE exp(-0.5 * power((ts - 300) / 200.0, 2)) END AS t FROM c JOIN docs d USING (doc_id) WHERE ts IS NULL OR ts BETWEEN 100 AND 500)
-SELECT doc_id, round(0.25 * vs + 0.40 * fs + 0.20 * g + 0.15 * t, 6) AS combined_score FROM (SELECT doc_id, s.vs, fs, g, t FROM s) ORDER BY 0.25 * vs + 0.40 * fs + 0.20 * g + 0.15 * t DESC, doc_id LIMIT 20""")
+@query(f"""WITH {BM25_SQL}, qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), ft AS (SELECT node AS doc_id, score / max(score) OVER () AS fs FROM bm), x AS (SELECT vec_id AS doc_id, embedding AS v, q FROM embeddings, qv),
+co AS (SELECT doc_id, v, q FROM (SELECT *, {COS.format('v[1:16]', 'q[1:16]')} AS coarse FROM x) WHERE coarse >= 0.1 ORDER BY coarse DESC, doc_id LIMIT 500), vl AS (SELECT doc_id, {COS_VQ} AS vs FROM co WHERE {COS_VQ} >= 0.1 ORDER BY {COS_VQ} DESC, doc_id LIMIT 100),
+deg AS (SELECT l_partkey AS doc_id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), at AS (SELECT event_id AS doc_id, event_id % 600 AS ts FROM events WHERE event_type <> 'view'),
+c AS (SELECT doc_id, vs, coalesce(fs, 0) AS fs FROM vl LEFT JOIN ft USING (doc_id) UNION ALL (SELECT doc_id, 0, fs FROM ft WHERE doc_id NOT IN (SELECT doc_id FROM vl) ORDER BY fs DESC, doc_id LIMIT 20)),
+s AS (SELECT doc_id, vs, fs, least(1, (1 + coalesce(n, 0)) / 50.0) AS g, CASE WHEN ts IS NULL THEN 0.5 ELSE exp(-0.5 * power((ts - 300) / 200.0, 2)) END AS t FROM c LEFT JOIN deg USING (doc_id) LEFT JOIN at USING (doc_id) WHERE ts IS NULL OR ts BETWEEN 100 AND 500)
+SELECT doc_id, round(0.25 * vs + 0.40 * fs + 0.20 * g + 0.15 * t, 6) AS combined_score FROM s ORDER BY 0.25 * vs + 0.40 * fs + 0.20 * g + 0.15 * t DESC, doc_id LIMIT 20""".replace(", at AS (", ", times AS (").replace("LEFT JOIN at USING", "LEFT JOIN times USING"))
 def hybrid_search(spark, d):
-    docs = table(spark, d, "documents")
-    vs = docs.select(F.col("doc_id").alias("node_id"), (F.col("n_chars") % 101 / 100).alias("score")).where("score >= 0.3").orderBy(F.desc("score"), "node_id").limit(100)
-    facts = docs.select(F.col("doc_id").alias("node_id"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 600).alias("ts"), (F.col("doc_id") % 60).alias("related"))
-    both = R.fuse(vs, R.bm25(docs, TERMS, "doc_id", "text").withColumnRenamed("doc_id", "node_id"))
-    return R.weigh(both.join(facts, "node_id"), 20, "text", lo=100, hi=500).select(F.col("node_id").alias("doc_id"), F.round("combined_score", 6).alias("combined_score"))
+    """Vectors by a stated query, text by BM25, the graph by the orders that hold a part, and time by the events; of one number each."""
+    docs, n = table(spark, d, "documents"), V.vectors(spark, d)
+    hits = R.vector_search(n, n.where("node_id = 0"), 100, 0.1).select(F.col("node").alias("node_id"), "score")
+    both = R.fuse(hits, R.bm25(docs, TERMS, "doc_id", "text").withColumnRenamed("doc_id", "node_id"))
+    related = V.contains(spark, d).groupBy(F.col("entity_id").alias("node_id")).agg(F.count("*").alias("related"))
+    times = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_id").alias("node_id"), (F.col("event_id") % 600).alias("ts"))
+    facts = both.join(related, "node_id", "left").join(times, "node_id", "left")
+    return R.weigh(facts, 20, "text", lo=100, hi=500).select(F.col("node_id").alias("doc_id"), F.round("combined_score", 6).alias("combined_score"))
 
 
 @query("""WITH r AS (SELECT d.doc_id, c.turn AS related, c.turn % 2 + 1 AS distance, c.text FROM documents d JOIN conversations c ON c.conv_id = d.doc_id), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, related) AS i, CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'and') THEN 1 ELSE 0 END AS s FROM r),
