@@ -4,7 +4,7 @@ A line within ``threshold`` edits of another holds one of the other's
 ``threshold + 1`` segments unchanged, near the same place. So every distinct line
 indexes its segments by hash, with its length and their number, and looks up the
 substrings that may be a segment of a line of its length or a little less. Who meets
-there and has nearly the same letters is compared by bit-parallel edit distance.
+there and has nearly the same letters is compared by banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -64,7 +64,12 @@ def probes(n: int, threshold: int) -> list[tuple[int, int, int, int]]:
 
 
 def distance(a: bytes, b: bytes, most: int) -> int:
-    """Edit distance if it is at most ``most``, else ``most + 1``: Myers' bit vectors between the first and the last difference."""
+    """Edit distance if it is at most ``most``, else ``most + 1``: bit vectors of a band around the diagonal, between the first and the last difference.
+
+    A column of the band is a number of 2 * most + 1 bits. A cell that is no more than
+    its upper left neighbour has its bit set, so the distance is counted along the
+    diagonal that ends in the last cell.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
     n = min(len(a), len(b))
@@ -79,20 +84,24 @@ def distance(a: bytes, b: bytes, most: int) -> int:
     if not a or not b:
         return min(most + 1, len(a) + len(b))
     where: dict[int, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(a, most):  # with room for the rows above the first
         where[c] = where.get(c, 0) | 1 << i
-    all_, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = all_, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
-        eq = where.get(c, 0)
-        d0 = ((eq & up) + up ^ up | eq | down) & all_
-        rise, fall = down | ~(d0 | up) & all_, d0 & up
-        score += bool(rise & top) - bool(fall & top)
-        if score - left > most:  # even if every byte to come lowers it
-            return most + 1
-        rise, fall = (rise << 1 | 1) & all_, fall << 1 & all_
-        up, down = fall | ~(d0 | rise) & all_, rise & d0
-    return min(score, most + 1)
+    band = (1 << 2 * most + 1) - 1
+    last = 1 << len(a) - len(b) + most  # the diagonal's bit
+    score = abs(len(a) - len(b))
+    fall = (1 << most) - 1  # rows above the first fall, those from the first on rise
+    rise = band ^ fall
+    for j, c in enumerate(b):
+        eq = where.get(c, 0) >> j & band
+        same = ((eq & rise) + rise ^ rise | eq | fall) & band
+        right_up, right_down = fall | ~(same | rise) & band, same & rise
+        down = same >> 1
+        fall, rise = down & right_up, (right_down | ~(down | right_up)) & band
+        if j + len(a) - len(b) >= 0 and not same & last:
+            score += 1
+            if score > most:
+                return score
+    return score
 
 
 def bags(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -130,7 +139,7 @@ class Strings:
         return h ^ (h >> np.uint64(29))
 
 
-def _apart(x: np.ndarray, y: np.int64) -> np.ndarray:
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """At most how many letters more or fewer there are in bags: a lower bound of twice the edits."""
     total = np.zeros(len(x), np.int64)
     for shift in range(0, 4 * BUCKETS, 4):
@@ -195,15 +204,23 @@ def _index(threshold: int, least: int):
     return index
 
 
-def _near(holders: np.ndarray, held: np.ndarray, lookers: np.ndarray, looked: np.ndarray, threshold: int) -> list[np.ndarray]:
-    """Pairs, the smaller first, of holders and lookers whose bags may be near."""
+def _near(look: np.ndarray, hold: np.ndarray, counts: np.ndarray, h: np.ndarray, bags: np.ndarray, threshold: int) -> list[np.ndarray]:
+    """Pairs of different lines whose bags may be near, the smaller first: looker ``look[i]`` meets the ``counts[i]`` entries from ``hold[i]`` on, some BLOCK pairs at once."""
     out = []
-    for one, own in zip(lookers, looked, strict=True):
-        for a in range(0, len(holders), BLOCK):
-            near = holders[a : a + BLOCK][_apart(held[a : a + BLOCK], own) <= 2 * threshold]
-            near = near[near != one]
-            if len(near):
-                out.append(np.stack([np.minimum(near, one), np.maximum(near, one)]))
+    ends = np.cumsum(counts)
+    lo = 0
+    while lo < len(look):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK)))
+        n = counts[lo:hi]
+        x = np.repeat(look[lo:hi], n)
+        y = np.arange(len(x)) + np.repeat(hold[lo:hi] - (np.cumsum(n) - n), n)
+        apart = h[x] != h[y]
+        x, y = x[apart], y[apart]
+        near = _apart(bags[x], bags[y]) <= 2 * threshold
+        if near.any():
+            x, y = h[x[near]], h[y[near]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        lo = hi
     return out
 
 
@@ -211,28 +228,33 @@ def _meet(threshold: int, hot: int):
     names = ["a", "b", "k", "bag"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From k, h1, bag in order of k: pairs of lines a, b, the smaller first, that meet and may be near; and the entries of hot segments as a, k, bag."""
+        """From k, h1, bag in order of k and h1: pairs of lines a, b, the smaller first, that meet and may be near; and the entries of hot segments as a, k, bag."""
         rest, passing = [np.zeros(0, np.int64)] * 3, None
 
         def entries(k, h, bags) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.nulls(len(k), pa.int64()), pa.array(k), pa.array(bags)], names)
 
         def pairs(k, h, bags) -> Iterator[pa.RecordBatch]:
+            if not len(k):
+                return
+            # a line that several tasks have seen is there several times
+            new = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]))
+            k, h, bags = k[new], h[new], bags[new]
             group = k >> 1
-            first = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else np.zeros(0, np.int64)
-            ends = np.append(first[1:], len(group))
-            out = []
-            for lo, hi in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
-                mid = lo + int(np.searchsorted(k[lo:hi] & 1, 1))
-                if lo == mid or mid == hi:
-                    continue
-                if hi - lo > hot:
-                    yield entries(k[lo:hi], h[lo:hi], bags[lo:hi])
-                    continue
-                holders, at = np.unique(h[lo:mid], return_index=True)
-                held = bags[lo:mid][at]
-                lookers, at = np.unique(h[mid:hi], return_index=True)
-                out += _near(holders, held, lookers, bags[mid:hi][at], threshold)
+            first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+            size = np.diff(np.append(first, len(group)))
+            lookers = np.add.reduceat(k & 1, first)
+            # most segments are met by their own line alone
+            mixed = (np.minimum.reduceat(h, first) != np.maximum.reduceat(h, first)) & (lookers > 0) & (lookers < size)
+            for g in np.flatnonzero(mixed & (size > hot)).tolist():
+                own = slice(first[g], first[g] + size[g])
+                yield entries(k[own], h[own], bags[own])
+            g = np.flatnonzero(mixed & (size <= hot))
+            if not len(g):
+                return
+            n = lookers[g]
+            look = np.arange(n.sum()) + np.repeat(first[g] + size[g] - n - (np.cumsum(n) - n), n)
+            out = _near(look, np.repeat(first[g], n), np.repeat(size[g] - n, n), h, bags, threshold)
             if out:
                 both = np.unique(np.concatenate(out, 1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.int64()), pa.nulls(both.shape[1], pa.int64())], names)
@@ -272,7 +294,9 @@ def _tiles(entries: DataFrame, threshold: int, tile: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                out = _near(*(c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns), threshold)
+                h0, b0, h1, b1 = (c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns)
+                look = np.arange(len(h0), len(h0) + len(h1))
+                out = _near(look, np.zeros(len(h1), np.int64), np.full(len(h1), len(h0)), np.concatenate([h0, h1]), np.concatenate([b0, b1]), threshold)
                 if out:
                     both = np.unique(np.concatenate(out, 1), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])

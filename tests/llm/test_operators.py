@@ -282,7 +282,7 @@ def changed(rng, line, n):
 
 def test_edit_distance():
     rng = random.Random(1)
-    for _ in range(1500):
+    for _ in range(6000):
         a = bytes(rng.choice(b"abc") for _ in range(rng.randrange(25)))
         b = changed(rng, a, rng.randrange(5))
         for most in (1, 2, 3):
