@@ -38,15 +38,20 @@ DOCS = 1000  # texts looked at together: the more, the more contexts they share
 
 @dataclass(frozen=True)
 class Shape:
-    """The size of a model. ``words``: the most tokens of their own; ``head``: words whose counts every task gets."""
+    """The size of a model.
+
+    A word that stands ``least`` times in the training texts is a token of its own,
+    up to ``words`` of them; ``head``: words whose counts every task gets.
+    """
 
     words: int = 1 << 15
+    least: int = 64
     head: int = 1 << 17
     size: int = 24
     context: int = 2
     noise: int = 24
     noise_in_class: int = 1
-    batch: int = 1024
+    batch: int = 2048
     rate: float = 0.1
     rounds: int = 2
 
@@ -231,7 +236,7 @@ class Model:
     params: Params | None = None
 
     def __post_init__(self) -> None:
-        self.tokens = {w: i for i, w in enumerate(list(self.head)[: self.shape.words])}
+        self.tokens = {w: i for i, (w, n) in enumerate(list(self.head.items())[: self.shape.words]) if n >= self.shape.least}
         own = sum(self.head[w] for w in self.tokens)
         #: Of the words that share a token: their counts and one each, and one for what was never seen.
         self.rest = self.total - own + self.distinct - len(self.tokens) + 1
@@ -250,6 +255,7 @@ def train(rows: DataFrame, text_col: str, model: Model) -> Params:
     words = spark.sparkContext.broadcast(model)
     pieces = max(64, len(flat) >> 14)
     schema = "piece int, part int, n long, v array<float>"
+    tasks = 4 * spark.sparkContext.defaultParallelism
 
     def add(group):
         import pandas as pd
@@ -279,7 +285,8 @@ def train(rows: DataFrame, text_col: str, model: Model) -> Params:
                     v = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([read], pa.int64()), v], ["piece", "part", "n", "v"])
 
-        sums = rows.where(round_ == nth).select(text_col).mapInArrow(learn, schema)
+        # as many tasks as the cluster runs in a few waves: what they hand on are models, and the more they read the better these are
+        sums = rows.where(round_ == nth).select(text_col).coalesce(tasks).mapInArrow(learn, schema)
         for key in (["piece", "part"], ["piece"]):  # in two steps: no task gathers a row of every other
             sums = sums.groupBy(*key).applyInPandas(add, schema)
         got = sums.select("piece", "v").toArrow().sort_by("piece")  # the size of one model
@@ -318,13 +325,13 @@ def fit(rows: DataFrame, text_col: str = "text", shape: Shape = Shape()) -> tupl
     return model, counts
 
 
-def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row the log of the softmax at one place; ``s`` is used up."""
-    top = s.max(1)
-    picked = s[np.arange(len(s)), at] - top
-    s -= top[:, None]
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Of each row the log of the sum of the exponentials; ``s`` is used up."""
+    top = s.max(initial=0.0)  # scores are some tens at most, so one shift does for all rows
+    if top > 40:
+        s -= top
     np.exp(s, out=s)
-    return picked - np.log(s.sum(1))
+    return np.log(s.sum(1)) + (top if top > 40 else 0.0)
 
 
 def log_probs(params: Params, tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -332,17 +339,24 @@ def log_probs(params: Params, tokens: np.ndarray, contexts: np.ndarray) -> np.nd
     starts = class_starts(len(params.b))
     classes = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[tokens]
     out = np.empty(len(tokens))
+    # contexts that recur are predicted once
+    code = np.zeros(len(tokens), np.int64)
+    for i in range(contexts.shape[1]):
+        code = code * (len(params.b) + 1) + contexts[:, i]
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    hat = params.predict(contexts[first])
+    sums = np.concatenate([_log_sum(hat[lo : lo + 4096] @ params.qc.T + params.bc) for lo in range(0, len(hat), 4096)]) if len(hat) else np.zeros(0)
     order = np.argsort(classes, kind="stable")
-    for lo in range(0, len(order), 1 << 16):
-        part = order[lo : lo + (1 << 16)]
-        hat, own = params.predict(contexts[part]), classes[part]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        for a in range(0, len(part), 4096):
-            out[part[a : a + 4096]] = _log_softmax_at(hat[a : a + 4096] @ params.qc.T + params.bc, own[a : a + 4096])
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
-            x, y = starts[own[a]], starts[own[a] + 1]
+    ends = np.searchsorted(classes[order], np.arange(len(starts)))
+    for c in np.flatnonzero(np.diff(ends)).tolist():
+        x, y = starts[c], starts[c + 1]
+        for lo in range(ends[c], ends[c + 1], 1 << 16):
+            part = order[lo : min(lo + (1 << 16), ends[c + 1])]
+            h = hat[which[part]]
+            out[part] = h @ params.qc[c] + params.bc[c] - sums[which[part]]
             if y - x > 1:
-                out[part[a:b]] += _log_softmax_at(hat[a:b] @ params.q[x:y].T + params.b[x:y], tokens[part[a:b]] - x)
+                t = tokens[part]
+                out[part] += np.einsum("ij,ij->i", h, params.q[t]) + params.b[t] - _log_sum(h @ params.q[x:y].T + params.b[x:y])
     return out / np.log(10)
 
 

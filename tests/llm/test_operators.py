@@ -80,7 +80,7 @@ def test_same_as_sql(spark, name):
 
 
 OPERATORS = {
-    "exact": exact_dedup, "license": LS.license_scan, "line": LD.line_dedup, "near": N.near_dedup, "suffix": SD.suffix_dedup, "language": LI.identify, "mixing": M.schedule, "lm": lambda d: LM.lm_score(d, shape=LM.Shape(words=8, size=4, noise=4)),
+    "exact": exact_dedup, "license": LS.license_scan, "line": LD.line_dedup, "near": N.near_dedup, "suffix": SD.suffix_dedup, "language": LI.identify, "mixing": M.schedule, "lm": lambda d: LM.lm_score(d, shape=LM.Shape(words=8, least=1, size=4, noise=4)),
 }
 
 
@@ -395,6 +395,20 @@ def test_token_shards(spark, awkward, empty):
     assert T.read_token_shards(spark, T.write_token_shards(empty, new_path(spark, "test"))).collect() == []
 
 
+def test_other_tokenizers_encode_whole_texts(spark, awkward):
+    from tokenizers import Tokenizer
+
+    from lumenweave.llm.vocab import public_path
+
+    assert isinstance(T.encoder("word_bpe_49k.json"), T.WordIds) and isinstance(T.encoder("byte_bpe_50k.json"), T.WholeIds)
+    docs = awkward.where("doc_id IS NOT NULL")
+    manifest = T.write_token_shards(docs, new_path(spark, "test"), "byte_bpe_50k.json", 50256)
+    got = T.read_token_shards(spark, manifest).orderBy("start").collect()
+    tok = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    want = [zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 50256], "<u4").tobytes()) for _, t in sorted(rows_of(docs))]
+    assert [r.ids_crc32 for r in got] == want
+
+
 def test_shard_has_many_blocks_and_tells_damage(tmp_path):
     import pyarrow.fs as pafs
 
@@ -485,7 +499,7 @@ def test_schedule_by_default_against_brute_force(spark):
 
 
 def test_lm_score(spark, awkward):
-    shape = LM.Shape(words=12, head=20, size=6, noise=5, batch=64)
+    shape = LM.Shape(words=12, least=1, head=20, size=6, noise=5, batch=64)
     docs = [(i, [*t.encode().lower().split(), b"\n"]) for i, t in rows_of(awkward)]
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
     counts = Counter(w for i, ws in docs if not held(i) for w in ws)
@@ -502,7 +516,7 @@ def test_lm_is_normalised_and_learns(spark):
     rng = random.Random(6)
     texts = [" ".join(["a b", "c d", "e f g"][rng.randrange(3)] for _ in range(60)) for _ in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, counts = LM.fit(docs, "text", LM.Shape(words=7, head=8, size=6, noise=8, batch=64))
+    model, counts = LM.fit(docs, "text", LM.Shape(words=7, least=1, head=8, size=6, noise=8, batch=64))
     n = len(model.prior)
     contexts = np.array([[i, j] for i in range(n + 1) for j in range(n + 1)])
     sums = sum(10 ** LM.log_probs(model.params, np.full(len(contexts), t), contexts) for t in range(n))
@@ -521,7 +535,7 @@ def test_lm_held_out_is_better_than_the_base_at_any_number_of_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     gains = []
     for parts in (2, 9):
-        got = LM.lm_score(docs.repartition(parts), shape=LM.Shape(batch=128)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        got = LM.lm_score(docs.repartition(parts), shape=LM.Shape(batch=128, least=8)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
         gains.append((got.s - got.b) / got.n)
     assert min(gains) > 0.05, gains
 
@@ -544,7 +558,7 @@ def brute_score(model, counts, text):
 
 
 def test_lm_score_against_brute_force(spark, awkward):
-    model, counts = LM.fit(awkward, "text", LM.Shape(words=12, head=20, size=6, noise=5, batch=64))
+    model, counts = LM.fit(awkward, "text", LM.Shape(words=12, least=1, head=20, size=6, noise=5, batch=64))
     table = {bytes(r.word): r.n for r in counts.collect()}
     got = LM.score(awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), model, counts).collect()
     texts = dict(rows_of(awkward))
