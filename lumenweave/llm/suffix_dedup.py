@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenweave.llm.common import keyed
 from lumenweave.session import cut, new_path, text_batches
@@ -37,6 +38,8 @@ MOST_IN_MEMORY = 50_000
 MOST_BROADCAST = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 POSITION = np.int64((1 << 21) - 1)
+#: Ranges that one context may be dealt over.
+SLICES = 64
 
 
 def _token_hashes(data: np.ndarray) -> np.ndarray:
@@ -132,11 +135,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        key, ctx = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        key, ctx, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 5))
         new_key = np.diff(key, prepend=key[0]) != 0
         new_key[0] = True
         new_run = new_key.copy()
-        new_run[1:] |= ctx[1:] != ctx[:-1]
+        new_run[1:] |= (ctx[1:] != ctx[:-1]) | (size[1:] != size[:-1])
         run, group, firsts = np.cumsum(new_run) - 1, np.cumsum(new_key) - 1, np.flatnonzero(new_run)
         again = np.bincount(run) > 1
         open_ = np.bincount(group[firsts]) > 1
@@ -225,11 +228,13 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """From id, fp, text: id, fp, at, size; every byte of a repeated string is in one."""
     spark = texts.sparkSession
     kind = dict(texts.dtypes)["id"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(texts.schema["id"].dataType)
     place = f"id {kind}, fp long, at long, size int"
     chosen = new_path(spark, "suffixes")
     texts.select("id", "fp", "text").mapInArrow(_choose(length, id_type), f"key long, ctx long, {place}, off int").write.parquet(chosen)
-    ordered = spark.read.parquet(chosen).repartitionByRange("key", "ctx").sortWithinPartitions("key", "ctx")
+    # a passage that many texts share is one key and one context: a slice lets splitters fall inside of it
+    slice_ = F.pmod(F.xxhash64("id", "at"), F.lit(SLICES)).cast("int")
+    ordered = spark.read.parquet(chosen).withColumn("slice", slice_).repartitionByRange("key", "ctx", "slice").sortWithinPartitions("key", "ctx", "size", "slice").drop("slice")
     settled = new_path(spark, "settled")
     ordered.mapInArrow(_settle, f"key long, {place}, off int, full boolean").write.parquet(settled)
     rows = spark.read.parquet(settled)
