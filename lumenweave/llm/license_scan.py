@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import keyed, words_of
+from lumenweave.session import cut
 
 # Phrases that count wherever their words stand consecutively, and their labels.
 PHRASES = {
@@ -64,7 +65,8 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     votes = pairs.join(F.broadcast(templates), "h").where("wa = a AND wb = b").select("id", "fp", "template", "label", "exact", "pairs", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
 
     key = ["id", "fp", "template", "label", "exact", "pairs"]
-    lines = votes.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    # few pairs of words are a template's: written down once for both kinds of template
+    lines = cut(votes.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi")))
     phrase = lines.where(F.col("exact") & (F.size("ats") == F.col("pairs"))).select("id", "fp", "template", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("hi") + 1).alias("last_word"), F.lit(1.0).alias("coverage"))
 
     order = Window.partitionBy("id", "fp", "template").orderBy("diagonal")
