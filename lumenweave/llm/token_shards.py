@@ -21,6 +21,7 @@ replaces the file by the same bytes.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
 import uuid
@@ -47,7 +48,9 @@ WORDS_KEPT = 500_000
 #: With this in a text, which may be of a special token, its letters are left as they are.
 SPECIAL = b"<|"
 STOPS = (b".", b",")
-META = "part int, name string, n_docs long, n_ids long"
+#: In a tokenizer's pattern: runs of letters, and runs of what is neither letter, number nor white space.
+WORD_RUNS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+META = "part int, name string, n_docs long, n_ids long, first binary"
 
 
 def key_of(value: int | str | None) -> bytes:
@@ -140,6 +143,7 @@ class Shard:
             o, p = _read_varint(tail, p)
             b, p = _read_varint(tail, p)
             self.index.append((key, o, b))
+        self.firsts = [k for k, _, _ in self.index]
         self.n_bits = struct.unpack_from("<Q", tail, n)[0]
         self.bloom = tail[n + 8 :]
 
@@ -171,7 +175,7 @@ class Shard:
         if not all(self.bloom[b >> 3] & 128 >> (b & 7) for b in _bits(key, self.n_bits)):
             return None
         # a key that is repeated may begin at the end of the block before the one that it starts
-        at = max(0, bisect.bisect_left([k for k, _, _ in self.index], key) - 1)
+        at = max(0, bisect.bisect_left(self.firsts, key) - 1)
         for first, offset, n in self.index[at : at + 2]:
             if first <= key:
                 for k, v in self._block(offset, n):
@@ -180,6 +184,30 @@ class Shard:
         return None
 
 
+class WholeIds:
+    """Encodes whole texts to the bytes of their ids, with any tokenizer."""
+
+    def __init__(self, tok):
+        self.tok = tok
+        self.width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def splits_words(spec: dict) -> bool:
+    """Whether a tokenizer does what :class:`WordIds` relies on, by its file: it makes white space one, lower-cases, and then takes runs of letters apart from all else.
+
+    A tokenizer that isn't known to do so is given whole texts.
+    """
+    many = lambda x, key: [] if x is None else x.get(key, [x])
+    normal, before = many(spec.get("normalizer"), "normalizers"), many(spec.get("pre_tokenizer"), "pretokenizers")
+    known = {"NFC", "Replace", "Lowercase"}
+    lower = bool(normal) and normal[-1]["type"] == "Lowercase" and {x["type"] for x in normal} <= known
+    split = bool(before) and before[0]["type"] == "Split" and before[0].get("behavior") == "Removed" and before[0].get("invert") and WORD_RUNS in before[0]["pattern"].get("Regex", "")
+    return lower and bool(split) and all(x["type"] == "ByteLevel" and not x.get("use_regex") and not x.get("add_prefix_space") for x in before[1:])
+
+
 class WordIds:
     """Encodes texts to the bytes of their ids.
 
@@ -190,11 +218,8 @@ class WordIds:
     so such words are remembered in one form.
     """
 
-    def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(public_path(tokenizer))
+    def __init__(self, tokenizer):
+        self.tok = tokenizer
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -224,9 +249,19 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-def word_ids(tokenizer: str) -> WordIds:
+def encoder(tokenizer: str) -> WordIds | WholeIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+    from tokenizers import Tokenizer
+
+    path = public_path(tokenizer)
+    with open(path, encoding="utf-8") as f:
+        by_words = splits_words(json.load(f))
+    return (WordIds if by_words else WholeIds)(Tokenizer.from_file(path))
+
+
+def word_ids(tokenizer: str) -> WordIds | WholeIds:
     """The encoder of this process: the tasks of a Python worker share what it remembers."""
-    return held(("word ids", tokenizer), lambda: WordIds(tokenizer))
+    return held(("word ids", tokenizer), lambda: encoder(tokenizer))
 
 
 def _text_groups(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
@@ -251,6 +286,7 @@ class Manifest:
     folder: str
     shards: list[tuple[str, int, int, int]]  # name, documents, ids, ids before
     integer: bool
+    firsts: list[bytes]  # the first key of each shard
 
 
 def write_token_shards(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Manifest:
@@ -285,13 +321,14 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_
         with fs.open_output_stream(own) as out:
             n_docs, n_ids = write_shard(out, (e for es in ([one], entries) for e in es), width)
         fs.move(own, f"{base}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_ids": [n_ids], "first": [one[0]]})
 
-    shards, before = [], 0
+    shards, before, firsts = [], 0, []
     for r in sorted(cut(rows.mapInArrow(write, META)).collect()):  # a row for each shard
         shards.append((r.name, r.n_docs, r.n_ids, before))
         before += r.n_ids
-    return Manifest(folder, shards, integer)
+        firsts.append(bytes(r.first))
+    return Manifest(folder, shards, integer, firsts)
 
 
 def read_token_shards(spark: SparkSession, manifest: Manifest, id_col: str = "doc_id") -> DataFrame:
@@ -321,10 +358,14 @@ def read_token_shards(spark: SparkSession, manifest: Manifest, id_col: str = "do
 
 
 def lookup(manifest: Manifest, value: int | str | None) -> np.ndarray | None:
-    """The ids of one document: each shard's filter is asked, then one block is read."""
+    """The ids of the first document under an id: the manifest says which shard may hold it, whose filter is asked and one block read."""
     fs, base = pafs.FileSystem.from_uri(manifest.folder)
-    for name, *_ in manifest.shards:
-        with fs.open_input_file(f"{base}/{name}") as file:
-            if (ids := Shard(file).get(value)) is not None:
-                return ids
+    key = key_of(value)
+    # a key that is repeated may begin at the end of the shard before the one that it starts
+    at = max(0, bisect.bisect_left(manifest.firsts, key) - 1)
+    for (name, *_), first in zip(manifest.shards[at : at + 2], manifest.firsts[at : at + 2], strict=True):
+        if first <= key:
+            with fs.open_input_file(f"{base}/{name}") as file:
+                if (ids := Shard(file).get(value)) is not None:
+                    return ids
     return None
