@@ -1,0 +1,210 @@
+"""Queries over the tables of a pipeline: what is read of them and what is written to them.
+
+An order stands for a stage's run, a line item for an asset of it, a customer for a
+medium of the user that is its nation.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lumenweave.functions import payload as P
+from lumenweave.operators import sinks as K
+from lumenweave.operators import tables as B
+from lumenweave.plans.registry import query
+from lumenweave.session import cut, new_path, table
+
+# what is read
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate DESC, l_extendedprice) = 1")
+def completed_analyses(spark, d):
+    """Completed rows of a run, the latest of each asset first."""
+    done = table(spark, d, "lineitem").where("l_returnflag = 'A' AND l_linestatus = 'F'")
+    return B.latest(done, ["l_orderkey"], [F.col("l_linenumber"), F.desc("l_shipdate"), F.col("l_extendedprice")]).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_completed_run(spark, d):
+    done = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return B.latest(done, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT user_id, event_id, coalesce((props->>'k')::BIGINT, -1) AS k FROM (SELECT user_id, event_id, CASE WHEN event_id % 5 > 0 THEN props::JSON ELSE '{}'::JSON END AS props, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n = 1")
+def source_quality(spark, d):
+    """The latest valid source of a medium and what its JSON says; text that is no JSON says nothing."""
+    e = table(spark, d, "events").where("event_type <> 'error'").withColumn("props", F.when(F.col("event_id") % 5 > 0, F.col("props")).otherwise("not json"))
+    last = B.latest(e, ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    return last.select("user_id", "event_id", F.coalesce(F.get_json_object(P.object_text(F.col("props")), "$.k").cast("long"), F.lit(-1)).alias("k"))
+
+
+@query("SELECT event_id, rank FROM (SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'view' THEN 0 ELSE 1 END, ts, event_id) AS rank FROM events WHERE event_type IN ('view', 'click')) WHERE rank <= 200")
+def pending_intents(spark, d):
+    """The next 200 intents to apply, nodes before relationships."""
+    e = table(spark, d, "events").where(F.col("event_type").isin("view", "click"))
+    first = e.orderBy(F.when(F.col("event_type") == "view", 0).otherwise(1), "ts", "event_id").limit(200)
+    order = Window.orderBy(F.when(F.col("event_type") == "view", 0).otherwise(1), "ts", "event_id")  # of 200 rows
+    return first.select("event_id", F.row_number().over(order).alias("rank"))
+
+
+@query("SELECT c_nationkey AS user_id, c_custkey AS media_id FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING' AND c_custkey % 4 IN (1, 3)")
+def media_by_benchmark(spark, d):
+    c = table(spark, d, "customer").where((F.col("c_acctbal") > 0) & (F.col("c_mktsegment") == "BUILDING") & (F.col("c_custkey") % 4).isin(1, 3))
+    return c.select(F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("media_id"))
+
+
+@query("WITH t AS (SELECT event_id, user_id, event_type, ts, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type = 'click' AND (props->>'$.k')::BIGINT % 2 = 0) SELECT event_id, count(*) OVER () AS total FROM t ORDER BY ts DESC, event_id LIMIT 30 OFFSET 30")
+def task_page(spark, d):
+    """A page of tasks that a field of their JSON selects, with the number of all."""
+    t = table(spark, d, "events").where((F.col("event_type") == "click") & (F.get_json_object("props", "$.k").cast("long") % 2 == 0))
+    total = t.agg(F.count("*").alias("total"))
+    return t.orderBy(F.desc("ts"), "event_id").offset(30).limit(30).select("event_id").crossJoin(F.broadcast(total))  # one row
+
+
+@query("""SELECT c_custkey, (CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 0.5 WHEN c_custkey % 3 = 1 THEN c_custkey END)::DOUBLE AS duration, CASE WHEN c_custkey % 2 = 0 THEN 'thumb' || c_custkey END AS thumbnail, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 12 END, 0)::BIGINT AS frames FROM customer""")
+def media_summary(spark, d):
+    """The first of several places in nested JSON that has a value."""
+    n = F.col("c_custkey")
+    meta = F.concat(F.lit('{"video_metadata": {"duration": '), F.when(n % 3 == 0, (n + 0.5).cast("string")).otherwise("null"), F.lit('}, "probe": {"format": {"seconds": '), F.when(n % 3 == 1, n.cast("string")).otherwise("null"), F.lit('}}, "frames": ['), F.when(n % 2 == 0, F.concat(F.lit('{"thumb": "thumb'), n, F.lit('"}'))).otherwise(""), F.lit('], "stats": {'), F.when(n % 5 == 0, '"frames_extracted": 12').otherwise(""), F.lit("}}"))
+    at = lambda *paths: F.coalesce(*[F.get_json_object("meta", p) for p in paths])
+    c = table(spark, d, "customer").withColumn("meta", meta)
+    return c.select("c_custkey", at("$.video_metadata.duration", "$.probe.format.seconds").cast("double").alias("duration"), at("$.thumbnail", "$.frames[0].thumb").alias("thumbnail"), F.coalesce(at("$.total", "$.stats.frames_extracted").cast("long"), F.lit(0)).alias("frames"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '/vol/' || c_custkey WHEN 1 THEN 'https://x/' || c_custkey WHEN 2 THEN 'abfss://c@a.dfs.core.windows.net/' || c_custkey WHEN 3 THEN 'wasbs://box@acc.blob.core.windows.net/b' || c_custkey END AS uri FROM customer")
+def source_uris(spark, d):
+    """Where a medium is, by the first of several ways to say so."""
+    n = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", F.when(n % 5 == 0, F.concat(F.lit("/vol/"), n)).alias("volume_path"), F.when(n % 5 == 1, F.concat(F.lit("https://x/"), n)).alias("uri"), F.when(n % 5 == 2, F.concat(F.lit("abfss://c@a.dfs.core.windows.net/"), n)).alias("abfss"), F.when(n % 5 == 3, F.concat(F.lit("b"), n)).alias("blob"))
+    built = F.when(F.col("blob").isNotNull(), F.concat(F.lit("wasbs://box@acc.blob.core.windows.net/"), "blob"))
+    return c.select("c_custkey", F.coalesce("volume_path", "uri", "abfss", built).alias("uri"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'ok' WHEN user_id % 2 = 0 THEN 'not found' ELSE 'forbidden' END AS access FROM (SELECT event_id, user_id, event_type FROM events)""")
+def ownership(spark, d):
+    """Whether a medium is there and belongs to who asks for it."""
+    e = table(spark, d, "events")
+    owner = F.when(F.col("event_type") == "view", F.col("user_id")).when(F.col("user_id") % 2 == 0, None).otherwise(F.col("user_id") + 1)
+    return e.select("event_id", F.when(owner.isNull(), "not found").when(owner == F.col("user_id"), "ok").otherwise("forbidden").alias("access"))
+
+
+# what is written
+
+
+def _outbox(spark, d):
+    """An outbox of the first orders, in two appends."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("outbox_id"), F.col("o_custkey").cast("long").alias("media_id"), F.lit("running").alias("status"), F.lit(0.5).alias("progress"), F.col("o_orderdate").cast("timestamp").alias("emitted_at"), F.lit("x").alias("unknown"))
+    path = new_path(spark, "outbox")
+    for rest in (0, 1):
+        K.append(o.where(F.col("outbox_id").cast("long") % 2 == rest), path, K.OUTBOX)
+    return path
+
+
+@query("SELECT o_orderkey::VARCHAR AS outbox_id, o_custkey AS media_id, 'running' AS status, 0.5::DOUBLE AS progress, NULL AS error, o_orderkey % 3 = 0 AS consumed FROM orders")
+def outbox_writes(spark, d):
+    path = _outbox(spark, d)
+    ids = cut(spark.read.parquet(path).where(F.col("outbox_id").cast("long") % 3 == 0).select("outbox_id"))  # not from the table that is swapped
+    K.mark_consumed(spark, path, ids, F.lit("2024-01-01").cast("timestamp"))
+    K.mark_consumed(spark, path, ids.where(F.col("outbox_id").cast("long") % 2 == 0), F.lit("2025-01-01").cast("timestamp"))  # they keep their time
+    return spark.read.parquet(path).select("outbox_id", "media_id", "status", "progress", "error", (F.col("consumed_at") == F.lit("2024-01-01").cast("timestamp")).alias("consumed")).withColumn("consumed", F.coalesce("consumed", F.lit(False)))
+
+
+@query("SELECT event_type AS stage, count(*) AS n, count(*) FILTER (event_id % 2 = 0) AS with_details FROM events GROUP BY event_type")
+def event_writes(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("user_id").alias("media_id"), F.col("event_type").alias("stage"), F.lit("done").alias("status"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("details"))
+    path = new_path(spark, "events")
+    K.append(e.where("stage <> 'view'"), path, K.EVENT)
+    K.append(e.where("stage = 'view'"), path, K.EVENT)
+    return spark.read.parquet(path).groupBy("stage").agg(F.count("*").alias("n"), F.count("details").alias("with_details"))
+
+
+@query("SELECT 'kept' AS part, count(*) AS n, NULL AS reason FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'quarantine', count(*), 'balance of ' || c_mktsegment FROM customer WHERE NOT coalesce(c_acctbal > 0, FALSE) GROUP BY c_mktsegment")
+def quarantined(spark, d):
+    path = new_path(spark, "quarantine")
+    good = K.quarantine(table(spark, d, "customer"), F.col("c_acctbal") > 0, path, F.concat(F.lit("balance of "), "c_mktsegment"), "c_custkey")
+    return good.agg(F.lit("kept").alias("part"), F.count("*").alias("n"), F.lit(None).cast("string").alias("reason")).unionByName(spark.read.parquet(path).groupBy("reason").agg(F.lit("quarantine").alias("part"), F.count("*").alias("n")).select("part", "n", "reason"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size = 20 THEN 'twenty' ELSE p_name END AS name, p_brand AS brand FROM part WHERE p_type <> 'PROMO' OR p_size = 20 UNION ALL SELECT 1000000, 'new', NULL")
+def changed_rows(spark, d):
+    """Updates of some columns, deletes, and an upsert that brings a part of the columns."""
+    path = new_path(spark, "parts")
+    table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), "p_size", "p_type").write.parquet(path)
+    K.change(spark, path, F.col("p_size") < 10, {"name": F.lit("small")})
+    twenty = spark.read.parquet(path).where("p_size = 20").select("p_partkey", F.lit("twenty").alias("name"))
+    K.upsert(twenty.unionByName(spark.createDataFrame([(1_000_000, "new")], twenty.schema)), path, ["p_partkey"])
+    K.delete(spark, path, (F.col("p_type") == "PROMO") & (F.col("p_size") != 20))
+    return spark.read.parquet(path).select("p_partkey", "name", "brand")
+
+
+@query("SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'again' ELSE 'first' END AS written FROM orders WHERE o_custkey % 2 = 1 OR o_orderkey % 3 = 0")
+def rebuilt_scenes(spark, d):
+    """All rows of some keys written anew, twice over."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit("first").alias("written"))
+    path = new_path(spark, "scenes")
+    # keys without a row in the new table keep their old ones
+    o.join(o.where("o_custkey % 2 = 0").groupBy("o_custkey").agg(F.max((F.col("o_orderkey") % 3 == 0).cast("int")).alias("has")), "o_custkey", "left").where("has IS NULL OR has = 1").select(*o.columns).write.parquet(path)
+    new = o.where("o_custkey % 2 = 0 AND o_orderkey % 3 = 0").withColumn("written", F.lit("again"))
+    for _ in range(2):
+        K.rebuild(new, path, "o_custkey")
+    return spark.read.parquet(path)
+
+
+@query("SELECT 'nodes' AS what, (SELECT count(*) FROM orders WHERE o_custkey % 20 <> 0) + (SELECT count(*) FROM part) AS n UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 20 <> 0) UNION ALL SELECT 'deleted', count(*) FROM orders WHERE o_custkey % 20 = 0")
+def deleted_videos(spark, d):
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.col("o_custkey").alias("video"))
+    p = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.lit(None).cast("long").alias("video"))
+    nodes, edges = new_path(spark, "nodes"), new_path(spark, "edges")
+    o.unionByName(p).write.parquet(nodes)
+    table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct().write.parquet(edges)
+    n = K.delete_video(spark, nodes, edges, F.col("video") % 20 == 0)
+    count = lambda path, what: spark.read.parquet(path).agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    return count(nodes, "nodes").unionByName(count(edges, "edges")).unionByName(spark.createDataFrame([("deleted", n)], "what string, n long"))
+
+
+@query("""WITH h AS (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation)
+SELECT count(*) AS n, sha256(concat_ws(':', sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 17, 15))::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 33, 15))::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 49, 15))::HUGEINT)::VARCHAR)) AS dataset_hash FROM h""")
+def benchmark_manifest(spark, d):
+    return K.manifest(table(spark, d, "nation").orderBy(F.desc("n_name")), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
+
+
+@query("SELECT 'nations' AS name, ['bleu', 'f1'] AS evaluators, n_nationkey AS id, 'Is ' || n_name || ' there?' AS query FROM nation")
+def exported_benchmark(spark, d):
+    path = new_path(spark, "export")
+    K.export_json(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Is "), "n_name", F.lit(" there?")).alias("query")), path, "nations", ["bleu", "f1"])
+    back = spark.read.schema("name string, evaluators array<string>, data struct<id: int, query: string>").json(path)
+    return back.select("name", "evaluators", "data.id", "data.query")
+
+
+@query("SELECT vec_id, list_slice(embedding, 1, 16) AS coarse FROM embeddings")
+def stored_embeddings(spark, d):
+    path = new_path(spark, "vectors")
+    K.with_coarse(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))).write.parquet(path)
+    return spark.read.parquet(path).select("vec_id", "coarse")
+
+
+@query("SELECT p_size AS video, lower(trim(p_type)) AS topic, max(p_retailprice) AS relevance, arg_min(p_type, p_partkey) AS name FROM part GROUP BY ALL")
+def merged_topics(spark, d):
+    p = table(spark, d, "part")
+    return p.groupBy(F.col("p_size").alias("video"), F.lower(F.trim("p_type")).alias("topic")).agg(F.max("p_retailprice").alias("relevance"), F.min_by("p_type", "p_partkey").alias("name"))
+
+
+@query("SELECT p_brand AS community, count(*) AS members, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS themes FROM part GROUP BY p_brand")
+def stored_communities(spark, d):
+    """Communities with the text of their themes, replaced as a whole."""
+    path = new_path(spark, "communities")
+    p = table(spark, d, "part")
+    c = p.groupBy(F.col("p_brand").alias("community")).agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("themes"))
+    c.withColumn("themes", F.lit("old")).write.parquet(path)
+    K.rebuild(c, path, "community")
+    return spark.read.parquet(path)
+
+
+@query("""SELECT event_type AS stage, round(avg(k / nullif(value, 0)), 6) AS per_second, count(*) AS n FROM (SELECT event_type, value, (props->>'$.k')::DOUBLE AS k FROM events) GROUP BY event_type""")
+def stage_throughput(spark, d):
+    """What the stages got through, from the metrics in their JSON."""
+    metrics = F.to_json(F.struct(F.col("value").alias("elapsed_seconds"), F.get_json_object("props", "$.k").cast("double").alias("frames")))
+    e = table(spark, d, "events").select(F.col("event_type").alias("stage"), metrics.alias("metrics"))
+    get = lambda k: F.get_json_object("metrics", f"$.{k}").try_cast("double")
+    return e.groupBy("stage").agg(F.round(F.avg(F.try_divide(get("frames"), get("elapsed_seconds"))), 6).alias("per_second"), F.count("*").alias("n"))
