@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ class Shape:
     head: int = 1 << 17
     size: int = 24
     context: int = 2
-    noise: int = 24
+    noise: int = 16
     noise_in_class: int = 1
     batch: int = 2048
     rate: float = 0.1
@@ -243,9 +244,23 @@ class Model:
         counts = np.array([*(self.head[w] for w in self.tokens), max(1, self.total - own)], float)
         self.prior = counts / counts.sum()
 
-    def ids(self, words: list[bytes]) -> list[int]:
-        get, other = self.tokens.get, len(self.tokens)
-        return [get(w, other) for w in words]
+    def ranks(self, texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words of some texts, each text with its end; their ranks in the head, -1 for others; and the lengths of the texts."""
+        flat = list(chain.from_iterable(chain(words, (END,)) for words in texts))
+        index = self.__dict__.setdefault("_index", _Ranks((w, i) for i, w in enumerate(self.head)))
+        return flat, np.fromiter(map(index.__getitem__, flat), np.int32, len(flat)), np.array([len(words) + 1 for words in texts])
+
+    def ids(self, ranks: np.ndarray) -> np.ndarray:
+        own = len(self.tokens)
+        return np.where((ranks >= 0) & (ranks < own), ranks, own).astype(np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_index"}
+
+
+class _Ranks(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
 
 def train(rows: DataFrame, text_col: str, model: Model) -> Params:
@@ -275,9 +290,8 @@ def train(rows: DataFrame, text_col: str, model: Model) -> Params:
             m, part = words.value, TaskContext.get().partitionId()
             trainer, read = Trainer(Params.of(shared.value, n, shape), m.prior, shape, part * 64 + nth), 0
             for _, texts in _texts(batches):
-                ids = [m.ids([*words, END]) for words in texts]
-                lengths = np.array([len(x) for x in ids])
-                tokens = np.concatenate([np.array(x, np.int64) for x in ids])
+                _, ranks, lengths = m.ranks(texts)
+                tokens = m.ids(ranks)
                 trainer.learn(contexts_of(tokens, lengths, n, shape.context), tokens)
                 read += len(tokens)
             if read:
@@ -376,38 +390,27 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        head, n, own = m.head, len(m.prior), len(m.tokens)
-        logs = {w: float(np.log10(c + 1)) for w, c in head.items()}
+        n, own = len(m.prior), len(m.tokens)
+        logs = np.log10(np.array([*m.head.values(), 0], float) + 1)  # last, at -1: none of the head
         for part, texts in _texts(batches):
-            ids = [m.ids([*words, END]) for words in texts]
-            lengths = np.array([len(x) for x in ids])
-            tokens = np.concatenate([np.array(x, np.int64) for x in ids])
+            words, ranks, lengths = m.ranks(texts)
+            tokens, known, starts = m.ids(ranks), ranks >= 0, np.cumsum(lengths) - lengths
             if m.params is not None:
                 each = log_probs(m.params, tokens, contexts_of(tokens, lengths, n, shape.context))
             else:
                 each = np.zeros(len(tokens))
-            lm = np.add.reduceat(each, np.cumsum(lengths) - lengths)
-            at, word, tf, tail_n, n_known, base, more = [], [], [], [], [], [], []
-            for k, (words, x) in enumerate(zip(texts, ids, strict=True)):
-                known, logged, other = 0, 0.0, 0.0
-                for w, c in Counter([*words, END]).items():
-                    if (l := logs.get(w)) is not None:
-                        known += c
-                        logged += c * (l - denominator)
-                        if w not in m.tokens:
-                            other += c * (l - rest)
-                    else:
-                        at.append(k)
-                        word.append(w)
-                        tf.append(c)
-                tail_n.append(len(x))
-                n_known.append(known)
-                base.append(logged)
-                more.append(other)
+            # of the head all is known here; a word of it without a token of its own has its share among the others
+            logged = logs[ranks]
+            base = np.where(known, logged - denominator, 0.0)
+            lm = np.add.reduceat(each + np.where(known & (ranks >= own), logged - rest, 0.0), starts)
+            n_known, base = np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts)
+            unknown = np.flatnonzero(~known)
+            of = np.repeat(np.arange(len(texts)), lengths)[unknown].tolist()
+            tail = Counter(zip(of, map(words.__getitem__, unknown.tolist()), strict=True))
             k = len(texts)
-            doc_rows = [pa.array(range(k), pa.int32()), pa.array([b"\n\n%d" % i for i in range(k)], pa.binary()), pa.nulls(k, pa.int32()), pa.array(tail_n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(lm + np.array(more), pa.float64())]
-            j = len(at)
-            tail_rows = [pa.array(at, pa.int32()), pa.array(word, pa.binary()), pa.array(tf, pa.int32()), *(pa.nulls(j, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            doc_rows = [pa.array(range(k), pa.int32()), pa.array([b"\n\n%d" % i for i in range(k)], pa.binary()), pa.nulls(k, pa.int32()), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(lm, pa.float64())]
+            j = len(tail)
+            tail_rows = [pa.array([x for x, _ in tail], pa.int32()), pa.array([w for _, w in tail], pa.binary()), pa.array(list(tail.values()), pa.int32()), *(pa.nulls(j, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             doc = part.column(1)
             for cols in (doc_rows, tail_rows):
                 for lo in range(0, len(cols[0]), 10_000):
