@@ -140,8 +140,10 @@ class Trainer:
 
     def _step(self, i: int, at, grad: np.ndarray) -> None:
         param, seen = self.p.arrays()[i], self.seen[i]
-        seen[at] += grad**2
-        param[at] += self.shape.rate * grad / np.sqrt(seen[at])
+        squares = seen[at] + grad * grad
+        seen[at] = squares
+        np.sqrt(squares, out=squares)
+        param[at] += self.shape.rate * grad / squares
 
     @staticmethod
     def _by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,13 +168,14 @@ class Trainer:
             np.multiply(g_c[:, None], hat, out=wide[: len(t), :-1])
             np.matmul(g_n.T, hat, out=wide[len(t) :, :-1])
             wide[: len(t), -1], wide[len(t) :, -1] = g_c, g_n.sum(0)
+            wide *= scale
             moves = [(4, 5, *self._by_row(np.concatenate([c, noise]), wide))]
             # words, where the class has more than one
             own = np.flatnonzero(self.starts[c + 1] - self.starts[c] > 1)
             if len(own):
                 tw, cw, hw = t[own], c[own], hat[own]
                 a, b = self.sum[self.starts[cw]], self.sum[self.starts[cw + 1]]
-                drawn = np.searchsorted(self.sum, a + self.rng.random((k, len(own))) * (b - a), side="right") - 1
+                drawn = np.searchsorted(self.sum, a + self.rng.random((k, len(own))) * (b - a), side="right") - 1  # within the class
                 drawn = np.clip(drawn, self.starts[cw], self.starts[cw + 1] - 1)
                 every = np.concatenate([tw, *drawn])
                 vectors = p.q[every].reshape(k + 1, len(own), -1)
@@ -183,15 +186,18 @@ class Trainer:
                 wide = np.empty((len(every), shape.size + 1), np.float32)
                 np.multiply(g[:, :, None], hw, out=wide[:, :-1].reshape(k + 1, len(own), -1))
                 wide[:, -1] = g.ravel()
+                wide *= scale
                 moves.append((2, 3, *self._by_row(every, wide)))
             g_hat *= scale
-            places = [(ctx[:, i], g_hat @ p.c[i].T, p.r[ctx[:, i]].T @ g_hat) for i in range(shape.context)]
+            at = ctx.T.ravel()  # place after place
+            before = np.concatenate([g_hat @ p.c[i].T for i in range(shape.context)])
+            turns = [p.r[ctx[:, i]].T @ g_hat for i in range(shape.context)]
             for v, bias, rows, grad in moves:
-                self._step(v, rows, grad[:, :-1] * scale)
-                self._step(bias, rows, grad[:, -1] * scale)
-            for i, (at, g_r, g_m) in enumerate(places):
-                self._step(0, *self._by_row(at, g_r))
-                self._step(1, i, g_m)
+                self._step(v, rows, grad[:, :-1])
+                self._step(bias, rows, grad[:, -1])
+            self._step(0, *self._by_row(at, before))
+            for i, turn in enumerate(turns):
+                self._step(1, i, turn)
 
 
 def split_words(text: str | None) -> list[bytes]:
