@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entity types and their aliases, relation types, stop words, hints.
+# Entity types and their aliases, relation types, stop words, hints of detail, phrases for empty pictures.
 ENTITY_TYPES = ["person", "object", "location", "action", "event", "text", "brand", "concept"]
 ENTITY_ALIASES = {
     "concept": ["lighting", "emotion", "weather", "time", "color", "sound", "music", "abstract", "expression", "symbol"],

@@ -9,6 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What is said of a video's coverage.
+ADVICE = [
+    "Consider using DEEP_ANALYSIS or ADAPTIVE preset for better coverage",
+    "Large gap detected (%.1fs) - use HYBRID extraction to fill gaps",
+    "Low frame density - increase max_frames or reduce interval",
+    "%d gaps over %.1fs - content may be missed",
+    "Good coverage achieved",
+    "No frames extracted",
+]
+
 
 def _binned(left: DataFrame, right: DataFrame, keys: list[str], l_lo: str, l_hi: str, r_lo: str, r_hi: str, width: int, match: Column) -> DataFrame:
     """An interval join by equality of key and bin: no row meets all others. Each pair meets in its first common bin only."""
@@ -190,10 +200,8 @@ def coverage(frames: DataFrame, key: str, at: str, durations: DataFrame) -> Data
     score = F.when(F.col("n") == 0, 0.0).otherwise(F.greatest(score, F.lit(0.0)))
     density = F.coalesce(F.try_divide(F.col("n"), F.col("duration") / 60), F.lit(0.0))
     advice = F.array_compact(F.array(
-        F.when(score < 50, "Consider using DEEP_ANALYSIS or ADAPTIVE preset for better coverage"),
-        F.when(F.col("max_gap") > F.col("_limit") * 2, F.format_string("Large gap detected (%.1fs) - use HYBRID extraction to fill gaps", "max_gap")),
-        F.when(density < 5, "Low frame density - increase max_frames or reduce interval"),
-        F.when(F.col("problems") > 5, F.format_string("%d gaps over %.1fs - content may be missed", "problems", F.col("_limit").cast("double"))),
+        F.when(score < 50, ADVICE[0]), F.when(F.col("max_gap") > F.col("_limit") * 2, F.format_string(ADVICE[1], "max_gap")),
+        F.when(density < 5, ADVICE[2]), F.when(F.col("problems") > 5, F.format_string(ADVICE[3], "problems", F.col("_limit").cast("double"))),
     ))
-    advice = F.when(F.col("n") == 0, F.array(F.lit("No frames extracted"))).when(F.size(advice) == 0, F.array(F.lit("Good coverage achieved"))).otherwise(advice)
+    advice = F.when(F.col("n") == 0, F.array(F.lit(ADVICE[5]))).when(F.size(advice) == 0, F.array(F.lit(ADVICE[4]))).otherwise(advice)
     return out.select(key, "n", F.round("max_gap", 2).alias("max_gap"), F.round(F.coalesce("avg_gap", F.lit(0.0)), 2).alias("avg_gap"), "problems", F.round(density, 2).alias("density"), F.round(score, 1).alias("score"), advice.alias("advice"))
