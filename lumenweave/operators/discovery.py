@@ -72,7 +72,7 @@ def longest_in(spans: DataFrame, frames: DataFrame, key: str, lo: str, hi: str,
     marks = marks.withColumn("_span", F.col("_span").cast(f"struct<{lo}: double, {hi}: double>"))
     held = marks.unionByName(points).withColumn("_in", F.last("_span", ignorenulls=True).over(Window.partitionBy(key).orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0)))
     inside = held.where((F.col("_k") == 1) & (F.col("_at") <= F.col(f"_in.{hi}")) & F.col("_text").isNotNull())
-    best = inside.groupBy(key, F.col(f"_in.{lo}").alias(lo)).agg(F.max_by("_text", F.struct(F.length("_text"), -F.col("_at"))).alias("description"))
+    best = inside.groupBy(key, F.col(f"_in.{lo}").alias(lo)).agg(F.max_by("_text", F.struct(F.length("_text"), -F.col("_at"), "_text")).alias("description"))
     return spans.join(best, [key, lo], "left")
 
 

@@ -149,7 +149,7 @@ def entity_evidence(spark, d):
 
 
 @query(f"""WITH {SHOTS}, v AS (SELECT DISTINCT video_id FROM shots), s AS (SELECT video_id, n * 25.0::DOUBLE AS lo, n * 25.0::DOUBLE + 20 AS hi FROM v, (SELECT unnest(range(5)) AS n))
-SELECT s.video_id, lo, hi, arg_max(description, struct_pack(l := length(description), t := -ts)) AS description FROM s LEFT JOIN shots f ON f.video_id = s.video_id AND f.ts BETWEEN lo AND hi GROUP BY s.video_id, lo, hi""")
+SELECT s.video_id, lo, hi, arg_max(description, struct_pack(l := length(description), t := -ts, d := description)) AS description FROM s LEFT JOIN shots f ON f.video_id = s.video_id AND f.ts BETWEEN lo AND hi GROUP BY s.video_id, lo, hi""")
 def scene_descriptions(spark, d):
     s = shots(spark, d)
     spans = s.select("video_id").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("video_id", (F.col("n") * 25).cast("double").alias("lo"), (F.col("n") * 25 + 20).cast("double").alias("hi"))
