@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenweave.llm.common import LOWER, UPPER, WORD
 from lumenweave.llm.decontaminate import decontaminate
 from lumenweave.llm.exact_dedup import exact_dedup
+from lumenweave.llm.fingerprints import fingerprints
 from lumenweave.llm.language_id import identify
 from lumenweave.llm.license_scan import NOTICES, PHRASES, license_scan
 from lumenweave.llm.line_dedup import line_dedup
@@ -109,6 +110,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, write_token_shards(table(spark, sf_dir, "documents"), new_path(spark, "tokens")))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fingerprints": op11_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
