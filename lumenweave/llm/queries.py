@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenweave.llm.common import LOWER, UPPER, WORD
 from lumenweave.llm.decontaminate import decontaminate
+from lumenweave.llm.divergence import divergence
 from lumenweave.llm.exact_dedup import exact_dedup
 from lumenweave.llm.fingerprints import fingerprints
 from lumenweave.llm.language_id import identify
@@ -114,6 +115,28 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({SQL_NORM}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, term, sum(n) AS n FROM t GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, coalesce(s.n, 0)::HUGEINT AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+p AS (SELECT *, 1 + (1000000000 * (n + 5)) // sum(n + 5) OVER (PARTITION BY lang, source) AS p FROM c),
+l AS (SELECT lang, term, sum(n) + 5 AS m FROM c GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000 * m) // sum(m) OVER (PARTITION BY lang) AS q FROM l),
+v AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT p.lang, source, 'term', p.term, p - q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER o)::INTEGER AS rank FROM v WINDOW o AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER o <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
@@ -126,9 +149,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
     "op11_fingerprints": op11_fingerprints,
+    "op12_divergence": op12_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_license_scan": OP2_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op12_divergence": OP12_SQL,
 }
