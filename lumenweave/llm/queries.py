@@ -19,6 +19,7 @@ from lumenweave.llm.mixing import schedule
 from lumenweave.llm.near_dedup import near_dedup
 from lumenweave.llm.suffix_dedup import suffix_dedup
 from lumenweave.llm.token_shards import read_token_shards, write_token_shards
+from lumenweave.llm.whitening import whiten
 from lumenweave.session import new_path, table
 
 #: The lower-cased text in DuckDB, whose lower() would change more than A-Z.
@@ -137,6 +138,10 @@ SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER o)::
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
@@ -150,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_fingerprints": op11_fingerprints,
     "op12_divergence": op12_divergence,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
