@@ -5,7 +5,7 @@ language; a leaf holds in how many documents the term stands and how often it st
 in each source. A trie of many leaves is written down in the order of its traversal
 and a new one begun. Spark deals the leaves of all tries by ranges of (language, term
 bytes); within a range the leaves of equal prefixes follow each other, so the tries
-merge as they are read, along the rightmost path, whatever their number. A second
+merge as they are read, whatever their number. A second
 traversal of the merged leaves that are kept, in UTF-8 order, streams what each term
 adds to the divergence of every pair of sources, and keeps of every source the best
 candidates; of equal ones the first in that order stay.
@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,55 +35,55 @@ _LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int
 
 
 class Trie:
-    """A radix trie over bytes. A node is [label, children by first byte, leaf]; a leaf is [documents, {source: count}]."""
+    """A trie over bytes whose lowest branches are containers: one that holds over ``BURST`` terms bursts into branches by its next byte.
 
-    def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
-        self.leaves = 0
-
-    def leaf(self, term: bytes) -> list:
-        """The leaf of ``term``, made if there is none: an edge is cut where the term leaves it."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                node, at = child, len(term)
-                break
-            label = child[0]
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            same = 1
-            while at + same < len(term) and label[same] == term[at + same]:
-                same += 1
-            node[1][term[at]] = middle = [label[:same], {label[same]: child}, None]
-            child[0] = label[same:]
-            node, at = middle, at + same
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.leaves += 1
-        return node[2]
-
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += docs
-        for source, n in counts.items():
-            leaf[1][source] = leaf[1].get(source, 0) + n
+    A leaf is [documents, source, count, source, count, ...]; counts of a source that stands there twice add up.
+    """
+
+    BURST = 256
+    __slots__ = ("depth", "terms", "branches")
+
+    def __init__(self, terms: dict[bytes, list] | None = None, depth: int = 0) -> None:
+        self.depth, self.terms, self.branches = depth, {} if terms is None else terms, None
+        self._burst()
+
+    def _burst(self) -> None:
+        if len(self.terms) <= self.BURST:
+            return
+        at, parts = self.depth, defaultdict(dict)
+        for term, leaf in self.terms.items():
+            parts[term[at] if len(term) > at else -1][term] = leaf  # -1: the term ends here, before all others
+        self.terms, self.branches = {}, {byte: Trie(part, at + 1) for byte, part in parts.items()}
+
+    def add(self, term: bytes, leaf: list) -> None:
+        node = self
+        while node.branches is not None:
+            byte = term[node.depth] if len(term) > node.depth else -1
+            if byte not in node.branches:
+                node.branches[byte] = Trie(depth=node.depth + 1)
+            node = node.branches[byte]
+        own = node.terms.get(term)
+        if own is None:
+            node.terms[term] = list(leaf)
+            node._burst()
+        else:
+            own[0] += leaf[0]
+            own += leaf[1:]
 
     def walk(self) -> Iterator[tuple[bytes, list]]:
         """(term, leaf) in the order of the terms' bytes, which is that of their UTF-8."""
-        stack = [(b"", self.root)]
+        stack = [self]
         while stack:
-            prefix, node = stack.pop()
-            prefix += node[0]
-            if node[2] is not None:
-                yield prefix, node[2]
-            stack += [(prefix, node[1][b]) for b in sorted(node[1], reverse=True)]
+            node = stack.pop()
+            if node.branches is None:
+                for term in sorted(node.terms):
+                    yield term, node.terms[term]
+            else:
+                stack += [node.branches[byte] for byte in sorted(node.branches, reverse=True)]
 
     def merge(self, other: Trie) -> Trie:
-        for term, (docs, counts) in other.walk():
-            self.add(term, docs, counts)
+        for term, leaf in other.walk():
+            self.add(term, leaf)
         return self
 
 
@@ -108,15 +109,12 @@ class Counts:
         return sum(map(len, self.terms.values())) + sum(map(len, self.docs.values())) > most
 
     def tries(self) -> dict[str, Trie]:
-        out: dict[str, Trie] = defaultdict(Trie)
-        for lang, terms in self.docs.items():
-            for term, n in terms.items():
-                out[lang].leaf(term)[0] += n
+        leaves = {lang: {term: [n] for term, n in terms.items()} for lang, terms in self.docs.items()}
         for (lang, source), terms in self.terms.items():
-            trie = out[lang]
+            own = leaves[lang]
             for term, n in terms.items():
-                trie.leaf(term)[1][source] = n
-        return out
+                own[term] += (source, n)
+        return {lang: Trie(terms) for lang, terms in leaves.items()}
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -124,8 +122,13 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, at_once: int = 20_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _leaf_rows(leaves: Iterable[tuple[str, bytes, list]]) -> Iterator[pa.RecordBatch]:
-    return _batches(((lang, term, docs, list(counts), list(counts.values())) for lang, term, (docs, counts) in leaves), _LEAF)
+def _leaf_rows(leaves: Iterator[tuple[str, bytes, list]], at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(leaves, at_once)):
+        langs, terms, own = zip(*held, strict=True)
+        flat = list(chain.from_iterable(leaf[1:] for leaf in own))
+        offsets = pa.array(np.cumsum([0, *(len(leaf) // 2 for leaf in own)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(flat[k::2], kind)) for k, kind in ((0, pa.string()), (1, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(terms), pa.array([leaf[0] for leaf in own]), *lists], schema=_LEAF)
 
 
 def tries(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", most: int = 1_000_000) -> DataFrame:
@@ -154,29 +157,54 @@ def tries(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     return rows.mapInArrow(run, LEAF)
 
 
-def merged(leaves: DataFrame) -> DataFrame:
-    """One row a language and term, in ranges of them: equal leaves stand together in a sorted range and are summed as they pass."""
+def merged(leaves: DataFrame, least: int) -> DataFrame:
+    """One row a language and term in ``least`` documents or more, in ranges of both.
+
+    In a sorted range the leaves of one term, of however many tries, follow each
+    other. Runs of equal terms are found a batch at a time; only those that are kept
+    are looked into, and the last run of a batch waits for the next one.
+    """
+
+    def summed(rows: pa.Table, starts: np.ndarray) -> Iterator[tuple[str, bytes, list]]:
+        total = np.add.reduceat(rows.column("docs").to_numpy(), starts)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+        keep = total[run] >= least
+        run, kept = run[keep], rows.filter(pa.array(keep))
+        at, leaf, counts = None, None, {}
+        for nth, lang, term, sources, own in zip(run.tolist(), *(kept.column(c).to_pylist() for c in ("lang", "term", "sources", "counts")), strict=True):
+            if nth != at:
+                if leaf:
+                    yield *leaf, [int(total[at]), *chain.from_iterable(counts.items())]
+                at, leaf, counts = nth, (lang, term), {}
+            for source, n in zip(sources, own, strict=True):
+                counts[source] = counts.get(source, 0) + n
+        if leaf:
+            yield *leaf, [int(total[at]), *chain.from_iterable(counts.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed() -> Iterator[tuple[str, bytes, list]]:
-            key, leaf = None, [0, {}]
+        def leaves_of() -> Iterator[tuple[str, bytes, list]]:
+            held = None
             for batch in batches:
-                for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (lang, term) != key:
-                        if key:
-                            yield *key, leaf
-                        key, leaf = (lang, term), [0, {}]
-                    leaf[0] += docs
-                    for source, n in zip(sources, counts, strict=True):
-                        leaf[1][source] = leaf[1].get(source, 0) + n
-            if key:
-                yield *key, leaf
-
-        return _leaf_rows(summed())
+                rows = pa.Table.from_batches([batch])
+                held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+                starts = _starts(held)
+                yield from summed(held.slice(0, starts[-1]), starts[:-1]) if len(starts) > 1 else ()
+                held = held.slice(starts[-1])
+            if held is not None and held.num_rows:
+                yield from summed(held, np.zeros(1, "int64"))
+
+        return _leaf_rows(leaves_of())
 
     return leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, LEAF)
 
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where another (lang, term) begins."""
+    n = rows.num_rows
+    same = [pc.equal(rows.column(c).slice(1), rows.column(c).slice(0, n - 1)).to_numpy() for c in ("lang", "term")]
+    return np.flatnonzero(np.append(True, ~(same[0] & same[1])))
+
+
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """1 + floor(SCALE * counts / totals), exact: two steps of a long division, in Python's integers where 64 bits don't do."""
     step = 32_000
@@ -286,7 +314,7 @@ def divergence(
     """
     spark: SparkSession = docs.sparkSession
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kept = written(merged(written(tries(docs, lang_col, source_col, text_col, most))).where(F.col("docs") >= least))
+    kept = written(merged(written(tries(docs, lang_col, source_col, text_col, most)), least))
     sizes = {r.lang: r.n for r in kept.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     used = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
     there = docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source")).distinct()
