@@ -12,15 +12,6 @@ from lumenweave.session import cut
 K1, B = 1.2, 0.75
 
 
-def vector_search(nodes: DataFrame, queries: DataFrame, k: int, least: float, coarse: int = 16, wide: int = 5, node: str = "node_id", v: str = "v") -> DataFrame:
-    """``query, node, score``: of each query the best ``wide * k`` by a prefix of the vector, of these the best ``k`` by all of it."""
-    head = lambda df: df.select(node, F.slice(v, 1, coarse).alias("v"))
-    some = nearest(head(queries), head(nodes), wide * k, max(least - 0.15, 0.1), node=node, v="v").select("query", "node")
-    side = lambda df, name: df.select(F.col(node).alias(name), F.col(v).alias(f"{name}_v"))
-    exact = some.join(side(queries, "query"), "query").join(side(nodes, "node"), "node").select("query", "node", cosine(F.col("query_v"), F.col("node_v")).alias("score"))
-    return per_group(exact.where(F.col("score") >= least), "query", [F.desc("score"), F.col("node")], k)
-
-
 def nearest(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: str = "node_id", group: str | None = None, v: str = "v", rows: int = 20_000) -> DataFrame:
     """``query, node, score``: of each query the best ``k`` by cosine, of other groups if ``group`` is given.
 
@@ -58,11 +49,6 @@ def nearest(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: st
     return per_group(met, "query", [F.desc("score"), F.col("node")], k)
 
 
-def nearest_vectors(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: str = "node_id", group: str = "video_id", v: str = "v") -> DataFrame:
-    """``query, node, score``: of each query the best ``k`` of other groups."""
-    return nearest(queries, nodes, k, least, node, group, v)
-
-
 def children_search(parents: DataFrame, edges: DataFrame, nodes: DataFrame, query: Column | None, k: int) -> DataFrame:
     """``parent, node, score``: the best ``k`` children of each parent; without a query by the parent's own column ``q``."""
     kids = parents.join(edges, F.col("parent") == F.col("src")).select(*parents.columns, F.col("dst").alias("node")).join(nodes, "node")
@@ -113,17 +99,16 @@ def bm25(docs: DataFrame, query: list[str], node: str, text: str) -> DataFrame:
     return scored.select(node, sum((F.when(F.col(f"t{i}") > 0, part(i)).otherwise(0.0) for i in range(len(query))), F.lit(0.0)).alias("score"))
 
 
-def fuse(vector: DataFrame, text: DataFrame, node: str = "node_id", extra: int = 20) -> DataFrame:
-    """``node, vector_score, fulltext_score``: both lists together, text scores by their maximum, ``extra`` of those only in text."""
-    best = text.agg(F.max("score").alias("_best"))
-    t = text.crossJoin(F.broadcast(best)).withColumn("fulltext_score", F.col("score") / F.col("_best")).drop("score", "_best")  # one row
-    hits = vector.select(node, F.col("score").alias("vector_score")).join(t, node, "left").select(node, "vector_score", F.coalesce("fulltext_score", F.lit(0.0)).alias("fulltext_score"))
-    more = t.join(vector, node, "left_anti").orderBy(F.desc("fulltext_score"), node).limit(extra).select(node, F.lit(0.0).alias("vector_score"), "fulltext_score")
-    return hits.unionByName(more)
+def fuse(vector: DataFrame, text: DataFrame, node: str = "node_id", extra: int = 20, by: str = "query") -> DataFrame:
+    """``by, node, vector_score, fulltext_score``: of each query both lists together, text scores by their maximum, ``extra`` of those only in text."""
+    t = text.withColumn("fulltext_score", F.col("score") / F.max("score").over(Window.partitionBy(by))).drop("score")
+    hits = vector.select(by, node, F.col("score").alias("vector_score")).join(t, [by, node], "left").select(by, node, "vector_score", F.coalesce("fulltext_score", F.lit(0.0)).alias("fulltext_score"))
+    more = per_group(t.join(vector, [by, node], "left_anti"), by, [F.desc("fulltext_score"), F.col(node)], extra)
+    return hits.unionByName(more.select(by, node, F.lit(0.0).alias("vector_score"), "fulltext_score"))
 
 
-def weigh(candidates: DataFrame, k: int, profile: str = "default", at: str = "ts", lo: float | None = None, hi: float | None = None, related: str = "related", node: str = "node_id") -> DataFrame:
-    """Candidates with ``graph_score, temporal_score, combined_score``, the best ``k``. Without a range a time counts .7, none .3."""
+def weigh(candidates: DataFrame, k: int, profile: str = "default", at: str = "ts", lo: float | None = None, hi: float | None = None, related: str = "related", node: str = "node_id", by: str = "query") -> DataFrame:
+    """Candidates with ``graph_score, temporal_score, combined_score``, the best ``k`` of each query. Without a range a time counts .7, none .3."""
     wv, wt, wg, wm = PROFILES.get(profile, PROFILES["default"])
     if lo is not None and hi is not None:
         candidates = candidates.where(F.col(at).isNull() | F.col(at).between(lo, hi))
@@ -132,7 +117,7 @@ def weigh(candidates: DataFrame, k: int, profile: str = "default", at: str = "ts
         temporal = F.when(F.col(at).isNotNull(), 0.7).otherwise(0.3)
     scored = candidates.withColumns({"graph_score": degree_score(F.coalesce(related, F.lit(0))), "temporal_score": temporal})
     total = wv * F.col("vector_score") + wt * F.col("fulltext_score") + wg * F.col("graph_score") + wm * F.col("temporal_score")
-    return scored.withColumn("combined_score", total).orderBy(F.desc("combined_score"), node).limit(k)
+    return per_group(scored.withColumn("combined_score", total), by, [F.desc("combined_score"), F.col(node)], k)
 
 
 def rerank(candidates: DataFrame, related: DataFrame, terms: list[str], node: str = "node_id") -> DataFrame:

@@ -15,9 +15,11 @@ from lumenweave.operators import graph as G
 from lumenweave.operators import search as R
 from lumenweave.operators import tables as B
 from lumenweave.operators import timeline as L
+from lumenweave.operators.fulltext import FullTextIndex, tokens
+from lumenweave.operators.vectors import VectorIndex
 from lumenweave.plans import views as V
 from lumenweave.plans.registry import query
-from lumenweave.session import table
+from lumenweave.session import new_path, table, written
 
 # text
 
@@ -398,17 +400,33 @@ COS = f"({DOT.format('{0}', '{1}')} / (sqrt({DOT.format('{0}', '{0}')}) * sqrt({
 COS_VQ = COS.format("v", "q")
 
 
-@query(f"""SELECT * FROM (WITH c AS (SELECT a.node_id AS query, b.node_id AS node, a.v AS q, b.v AS v, {COS.format('a.v[1:16]', 'b.v[1:16]')} AS coarse FROM vectors a, vectors b WHERE a.node_id % 20 = 0),
-t AS (SELECT * FROM c WHERE coarse >= 0.1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY coarse DESC, node) <= 50) SELECT query, node, round({COS_VQ}, 6) AS score FROM t WHERE {COS_VQ} >= 0.2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY {COS_VQ} DESC, node) <= 10)""", "vectors")
+@query(
+    f"""SELECT * FROM (WITH p AS (SELECT a.node_id AS query, b.node_id AS node, round({COS.format('a.v', 'b.v')}, 9) AS score FROM vectors a, vectors b WHERE a.node_id % 20 = 0)
+SELECT query, node, round(score, 6) AS score FROM p WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 10)""",
+    "vectors",
+)
 def vector_search(spark, d):
+    """The ten nearest of every twentieth vector, by the index and exact."""
     n = V.vectors(spark, d)
-    return R.vector_search(n, n.where("node_id % 20 = 0"), 10, 0.2).select("query", "node", F.round("score", 6).alias("score"))
+    return VectorIndex.build(n).search(n.where("node_id % 20 = 0"), 10, 0.2).select("query", "node", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT * FROM (WITH p AS (SELECT a.node_id AS query, b.node_id AS node, {COS.format('a.v', 'b.v')} AS score FROM vectors a JOIN vectors b ON a.video_id <> b.video_id WHERE a.node_id % 20 = 0) SELECT query, node, round(score, 6) AS score FROM p WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 5)", "vectors")
+@query()
+def vector_search_probed(spark, d):
+    """The same from the cells nearest to each query alone, as many as a sample of queries needs for 19 of 20 results."""
+    n = V.vectors(spark, d)
+    index, some = VectorIndex.build(n), n.where("node_id % 20 = 0")
+    return index.search(some, 10, 0.2, probes=index.tuned(some, 10, 0.2), exact=False)
+
+
+@query(
+    f"""SELECT * FROM (WITH p AS (SELECT a.node_id AS query, b.node_id AS node, round({COS.format('a.v', 'b.v')}, 9) AS score FROM vectors a JOIN vectors b ON a.video_id <> b.video_id WHERE a.node_id % 20 = 0)
+SELECT query, node, round(score, 6) AS score FROM p WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 5)""",
+    "vectors",
+)
 def similar_across_videos(spark, d):
     n = V.vectors(spark, d)
-    return R.nearest_vectors(n.where("node_id % 20 = 0"), n, 5, 0.1).select("query", "node", F.round("score", 6).alias("score"))
+    return VectorIndex.build(n, group="video_id").search(n.where("node_id % 20 = 0"), 5, 0.1, group="video_id").select("query", "node", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT * FROM (WITH s AS (SELECT a.node_id AS query, b.video_id AS parent, b.node_id AS node, {COS.format('b.v', 'a.v')} AS score FROM vectors a, vectors b WHERE a.node_id % 20 = 0) SELECT query, parent, node, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query, parent ORDER BY score DESC, node) <= 3)", "vectors")
@@ -444,21 +462,49 @@ def bm25_search(spark, d):
     return R.bm25(table(spark, d, "documents"), TERMS, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {BM25_SQL}, qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), ft AS (SELECT node AS doc_id, score / max(score) OVER () AS fs FROM bm), x AS (SELECT vec_id AS doc_id, embedding AS v, q FROM embeddings, qv),
-co AS (SELECT doc_id, v, q FROM (SELECT *, {COS.format('v[1:16]', 'q[1:16]')} AS coarse FROM x) WHERE coarse >= 0.1 ORDER BY coarse DESC, doc_id LIMIT 500), vl AS (SELECT doc_id, {COS_VQ} AS vs FROM co WHERE {COS_VQ} >= 0.1 ORDER BY {COS_VQ} DESC, doc_id LIMIT 100),
-deg AS (SELECT l_partkey AS doc_id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), at AS (SELECT event_id AS doc_id, event_id % 600 AS ts FROM events WHERE event_type <> 'view'),
-c AS (SELECT doc_id, vs, coalesce(fs, 0) AS fs FROM vl LEFT JOIN ft USING (doc_id) UNION ALL (SELECT doc_id, 0, fs FROM ft WHERE doc_id NOT IN (SELECT doc_id FROM vl) ORDER BY fs DESC, doc_id LIMIT 20)),
-s AS (SELECT doc_id, vs, fs, least(1, (1 + coalesce(n, 0)) / 50.0) AS g, CASE WHEN ts IS NULL THEN 0.5 ELSE exp(-0.5 * power((ts - 300) / 200.0, 2)) END AS t FROM c LEFT JOIN deg USING (doc_id) LEFT JOIN at USING (doc_id) WHERE ts IS NULL OR ts BETWEEN 100 AND 500)
-SELECT doc_id, round(0.25 * vs + 0.40 * fs + 0.20 * g + 0.15 * t, 6) AS combined_score FROM s ORDER BY 0.25 * vs + 0.40 * fs + 0.20 * g + 0.15 * t DESC, doc_id LIMIT 20""".replace(", at AS (", ", times AS (").replace("LEFT JOIN at USING", "LEFT JOIN times USING"))
+#: BM25 of every text for the terms of ``qt`` (query, term), texts being ``words`` (doc_id, w).
+RANKED_SQL = """words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), len AS (SELECT doc_id AS node, len(w) AS l FROM words), tot AS (SELECT count(*) AS n, avg(l) AS a FROM len),
+tf AS (SELECT doc_id AS node, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT query, node, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 9) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN len USING (node), tot GROUP BY query, node)"""
+
+
+def first_words(rows, query: str, text: str, n: int = 4):
+    """``query, term``: the first words of a text as a question."""
+    return rows.select(F.col(query).alias("query"), F.explode(F.slice(tokens(F.col(text)), 1, n)).alias("term")).distinct()
+
+
+@query(
+    f"""WITH qt AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[1:4]) AS term FROM benchmark), {RANKED_SQL}
+SELECT query, node, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 10"""
+)
+def fulltext_search(spark, d):
+    """The ten best texts for every benchmark item's first words, by the index."""
+    index = FullTextIndex.build(table(spark, d, "documents"), new_path(spark, "fulltext"), "doc_id", "text")
+    return index.search(first_words(table(spark, d, "benchmark"), "item_id", "text"), 10).select("query", "node", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""SELECT * FROM (WITH qt AS (SELECT DISTINCT doc_id AS query, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[1:4]) AS term FROM documents WHERE doc_id % 20 = 0), {RANKED_SQL},
+ft AS (SELECT query, node, score / max(score) OVER (PARTITION BY query) AS fs FROM (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 100)),
+p AS (SELECT a.node_id AS query, b.node_id AS node, round({COS.format('a.v', 'b.v')}, 9) AS vs FROM vectors a, vectors b WHERE a.node_id % 20 = 0), vl AS (SELECT * FROM p WHERE vs >= 0.1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY vs DESC, node) <= 100),
+c AS (SELECT vl.query, vl.node, vs, coalesce(fs, 0) AS fs FROM vl LEFT JOIN ft ON ft.query = vl.query AND ft.node = vl.node
+  UNION ALL (SELECT ft.query, ft.node, 0, fs FROM ft ANTI JOIN vl ON ft.query = vl.query AND ft.node = vl.node QUALIFY row_number() OVER (PARTITION BY ft.query ORDER BY fs DESC, ft.node) <= 20)),
+deg AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), times AS (SELECT event_id AS node, event_id % 600 AS ts FROM events),
+s AS (SELECT query, node, 0.25 * vs + 0.40 * fs + 0.20 * least(1, (1 + coalesce(n, 0)) / 50.0) + 0.15 * CASE WHEN ts IS NULL THEN 0.5 ELSE exp(-0.5 * power((ts - 300) / 200.0, 2)) END AS score
+  FROM c LEFT JOIN deg USING (node) LEFT JOIN times USING (node) WHERE ts IS NULL OR ts BETWEEN 100 AND 500)
+SELECT query, node AS doc_id, round(score, 6) AS combined_score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, node) <= 20)""",
+    "vectors",
+)
 def hybrid_search(spark, d):
-    """Vectors by a stated query, text by BM25, the graph by the orders that hold a part, and time by the events; of one number each."""
+    """Of every twentieth number its vector and its text's first words as a query: vectors, full text, the orders that hold a part, and the events' time."""
     docs, n = table(spark, d, "documents"), V.vectors(spark, d)
-    hits = R.vector_search(n, n.where("node_id = 0"), 100, 0.1).select(F.col("node").alias("node_id"), "score")
-    both = R.fuse(hits, R.bm25(docs, TERMS, "doc_id", "text").withColumnRenamed("doc_id", "node_id"))
+    hits = VectorIndex.build(n).search(n.where("node_id % 20 = 0"), 100, 0.1).select("query", F.col("node").alias("node_id"), "score")
+    index = FullTextIndex.build(docs, new_path(spark, "fulltext"), "doc_id", "text")
+    said = index.search(first_words(docs.where("doc_id % 20 = 0"), "doc_id", "text"), 100).select("query", F.col("node").alias("node_id"), "score")
     related = V.contains(spark, d).groupBy(F.col("entity_id").alias("node_id")).agg(F.count("*").alias("related"))
-    times = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_id").alias("node_id"), (F.col("event_id") % 600).alias("ts"))
-    facts = both.join(related, "node_id", "left").join(times, "node_id", "left")
-    return R.weigh(facts, 20, "text", lo=100, hi=500).select(F.col("node_id").alias("doc_id"), F.round("combined_score", 6).alias("combined_score"))
+    times = table(spark, d, "events").select(F.col("event_id").alias("node_id"), (F.col("event_id") % 600).alias("ts"))
+    facts = R.fuse(written(hits), written(said)).join(related, "node_id", "left").join(times, "node_id", "left")
+    return R.weigh(facts, 20, "text", lo=100, hi=500).select("query", F.col("node_id").alias("doc_id"), F.round("combined_score", 6).alias("combined_score"))
 
 
 @query("""WITH r AS (SELECT d.doc_id, c.turn AS related, c.turn % 2 + 1 AS distance, c.text FROM documents d JOIN conversations c ON c.conv_id = d.doc_id), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, related) AS i, CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'and') THEN 1 ELSE 0 END AS s FROM r),

@@ -114,9 +114,10 @@ def test_no_hops_means_no_expansion(spark):
 
 
 def test_fuse_appends_text_only_hits(spark):
-    v = spark.createDataFrame([(1, 0.9)], "node_id int, score double")
-    t = spark.createDataFrame([(1, 2.0), (2, 4.0)], "node_id int, score double")
-    assert {r.node_id: (r.vector_score, r.fulltext_score) for r in R.fuse(v, t).collect()} == {1: (0.9, 0.5), 2: (0.0, 1.0)}
+    v = spark.createDataFrame([("a", 1, 0.9), ("b", 2, 0.7)], "query string, node_id int, score double")
+    t = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("a", 3, 1.0)], "query string, node_id int, score double")
+    got = {(r.query, r.node_id): (r.vector_score, r.fulltext_score) for r in R.fuse(v, t, extra=1).collect()}
+    assert got == {("a", 1): (0.9, 0.5), ("a", 2): (0.0, 1.0), ("b", 2): (0.7, 0.0)}
 
 
 def test_merge_and_replace(spark, tmp_path):
