@@ -23,7 +23,7 @@ SEEN = f"""{HELD}, {THINGS}, seen AS (SELECT x.video_id AS graph, a.entity_id AS
 MODULARITY = """ends AS (SELECT graph, a AS node, w FROM seen UNION ALL SELECT graph, b, w FROM seen), k AS (SELECT graph, node, sum(w) AS k FROM ends GROUP BY ALL), twom AS (SELECT graph, sum(k) AS t FROM k GROUP BY graph),
 inn AS (SELECT s.graph, x.community, 2 * sum(w) AS i FROM seen s JOIN m x ON x.graph = s.graph AND x.node = s.a JOIN m y ON y.graph = s.graph AND y.node = s.b AND y.community = x.community GROUP BY ALL),
 tot AS (SELECT graph, community, sum(k) AS s FROM k JOIN m USING (graph, node) GROUP BY ALL)
-SELECT graph, 0 AS level, round(sum(coalesce(i, 0) / t - (s / t) * (s / t)), 9) AS modularity FROM tot JOIN twom USING (graph) LEFT JOIN inn USING (graph, community) GROUP BY graph"""
+SELECT graph, 0 AS level, round(sum(coalesce(i, 0) / t - (s / t) * (s / t)), 9) + 0.0 AS modularity FROM tot JOIN twom USING (graph) LEFT JOIN inn USING (graph, community) GROUP BY graph"""
 
 
 def seen(spark, d: str, least: int = 1) -> DataFrame:
@@ -44,7 +44,7 @@ def seen(spark, d: str, least: int = 1) -> DataFrame:
 def type_modularity(spark, d):
     """How well the types of entities part a video's graph."""
     m = things(spark, d).select(F.col("video_id").alias("graph"), F.lit(0).alias("level"), F.col("entity_id").alias("node"), F.col("type").alias("community"))
-    return C.modularity(seen(spark, d), m).select("graph", "level", F.round("modularity", 9).alias("modularity"))
+    return C.modularity(seen(spark, d), m).select("graph", "level", (F.round("modularity", 9) + 0.0).alias("modularity"))
 
 
 @query()
