@@ -1,11 +1,11 @@
-"""Tables in folders: events, outboxes and quarantine are appended to; keyed rows are changed, consumed and deleted by copy and swap."""
+"""Tables in folders: events, outboxes and quarantine are added to; keyed rows are changed, consumed and deleted in a new version of the table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.operators.tables import merge, replace
+from lumenweave.operators.tables import add, merge, read, replace, version
 
 #: What every event and outbox row has; anything else of it is in its JSON columns.
 EVENT = "event_id string, media_id long, stage string, status string, message string, details string, event_time timestamp"
@@ -17,7 +17,7 @@ def append(rows: DataFrame, path: str, schema: str) -> None:
     """Adds rows to a table, under its schema: columns that a row lacks are null, others are left out."""
     empty = rows.sparkSession.createDataFrame([], schema)
     cast = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields]
-    rows.select(*cast).write.mode("append").parquet(path)
+    add(rows.select(*cast), path)
 
 
 def quarantine(rows: DataFrame, ok: Column, path: str, reason: Column, key: str) -> DataFrame:
@@ -30,50 +30,51 @@ def quarantine(rows: DataFrame, ok: Column, path: str, reason: Column, key: str)
 
 def change(spark: SparkSession, path: str, where: Column, columns: dict[str, Column]) -> None:
     """Sets columns of the rows that match."""
-    df = spark.read.parquet(path)
+    since, df = version(spark, path), read(spark, path)
     hit = F.coalesce(where, F.lit(False))
-    replace(df.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(dict(df.dtypes)[c]) for c, v in columns.items()}), path)
+    replace(df.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(dict(df.dtypes)[c]) for c, v in columns.items()}), path, since)
 
 
 def mark_consumed(spark: SparkSession, path: str, ids: DataFrame, at: Column, key: str = "outbox_id") -> None:
     """Sets ``consumed_at`` of the rows with these ids that aren't consumed yet."""
-    df = spark.read.parquet(path)
+    since, df = version(spark, path), read(spark, path)
     named = ids.select(F.col(key).alias("_id")).distinct().withColumn("_hit", F.lit(True))
     held = df.join(named, F.col(key) == F.col("_id"), "left")
-    replace(held.withColumn("consumed_at", F.when(F.col("_hit") & F.col("consumed_at").isNull(), at).otherwise(F.col("consumed_at"))).select(*df.columns), path)
+    replace(held.withColumn("consumed_at", F.when(F.col("_hit") & F.col("consumed_at").isNull(), at).otherwise(F.col("consumed_at"))).select(*df.columns), path, since)
 
 
 def delete(spark: SparkSession, path: str, where: Column) -> int:
     """Deletes the rows that match and says how many these were."""
-    df = spark.read.parquet(path)
+    since, df = version(spark, path), read(spark, path)
     keep = ~F.coalesce(where, F.lit(False))
     n = df.where(~keep).count()
     if n:
-        replace(df.where(keep), path)
+        replace(df.where(keep), path, since)
     return n
 
 
 def upsert(rows: DataFrame, path: str, keys: list[str], fixed: tuple[str, ...] = ("created_at",)) -> None:
     """Merges rows into a table by key: only the columns that they have change."""
     spark = rows.sparkSession
-    replace(merge(spark.read.parquet(path), rows, keys, fixed), path)
+    since = version(spark, path)
+    replace(merge(read(spark, path), rows, keys, fixed), path, since)
 
 
 def rebuild(rows: DataFrame, path: str, key: str) -> None:
     """Replaces all rows of the keys that ``rows`` has: the same again if it is run again."""
     spark = rows.sparkSession
-    old = spark.read.parquet(path)
-    replace(old.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows), path)
+    since, old = version(spark, path), read(spark, path)
+    replace(old.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows), path, since)
 
 
 def delete_video(spark: SparkSession, nodes: str, edges: str, video: Column, node: str = "node") -> int:
     """Deletes a video's nodes and every edge that touches one; returns how many nodes there were."""
-    n = spark.read.parquet(nodes)
+    since, n = version(spark, edges), read(spark, nodes)
     gone = n.where(video).select(F.col(node).alias("_n")).distinct()
-    e = spark.read.parquet(edges)
+    e = read(spark, edges)
     for end in ("src", "dst"):
         e = e.join(gone, F.col(end) == F.col("_n"), "left_anti")
-    replace(e, edges)
+    replace(e, edges, since)
     return delete(spark, nodes, video)
 
 

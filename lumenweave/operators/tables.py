@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,22 +23,82 @@ def merge(target: DataFrame, updates: DataFrame, keys: list[str], fixed: tuple[s
     return target.withColumn("t_", F.lit(True)).join(u, on, "full_outer").select(*[take(c).alias(c) for c in target.columns])
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Overwrites the Parquet table that ``df`` may itself be read from.
+class Conflict(RuntimeError):
+    """Another writer has changed the table since it was read."""
 
-    Written aside first; then the folders are swapped by renaming, so at any time
-    the old or the new table lies whole under ``path`` or ``path.old``.
-    """
-    spark, aside, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
-    df.write.parquet(aside)
+
+def _files(spark: SparkSession, path: str):
     jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(old), True)
-    if fs.exists(jvm.Path(path)):
-        fs.rename(jvm.Path(path), jvm.Path(old))
-    fs.rename(jvm.Path(aside), jvm.Path(path))
-    fs.delete(jvm.Path(old), True)
-    spark.catalog.refreshByPath(path)
+    at = jvm.Path(path)
+    return jvm, at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def version(spark: SparkSession, path: str) -> int:
+    """The number of the table's last version; 0 if it is a plain folder of Parquet files, or isn't there."""
+    jvm, at, fs = _files(spark, f"{path}/_versions")
+    return max((int(f.getPath().getName()) for f in fs.listStatus(at)), default=0) if fs.exists(at) else 0
+
+
+def _folders(spark: SparkSession, path: str, number: int) -> list[str]:
+    return [f"{path}/{r.value}" for r in spark.read.text(f"{path}/_versions/{number}").collect()] if number else [path]
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The table's last version. Later writes don't change what was read."""
+    return spark.read.parquet(*_folders(spark, path, version(spark, path)))
+
+
+def _commit(spark: SparkSession, path: str, number: int, folders: list[str], keep: int = 2) -> None:
+    """Names the folders of version ``number`` in a file that must not exist yet: that one step makes them the table."""
+    jvm, at, fs = _files(spark, f"{path}/_versions/{number}")
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as e:
+        if fs.exists(at):
+            raise Conflict(f"{path} has a version {number} already") from e
+        raise
+    try:
+        out.write(bytearray("\n".join(folders).encode()))
+    finally:
+        out.close()
+    # what only the version before the last ``keep`` named; a folder that was never named, by a writer that failed or still writes, is left alone
+    names = lambda n: {f.removeprefix(f"{path}/") for f in _folders(spark, path, n)} if n > 0 else set()
+    for name in names(number - keep) - set().union(*(names(n) for n in range(number - keep + 1, number + 1))):
+        fs.delete(jvm.Path(f"{path}/{name}"), True)
+
+
+def replace(df: DataFrame, path: str, since: int | None = None) -> None:
+    """Makes ``df`` the table, from which it may itself be read.
+
+    Written into a folder of its own first; then one small file, which only one
+    writer can create, switches to it. Whatever fails before leaves the table as it
+    was. ``since``: the version that ``df`` was made from, by default the last one
+    when this begins; if there is a later one then, :class:`Conflict` is raised and
+    the later one stays.
+    """
+    spark = df.sparkSession
+    number = (version(spark, path) if since is None else since) + 1
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    _commit(spark, path, number, [name])
+
+
+def add(df: DataFrame, path: str) -> None:
+    """Adds rows: a folder more in the next version. Tried again if another writer was first, as rows that are added don't depend on others."""
+    spark = df.sparkSession
+    _, at, fs = _files(spark, path)
+    if not version(spark, path) and fs.exists(at) and len(fs.listStatus(at)):
+        replace(spark.read.parquet(path), path)  # a plain folder becomes a version
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    for _ in range(100):
+        number = version(spark, path) + 1
+        before = [f.removeprefix(f"{path}/") for f in _folders(spark, path, number - 1)] if number > 1 else []
+        try:
+            return _commit(spark, path, number, [*before, name])
+        except Conflict:
+            continue
+    raise Conflict(f"{path}: other writers were first a hundred times")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -13,7 +13,7 @@ from lumenweave.functions import payload as P
 from lumenweave.operators import sinks as K
 from lumenweave.operators import tables as B
 from lumenweave.plans.registry import query
-from lumenweave.session import cut, new_path, table
+from lumenweave.session import new_path, table
 
 # what is read
 
@@ -104,10 +104,10 @@ def _outbox(spark, d):
 @query("SELECT o_orderkey::VARCHAR AS outbox_id, o_custkey AS media_id, 'running' AS status, 0.5::DOUBLE AS progress, NULL AS error, o_orderkey % 3 = 0 AS consumed FROM orders")
 def outbox_writes(spark, d):
     path = _outbox(spark, d)
-    ids = cut(spark.read.parquet(path).where(F.col("outbox_id").cast("long") % 3 == 0).select("outbox_id"))  # not from the table that is swapped
+    ids = B.read(spark, path).where(F.col("outbox_id").cast("long") % 3 == 0).select("outbox_id")
     K.mark_consumed(spark, path, ids, F.lit("2024-01-01").cast("timestamp"))
     K.mark_consumed(spark, path, ids.where(F.col("outbox_id").cast("long") % 2 == 0), F.lit("2025-01-01").cast("timestamp"))  # they keep their time
-    return spark.read.parquet(path).select("outbox_id", "media_id", "status", "progress", "error", (F.col("consumed_at") == F.lit("2024-01-01").cast("timestamp")).alias("consumed")).withColumn("consumed", F.coalesce("consumed", F.lit(False)))
+    return B.read(spark, path).select("outbox_id", "media_id", "status", "progress", "error", (F.col("consumed_at") == F.lit("2024-01-01").cast("timestamp")).alias("consumed")).withColumn("consumed", F.coalesce("consumed", F.lit(False)))
 
 
 @query("SELECT event_type AS stage, count(*) AS n, count(*) FILTER (event_id % 2 = 0) AS with_details FROM events GROUP BY event_type")
@@ -116,14 +116,14 @@ def event_writes(spark, d):
     path = new_path(spark, "events")
     K.append(e.where("stage <> 'view'"), path, K.EVENT)
     K.append(e.where("stage = 'view'"), path, K.EVENT)
-    return spark.read.parquet(path).groupBy("stage").agg(F.count("*").alias("n"), F.count("details").alias("with_details"))
+    return B.read(spark, path).groupBy("stage").agg(F.count("*").alias("n"), F.count("details").alias("with_details"))
 
 
 @query("SELECT 'kept' AS part, count(*) AS n, NULL AS reason FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'quarantine', count(*), 'balance of ' || c_mktsegment FROM customer WHERE NOT coalesce(c_acctbal > 0, FALSE) GROUP BY c_mktsegment")
 def quarantined(spark, d):
     path = new_path(spark, "quarantine")
     good = K.quarantine(table(spark, d, "customer"), F.col("c_acctbal") > 0, path, F.concat(F.lit("balance of "), "c_mktsegment"), "c_custkey")
-    return good.agg(F.lit("kept").alias("part"), F.count("*").alias("n"), F.lit(None).cast("string").alias("reason")).unionByName(spark.read.parquet(path).groupBy("reason").agg(F.lit("quarantine").alias("part"), F.count("*").alias("n")).select("part", "n", "reason"))
+    return good.agg(F.lit("kept").alias("part"), F.count("*").alias("n"), F.lit(None).cast("string").alias("reason")).unionByName(B.read(spark, path).groupBy("reason").agg(F.lit("quarantine").alias("part"), F.count("*").alias("n")).select("part", "n", "reason"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size = 20 THEN 'twenty' ELSE p_name END AS name, p_brand AS brand FROM part WHERE p_type <> 'PROMO' OR p_size = 20 UNION ALL SELECT 1000000, 'new', NULL")
@@ -132,10 +132,10 @@ def changed_rows(spark, d):
     path = new_path(spark, "parts")
     table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), "p_size", "p_type").write.parquet(path)
     K.change(spark, path, F.col("p_size") < 10, {"name": F.lit("small")})
-    twenty = spark.read.parquet(path).where("p_size = 20").select("p_partkey", F.lit("twenty").alias("name"))
+    twenty = B.read(spark, path).where("p_size = 20").select("p_partkey", F.lit("twenty").alias("name"))
     K.upsert(twenty.unionByName(spark.createDataFrame([(1_000_000, "new")], twenty.schema)), path, ["p_partkey"])
     K.delete(spark, path, (F.col("p_type") == "PROMO") & (F.col("p_size") != 20))
-    return spark.read.parquet(path).select("p_partkey", "name", "brand")
+    return B.read(spark, path).select("p_partkey", "name", "brand")
 
 
 @query("SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'again' ELSE 'first' END AS written FROM orders WHERE o_custkey % 2 = 1 OR o_orderkey % 3 = 0")
@@ -148,7 +148,7 @@ def rebuilt_scenes(spark, d):
     new = o.where("o_custkey % 2 = 0 AND o_orderkey % 3 = 0").withColumn("written", F.lit("again"))
     for _ in range(2):
         K.rebuild(new, path, "o_custkey")
-    return spark.read.parquet(path)
+    return B.read(spark, path)
 
 
 @query("SELECT 'nodes' AS what, (SELECT count(*) FROM orders WHERE o_custkey % 20 <> 0) + (SELECT count(*) FROM part) AS n UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 20 <> 0) UNION ALL SELECT 'deleted', count(*) FROM orders WHERE o_custkey % 20 = 0")
@@ -159,7 +159,7 @@ def deleted_videos(spark, d):
     o.unionByName(p).write.parquet(nodes)
     table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct().write.parquet(edges)
     n = K.delete_video(spark, nodes, edges, F.col("video") % 20 == 0)
-    count = lambda path, what: spark.read.parquet(path).agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    count = lambda path, what: B.read(spark, path).agg(F.lit(what).alias("what"), F.count("*").alias("n"))
     return count(nodes, "nodes").unionByName(count(edges, "edges")).unionByName(spark.createDataFrame([("deleted", n)], "what string, n long"))
 
 
@@ -198,7 +198,7 @@ def stored_communities(spark, d):
     c = p.groupBy(F.col("p_brand").alias("community")).agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("themes"))
     c.withColumn("themes", F.lit("old")).write.parquet(path)
     K.rebuild(c, path, "community")
-    return spark.read.parquet(path)
+    return B.read(spark, path)
 
 
 @query("""SELECT event_type AS stage, round(avg(k / nullif(value, 0)), 6) AS per_second, count(*) AS n FROM (SELECT event_type, value, (props->>'$.k')::DOUBLE AS k FROM events) GROUP BY event_type""")

@@ -5,12 +5,12 @@ A part stands for an entity of the video that is its size, and an order for a fr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.operators import communities as C
 from lumenweave.operators import graph as G
 from lumenweave.operators import sinks as K
+from lumenweave.operators import tables as B
 from lumenweave.plans import views as V
 from lumenweave.plans.discovery import HELD, THINGS, things
 from lumenweave.plans.registry import query
@@ -26,7 +26,7 @@ tot AS (SELECT graph, community, sum(k) AS s FROM k JOIN m USING (graph, node) G
 SELECT graph, 0 AS level, round(sum(coalesce(i, 0) / t - (s / t) * (s / t)), 9) + 0.0 AS modularity FROM tot JOIN twom USING (graph) LEFT JOIN inn USING (graph, community) GROUP BY graph"""
 
 
-def seen(spark, d: str, least: int = 1) -> DataFrame:
+def seen(spark, d: str, least: int = 1):
     """``graph, a, b, weight``: entities of one video in one frame; only those that occur ``least`` times or more."""
     held = V.contains(spark, d)
     of = things(spark, d).select("entity_id", F.col("video_id").alias("graph"))
@@ -71,4 +71,4 @@ def video_communities(spark, d):
     rows = members.groupBy("graph", "rank", "level", "community", "size").agg(F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("themes"))
     rows.where("graph % 2 = 0").withColumn("themes", F.lit("of an earlier run")).write.parquet(path)
     K.rebuild(rows, path, "graph")
-    return spark.read.parquet(path)
+    return B.read(spark, path)

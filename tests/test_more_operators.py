@@ -102,10 +102,10 @@ def test_tables_in_folders(spark):
     base = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (None, "c", 0)], "k int, v string, created_at int")
     base.write.parquet(path)
     K.upsert(spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (3, "n")], "k int, v string"), path, ["k"])
-    assert sorted((str(r.k), r.v) for r in spark.read.parquet(path).collect()) == [("1", "y"), ("2", "b"), ("3", "n"), ("None", "z")]
+    assert sorted((str(r.k), r.v) for r in B.read(spark, path).collect()) == [("1", "y"), ("2", "b"), ("3", "n"), ("None", "z")]
     assert K.delete(spark, path, F.col("k") > 1) == 2 and K.delete(spark, path, F.col("k") > 1) == 0
     K.change(spark, path, F.col("v") == "z", {"v": F.lit(None)})
-    assert sorted(str(r.v) for r in spark.read.parquet(path).collect()) == ["None", "y"]
+    assert sorted(str(r.v) for r in B.read(spark, path).collect()) == ["None", "y"]
     one_, two = (K.manifest(base.orderBy(F.col("v").asc() if up else F.col("v").desc()), "k", ["k", "v"]).first() for up in (True, False))
     assert one_ == two and one_.n == 3
     assert B.equal_quotas(base, "v", "k", 2).count() == 2 and B.equal_quotas(base, "v", "k", 9).count() == 3

@@ -125,7 +125,7 @@ def test_merge_and_replace(spark, tmp_path):
     spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, created_at int").write.parquet(path)
     u = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "k int, v string, created_at int")
     B.replace(B.merge(spark.read.parquet(path), u, ["k"]), path)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a", 1), (2, "c", 1), (3, "d", 2)]
+    assert sorted(map(tuple, B.read(spark, path).collect())) == [(1, "a", 1), (2, "c", 1), (3, "d", 2)]
 
 
 def test_status_of_another_dispatch_is_rejected(spark):
