@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.text import entity_name, first_sentence, truncate, unique_ci
+from lumenweave.operators.timeline import nearest, overlapping
 
 
 def _texts(order: str, text: str):
@@ -66,12 +67,10 @@ def scenes(candidates: DataFrame, frames: DataFrame, understanding: DataFrame, s
         F.min_by("frame_id", "pos").alias("shown"), truncate(F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("i") <= 3) & (F.length("description") > 0), F.struct("pos", "description")))), lambda s: s["description"]), " "), 500).alias("visual"),
         objects.alias("objects"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "frame_id"))), lambda s: s["frame_id"]).alias("evidence"),
     )
-    s = segments.select("video_id", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"), "idx", "text")
     spans = candidates.select(*key, "start_ms", "end_ms")
-    said = spans.join(s, "video_id").where("s0 < end_ms AND s1 > start_ms").groupBy(*key).agg(truncate(_texts("idx", "text"), 500).alias("said"))
-    bare = candidates.join(seen.where("shown IS NOT NULL").select(*key), key, "left_anti").select(*key, ((F.col("start_ms") + F.col("end_ms")) / 2).alias("mid"))
-    gap = F.abs(F.col("ts_ms") - F.col("mid"))
-    near = bare.join(frames, "video_id").groupBy(*key).agg(F.min_by("frame_id", F.struct(gap, "ts_ms", "frame_id")).alias("near"))
+    said = overlapping(spans, segments.select("video_id", "start_ms", "end_ms", "idx", "text"), ["video_id"]).groupBy(*key).agg(truncate(_texts("r_idx", "r_text"), 500).alias("said"))
+    bare = candidates.join(seen.where("shown IS NOT NULL").select(*key), key, "left_anti").select(*key, ((F.col("start_ms") + F.col("end_ms")) / 2).alias("t_ms"))
+    near = nearest(bare, frames, "video_id", "ts_ms", "frame_id").select(*key, F.col("near_id").alias("near"))
     every = spans.join(seen, key, "left").join(said, key, "left").join(near, key, "left")
     summary = F.coalesce("visual", "said")
     title = first_sentence(summary, "")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +15,38 @@ from lumenweave.session import cut
 K1, B = 1.2, 0.75
 
 
-def nearest(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: str = "node_id", group: str | None = None, v: str = "v", rows: int = 20_000) -> DataFrame:
-    """``query, node, score``: of each query the best ``k`` by cosine, of other groups if ``group`` is given.
-
-    Queries are a stated set. Queries and nodes are dealt by hash into blocks of about
-    ``rows``; a task takes a block of each, whose product of matrices it makes, and
-    hands on the best ``k`` of each query.
-    """
+def _blocks(queries: DataFrame, nodes: DataFrame, node: str, group: str | None, v: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (id, g, v) dealt by hash into blocks of about ``rows``, every block beside every block of the other side."""
     n_q, n_n = (F.lit(1 + df.count() // rows) for df in (queries, nodes))
-    of = (lambda df: F.col(group).cast("string")) if group else (lambda df: F.lit(None).cast("string"))
+    of = (lambda df: F.col(group).cast("string") if group in df.columns else F.lit(None).cast("string")) if group else (lambda df: F.lit(None).cast("string"))
     block = lambda n: F.pmod(F.xxhash64(node), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     q = queries.select(F.col(node).alias("id"), of(queries).alias("g"), F.col(v).cast("array<float>").alias("v"), block(n_q).alias("i"), every(n_n).alias("j"))
     n = nodes.select(F.col(node).alias("id"), of(nodes).alias("g"), F.col(v).cast("array<float>").alias("v"), every(n_q).alias("i"), block(n_n).alias("j"))
+    return q, n
+
+
+def _scores(x, y):
+    """The unit vectors of two frames, 256 of the first at a time: (first row, products with all of the second)."""
+    a, b = (np.stack(t.v.to_numpy()).astype(np.float64) for t in (x, y))
+    a, b = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300) for t in (a, b))
+    for lo in range(0, len(a), 256):
+        yield lo, a[lo : lo + 256] @ b.T
+
+
+def _best(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the best ``k`` of each row, with all that tie at the end."""
+    last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -2.0)
+    return np.nonzero((s >= last[:, None]) & (s >= least))
+
+
+def nearest(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: str = "node_id", group: str | None = None, v: str = "v", rows: int = 20_000) -> DataFrame:
+    """``query, node, score``: of each query the best ``k`` by cosine, of other groups if ``group`` is given.
+
+    For few nodes, or once: a task takes a block of each side and hands on the best
+    ``k`` of each query. :class:`~lumenweave.operators.vectors.VectorIndex` is for many.
+    """
+    q, n = _blocks(queries, nodes, node, group, v, rows)
     kind = dict(q.dtypes)["id"]
 
     def best(x, y):
@@ -32,16 +54,11 @@ def nearest(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: st
 
         out = []
         if len(x) and len(y):
-            a, b = (np.stack(t.v.to_numpy()).astype(np.float64) for t in (x, y))
-            a, b = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-300) for t in (a, b))
             own, other = x.g.to_numpy(), y.g.to_numpy()
-            for lo in range(0, len(a), 256):
-                s = a[lo : lo + 256] @ b.T
+            for lo, s in _scores(x, y):
                 if group:
                     s[own[lo : lo + 256, None] == other[None]] = -2
-                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                cut_ = np.take_along_axis(s, top, 1).min(1) if s.shape[1] > k else np.full(len(s), -2.0)
-                at, to = np.nonzero((s >= cut_[:, None]) & (s >= least))  # with all that tie at the end
+                at, to = _best(s, k, least)
                 out.append(pd.DataFrame({"query": x.id.to_numpy()[lo + at], "node": y.id.to_numpy()[to], "score": s[at, to]}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "node": [], "score": []})
 
@@ -49,6 +66,27 @@ def nearest(queries: DataFrame, nodes: DataFrame, k: int, least: float, node: st
     return per_group(met, "query", [F.desc("score"), F.col("node")], k)
 
 
+def nearest_each(queries: DataFrame, nodes: DataFrame, k: int, group: str, node: str = "node_id", v: str = "v", rows: int = 20_000) -> DataFrame:
+    """``query, parent, node, score``: of each query the best ``k`` in each group of the nodes."""
+    q, n = _blocks(queries, nodes, node, group, v, rows)
+    kind, parent = dict(q.dtypes)["id"], dict(nodes.dtypes)[group]
+
+    def best(x, y):
+        import pandas as pd
+
+        out = []
+        if len(x) and len(y):
+            for g, at_g in y.reset_index(drop=True).groupby("g", sort=False).groups.items():
+                for lo, s in _scores(x, y.iloc[at_g]):
+                    at, to = _best(s, k, -1.5)
+                    out.append(pd.DataFrame({"query": x.id.to_numpy()[lo + at], "parent": g, "node": y.id.to_numpy()[at_g[to]], "score": s[at, to]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "parent": [], "node": [], "score": []})
+
+    met = q.groupBy("i", "j").cogroup(n.groupBy("i", "j")).applyInPandas(best, f"query {kind}, parent string, node {kind}, score double")
+    ranked = per_group(met.withColumn("_q", F.struct("query", "parent")), "_q", [F.desc("score"), F.col("node")], k)
+    return ranked.select("query", F.col("parent").cast(parent).alias("parent"), "node", "score")
+
+
 def children_search(parents: DataFrame, edges: DataFrame, nodes: DataFrame, query: Column | None, k: int) -> DataFrame:
     """``parent, node, score``: the best ``k`` children of each parent; without a query by the parent's own column ``q``."""
     kids = parents.join(edges, F.col("parent") == F.col("src")).select(*parents.columns, F.col("dst").alias("node")).join(nodes, "node")
@@ -138,25 +176,48 @@ def within_budget(rows: DataFrame, key: str, order: list[Column], size: str, bud
     return rows.withColumn("_run", run).where(F.col("_run") <= budget).drop("_run")
 
 
+def _chosen(rows: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], list], take: Callable[..., bool]) -> DataFrame:
+    """The rows that ``take`` says yes to, asked in order, key by key.
+
+    The rows of a key pass through one task; it holds what ``take`` keeps in the list
+    that ``start`` makes for each key.
+    """
+    at = [rows.columns.index(c) for c in [key, *columns]]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keep = []
+            for i, (k, *values) in enumerate(zip(*(batch.column(c).to_pylist() for c in at), strict=True)):
+                if now != (k,):
+                    now, held = (k,), start()
+                if take(held, *values):
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, rows.schema)
+
+
 def fitting(rows: DataFrame, key: str, order: list[str], size: str, budget: int, most: int) -> DataFrame:
     """Rows in order that still fit into the budget, ``most`` at most; one that doesn't is passed over."""
-    left = rows.select(key, F.struct(*order, F.col(size).alias("_size")).alias("_x")).withColumn("_left", F.lit(budget))
-    taken = None
-    for _ in range(most):  # a round takes the first of each key that fits; no group is ever gathered
-        fits = left.where("_x._size <= _left")
-        best = cut(fits.groupBy(key).agg(F.min("_x").alias("_r"), F.first("_left").alias("_was")))
-        taken = best if taken is None else taken.unionByName(best)
-        rest = best.select(key, "_r", (F.col("_was") - F.col("_r._size")).alias("_now"))
-        left = fits.join(rest, key).where("_x > _r").select(key, "_x", F.col("_now").alias("_left"))
-    return taken.select(key, *[F.col(f"_r.{c}") for c in order])
+
+    def take(held: list, n: int | None) -> bool:
+        if n is None or len(held) >= most or sum(held) + n > budget:
+            return False
+        held.append(n)
+        return True
+
+    return _chosen(rows.select(key, *order, F.col(size).alias("_size")), key, order, ["_size"], list, take).select(key, *order)
 
 
 def pick_apart(rows: DataFrame, key: str, order: list[str], lo: str, hi: str, most: int) -> DataFrame:
     """``key, lo, hi``: spans taken in order if they overlap none taken before, ``most`` at most."""
-    rest = rows.select(key, F.struct(*order, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).alias("_x"))
-    taken = None
-    for _ in range(most):  # a round takes the first of each key; no group is ever gathered
-        best = cut(rest.groupBy(key).agg(F.min("_x").alias("_r")))
-        taken = best if taken is None else taken.unionByName(best)
-        rest = rest.join(best, key).where("_x > _r AND NOT (_x._lo < _r._hi AND _x._hi > _r._lo)").select(key, "_x")
-    return taken.select(key, F.col("_r._lo").cast("double").alias(lo), F.col("_r._hi").cast("double").alias(hi))
+
+    def take(held: list, a: float | None, b: float | None) -> bool:
+        if a is None or b is None or len(held) >= most or any(a < y and b > x for x, y in held):
+            return False
+        held.append((a, b))
+        return True
+
+    spans = rows.select(key, *order, F.col(lo).cast("double").alias("_lo"), F.col(hi).cast("double").alias("_hi"))
+    return _chosen(spans, key, order, ["_lo", "_hi"], list, take).select(key, F.col("_lo").alias(lo), F.col("_hi").alias(hi))

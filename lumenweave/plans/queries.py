@@ -433,10 +433,8 @@ def similar_across_videos(spark, d):
 def search_children(spark, d):
     """Of every twentieth vector, the three nearest in each video."""
     n = V.vectors(spark, d)
-    edges = n.select(F.col("video_id").alias("src"), F.col("node_id").alias("dst"))
-    queries = n.where("node_id % 20 = 0").select(F.col("node_id").alias("query"), F.col("v").alias("q"))
-    parents = queries.crossJoin(F.broadcast(n.select(F.col("video_id").alias("parent")).distinct()))  # the stated queries against ten videos
-    return R.children_search(parents, edges, n.select(F.col("node_id").alias("node"), "v"), None, 3).select("query", "parent", "node", F.round("score", 6).alias("score"))
+    found = R.nearest_each(n.where("node_id % 20 = 0"), n, 3, "video_id")
+    return found.select("query", "parent", "node", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT * FROM (WITH e AS (SELECT video_id, node_id % 3 + 1 AS w, unnest(range(1, 65)) AS i, unnest(v)::DOUBLE AS x FROM vectors), m AS (SELECT video_id, i, sum(w * x) / sum(w) AS x FROM e GROUP BY ALL)
