@@ -104,6 +104,35 @@ def path_up(nodes: DataFrame, parents: DataFrame, most: int = 6) -> DataFrame:
     return path.select("node", "path")
 
 
+def shortest_up(starts: DataFrame, parents: DataFrame, nodes: DataFrame, top: str, most: int = 6, user: object = None, beam: int | None = None) -> DataFrame:
+    """``node, path``: from each of ``starts`` (node) the shortest way up to a node of label ``top``, of equals the smallest.
+
+    ``parents`` (child, parent) may give a node several. ``nodes`` has node, label and
+    user: with ``user`` every node of a path has to be theirs. Each hop keeps one path a
+    start and node, and with ``beam`` the smallest so many of a start. A start of label
+    ``top`` is its own path; one from which ``most`` hops reach none has no row.
+    """
+    own = nodes if user is None else nodes.where(F.col("user") == F.lit(user))
+    known = written(own.select("node", (F.col("label") == top).alias("ends")))
+    edges = parents.select(F.col("child").alias("node"), "parent").distinct()
+    at = starts.select("node").distinct().join(known, "node").select(F.col("node").alias("start"), "node", F.array("node").alias("path"), "ends")
+    found = []
+    for hop in range(most + 1):
+        at = written(at)
+        found.append(at.where("ends").groupBy("start").agg(F.min("path").alias("path")))
+        if hop == most:
+            break
+        # who has arrived goes no further
+        on = at.join(found[-1].select("start"), "start", "left_anti")
+        if on.isEmpty():
+            break
+        up = on.join(edges, "node").select("start", F.col("parent").alias("node"), F.array_append("path", F.col("parent")).alias("path")).where("NOT array_contains(slice(path, 1, size(path) - 1), node)")
+        at = up.join(known, "node").groupBy("start", "node", "ends").agg(F.min("path").alias("path"))
+        if beam is not None:
+            at = at.withColumn("_n", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("ends"), "path"))).where(F.col("_n") <= beam).drop("_n")
+    return reduce(lambda x, y: x.unionByName(y), found).select(F.col("start").alias("node"), "path")
+
+
 def quota_sample(nodes: DataFrame, video: str, label: str, node: str, quotas: dict[str, float], most: int, least: int = 5) -> DataFrame:
     """Of each label in a video its first nodes by id: a share of ``most``, but ``least`` anyway."""
     rows = [(k, max(least, int((most - 1) * v))) for k, v in quotas.items()]

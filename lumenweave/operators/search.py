@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.functions.scalar import PROFILES, cosine, degree_score, gaussian
+from lumenweave.functions.scalar import PROFILES, cosine, degree_score, gaussian, unit
 from lumenweave.session import cut
 
 K1, B = 1.2, 0.75
@@ -110,13 +112,18 @@ def drill_down(queries: DataFrame, levels: list[DataFrame], edges: DataFrame, k:
     return path.select("query", "path", "score")
 
 
-def pool(members: DataFrame, key: str, v: str, weight: str) -> DataFrame:
-    """``key, pooled``: the weighted mean of the vectors, at unit length."""
-    sums = members.select(key, weight, F.posexplode(v).alias("pos", "x")).groupBy(key, "pos").agg((F.sum(F.col(weight) * F.col("x")) / F.sum(weight)).alias("x"))
-    mean = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("m"))
-    from lumenweave.functions.scalar import unit
+def pool(members: DataFrame, key: str, v: str, weight: str | None = None, strategy: str = "mean") -> DataFrame:
+    """``key, pooled``: the vectors' mean, weighted if there is a weight, or their largest entries, at unit length.
 
-    return mean.select(key, unit(F.col("m")).alias("pooled"))
+    Sums and maxima of whole vectors are aggregated, on the map side first.
+    """
+    if strategy not in ("mean", "max"):
+        raise ValueError(f"strategy: {strategy}")
+    one = array_to_vector(F.col(v).cast("array<double>"))
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    whole = Summarizer.max(one) if strategy == "max" else Summarizer.mean(one, w)
+    pooled = members.where(F.col(v).isNotNull()).groupBy(key).agg(vector_to_array(whole).alias("m"))
+    return pooled.select(key, unit(F.col("m")).alias("pooled"))
 
 
 def bm25(docs: DataFrame, query: list[str], node: str, text: str) -> DataFrame:

@@ -14,7 +14,7 @@ from lumenweave.operators import tables as B
 from lumenweave.plans import views as V
 from lumenweave.plans.discovery import HELD, THINGS, things
 from lumenweave.plans.registry import query
-from lumenweave.session import new_path, written
+from lumenweave.session import new_path, table, written
 
 #: Weighted edges between entities of a video.
 SEEN = f"""{HELD}, {THINGS}, seen AS (SELECT x.video_id AS graph, a.entity_id AS a, b.entity_id AS b, count(*)::DOUBLE AS w FROM held a JOIN held b ON a.frame_id = b.frame_id AND a.entity_id < b.entity_id
@@ -72,3 +72,31 @@ def video_communities(spark, d):
     rows.where("graph % 2 = 0").withColumn("themes", F.lit("of an earlier run")).write.parquet(path)
     K.rebuild(rows, path, "graph")
     return B.read(spark, path)
+
+
+#: Regions hold nations, these customers and suppliers, customers orders, and orders and suppliers parts; the user is the number's parity.
+TREE_SQL = """nodes AS (SELECT 'r' || r_regionkey AS node, 'Video' AS label, r_regionkey % 2 AS u FROM region UNION ALL SELECT 'n' || n_nationkey, 'Chapter', n_nationkey % 2 FROM nation UNION ALL SELECT 'c' || c_custkey, 'Scene', c_custkey % 2 FROM customer
+  UNION ALL SELECT 's' || s_suppkey, 'Scene', s_suppkey % 2 FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'Frame', o_orderkey % 2 FROM orders UNION ALL SELECT 'p' || p_partkey, 'Entity', p_partkey % 2 FROM part),
+up AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity > 45)"""
+
+
+@query(f"""WITH RECURSIVE {TREE_SQL}, own AS (SELECT node, label FROM nodes WHERE u = 0),
+r AS (SELECT node AS start, node, label, [node] AS path FROM own WHERE label IN ('Entity', 'Video') UNION ALL SELECT r.start, o.node, o.label, list_append(path, o.node) FROM r JOIN up ON child = r.node JOIN own o ON o.node = parent WHERE r.label <> 'Video' AND len(path) <= 6)
+SELECT start AS node, path FROM r WHERE label = 'Video' QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(path), path) = 1""")
+def paths_up(spark, d):
+    """The shortest way from every entity up to a video, through nodes of one user alone; a node may have several parents."""
+    nodes, up = None, None
+
+    def named(letter: str, key: str):
+        return F.concat(F.lit(letter), F.col(key).cast("string"))
+
+    for name, letter, key, label in (("region", "r", "r_regionkey", "Video"), ("nation", "n", "n_nationkey", "Chapter"), ("customer", "c", "c_custkey", "Scene"), ("supplier", "s", "s_suppkey", "Scene"), ("orders", "o", "o_orderkey", "Frame"), ("part", "p", "p_partkey", "Entity")):
+        one = table(spark, d, name).select(named(letter, key).alias("node"), F.lit(label).alias("label"), (F.col(key) % 2).cast("long").alias("user"))
+        nodes = one if nodes is None else nodes.unionByName(one)
+    held = table(spark, d, "lineitem")
+    ways = ((table(spark, d, "nation"), "n", "n_nationkey", "r", "n_regionkey"), (table(spark, d, "customer"), "c", "c_custkey", "n", "c_nationkey"), (table(spark, d, "supplier"), "s", "s_suppkey", "n", "s_nationkey"), (table(spark, d, "orders"), "o", "o_orderkey", "c", "o_custkey"), (held, "p", "l_partkey", "o", "l_orderkey"), (held.where("l_quantity > 45"), "p", "l_partkey", "s", "l_suppkey"))
+    for rows, a, child, b, parent in ways:
+        one = rows.select(named(a, child).alias("child"), named(b, parent).alias("parent"))
+        up = one if up is None else up.unionByName(one)
+    return G.shortest_up(nodes.where("label IN ('Entity', 'Video')"), up, nodes, "Video", user=0)

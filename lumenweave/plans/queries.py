@@ -444,6 +444,14 @@ def pooled_embeddings(spark, d):
     return R.pool(n, "video_id", "v", "w").select("video_id", F.posexplode("pooled").alias("pos", "x")).select("video_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
+@query("""SELECT * FROM (WITH e AS (SELECT video_id, unnest(range(1, 65)) AS i, unnest(v)::DOUBLE AS x FROM vectors), m AS (SELECT video_id, i, max(x) AS x FROM e GROUP BY ALL)
+SELECT video_id, i - 1 AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY video_id)), 6) AS x FROM m)""", "vectors")
+def largest_embeddings(spark, d):
+    """Vectors pooled by their largest entries."""
+    pooled = R.pool(V.vectors(spark, d), "video_id", "v", strategy="max")
+    return pooled.select("video_id", F.posexplode("pooled").alias("pos", "x")).select("video_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
 @query(f"SELECT node_id, list_transform(range(8), lambda i: round(v[(i * 8) + 1] / sqrt(s), 6)) AS small FROM (SELECT node_id, v, list_sum(list_transform(range(8), lambda i: v[(i * 8) + 1]::DOUBLE * v[(i * 8) + 1]::DOUBLE)) AS s FROM vectors)", "vectors")
 def compressed_embeddings(spark, d):
     return V.vectors(spark, d).select("node_id", F.transform(S.spread(F.col("v").cast("array<double>"), 8), lambda x: F.round(x, 6)).alias("small"))
