@@ -8,9 +8,11 @@ vectors, plus biases. So matrix products stay small with any vocabulary and scor
 normalised exactly. All other words share one token, within which a word has its
 add-one share of the counts.
 
-Noise-contrastive estimation trains the vectors in rounds. In each the tasks take one
-pass over their share of the texts from the same parameters, and the results are
-averaged and sent out again: all training texts are read once and none gathers in one place.
+Noise-contrastive estimation trains the vectors in rounds. In each the texts are dealt
+by hash into shards of about as many tokens, whatever the cluster; a task takes one pass
+over a shard from the same parameters, and the results are averaged and sent out again:
+all training texts are read once, none gathers in one place, and nothing depends on how
+the table is cut or how many cores there are.
 
 The counts come from the whole training corpus. The most frequent words are sent to
 every task, their number fixed; the others meet their counts in a join.
@@ -42,19 +44,21 @@ class Shape:
     """The size of a model.
 
     A word that stands ``least`` times in the training texts is a token of its own,
-    up to ``words`` of them; ``head``: words whose counts every task gets.
+    up to ``words`` of them; ``head``: words whose counts every task gets; ``shard``:
+    tokens, about, that one pass of a task learns from.
     """
 
     words: int = 1 << 15
-    least: int = 64
+    least: int = 16
     head: int = 1 << 17
     size: int = 24
     context: int = 2
     noise: int = 16
     noise_in_class: int = 1
-    batch: int = 2048
+    batch: int = 1024
     rate: float = 0.1
     rounds: int = 2
+    shard: int = 2_000_000
 
 
 def class_starts(n: int) -> np.ndarray:
@@ -276,17 +280,19 @@ def train(rows: DataFrame, text_col: str, model: Model) -> Params:
     words = spark.sparkContext.broadcast(model)
     pieces = max(64, len(flat) >> 14)
     schema = "piece int, part int, n long, v array<float>"
-    tasks = 4 * spark.sparkContext.defaultParallelism
+    shards = max(1, round(model.total / shape.rounds / shape.shard))
 
     def add(group):
         import pandas as pd
 
+        group = group.sort_values("part")
         total = group.n.sum()
         v = np.average(np.stack(group.v.to_numpy()), 0, group.n.to_numpy(float)).astype(np.float32)
-        return pd.DataFrame({"piece": group.piece[:1], "part": group.part[:1] * 0, "n": [total], "v": [v]})
+        return pd.DataFrame({"piece": group.piece[:1], "part": group.part.to_numpy()[:1] // 64, "n": [total], "v": [v]})
 
-    # a round's texts are chosen by a hash, so that nothing depends on how the table is cut
-    round_ = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(11)), F.lit(shape.rounds))
+    # a round's texts, their shard and their order in it come from a hash of the text
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = rows.select(text.alias("text"), F.xxhash64(text, F.lit(11)).alias("h"))
     for nth in range(shape.rounds):
         shared = spark.sparkContext.broadcast(flat)
 
@@ -303,12 +309,12 @@ def train(rows: DataFrame, text_col: str, model: Model) -> Params:
             if read:
                 for i, x in enumerate(np.array_split(trainer.p.flat(), pieces)):
                     v = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([read], pa.int64()), v], ["piece", "part", "n", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([read], pa.int64()), v], ["piece", "part", "n", "v"])
 
-        # as many tasks as the cluster runs in a few waves: what they hand on are models, and the more they read the better these are
-        sums = rows.where(round_ == nth).select(text_col).coalesce(tasks).mapInArrow(learn, schema)
-        for key in (["piece", "part"], ["piece"]):  # in two steps: no task gathers a row of every other
-            sums = sums.groupBy(*key).applyInPandas(add, schema)
+        own = hashed.where(F.pmod("h", F.lit(shape.rounds)) == nth).repartition(shards, F.shiftright("h", 8)).sortWithinPartitions("h", F.length("text"))
+        sums = own.select("text").mapInArrow(learn, schema)
+        for key in (F.expr("part div 64"), F.lit(0)):  # in two steps: no task gathers a row of every other
+            sums = sums.groupBy("piece", key.alias("of")).applyInPandas(add, schema)
         got = sums.select("piece", "v").toArrow().sort_by("piece")  # the size of one model
         if got.num_rows:
             flat = got.column("v").combine_chunks().flatten().to_numpy()
@@ -395,7 +401,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     denominator, rest = float(np.log10(model.total + model.distinct + 1)), float(np.log10(model.rest))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        from pyspark import TaskContext
+
+        m, task, nth = shared.value, TaskContext.get().partitionId(), 0
         n, own = len(m.prior), len(m.tokens)
         logs = np.log10(np.array([*m.head.values(), 0], float) + 1)  # last, at -1: none of the head
         for part, texts in _texts(batches):
@@ -413,8 +421,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             unknown = np.flatnonzero(~known)
             of = np.repeat(np.arange(len(texts)), lengths)[unknown].tolist()
             tail = Counter(zip(of, map(words.__getitem__, unknown.tolist()), strict=True))
-            k = len(texts)
-            doc_rows = [pa.array(range(k), pa.int32()), pa.array([b"\n\n%d" % i for i in range(k)], pa.binary()), pa.nulls(k, pa.int32()), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(lm, pa.float64())]
+            k, nth = len(texts), nth + 1
+            # a key of its own for each text's own row, so that the join with the counts deals them out
+            doc_rows = [pa.array(range(k), pa.int32()), pa.array([b"\n\n%d.%d.%d" % (task, nth, i) for i in range(k)], pa.binary()), pa.nulls(k, pa.int32()), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(lm, pa.float64())]
             j = len(tail)
             tail_rows = [pa.array([x for x, _ in tail], pa.int32()), pa.array([w for _, w in tail], pa.binary()), pa.array(list(tail.values()), pa.int32()), *(pa.nulls(j, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             doc = part.column(1)
