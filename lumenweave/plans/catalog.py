@@ -81,12 +81,12 @@ def source_uris(spark, d):
     return c.select("c_custkey", F.coalesce("volume_path", "uri", "abfss", built).alias("uri"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'ok' WHEN user_id % 2 = 0 THEN 'not found' ELSE 'forbidden' END AS access FROM (SELECT event_id, user_id, event_type FROM events)""")
+@query("""SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'not found' WHEN c_nationkey = user_id % 25 THEN 'ok' ELSE 'forbidden' END AS access FROM events LEFT JOIN customer ON c_custkey = event_id % 2000""")
 def ownership(spark, d):
-    """Whether a medium is there and belongs to who asks for it."""
-    e = table(spark, d, "events")
-    owner = F.when(F.col("event_type") == "view", F.col("user_id")).when(F.col("user_id") % 2 == 0, None).otherwise(F.col("user_id") + 1)
-    return e.select("event_id", F.when(owner.isNull(), "not found").when(owner == F.col("user_id"), "ok").otherwise("forbidden").alias("access"))
+    """Whether the medium that an event asks for is there and belongs to who asks."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 25).alias("asks"), (F.col("event_id") % 2000).alias("asked"))
+    media = table(spark, d, "customer").select(F.col("c_custkey").alias("asked"), F.col("c_nationkey").alias("owner"))
+    return e.join(media, "asked", "left").select("event_id", F.when(F.col("owner").isNull(), "not found").when(F.col("owner") == F.col("asks"), "ok").otherwise("forbidden").alias("access"))
 
 
 # what is written

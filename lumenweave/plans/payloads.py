@@ -144,11 +144,19 @@ def capitalised_topics(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(X.capitalised_topics(F.col("text")), F.array().cast("array<string>")).alias("topics"))
 
 
-@query(r"""SELECT conv_id, turn, list_sort(list_distinct(list_concat(regexp_extract_all(t, '"([^"]+)"', 1), regexp_extract_all(t, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b')))) AS topics, nullif(regexp_extract(t, '\[artifact:([^\]]+)\]', 1), '') AS artifact
-FROM (SELECT conv_id, turn, 'See "the ' || role || '" [artifact:a' || turn || '] by Ann Lee and Bob, ' || role AS t FROM conversations)""")
+@query(
+    r"""WITH t AS (SELECT 'document' AS kind, doc_id AS id, 0 AS turn, text AS t FROM documents UNION ALL SELECT 'message', conv_id, turn, text || ' [artifact:' || role || '-' || turn || ']' FROM conversations)
+SELECT kind, id, turn, list_sort(list_distinct(list_concat(regexp_extract_all(t, '"([^"]+)"', 1), regexp_extract_all(regexp_replace(regexp_replace(t, '[^\x00-\x7F\p{L}\p{M}\p{N}]', '.', 'g'), '[^\x00-\x7F]', '_', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b')))) AS topics, nullif(regexp_extract(t, '\[artifact:([^\]]+)\]', 1), '') AS artifact FROM t"""
+)
 def message_topics(spark, d):
-    t = F.concat(F.lit('See "the '), "role", F.lit('" [artifact:a'), "turn", F.lit("] by Ann Lee and Bob, "), "role")
-    return table(spark, d, "conversations").select("conv_id", "turn", X.quoted_and_named(t).alias("topics"), X.artifact_id(t).alias("artifact"))
+    """What every document and message names or quotes, and the artifact that it points to.
+
+    The SQL's word boundaries know only ASCII: other letters become underscores there first.
+    """
+    docs = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).alias("turn"), F.col("text").alias("t"))
+    said = F.concat("text", F.lit(" [artifact:"), "role", F.lit("-"), "turn", F.lit("]"))
+    rows = docs.unionByName(table(spark, d, "conversations").select(F.lit("message").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("int").alias("turn"), said.alias("t")))
+    return rows.select("kind", "id", "turn", X.quoted_and_named(F.col("t")).alias("topics"), X.artifact_id(F.col("t")).alias("artifact"))
 
 
 @query("""SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN NOT contains(lower(p_name), lower(p_brand)) THEN p_brand END, CASE WHEN NOT contains(lower(p_name), 'red') THEN 'red' END, 'unseen', CASE WHEN NOT contains(lower(p_name), lower(p_type)) THEN p_type END) AS query FROM part""")
@@ -156,10 +164,13 @@ def expanded_queries(spark, d):
     return table(spark, d, "part").select("p_partkey", X.expand_query(F.col("p_name"), F.array(F.col("p_brand"), F.lit("red"), F.lit("unseen"), F.lit("fourth")), F.array(F.col("p_type"), F.col("p_name"), F.lit("third"))).alias("query"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS clean FROM part""")
+@query(
+    r"""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(text), '^(\d+[.)]|[-*•])\s+', ''), '\*\*', '', 'g'), '\s+', ' ', 'g')) AS c FROM documents),
+b AS (SELECT doc_id, CASE WHEN starts_with(c, 'The ') THEN ltrim(substr(c, 5)) ELSE c END AS c FROM a) SELECT doc_id, CASE WHEN starts_with(c, 'De') THEN ltrim(substr(c, 3)) ELSE c END AS clean FROM b"""
+)
 def cleaned_texts(spark, d):
-    said = F.concat(F.lit("2. **Scene description:**\n General description: "), "p_name", F.lit("\n"))
-    return table(spark, d, "part").select("p_partkey", X.clean_generated(said, ["scene description:", "Scene description:", "General description:"]).alias("clean"))
+    """Every document without list marker, bold marks, line breaks and two openings."""
+    return table(spark, d, "documents").select("doc_id", X.clean_generated(F.col("text"), ["The ", "De"]).alias("clean"))
 
 
 @query("""SELECT frame_id, round(least(0.95, 0.45 + CASE WHEN k % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN score > 50 THEN 0.15 ELSE 0 END + CASE WHEN kind = 'view' THEN 0.1 ELSE 0 END), 3)::DOUBLE AS confidence, least(1.0, greatest(0.1, k / 10.0))::DOUBLE AS weight,
