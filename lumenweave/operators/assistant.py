@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.functions.text import clean_generated, is_valid_content, overlap
-from lumenweave.operators.search import fitting, per_group, pick_apart
+from lumenweave.functions.text import clean_generated, is_detail_query, is_valid_content, overlap, query_terms
+from lumenweave.operators.search import fitting, per_group, pick_apart, within_budget
 
 
 def memory(turns: DataFrame, key: str, order: str, role: str, text: str, terms: Column, budget: int, most: int = 6, candidates: int = 24, recent: int = 20) -> DataFrame:
@@ -77,3 +77,42 @@ def stage_states(events: DataFrame, key: str, stage: str, at: str, status: str)
     """``key, stage, state, n``: the last state of each stage, which once it failed or completed runs again only if it says so."""
     last = F.max_by(status, F.struct(F.col(at), F.when(F.col(status) == "running", 0).otherwise(1)))
     return events.groupBy(key, stage).agg(last.alias("state"), F.count("*").alias("n"))
+
+
+def artifacts_for(refs: DataFrame, questions: DataFrame, key: str, last: int = 20, most: int = 2) -> DataFrame:
+    """``key, nth, artifact_id, tool, summary``: the references that a question is likely to be about.
+
+    Of the ``last`` references (key, n, artifact_id, tool, summary) each scores by how
+    many of the question's terms its tool and summary hold; the best ``most`` different
+    artifacts are taken, of equals the latest. Without any term in common there are none,
+    unless the question asks for detail.
+    """
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n")))
+    recent = refs.withColumn("_back", back).where(F.col("_back") <= last).join(questions.select(key, query_terms(F.col("question")).alias("_terms"), is_detail_query(F.col("question")).alias("_detail")), key)
+    said = F.lower(F.concat(F.coalesce("tool", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))))
+    scored = recent.withColumn("_score", F.size(F.filter("_terms", lambda t: F.contains(said, t))))
+    asked = scored.withColumn("_most", F.max("_score").over(Window.partitionBy(key))).where((F.col("_most") > 0) | F.col("_detail"))
+    order = [F.desc("_score"), F.col("_back")]
+    once = per_group(asked.where("artifact_id <> ''").withColumn("_id", F.struct(key, "artifact_id")), "_id", order, 1)
+    return once.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= most).select(key, "nth", "artifact_id", "tool", "summary")
+
+
+def artifacts_named(refs: DataFrame, wanted: DataFrame, key: str, last: int = 50, most: int = 2) -> DataFrame:
+    """The same for artifacts that are asked for by name: ``wanted`` (key, place, artifact_id), in that order, each by its latest reference of the ``last``."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n")))
+    recent = refs.withColumn("_back", back).where((F.col("_back") <= last) & (F.col("artifact_id") != ""))
+    latest = per_group(recent.withColumn("_id", F.struct(key, "artifact_id")), "_id", [F.col("_back")], 1)
+    found = wanted.select(key, "artifact_id", "place").join(latest, [key, "artifact_id"])
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("nth") <= most).select(key, "nth", "artifact_id", "tool", "summary")
+
+
+def rehydrated(chosen: DataFrame, artifacts: DataFrame, key: str, budget: int = 3500) -> DataFrame:
+    """``key, nth, snippet``: what the chosen artifacts (artifact_id, tool, preview) hold, in order, up to the first that exceeds the budget.
+
+    An artifact that isn't there, or is empty, is passed over.
+    """
+    a = artifacts.select("artifact_id", F.col("tool").alias("_tool"), "preview").where("preview <> ''")
+    tool = F.coalesce(F.nullif("tool", F.lit("")), F.nullif("_tool", F.lit("")), F.lit("tool"))
+    snippet = F.concat(F.lit("[artifact:"), "artifact_id", F.lit("] "), tool, F.lit("\nsummary: "), F.substring(F.coalesce("summary", F.lit("")), 1, 180), F.lit("\npayload: "), "preview")
+    rows = chosen.join(a, "artifact_id").select(key, "nth", snippet.alias("snippet")).withColumn("_n", F.length("snippet"))
+    return within_budget(rows, key, [F.col("nth")], "_n", budget).drop("_n")

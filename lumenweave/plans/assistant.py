@@ -136,3 +136,45 @@ def artifact_previews(spark, d):
     body = F.concat(F.lit('{"other": "'), "event_type", F.lit('", "summary": {"k": '), F.col("event_id") % 3, F.lit("}}"))
     v = P.value(body)
     return table(spark, d, "events").select("event_id", P.preview(v, ["title", "summary"], 5).alias("preview"), (P.string_field(v, ["other"]) == "click").alias("known"))
+
+
+#: Each turn refers to one of seven artifacts of its conversation, and the first turn is the question; an artifact holds what was said last under its name.
+REFS_SQL = """refs AS (SELECT conv_id, turn AS n, CASE WHEN turn % 5 = 4 THEN '' ELSE conv_id || '-' || turn % 7 END AS artifact_id, role AS tool, substr(text, 1, 300) AS summary FROM conversations),
+stored AS (SELECT artifact_id, arg_max(tool, n) AS tool, arg_max(CASE WHEN conv_id % 11 = 0 THEN '' ELSE substr(summary, 1, 250) END, n) AS preview FROM refs GROUP BY artifact_id),
+back AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) AS b FROM refs)"""
+SNIPPET_SQL = """snip AS (SELECT conv_id, nth, '[artifact:' || artifact_id || '] ' || coalesce(nullif(c.tool, ''), nullif(s.tool, ''), 'tool') || chr(10) || 'summary: ' || substr(summary, 1, 180) || chr(10) || 'payload: ' || preview AS snippet FROM chosen c JOIN stored s USING (artifact_id) WHERE preview <> '')
+SELECT conv_id, nth, snippet FROM snip QUALIFY sum(length(snippet)) OVER (PARTITION BY conv_id ORDER BY nth) <= 700"""
+
+
+def _stored(spark, d):
+    c = table(spark, d, "conversations")
+    name = F.when(F.col("turn") % 5 == 4, "").otherwise(F.concat_ws("-", "conv_id", F.col("turn") % 7))
+    refs = c.select("conv_id", F.col("turn").alias("n"), name.alias("artifact_id"), F.col("role").alias("tool"), F.substring("text", 1, 300).alias("summary"))
+    held = F.when(F.col("conv_id") % 11 == 0, "").otherwise(F.substring("summary", 1, 250))
+    return refs, refs.groupBy("artifact_id").agg(F.max_by("tool", "n").alias("tool"), F.max_by(held, "n").alias("preview"))
+
+
+@query(f"""WITH {REFS_SQL},
+q AS (SELECT conv_id, text AS question FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
+w AS (SELECT conv_id, regexp_matches(lower(question), 'exact|specific|detail|timestamp|timecode|quote|verbatim|full|complete|all results|evidence') AS detail, list_distinct(list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z0-9]{{3,}}$')
+  AND w NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'what', 'when', 'where', 'which', 'who', 'how', 'about', 'video', 'scene', 'please'))) AS terms FROM q),
+sc AS (SELECT b.*, detail, len(list_filter(terms, lambda t: contains(lower(tool || ' ' || summary), t))) AS s FROM back b JOIN w USING (conv_id) WHERE b <= 20), mx AS (SELECT *, max(s) OVER (PARTITION BY conv_id) AS m FROM sc),
+one AS (SELECT * FROM mx WHERE (m > 0 OR detail) AND artifact_id <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, artifact_id ORDER BY s DESC, b) = 1),
+chosen AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, b) AS nth, artifact_id, tool, summary FROM one QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, b) <= 2), {SNIPPET_SQL}""")
+def recalled_artifacts(spark, d):
+    """What the artifacts hold that a conversation's first turn is likely to be about."""
+    refs, stored = _stored(spark, d)
+    first = R.per_group(table(spark, d, "conversations"), "conv_id", [F.col("turn")], 1).select("conv_id", F.col("text").alias("question"))
+    return A.rehydrated(A.artifacts_for(refs, first, "conv_id"), stored, "conv_id", 700)
+
+
+@query(f"""WITH {REFS_SQL},
+latest AS (SELECT * FROM back WHERE b <= 50 AND artifact_id <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, artifact_id ORDER BY b) = 1),
+wanted AS (SELECT conv_id, p AS place, conv_id || '-' || (conv_id + p * 3) % 7 AS artifact_id FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(range(4)) AS p)),
+chosen AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS nth, artifact_id, tool, summary FROM wanted JOIN latest USING (conv_id, artifact_id) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place) <= 2), {SNIPPET_SQL}""")
+def named_artifacts(spark, d):
+    """What the artifacts hold that a list names, the first of it first."""
+    refs, stored = _stored(spark, d)
+    wanted = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"))
+    wanted = wanted.withColumn("artifact_id", F.concat_ws("-", "conv_id", (F.col("conv_id") + F.col("place") * 3) % 7))
+    return A.rehydrated(A.artifacts_named(refs, wanted, "conv_id"), stored, "conv_id", 700)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from lumenweave.functions import payload as P
 from lumenweave.functions import scalar as S
 from lumenweave.functions import text as X
+from lumenweave.operators import assistant as T
 from lumenweave.operators import discovery as D
 from lumenweave.operators import gold as G
+from lumenweave.operators import graph as N
 from lumenweave.operators import sampling as A
 from lumenweave.operators import scope as C
 from lumenweave.operators import search as R
@@ -109,3 +111,41 @@ def test_tables_in_folders(spark):
     one_, two = (K.manifest(base.orderBy(F.col("v").asc() if up else F.col("v").desc()), "k", ["k", "v"]).first() for up in (True, False))
     assert one_ == two and one_.n == 3
     assert B.equal_quotas(base, "v", "k", 2).count() == 2 and B.equal_quotas(base, "v", "k", 9).count() == 3
+
+
+def test_artifacts_of_a_question(spark):
+    refs = spark.createDataFrame([("k", i, a, "search", s) for i, (a, s) in enumerate([("old", "red cars"), ("a", "blue car"), ("a", "red car and red bus"), ("", "red car"), (None, "red car"), ("b", "a bus"), ("c", "Red things")])], "k string, n int, artifact_id string, tool string, summary string")
+    ask = lambda q: spark.createDataFrame([("k", q)], "k string, question string")
+    pick = lambda q, **o: [(r.nth, r.artifact_id, r.summary) for r in T.artifacts_for(refs, ask(q), "k", **o).orderBy("nth").collect()]
+    assert pick("the red bus") == [(1, "a", "red car and red bus"), (2, "c", "Red things")]
+    assert pick("the red bus", last=2) == [(1, "c", "Red things"), (2, "b", "a bus")]
+    assert pick("nothing like it") == [] and pick(None) == []
+    # detail is wanted: the latest, whatever they say
+    assert pick("every detail please") == [(1, "c", "Red things"), (2, "b", "a bus")]
+    wanted = spark.createDataFrame([("k", 0, "gone"), ("k", 1, "a"), ("k", 2, "old"), ("k", 3, "c")], "k string, place int, artifact_id string")
+    named = T.artifacts_named(refs, wanted, "k")
+    assert [(r.nth, r.artifact_id) for r in named.orderBy("nth").collect()] == [(1, "a"), (2, "old")]
+    stored = spark.createDataFrame([("a", "x", "1" * 50), ("old", None, "2" * 50), ("c", "x", "")], "artifact_id string, tool string, preview string")
+    all_ = T.artifacts_named(refs, wanted, "k", most=9)
+    assert [r.snippet for r in T.rehydrated(all_, stored, "k").orderBy("nth").collect()] == ["[artifact:a] search\nsummary: red car and red bus\npayload: " + "1" * 50, "[artifact:old] search\nsummary: red cars\npayload: " + "2" * 50]
+    assert T.rehydrated(all_, stored, "k", 150).count() == 1 and T.rehydrated(all_, stored, "k", 20).count() == 0
+
+
+def test_shortest_paths_up(spark):
+    nodes = spark.createDataFrame([(n, label, u) for n, label, u in [("v", "Video", 1), ("w", "Video", 2), ("c", "Chapter", 1), ("s", "Scene", 1), ("t", "Scene", 2), ("f", "Frame", 1), ("x", "Frame", 1), ("y", "Frame", 1)]], "node string, label string, user int")
+    up = spark.createDataFrame([("f", "s"), ("f", "t"), ("s", "c"), ("c", "v"), ("t", "w"), ("t", "v"), ("x", "y"), ("y", "x")], "child string, parent string")
+    paths = lambda **o: {r.node: r.path for r in N.shortest_up(nodes.where("label IN ('Frame', 'Video')"), up, nodes, "Video", **o).collect()}
+    assert paths() == {"f": ["f", "t", "v"], "v": ["v"], "w": ["w"]}
+    # a scene of another user is on the shorter way
+    assert paths(user=1) == {"f": ["f", "s", "c", "v"], "v": ["v"]}
+    assert paths(user=1, most=2) == {"v": ["v"]}
+    assert paths(beam=1) == {"f": ["f", "s", "c", "v"], "v": ["v"], "w": ["w"]}
+
+
+def test_pooling(spark):
+    m = spark.createDataFrame([("a", [3.0, 0.0], 1.0), ("a", [0.0, 8.0], 0.5), ("a", None, 9.0), ("b", [0.0, 0.0], 1.0)], "k string, v array<float>, w double")
+    by = lambda df: {r.k: [round(x, 6) for x in r.pooled] for r in df.where("k = 'a'").collect()}
+    assert by(R.pool(m, "k", "v")) == {"a": [round(3 / 73**0.5, 6), round(8 / 73**0.5, 6)]}
+    assert by(R.pool(m, "k", "v", "w")) == {"a": [0.6, 0.8]} and by(R.pool(m, "k", "v", strategy="max")) == by(R.pool(m, "k", "v"))
+    with pytest.raises(ValueError):
+        R.pool(m, "k", "v", strategy="median")
