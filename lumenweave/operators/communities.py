@@ -285,23 +285,23 @@ def _by_size(edges: DataFrame, most: int, near: Callable[[Graph, np.ndarray], li
     return out if more is None else out.unionByName(more.select("graph", "level", "node", "community"))
 
 
-def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 1, graph: str = "graph", a: str = "a", b: str = "b", weight: str = "weight", most: int = 100_000) -> DataFrame:
+def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 1, graph: str = "graph", a: str = "a", b: str = "b", weight: str = "weight", most: int = 100_000, iterations: int = 2) -> DataFrame:
     """``graph, level, node, community``: level l has the communities at ``resolution * 2 ** l``, from l = 0.
 
     Local moves, then a refinement in which single nodes join a community of their part
     to which they have an edge, then the same on the graph of the refined communities,
-    until nothing moves; then once more from what was found. Every community is connected
-    and named by its smallest node.
+    until nothing moves; all that ``iterations`` times, from what was found before. Every
+    community is connected and named by its smallest node.
     Nodes without an edge don't appear; each graph has its own total weight.
     """
     e = _edges(edges, graph, a, b, weight)
     scales = [(level, resolution * 2.0**level) for level in range(levels)]
-    near = lambda g, names: [(level, g.nodes, leiden_of(g, gamma)) for level, gamma in scales]
+    near = lambda g, names: [(level, g.nodes, leiden_of(g, gamma, iterations)) for level, gamma in scales]
 
     def far(rest: DataFrame) -> DataFrame:
         out = None
         for level, gamma in scales:
-            one = _leiden_far(rest, gamma).withColumn("level", F.lit(level))
+            one = _leiden_far(rest, gamma, iterations).withColumn("level", F.lit(level))
             out = one if out is None else out.unionByName(one)
         return out
 
