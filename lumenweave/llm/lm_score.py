@@ -51,7 +51,7 @@ class Shape:
     words: int = 1 << 15
     least: int = 16
     head: int = 1 << 17
-    size: int = 24
+    size: int = 16
     context: int = 2
     noise: int = 16
     noise_in_class: int = 1
@@ -290,29 +290,31 @@ def train(rows: DataFrame, text_col: str, model: Model) -> Params:
         v = np.average(np.stack(group.v.to_numpy()), 0, group.n.to_numpy(float)).astype(np.float32)
         return pd.DataFrame({"piece": group.piece[:1], "part": group.part.to_numpy()[:1] // 64, "n": [total], "v": [v]})
 
-    # a round's texts, their shard and their order in it come from a hash of the text
+    # a row's round, its shard and its place in it come from a hash of the id and the text: copies of a text are dealt out
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = rows.select(text.alias("text"), F.xxhash64(text, F.lit(11)).alias("h"))
-    for nth in range(shape.rounds):
-        shared = spark.sparkContext.broadcast(flat)
-
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared, nth=nth) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+    hashed = rows.select(text.alias("text"), F.xxhash64(text, *[F.col(c) for c in rows.columns if c != text_col], F.lit(11)).alias("h"))
+    hashed = hashed.withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)).cast("int"))
 
-            m, part = words.value, TaskContext.get().partitionId()
+    def learner(shared, nth: int):
+        def learn(table):
+            m, part = words.value, table.column("shard")[0].as_py()
             trainer, read = Trainer(Params.of(shared.value, n, shape), m.prior, shape, part * 64 + nth), 0
-            for _, texts in _texts(batches):
+            for _, texts in _texts(table.sort_by("h").select(["text"]).to_batches(DOCS)):
                 _, ranks, lengths = m.ranks(texts)
                 tokens = m.ids(ranks)
                 trainer.learn(contexts_of(tokens, lengths, n, shape.context), tokens)
                 read += len(tokens)
-            if read:
-                for i, x in enumerate(np.array_split(trainer.p.flat(), pieces)):
-                    v = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([read], pa.int64()), v], ["piece", "part", "n", "v"])
+            each = np.array_split(trainer.p.flat(), pieces)
+            v = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate(each)))
+            columns = [pa.array(range(pieces), pa.int32()), pa.array([part] * pieces, pa.int32()), pa.array([read] * pieces, pa.int64()), v]
+            return pa.Table.from_arrays(columns, ["piece", "part", "n", "v"])
 
-        own = hashed.where(F.pmod("h", F.lit(shape.rounds)) == nth).repartition(shards, F.shiftright("h", 8)).sortWithinPartitions("h", F.length("text"))
-        sums = own.select("text").mapInArrow(learn, schema)
+        return learn
+
+    for nth in range(shape.rounds):
+        shared = spark.sparkContext.broadcast(flat)
+        # a shard is a few MB of text: its rows are in one task's memory
+        sums = hashed.where(F.pmod("h", F.lit(shape.rounds)) == nth).select("shard", "h", "text").groupBy("shard").applyInArrow(learner(shared, nth), schema)
         for key in (F.expr("part div 64"), F.lit(0)):  # in two steps: no task gathers a row of every other
             sums = sums.groupBy("piece", key.alias("of")).applyInPandas(add, schema)
         got = sums.select("piece", "v").toArrow().sort_by("piece")  # the size of one model
@@ -458,5 +460,5 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """Fits on the documents that aren't held out and scores all: ``id_col, held_out`` and what :func:`score` gives."""
     text_batches(docs.sparkSession)
     rows = docs.select(id_col, text_col).withColumn("held_out", held_out(id_col))
-    model, counts = fit(rows.where("NOT held_out"), text_col, shape)
+    model, counts = fit(rows.where("NOT held_out").drop("held_out"), text_col, shape)
     return score(rows, model, counts, id_col, text_col, ("held_out",))
