@@ -3,8 +3,9 @@
 Every pair of consecutive words of every text meets, in a Spark join, the places
 where the templates have that pair. A hit votes for the diagonal ``position in the
 text - position in the template``. A short phrase stands where all its pairs vote
-for one diagonal; of a long text neighbouring diagonals are merged, so that a word
-added or left out does not hide it, and the span is verified by its coverage.
+for one diagonal; of a long text neighbouring diagonals are merged into bands, so
+that words added or left out do not hide it, and the best band is verified by its
+coverage. A band starts at every diagonal with a vote, whatever stands around it.
 Pairs meet by hash and are then compared word by word, so a vote is never wrong.
 """
 
@@ -49,13 +50,15 @@ def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str,
     return table.withColumn("h", F.xxhash64("a", "b"))
 
 
-def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, coverage: float = 0.8, drift: int = 4) -> DataFrame:
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, coverage: float = 0.8, drift: int = 8) -> DataFrame:
     """The verified spans: ``id, fp, template, label, exact, first_word, last_word, coverage``.
 
     ``phrases`` need every pair on one diagonal. Of ``notices``, a share of
-    ``coverage`` of the pairs does, on diagonals at most ``drift`` apart from the
-    next. Words count from 0; a null or empty text has none. ``fp`` tells texts
-    under one id apart; a row that repeats id and text adds nothing.
+    ``coverage`` of the pairs does, on a band of diagonals at most ``drift`` apart.
+    Of bands that start within ``drift`` of each other the best is returned: the one of
+    most pairs, then the shortest, then the first. Words count from 0; a null or empty
+    text has none. ``fp`` tells texts under one id apart; a row that repeats id and
+    text adds nothing.
     """
     templates = _templates(docs.sparkSession, phrases, notices)
     words = keyed(docs, id_col, text_col).select("id", "fp", words_of(F.col("text")).alias("w"))
@@ -70,12 +73,11 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrase = lines.where(F.col("exact") & (F.size("ats") == F.col("pairs"))).select("id", "fp", "template", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("hi") + 1).alias("last_word"), F.lit(1.0).alias("coverage"))
 
     order = Window.partitionBy("id", "fp", "template").orderBy("diagonal")
-    # without a nearby diagonal of another hit, a lone vote can't reach the coverage: only what may still pass is merged
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > drift, F.lit(True))
-    merged = lines.where(~F.col("exact")).withColumn("fresh", apart.cast("int")).withColumn("cluster", F.sum("fresh").over(order))
-    spans = merged.groupBy(*key, "cluster").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("lo").alias("first_word"), (F.max("hi") + 1).alias("last_word"))
-    spans = spans.withColumn("coverage", F.size("ats") / F.col("pairs"))
-    notice = spans.where((F.col("coverage") >= coverage) & (F.col("last_word") - F.col("first_word") <= F.col("pairs") * (2 - coverage) + drift))
+    band, near = order.rangeBetween(0, drift), order.rangeBetween(-drift, drift)
+    bands = lines.where(~F.col("exact")).withColumns({"found": F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(band)))), "first_word": F.min("lo").over(band), "last_word": F.max("hi").over(band) + 1})
+    bands = bands.withColumn("coverage", F.col("found") / F.col("pairs")).where(F.col("coverage") >= coverage)
+    mark = F.struct(F.col("found"), (F.col("first_word") - F.col("last_word")).alias("short"), (-F.col("diagonal")).alias("early"))
+    notice = bands.withColumn("mark", mark).withColumn("best", F.max("mark").over(near)).where("mark = best")
     return phrase.unionByName(notice.select(*phrase.columns))
 
 

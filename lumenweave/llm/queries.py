@@ -50,14 +50,13 @@ d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS n, unnest(range(len(w))) AS pos, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b FROM d),
 v AS (SELECT DISTINCT doc_id, template, label, exact, pairs, tpos, pos, pos - tpos AS diagonal FROM p JOIN templates USING (a, b)),
 line AS (SELECT doc_id, template, label, exact, pairs, diagonal, count(*) AS n, min(pos) AS lo, max(pos) AS hi FROM v GROUP BY ALL),
-fresh AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= 4 THEN 0 ELSE 1 END AS f FROM line WHERE NOT exact WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-cluster AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS c FROM fresh),
 notice AS (
-  SELECT k.doc_id, k.template, k.label, count(DISTINCT v.tpos) / any_value(k.pairs)::DOUBLE AS coverage, max(k.hi) + 1 - min(k.lo) AS width, any_value(k.pairs) AS pairs
-  FROM cluster k JOIN v ON v.doc_id = k.doc_id AND v.template = k.template AND v.diagonal = k.diagonal GROUP BY k.doc_id, k.template, k.label, k.c),
+  SELECT k.doc_id, k.template, k.label, k.diagonal, count(DISTINCT v.tpos) / any_value(k.pairs)::DOUBLE AS coverage
+  FROM line k JOIN v ON v.doc_id = k.doc_id AND v.template = k.template AND v.diagonal BETWEEN k.diagonal AND k.diagonal + 8
+  WHERE NOT k.exact GROUP BY k.doc_id, k.template, k.label, k.diagonal),
 span AS (
   SELECT doc_id, label, TRUE AS exact, diagonal AS start, 1.0::DOUBLE AS coverage FROM line WHERE exact AND n = pairs
-  UNION ALL SELECT doc_id, label, FALSE, NULL, coverage FROM notice WHERE coverage >= 0.8 AND width <= pairs * 1.2 + 4),
+  UNION ALL SELECT doc_id, label, FALSE, NULL, coverage FROM notice WHERE coverage >= 0.8),
 found AS (
   SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score

@@ -120,6 +120,25 @@ def test_license_notice_with_a_word_more(spark):
     assert got.labels == "mit" and got.n_base == 0 and got.score >= 0.8
 
 
+def test_license_notices_stand_out_from_their_own_words(spark):
+    """Each notice in full among repeats of its own words, after and before them, twice, and cut off in the middle."""
+    rows, want = [], {}
+    for nth, (notice, label) in enumerate(LS.NOTICES.items()):
+        words = notice.split()
+        tail, head, mixed = " ".join(words[-3:] * 12), " ".join(words[:3] * 9), " ".join(words[i] + " " + words[i + 1] for i in range(len(words) - 2, -1, -1))
+        texts = [f"{notice} {tail}", f"{head} {notice}", f"{tail} {notice} {head}", f"{mixed} {notice} {mixed}", f"{notice} {notice}", " ".join(words[: len(words) // 2]) + " " + head]
+        for j, text in enumerate(texts):
+            rows.append((10 * nth + j, text))
+            want[10 * nth + j] = label if j < 5 else None
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in LS.license_scan(docs).collect()}
+    for i, label in want.items():
+        assert (label in got[i].labels.split(",") and got[i].score == 1) if label else got[i].labels == got[i].base_labels, (i, got[i])
+    spans = LS.license_spans(docs).where("NOT exact").groupBy("id", "template").count().collect()
+    assert all(r["count"] == 2 for r in spans if r.id % 10 == 4)
+    sql_same(LS.license_scan(docs), docs, Q.OP2_SQL)
+
+
 @pytest.fixture(scope="module")
 def items(spark):
     texts = [None, "", " ".join(PASSAGE.split()[10:25]), "one two three four five six seven eight nine ten eleven", "Cat sat", "of0", PASSAGE, PASSAGE, "unseen words only in here", "日本語 テキスト"]
