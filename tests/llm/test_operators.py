@@ -130,7 +130,7 @@ def test_license_notices_stand_out_from_their_own_words(spark):
         for j, text in enumerate(texts):
             rows.append((10 * nth + j, text))
             want[10 * nth + j] = label if j < 5 else None
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(i, text, "en", "web") for i, text in rows], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in LS.license_scan(docs).collect()}
     for i, label in want.items():
         assert (label in got[i].labels.split(",") and got[i].score == 1) if label else got[i].labels == got[i].base_labels, (i, got[i])
@@ -446,42 +446,75 @@ def test_shard_has_many_blocks_and_tells_damage(tmp_path):
         T.Shard(fs.open_input_file(str(path)))
 
 
+def fluid(blocks, parts, t):
+    """What each source has got at time t if all that have not ended share it by their parts, found phase by phase."""
+    got, at, left = dict.fromkeys(blocks, Fraction(0)), Fraction(0), set(blocks)
+    while left:
+        all_parts = sum(parts[s] for s in left)
+        step = min([t - at, *(Fraction(blocks[s] - got[s]) * all_parts / parts[s] for s in left)])
+        for s in left:
+            got[s] += step * parts[s] / all_parts
+        at += step
+        left = {s for s in left if got[s] < blocks[s]}
+        if at == t:
+            break
+    return got
+
+
+def edf(blocks, parts):
+    """Slot by slot: of the blocks that the fluid schedule has begun by then, the one that it ends first goes."""
+    total, out, done = sum(blocks.values()), {}, dict.fromkeys(blocks, 0)
+    shares = [fluid(blocks, parts, Fraction(t)) for t in range(total + 1)]
+    begun = lambda s, k, t: math.ceil(shares[t + 1][s]) > k
+    ends = lambda s, k: next(t for t in range(total + 1) if shares[t][s] >= k + 1)
+    for t in range(total):
+        _, s = min((ends(s, done[s]), s) for s in blocks if done[s] < blocks[s] and begun(s, done[s], t))
+        out[s, done[s]] = t
+        done[s] += 1
+        assert all(abs(done[s] - shares[t + 1][s]) < 1 for s in blocks)
+    return out
+
+
+def by_slot(blocks, parts):
+    return {(s, k): t for s, own in M.slots(blocks, parts).items() for k, t in enumerate(own)}
+
+
 def test_mixing_deviates_by_less_than_a_block():
     rng = random.Random(3)
-    for n in (1, 2, 7, 20):
+    for n in (1, 2, 5, 9):
         weights = {i: round(rng.random() ** 2 + 0.01, 3) for i in range(n)} | {n: 0.001}
-        parts = M.parts_of(weights)
-        q, total = sum(parts.values()), sum(map(Fraction, map(str, weights.values())))
-        assert all(Fraction(parts[s], q) == Fraction(str(w)) / total for s, w in weights.items())
-        slots = M.pattern(parts, q)
-        assert sorted(t for v in slots.values() for t in v) == list(range(q))
-        for s, v in slots.items():
-            for k, t in enumerate(v):
-                assert k * q // parts[s] <= t < -(-(k + 1) * q // parts[s])
-            # over many periods, against the weight as it was given
-            own = np.cumsum(np.tile(np.isin(np.arange(q), v), 40))
-            assert np.abs(own - float(Fraction(str(weights[s])) / total) * np.arange(1, 40 * q + 1)).max() < 1
+        blocks = {s: rng.choice([1, 3, 20, 60]) for s in weights}
+        got = by_slot(blocks, M.parts_of(weights))
+        assert got == edf(blocks, M.parts_of(weights)) and sorted(got.values()) == list(range(sum(blocks.values())))
+    assert M.slots({}, {}) == {}
+    # parts of any size are met exactly, however long a period that makes
     assert M.parts_of({"a": 1, "b": Fraction(1, 3), "c": 0.0005}) == {"a": 6000, "b": 2000, "c": 3}
-    with pytest.raises(ValueError):
-        M.parts_of({"a": 1.0, "b": 0.12345678901})
+    odd = M.parts_of({"a": 1.0, "b": 0.12345678901, "c": Fraction(1, 10**12 + 39)})
+    blocks = {"a": 50, "b": 30, "c": 2}
+    assert by_slot(blocks, odd) == edf(blocks, odd)
 
 
-def edf(blocks, parts):
-    """Slot by slot: of the released blocks the one that is due first goes; a source that has ended leaves at the end of a period."""
-    out, left, done, base = {}, set(blocks), dict.fromkeys(blocks, 0), 0
-    while left:
-        names, q = sorted(left), sum(parts[s] for s in left)
-        while all(done[s] < blocks[s] for s in names):
-            got = dict.fromkeys(names, 0)
-            for t in range(q):
-                ready = [(math.ceil(Fraction((got[s] + 1) * q, parts[s])), i, s) for i, s in enumerate(names) if got[s] < parts[s] and got[s] * q // parts[s] <= t]
-                s = min(ready)[2]
-                out[s, done[s]] = base + t
-                got[s] += 1
-                done[s] += 1
-            base += q
-        left = {s for s in left if done[s] < blocks[s]}
-    return out
+def test_mixing_deviation_on_many_sources():
+    """Against the shares in floating point: 4,000 sources of 1 to 40 blocks, most of which end before the last."""
+    rng = random.Random(5)
+    blocks, parts = {i: 1 + int(40 * rng.random() ** 4) for i in range(4000)}, {i: rng.randint(1, 10**6) for i in range(4000)}
+    got = M.slots(blocks, parts)
+    total = sum(blocks.values())
+    assert sorted(t for own in got.values() for t in own) == list(range(total))
+    n, p = np.array([blocks[i] for i in range(4000)]), np.array([parts[i] for i in range(4000)])
+    order = np.argsort(n / p)
+    v = (n / p)[order]
+    left = np.concatenate([p[order][::-1].cumsum()[::-1], [0]])  # parts of those that have not ended
+    ends = np.concatenate([[0], n[order].cumsum()])[:-1] + v * left[:-1]
+    owner = np.empty(total, int)
+    for i, own in got.items():
+        owner[own] = i
+    done = np.zeros(4000)
+    for t in range(total):
+        done[owner[t]] += 1
+        if t % 97 == 0:
+            share = np.minimum(n, p * np.interp(t + 1, np.concatenate([[0], ends]), np.concatenate([[0], v])))
+            assert np.abs(done - share).max() < 1 + 1e-6
 
 
 def test_schedule(awkward):
@@ -490,7 +523,7 @@ def test_schedule(awkward):
     assert all(r.block == r.start // 300 for r in got)
     names = sorted({r.source or "" for r in got})
     blocks = {s: -(-sum(r.n_bytes for r in got if (r.source or "") == s) // 300) for s in names}
-    want = edf(blocks, M.parts_of(weights))
+    want = by_slot(blocks, M.parts_of({s: weights[s] for s in names}))
     assert all(r.slot == want[r.source or "", r.block] for r in got)
     for s in names:
         own = sorted((r.start, r.n_bytes, r.block) for r in got if (r.source or "") == s)
@@ -506,17 +539,33 @@ def test_schedule(awkward):
 
 def test_schedule_by_default_against_brute_force(spark):
     rows = [(i, "x" * (37 * i % 211), f"s{min(i % 11, 3)}") for i in range(400)]
-    got = M.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_bytes=500, slots_per_period=50).collect()
+    got = M.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_bytes=500).collect()
     sizes = Counter()
     for r in got:
         sizes[r.source] += r.n_bytes
-    parts = M.default_parts(dict(sorted(sizes.items())), 0.5, 50)
-    root = {s: n**0.5 for s, n in sizes.items()}
-    assert sum(parts.values()) == 50 and all(abs(parts[s] - 50 * root[s] / sum(root.values())) < 2 for s in parts)
+    parts = {s: round(1000 * n**0.5) for s, n in sizes.items()}
     want = edf({s: -(-n // 500) for s, n in sizes.items()}, parts)
     assert len(got) == 400 and all(r.slot == want[r.source, r.block] for r in got)
 
 
+def test_schedule_of_more_sources_than_rows_of_a_batch(spark):
+    """3,000 sources, one of them a third of all bytes, and blocks that grow so that there are few enough; with and without broadcast."""
+    rows = [(i, "y" * (i % 13), f"s{i}" if i % 3 else "hot") for i in range(4500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.schedule(docs, block_bytes=10, blocks=1000).collect()
+    size = got[0].start // got[0].block if got[0].block else None
+    total = sum(r.n_bytes for r in got)
+    wide = max(10, -(-total // 1000))
+    assert all(r.block == r.start // wide for r in got) and (size is None or size >= wide) and len(got) == 4500
+    sizes = Counter()
+    for r in got:
+        sizes[r.source] += r.n_bytes
+    want = by_slot({s: -(-n // wide) for s, n in sorted(sizes.items())}, {s: round(1000 * n**0.5) for s, n in sizes.items()})
+    assert all(r.slot == want[r.source, r.block] for r in got)
+    joined = M.schedule(docs, block_bytes=10, blocks=1000, most_broadcast=0).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, got))
+
+
 def test_lm_score(spark, awkward):
     shape = LM.Shape(words=12, least=1, head=20, size=6, noise=5, batch=64)
     docs = [(i, [*t.encode().lower().split(), b"\n"]) for i, t in rows_of(awkward)]
