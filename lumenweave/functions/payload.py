@@ -98,6 +98,20 @@ def caption(v: Column) -> Column:
     return F.coalesce(string(v), string_field(v, TEXT_KEYS), F.nullif(joined, F.lit("")))
 
 
+def task_fields(task: Column, v: Column) -> dict[str, Column]:
+    """What a model of pictures said, by its task: a text for captions and OCR, JSON for objects, regions and where things are.
+
+    JSON is compact, with sorted keys; an empty or missing payload is ``{}``.
+    """
+    empty = v.isNull() | kind(v).isNull() | F.to_json(v).isin("{}", "[]", '""', "0", "false")
+    said = F.when(empty, F.lit("{}")).otherwise(F.to_json(v))
+    only = lambda *tasks: F.when(task.isin(*tasks), said).otherwise("{}")
+    return {
+        "caption": F.when(task == "caption", caption(v)), "ocr_text": F.when(task == "ocr", caption(v)),
+        "objects_json": only("object_detection"), "regions_json": only("dense_region_caption"), "grounding_json": only("object_detection", "dense_region_caption"),
+    }
+
+
 def model_json(text: Column) -> Column:
     """The object in a model's answer, with or without a fence around it."""
     return object_text(strip_fences(text))

@@ -21,6 +21,8 @@ ADAPTIVE = [
     (300, "interval", 3.0, None, None, None, 400),
     (0, "hybrid", 1.0, 0.35, 0.6, 3.0, 300),
 ]
+#: Hashes have 64 bits, of which the highest is a sign.
+MASK = (1 << 64) - 1
 ADAPTIVE_TYPE = "struct<method: string, interval: double, threshold: double, share: double, gap: double, most: int>"
 
 
@@ -149,3 +151,27 @@ def semantic_clusters(frames: DataFrame, video: str, order: list[str], v: str, l
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "cluster"])
 
     return frames.repartition(video).sortWithinPartitions(video, *order).mapInArrow(fold, schema)
+
+
+def distinct_frames(frames: DataFrame, key: str, order: list[str], hashed: str, most: int = 12) -> DataFrame:
+    """The frames left when one goes whose perceptual hash differs in ``most`` bits or less from that of the last one left.
+
+    So a slow drift keeps a frame whenever enough has changed. Frames of a key pass
+    through one task in ``order``; it remembers one hash. A frame without a hash
+    stays and is not compared with.
+    """
+    at_key, at_hash = frames.columns.index(key), frames.columns.index(hashed)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            for i, (k, h) in enumerate(zip(batch.column(at_key).to_pylist(), batch.column(at_hash).to_pylist(), strict=True)):
+                if now != (k,):
+                    now, last = (k,), None
+                if h is None or last is None or ((h ^ last) & MASK).bit_count() > most:
+                    last = last if h is None else h
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return frames.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, frames.schema)

@@ -1,3 +1,3 @@
 """The data model on the driver's tables and every query over it; importing this registers them all."""
 
-from lumenweave.plans import assistant, catalog, communities, discovery, gold, payloads, queries, sampling, streams, structure  # noqa: F401
+from lumenweave.plans import assistant, catalog, communities, discovery, gold, payloads, queries, sampling, shaping, streams, structure  # noqa: F401

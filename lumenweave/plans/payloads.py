@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions import payload as P
 from lumenweave.functions import scalar as S
 from lumenweave.functions import text as X
+from lumenweave.operators import sampling as M
 from lumenweave.plans import views as V
 from lumenweave.plans.registry import query
 from lumenweave.session import table
@@ -180,15 +180,26 @@ def frame_ladders(spark, d):
     return f.select("frame_id", S.scene_confidence(F.col("k") % 2 == 0, F.col("score") > 50, F.col("kind") == "view").alias("confidence"), S.strength_weight(F.col("k")).alias("weight"), S.transition(F.col("score") / 100).alias("transition"), S.decode_seek(F.col("score"), 30).alias("seek"), F.try_divide("score", "k").alias("rtf"))
 
 
-@query("""SELECT frame_id FROM (SELECT frame_id, bit_count(xor(h, lag(h) OVER (PARTITION BY video_id ORDER BY ts_ms, frame_id))) AS apart FROM (SELECT *, frame_id * 2654435761 AS h FROM frames)) WHERE apart IS NULL OR apart > 12""", "frames")
+@query("""SELECT * FROM (WITH RECURSIVE h AS (SELECT video_id, frame_id, frame_id * 40503 AS h, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms, frame_id) AS i FROM frames),
+r AS (SELECT video_id, i, frame_id, h AS last, TRUE AS stays FROM h WHERE i = 1
+UNION ALL SELECT h.video_id, h.i, h.frame_id, CASE WHEN bit_count(xor(h.h, r.last)) > 12 THEN h.h ELSE r.last END, bit_count(xor(h.h, r.last)) > 12 FROM r JOIN h ON h.video_id = r.video_id AND h.i = r.i + 1)
+SELECT frame_id FROM r WHERE stays)""", "frames")
 def perceptual_duplicates(spark, d):
-    """The frames that differ from the one before."""
-    before = F.lag("hash").over(Window.partitionBy("video_id").orderBy("ts_ms", "frame_id"))
-    f = V.frames(spark, d).withColumn("hash", F.col("frame_id") * 2654435761).withColumn("close", P.close_hashes(F.col("hash"), before))
-    return f.where(~F.coalesce("close", F.lit(False))).select("frame_id")
+    """The frames that differ from the last one left."""
+    f = V.frames(spark, d).select("video_id", "ts_ms", "frame_id", (F.col("frame_id") * 40503).alias("hash"))
+    return M.distinct_frames(f, "video_id", ["ts_ms", "frame_id"], "hash").select("frame_id")
 
 
 @query("""SELECT o_orderkey, date_diff('minute', TIMESTAMP '1992-01-01', o_orderdate::TIMESTAMP)::DOUBLE AS minutes, o_orderdate::TIMESTAMP >= TIMESTAMP '1998-08-02' - INTERVAL 4800 HOURS AS recent FROM orders""")
 def elapsed_minutes(spark, d):
     at, now = F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-02").cast("timestamp")
     return table(spark, d, "orders").select("o_orderkey", ((F.unix_timestamp(at) - F.unix_timestamp(F.lit("1992-01-01").cast("timestamp"))) / 60).alias("minutes"), (at >= now - F.expr("INTERVAL 4800 HOURS")).alias("recent"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN nullif(trim(text), '') END AS caption, CASE WHEN role = 'system' THEN nullif(trim(text), '') END AS ocr_text,
+CASE WHEN role = 'assistant' THEN '{"text":' || to_json(text) || ',"turn":' || turn || '}' ELSE '{}' END AS objects_json, '{}' AS regions_json, CASE WHEN role = 'assistant' THEN '{"text":' || to_json(text) || ',"turn":' || turn || '}' ELSE '{}' END AS grounding_json FROM conversations""")
+def picture_tasks(spark, d):
+    """A turn as what a model of pictures said: by its role a caption, a text in the picture or objects."""
+    task = F.when(F.col("role") == "user", "caption").when(F.col("role") == "system", "ocr").when(F.col("role") == "assistant", "object_detection")
+    c = table(spark, d, "conversations").withColumn("v", P.value(F.to_json(F.struct("turn", "text"))))
+    return c.select("conv_id", "turn", *[x.alias(n) for n, x in P.task_fields(task, F.col("v")).items()])

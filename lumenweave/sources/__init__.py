@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,11 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
     if one.isEmpty():
         raise FileNotFoundError(path)
     return one
+
+
+def ordered_rows(df: DataFrame, key: dict, order: list[str], needed: str | None = None) -> DataFrame:
+    """The rows whose columns are as in ``key``, in order; none is an error if a step that makes them is ``needed`` first."""
+    found = df.where(F.lit(True) if not key else reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(x)) for c, x in key.items()]))
+    if needed and found.isEmpty():
+        raise LookupError(f"no rows for {', '.join(f'{c}={x}' for c, x in key.items())}; run {needed} first")
+    return found.orderBy(*order)
