@@ -125,34 +125,76 @@ def thin(rows: DataFrame, key: str, at: str, gap: int) -> DataFrame:
     return some.repartition(key).sortWithinPartitions(key, at).mapInArrow(fold, some.schema)
 
 
+def candidate_points(durations: DataFrame, frames: DataFrame, segments: DataFrame, key: str, gap: int, most: int) -> DataFrame:
+    """``key, point, reason``: start, end, pauses, frames and a point every ``most``; a point may come for several reasons.
+
+    Only what lies within a positive duration counts.
+    """
+    d = durations.where("duration > 0").select(key, "duration")
+    at = lambda point, reason: F.struct(point.cast("long").alias("point"), F.lit(reason).alias("reason"))
+    steps = F.when(F.col("duration") > most, F.sequence(F.lit(most).cast("long"), F.col("duration").cast("long") - 1, F.lit(most).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    fixed = F.concat(F.array(at(F.lit(0), "start"), at(F.col("duration"), "end")), F.transform(steps, lambda x: at(x, "max_scene_duration")))
+    seen = pauses(segments, key, gap).select(key, F.col("start_ms").alias("point"), F.lit("transcript_gap").alias("reason")).union(frames.select(key, "ts_ms", F.lit("frame_anchor")))
+    within = seen.where("point > 0").join(d, key).where("point < duration").select(key, F.col("point").cast("long").alias("point"), "reason")
+    return d.select(key, F.inline(fixed)).union(within)
+
+
 def boundary_points(durations: DataFrame, frames: DataFrame, segments: DataFrame, key: str, gap: int, most: int) -> DataFrame:
-    """``key, point, reasons``: start, end, pauses, frames and a point every ``most``."""
-    d = durations.where("duration > 0")
-    parts = [
-        d.select(key, F.lit(0).cast("long").alias("point"), F.lit("start").alias("reason")),
-        d.select(key, F.col("duration").alias("point"), F.lit("end")),
-        pauses(segments, key, gap).join(d, key).where("start_ms > 0 AND start_ms < duration").select(key, F.col("start_ms"), F.lit("transcript_gap")),
-        frames.join(d, key).where("ts_ms > 0 AND ts_ms < duration").select(key, F.col("ts_ms"), F.lit("frame_anchor")),
-        d.where(F.col("duration") > most).select(key, F.explode(F.sequence(F.lit(most).cast("long"), F.col("duration") - 1, F.lit(most).cast("long"))), F.lit("max_scene_duration")),
-    ]
-    points = reduce(lambda a, b: a.union(b), parts)
-    return points.groupBy(key, "point").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    """``key, point, reasons``: the points with all their reasons."""
+    return candidate_points(durations, frames, segments, key, gap, most).groupBy(key, "point").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
 def scenes(points: DataFrame, key: str, least: int) -> DataFrame:
-    """``key, n, start_ms, end_ms, reasons``: points closer than ``least`` to the scene's start are absorbed; the last point closes."""
-    w = Window.partitionBy(key).orderBy("point")
-    last = points.groupBy(key).agg(F.max("point").alias("point"))
-    edges = thin(points, key, "point", least).unionByName(last).distinct().withColumn("edge", F.lit(True))
-    # a scene is named by the edge at or before a point; the edge that closes it has its reasons counted too
-    marked = points.join(edges, [key, "point"], "left")
-    at = F.last(F.when(F.col("edge"), F.col("point")), ignorenulls=True)
-    held = marked.withColumns({"own": at.over(w.rowsBetween(Window.unboundedPreceding, 0)), "closed": F.when(F.col("edge"), at.over(w.rowsBetween(Window.unboundedPreceding, -1)))})
-    each = held.select(key, F.col("own").alias("start_ms"), "reasons").unionByName(held.where("closed IS NOT NULL").select(key, F.col("closed").alias("start_ms"), "reasons"))
-    why = each.select(key, "start_ms", F.explode("reasons").alias("r")).groupBy(key, "start_ms").agg(F.array_sort(F.collect_set("r")).alias("reasons"))  # a few kinds of reason
-    e = Window.partitionBy(key).orderBy("point")
-    spans = edges.select(key, (F.row_number().over(e) - 1).alias("n"), F.col("point").alias("start_ms"), F.lead("point").over(e).alias("end_ms")).where("end_ms IS NOT NULL")
-    return spans.join(why, [key, "start_ms"]).select(key, "n", "start_ms", "end_ms", "reasons")
+    """``key, n, start_ms, end_ms, reasons``: points closer than ``least`` to the scene's start are absorbed; the last point closes.
+
+    A scene has the reasons of its start, of what it absorbed and of the point that
+    closes it. ``points`` has ``reasons``, or a row for each ``reason``. The points of a
+    key pass through one task in order, which remembers one scene; a null point is none.
+    """
+    which = "reasons" if "reasons" in points.columns else "reason"
+    some = points.where("point IS NOT NULL").select(key, "point", which)
+    schema = f"`{key}` {dict(some.dtypes)[key]}, n int, start_ms long, end_ms long, reasons array<string>"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, now, out = None, None, []
+        n = start = last = 0
+        held, fresh = set(), set()  # reasons of the scene up to the last point but one, and of the last point
+
+        def step(point: int | None) -> None:
+            """The last point has all its reasons: it closes the scene, or is absorbed unless it is the key's last."""
+            nonlocal n, start, held
+            if last > start and (point is None or last - start >= least):
+                out.append((now[0], n, start, last, sorted(held | fresh)))
+                n, start, held = n + 1, last, set(fresh)
+            else:
+                held |= fresh
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, p, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                r = {r} if isinstance(r, str) else set(r or ())
+                if now == (k,) and p == last:
+                    fresh |= r
+                    continue
+                if now is not None:
+                    step(p if now == (k,) else None)
+                if now != (k,):
+                    now, n, start, held = (k,), 0, p, set()
+                last, fresh = p, r
+            if out:
+                yield _scene_batch(out, key, kind)
+                out.clear()
+        if now is not None:
+            step(None)
+            yield _scene_batch(out, key, kind)
+
+    return some.repartition(key).sortWithinPartitions(key, "point").mapInArrow(fold, schema)
+
+
+def _scene_batch(rows: list[tuple], name: str, kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    types = [kind, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [name, "n", "start_ms", "end_ms", "reasons"])
 
 
 def chunks(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:

@@ -256,11 +256,11 @@ raw AS (SELECT video_id, 0::BIGINT AS point, 'start' AS reason FROM dur UNION AL
 points AS (SELECT video_id, point, list_sort(list(DISTINCT reason)) AS reasons FROM raw GROUP BY ALL)"""
 
 
-def _points(spark, d):
+def _points(spark, d, points=L.boundary_points):
     f = V.frames(spark, d)
     durations = f.groupBy("video_id").agg((F.max("ts_ms") + 1000).alias("duration"))
     none = V.segments(spark, d).where("idx < 0").select("video_id", "start_ms", "end_ms")
-    return L.boundary_points(durations, f, none, "video_id", 2500, 200_000_000)
+    return points(durations, f, none, "video_id", 2500, 200_000_000)
 
 
 @query(f"SELECT * FROM (WITH {POINTS_SQL} SELECT video_id, point, array_to_string(reasons, ',') AS reasons FROM points)", "frames")
@@ -274,7 +274,7 @@ s AS (SELECT video_id, i, point AS at, NULL::BIGINT AS a, NULL::BIGINT AS b FROM
   UNION ALL SELECT p.video_id, p.i, CASE WHEN p.point - s.at < 20000000 AND p.point <> p.stop THEN s.at ELSE p.point END, CASE WHEN p.point - s.at < 20000000 AND p.point <> p.stop THEN NULL ELSE s.at END, CASE WHEN p.point - s.at < 20000000 AND p.point <> p.stop THEN NULL ELSE p.point END FROM s JOIN p ON p.video_id = s.video_id AND p.i = s.i + 1)
 SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY a) - 1 AS n, a AS start_ms, b AS end_ms FROM s WHERE a IS NOT NULL)""", "frames")
 def scene_candidates(spark, d):
-    return L.scenes(_points(spark, d), "video_id", 20_000_000).select("video_id", F.col("n").cast("long").alias("n"), "start_ms", "end_ms")
+    return L.scenes(_points(spark, d, L.candidate_points), "video_id", 20_000_000).select("video_id", F.col("n").cast("long").alias("n"), "start_ms", "end_ms")
 
 
 @query("""SELECT c.video_id, c.idx FROM (SELECT *, idx // 2 AS chunk FROM segments) c JOIN (SELECT video_id, chunk, max(e) OVER (PARTITION BY video_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM (SELECT video_id, idx // 2 AS chunk, max(end_ms + 4000) AS e FROM segments GROUP BY ALL)) u USING (video_id, chunk) WHERE until IS NULL OR start_ms >= until""", "segments")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenweave.operators import structure as T
+from lumenweave.operators import timeline as L
 
 BOUNDS = "v string, t long, number long, confidence double, method string"
 
@@ -81,3 +82,24 @@ def test_without_vectors_visual_boundaries_stand(spark):
     d = visual.select("v", F.lit(9000).alias("duration")).distinct()
     scenes, chapters = T.analyse(visual, None, d, frames, said, "v", 10.0)
     assert [(r.start_ms, r.end_ms) for r in scenes.orderBy("scene_id").collect()] == [(0.0, 5000.0), (5000.0, 9000.0)] and chapters.count() == 1
+
+
+def test_scenes_are_one_fold_whatever_the_points_come_as(spark):
+    """Against edges found first and reasons gathered between them, from grouped points and from a row a reason, on any number of partitions."""
+    rng = random.Random(9)
+    rows = [(v, rng.randrange(400), r) for v in ("a", "b", None, "c") for r in ("x", "y", "z") for _ in range(60)] + [("one", 5, "x"), ("two", 5, "x"), ("two", 6, "y"), ("none", None, "x")]
+    want = []
+    for v in {r[0] for r in rows}:
+        points = sorted({p for k, p, _ in rows if k == v and p is not None})
+        why = lambda lo, hi, v=v: sorted({r for k, p, r in rows if k == v and p is not None and lo <= p <= hi})
+        edges = points[:1]
+        for p in points[1:]:
+            if p - edges[-1] >= 25 or p == points[-1]:
+                edges.append(p)
+        want += [(v, n, lo, hi, why(lo, hi)) for n, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    single = spark.createDataFrame(rows, "v string, point long, reason string")
+    grouped = single.groupBy("v", "point").agg(F.collect_set("reason").alias("reasons"))
+    for points in (single, grouped, single.repartition(7), single.coalesce(1)):
+        got = [(r.v, r.n, r.start_ms, r.end_ms, r.reasons) for r in L.scenes(points, "v", 25).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert L.scenes(single.where("false"), "v", 25).count() == 0
