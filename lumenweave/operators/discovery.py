@@ -50,10 +50,11 @@ def one_a_moment(rows: DataFrame, key: str, at: str, order: list[Column], digits
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, moment).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def by_name(entities: DataFrame, name: str, kind: str | None = None) -> DataFrame:
-    """Entities of that very name, whatever the case, of one kind if it is given."""
-    found = entities.where(F.lower(F.trim("name")) == name.strip().lower())
-    return found.where(F.col("type") == kind) if kind else found
+def by_name(entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Entities of the very names in ``wanted`` (name, type), whatever the case, of one kind where it says one; each once."""
+    asked = wanted.select(F.lower(F.trim("name")).alias("_name"), F.col("type").alias("_type")).distinct()
+    same = (F.lower(F.trim("name")) == F.col("_name")) & (F.col("_type").isNull() | (F.col("type") == F.col("_type")))
+    return entities.join(asked, same, "left_semi")
 
 
 def evidence(mentions: DataFrame, keys: list[str], frame: str, at: str, k: int = 8) -> DataFrame:

@@ -83,8 +83,11 @@ def replace(df: DataFrame, path: str, since: int | None = None) -> None:
     _commit(spark, path, number, [name])
 
 
-def add(df: DataFrame, path: str) -> None:
-    """Adds rows: a folder more in the next version. Tried again if another writer was first, as rows that are added don't depend on others."""
+def add(df: DataFrame, path: str, since: int | None = None) -> None:
+    """Adds rows: a folder more in the next version. Tried again if another writer was first, as rows that are added don't depend on others.
+
+    ``since``: the version that they do depend on; :class:`Conflict` is raised if there is a later one.
+    """
     spark = df.sparkSession
     _, at, fs = _files(spark, path)
     if not version(spark, path) and fs.exists(at) and len(fs.listStatus(at)):
@@ -93,12 +96,14 @@ def add(df: DataFrame, path: str) -> None:
     df.write.parquet(f"{path}/{name}")
     for _ in range(100):
         number = version(spark, path) + 1
+        if since is not None and number > since + 1:
+            break
         before = [f.removeprefix(f"{path}/") for f in _folders(spark, path, number - 1)] if number > 1 else []
         try:
             return _commit(spark, path, number, [*before, name])
         except Conflict:
             continue
-    raise Conflict(f"{path}: other writers were first a hundred times")
+    raise Conflict(f"{path}: another writer was first")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from lumenweave.operators import discovery as D
 from lumenweave.operators import evaluation as E
+from lumenweave.operators import nodes as N
 from lumenweave.operators import scope as C
 from lumenweave.operators import search as R
+from lumenweave.operators import tables as B
 from lumenweave.plans import views as V
 from lumenweave.plans.registry import query
-from lumenweave.session import table
+from lumenweave.session import new_path, table
 
 MEDIA = "media AS (SELECT c_custkey AS video_id, c_nationkey AS user_id, c_name AS title, c_acctbal > 0 AS processed, abs(c_acctbal)::DOUBLE AS duration FROM customer)"
 SHOTS = "shots AS (SELECT o_orderkey AS frame_id, o_custkey AS video_id, (o_orderkey % 1000)::DOUBLE / 8 AS ts, o_orderpriority || ' ' || o_orderstatus AS description FROM orders)"
@@ -135,11 +137,12 @@ def moments_once(spark, d):
     return D.one_a_moment(rows, "video_id", "ts", [F.col("ts"), F.col("entity_id")]).select("video_id", "entity_id", "ts")
 
 
-@query(f"WITH {THINGS}, w AS (SELECT DISTINCT lower(trim(name)) AS name FROM things WHERE entity_id % 20 = 0 LIMIT 1000000) SELECT entity_id, type FROM things WHERE lower(trim(name)) = (SELECT lower(name) FROM things ORDER BY entity_id LIMIT 1) AND type = (SELECT type FROM things ORDER BY entity_id LIMIT 1)")
+@query(f"WITH {THINGS} SELECT entity_id, type FROM things t WHERE EXISTS (SELECT 1 FROM things w WHERE w.entity_id % 20 = 0 AND lower(trim(w.name)) = lower(trim(t.name)) AND (w.entity_id % 40 = 0 OR w.type = t.type))")
 def entity_by_name(spark, d):
+    """Every twentieth entity is asked for by its name, every second of them with its kind."""
     t = things(spark, d)
-    one = t.orderBy("entity_id").first()
-    return D.by_name(t, f"  {one.name.upper()} ", one.type).select("entity_id", "type")
+    wanted = t.where("entity_id % 20 = 0").select(F.concat(F.lit("  "), F.upper("name"), F.lit(" ")).alias("name"), F.when(F.col("entity_id") % 40 != 0, F.col("type")).alias("type"))
+    return D.by_name(t, wanted).select("entity_id", "type")
 
 
 @query(f"WITH {SHOTS}, {HELD}, {THINGS} SELECT type, name, count(*) AS n, list_slice(list(frame_id ORDER BY ts, frame_id), 1, 8) AS frames FROM held JOIN things USING (entity_id) JOIN (SELECT frame_id, ts FROM shots) USING (frame_id) GROUP BY type, name")
@@ -311,3 +314,35 @@ def fraction_in_window(spark, d):
     m = F.col("event_id") % 60
     cited = E.citations(F.concat(F.lit("at ["), m, F.lit(":05], frame "), m * 100))
     return table(spark, d, "events").select("event_id", E.fraction_in_window(cited, F.lit(600), F.lit(1800), F.when(F.col("event_id") % 2 == 0, 25.0)).alias("inside"))
+
+
+# nodes
+
+
+CREATED_SQL = f"""{SHOTS}, {HELD}, v AS (SELECT c_custkey::VARCHAR AS video_id, c_nationkey::VARCHAR AS user_id FROM customer WHERE c_acctbal > 0),
+made AS (SELECT 'f' || frame_id AS id, s.video_id::VARCHAR AS video_id, coalesce(CASE WHEN description LIKE '1-%' THEN 'own' END, v.user_id) AS user_id, ts AS timestamp, frame_id AS frame_number, description, TIMESTAMP '2024-01-01' AS created_at FROM shots s JOIN v ON v.video_id = s.video_id::VARCHAR)"""
+
+
+def _created(spark, d):
+    """Frames of the videos that are there, in two overlapping batches, and which frames show which entities."""
+    nodes, edges = new_path(spark, "nodes"), new_path(spark, "edges")
+    videos = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("video_id"), F.col("c_nationkey").alias("user_id"))
+    s = shots(spark, d)
+    rows = s.select(F.concat(F.lit("f"), "frame_id").alias("id"), "video_id", F.when(F.startswith("description", F.lit("1-")), "own").alias("user_id"), F.col("ts").alias("timestamp"), F.col("frame_id").alias("frame_number"), "description", F.lit(0).alias("unknown"))
+    at = F.lit("2024-01-01").cast("timestamp")
+    for batch in (rows.where("ts < 80"), rows):
+        N.create_nodes(batch, videos, "Frame", nodes, edges, at)
+    shows = V.contains(spark, d).select(F.concat(F.lit("f"), "frame_id").alias("src"), F.concat(F.lit("e"), "entity_id").alias("dst"))
+    ids = B.read(spark, nodes).select("id").union(things(spark, d).select(F.concat(F.lit("e"), "entity_id")))
+    N.create_relationships(shows, ids, edges, "SHOWS")
+    return nodes, edges
+
+
+@query(f"WITH {CREATED_SQL} SELECT id, video_id, user_id, timestamp, frame_number, description FROM made")
+def created_nodes(spark, d):
+    return B.read(spark, _created(spark, d)[0]).select("id", "video_id", "user_id", "timestamp", "frame_number", "description")
+
+
+@query(f"WITH {CREATED_SQL} SELECT video_id AS src, id AS dst, 'CONTAINS' AS rel_type FROM made UNION ALL SELECT 'f' || frame_id, 'e' || entity_id, 'SHOWS' FROM held WHERE 'f' || frame_id IN (SELECT id FROM made) AND entity_id IN (SELECT p_partkey FROM part)")
+def created_relationships(spark, d):
+    return B.read(spark, _created(spark, d)[1])
