@@ -43,6 +43,7 @@ def test_language_stage_rejects_what_no_learned_language_has(spark):
     junk = ["".join(rng.choice("qxzjkvwy") for _ in range(9)) for _ in range(3000)]
     foreign = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(7)) for _ in range(3000)]
     planted = [(10**6 + i, " ".join(rng.choice(words) for _ in range(80)), None, "planted", 0) for i, words in enumerate([junk, foreign] * 5)]
+    planted += [(10**6 + 100 + i, " ".join(rng.choice(junk) for _ in range(12)), None, "planted", 0) for i in range(5)]  # short ones too
     both = docs.unionByName(spark.createDataFrame(planted, docs.schema))
     kept = {r.doc_id for r in P.language_id(spark, both, DATA).collect()}
     assert not kept & {r[0] for r in planted}
