@@ -44,8 +44,9 @@ def same_entities(entities: DataFrame, node: str, name: str, kind: str, video: s
 
     A name that contains another holds all of its ``gram``-letter pieces, so pairs
     meet by the first piece of the shorter instead of by type alone. With ``user``,
-    only entities of the same user are the same.
+    only entities of the same user are the same, and those of none are left out.
     """
+    entities = entities.where(F.col(user).isNotNull()) if user else entities
     of = F.struct(F.col(kind), F.col(user)) if user else F.col(kind)
     e = entities.select(F.col(node).alias("id"), F.col(name).alias("name"), of.alias("kind"), F.col(video).alias("video"))
     equal = e.alias("x").join(e.alias("y"), F.expr("x.kind = y.kind AND x.name = y.name AND x.id < y.id AND x.video <> y.video")).selectExpr("x.id AS a", "y.id AS b", "1.0D AS similarity")

@@ -320,6 +320,15 @@ def cross_video_entities(spark, d):
     return G.same_entities(table(spark, d, "part").withColumn("name", F.lower("p_name")), "p_partkey", "name", "p_brand", "p_size")
 
 
+@query("""WITH e AS (SELECT p_partkey AS id, lower(p_name) AS name, p_type AS kind, p_size AS video, nullif(p_brand, 'Brand#11') AS usr FROM part)
+SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, max(CASE WHEN x.name = y.name THEN 1.0 ELSE 0.7 END)::DOUBLE AS similarity FROM e x JOIN e y ON x.kind = y.kind AND x.usr = y.usr AND x.video <> y.video AND x.id <> y.id
+WHERE x.name = y.name OR (length(x.name) > 3 AND length(y.name) > 3 AND contains(y.name, x.name)) GROUP BY ALL""")
+def same_user_entities(spark, d):
+    """The same within one user's videos; a brand stands for a user, and one of them for none."""
+    p = table(spark, d, "part").withColumns({"name": F.lower("p_name"), "user": F.nullif("p_brand", F.lit("Brand#11"))})
+    return G.same_entities(p, "p_partkey", "name", "p_type", "p_size", user="user")
+
+
 EDGES_SQL = "edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'CONTAINS' AS rel_type FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'CONTAINS' FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'CONTAINS' FROM orders)"
 
 

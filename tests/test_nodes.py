@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.operators import nodes as N
 from lumenweave.operators import tables as B
+from lumenweave.operators.graph import same_entities
 
 
 def test_batches_create_what_is_not_there_yet(spark, tmp_path):
@@ -44,3 +45,9 @@ def test_rows_that_depend_on_a_version_tell_of_another_writer(spark, tmp_path):
     with pytest.raises(B.Conflict):
         B.add(rows, path, since)
     assert B.read(spark, path).count() == 4
+
+
+def test_entities_of_no_user_are_the_same_as_none(spark):
+    rows = [(1, "red car", "thing", "v", "u"), (2, "red car", "thing", "w", "u"), (3, "the red car", "thing", "x", "u"), (4, "red car", "thing", "y", "other"), (5, "red car", "thing", "v", None), (6, "red car", "thing", "w", None), (7, "red car", "place", "w", "u"), (8, None, "thing", "w", "u")]
+    df = spark.createDataFrame(rows, "id int, name string, kind string, video string, user string")
+    assert sorted(map(tuple, same_entities(df, "id", "name", "kind", "video", user="user").collect())) == [(1, 2, 1.0), (1, 3, 0.7), (2, 3, 0.7)]
