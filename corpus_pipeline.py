@@ -14,7 +14,7 @@ from lumenweave.llm.language_id import UNKNOWN, fit, floors, predict
 from lumenweave.llm.mixing import mix
 from lumenweave.llm.near_dedup import near_dedup
 from lumenweave.llm.token_shards import read_token_shards, write_token_shards
-from lumenweave.session import cut, new_path, table
+from lumenweave.session import cut, new_path, table, written
 
 #: A text whose language is less certain than this is rejected, and one without letters.
 LEAST_CERTAIN = 0.5
@@ -38,10 +38,10 @@ def _of(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, of no certain language or unlike any learned one; ``lang`` becomes what was predicted."""
-    model = fit(docs)
-    least = floors(docs, model)
+    model = fit(docs, texts_per_language=None)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    told = predict(rows, model, "row", "text", (), ("told", "certain", "fits"))
+    told = written(predict(rows, model, "row", "text", (), ("told", "certain", "fits")))
+    least = floors(told.select(F.col("row.lang").alias("lang"), "told", "fits"))
     floor = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("told")] if least else F.lit(None)
     unlike = F.coalesce((floor - F.col("fits")) * F.octet_length("row.text") > MOST_UNLIKE, F.lit(False))
     kept = told.where((F.col("told") != UNKNOWN) & (F.col("certain") >= LEAST_CERTAIN) & ~unlike)

@@ -1,11 +1,14 @@
 """Each stage of the pipeline against brute force over what the one before has kept."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenweave.llm import language_id as LI
 from lumenweave.llm import queries as Q
 from lumenweave.llm.mixing import schedule
 from lumenweave.session import new_path
@@ -108,3 +111,27 @@ def test_token_output_follows_the_mix(stages, spark):
     assert order(P.token_output(spark, unmixed, DATA)) != order(after)
     rows = sorted(after.collect(), key=lambda r: r.mix_start)
     assert rows[0].mix_start == 0 and all(a.mix_start + a.n_tokens == b.mix_start for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_language_stage_learns_from_every_text(spark, monkeypatch):
+    # more than a sample of 600: a word of one text alone is learned, and the floor is the median of all
+    rows = [(i, " ".join(f"{a}{'xyz'[i % 3] * (i % 7)}" for a in ("water", "stone", f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}")) if i != 700 else "zyzzyvas", "en", "web") for i in range(1500)]
+    rows += [(2000 + i, "vieille pierre " + "eau " * (1 + i % 5), "fr", "web") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = LI.fit(docs, texts_per_language=None)
+    known = {b: i for i, b in enumerate(LI.rank_pieces(model.pieces))}
+    for nth, lang in enumerate(model.languages):
+        counts = Counter(w for _, text, label, _ in rows if label == lang for w in LI.words_in(text))
+        lattice, p = LI.Lattice(sorted(counts), known, LI.STRETCH), np.full(len(known), 1 / len(known))
+        for _ in range(4):
+            p = lattice.expected(p, np.array([counts[w] for w in sorted(counts)], float)) + 0.02
+            p /= p.sum()
+        assert np.allclose(model.p[:, nth], p, rtol=1e-9)
+
+    seen = {}
+    monkeypatch.setattr(P, "floors", lambda *a: seen.setdefault("floors", LI.floors(*a)))
+    P.language_id(spark, docs, DATA)
+    fits = {r.i: (r.told, r.fits) for r in LI.predict(docs.withColumnRenamed("doc_id", "i"), model, "i", names=("told", "certain", "fits")).collect()}
+    for lang in ("en", "fr"):
+        own = sorted(fits[i][1] for i, _, label, _ in rows if label == lang and fits[i][0] == lang)
+        assert seen["floors"][lang] == pytest.approx(own[(len(own) - 1) // 2] - 1, abs=4e-6)
