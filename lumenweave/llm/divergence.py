@@ -30,6 +30,8 @@ from lumenweave.session import text_batches, written
 #: A-Z lower-cased, every other ASCII character but a-z a blank; bytes of other characters stay.
 _FOLD = bytes(b if b >= 128 or chr(b).islower() else ord(LOWER[UPPER.index(chr(b))]) if chr(b).isupper() else 32 for b in range(256))
 SCALE = 1_000_000_000
+#: Bytes of leaves that are merged together, about.
+AT_ONCE = 4_000_000
 LEAF = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
@@ -165,35 +167,48 @@ def merged(leaves: DataFrame, least: int) -> DataFrame:
     are looked into, and the last run of a batch waits for the next one.
     """
 
-    def summed(rows: pa.Table, starts: np.ndarray) -> Iterator[tuple[str, bytes, list]]:
+    def summed(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         total = np.add.reduceat(rows.column("docs").to_numpy(), starts)
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
-        keep = total[run] >= least
-        run, kept = run[keep], rows.filter(pa.array(keep))
-        at, leaf, counts = None, None, {}
-        for nth, lang, term, sources, own in zip(run.tolist(), *(kept.column(c).to_pylist() for c in ("lang", "term", "sources", "counts")), strict=True):
-            if nth != at:
-                if leaf:
-                    yield *leaf, [int(total[at]), *chain.from_iterable(counts.items())]
-                at, leaf, counts = nth, (lang, term), {}
-            for source, n in zip(sources, own, strict=True):
-                counts[source] = counts.get(source, 0) + n
-        if leaf:
-            yield *leaf, [int(total[at]), *chain.from_iterable(counts.items())]
+        found = total >= least
+        if not found.any():
+            return
+        keep = np.repeat(found, np.diff(np.append(starts, rows.num_rows)))
+        kept = rows.select(["sources", "counts"]).filter(pa.array(keep)).combine_chunks()
+        sources, counts = (kept.column(c).chunk(0) for c in ("sources", "counts"))
+        names = sources.flatten().dictionary_encode()
+        run = np.repeat(np.cumsum(found) - 1, np.diff(np.append(starts, rows.num_rows)))[keep]
+        of = np.repeat(run, pc.list_value_length(sources).to_numpy()) * len(names.dictionary) + names.indices.to_numpy()
+        # a source's counts of one run side by side
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        sums = np.add.reduceat(counts.flatten().to_numpy()[order], first)
+        of = of[first]
+        ends = np.append(0, np.cumsum(np.bincount(of // len(names.dictionary), minlength=int(found.sum()))))
+        heads = rows.select(["lang", "term"]).take(pa.array(starts[found])).combine_chunks()
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), x) for x in (names.dictionary.take(pa.array(of % len(names.dictionary))), pa.array(sums))]
+        yield pa.RecordBatch.from_arrays([*(heads.column(c).chunk(0) for c in ("lang", "term")), pa.array(total[found]), *lists], schema=_LEAF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def leaves_of() -> Iterator[tuple[str, bytes, list]]:
-            held = None
-            for batch in batches:
-                rows = pa.Table.from_batches([batch])
-                held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-                starts = _starts(held)
-                yield from summed(held.slice(0, starts[-1]), starts[:-1]) if len(starts) > 1 else ()
-                held = held.slice(starts[-1])
-            if held is not None and held.num_rows:
-                yield from summed(held, np.zeros(1, "int64"))
-
-        return _leaf_rows(leaves_of())
+        held: list = []
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            starts = _starts(rows)
+            end = rows.num_rows if last else starts[-1]
+            held[:] = rows.slice(end).to_batches()
+            if end:
+                yield from summed(rows.slice(0, end), starts if last else starts[:-1])
+
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > AT_ONCE:
+                yield from settled(False)
+                size = 0
+        if sum(b.num_rows for b in held):
+            yield from settled(True)
 
     return leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, LEAF)
 

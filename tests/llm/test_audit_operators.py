@@ -257,3 +257,19 @@ def test_outer_products_lose_nothing():
         exact = sum(((Fraction(a) + Fraction(b)) * (Fraction(c) + Fraction(d)) for a, b, c, d in zip(high[:, i], low[:, i], high[:, j], low[:, j], strict=True)), Fraction(0))
         bound = Fraction(np.abs(high[:, i]).max() * np.abs(high[:, j]).max()) * 500 / 2**75
         assert abs(Fraction(got[0][i, j]) + Fraction(got[1][i, j]) - exact) < bound
+
+
+def test_leaves_of_many_tries_merge_whatever_their_batches(spark):
+    # one term in 3,000 tries stands in several batches; a term below the least number of documents goes
+    rng = random.Random(4)
+    leaves = [(lang, b"common", 1 + i % 3, (s := rng.sample("abcdef", 1 + i % 4)), [rng.randint(1, 9) for _ in s]) for lang in ("", "en") for i in range(3000)]
+    leaves += [("en", f"t{i % 50}".encode(), 1, ["a", "é"][: 1 + i % 2], [2, 3][: 1 + i % 2]) for i in range(400)] + [("fr", b"rare", 7, ["a"], [9])]
+    rng.shuffle(leaves)
+    docs, sums = Counter(), defaultdict(Counter)
+    for lang, term, n, sources, counts in leaves:
+        docs[lang, term] += n
+        for source, count in zip(sources, counts, strict=True):
+            sums[lang, term][source] += count
+    got = V.merged(spark.createDataFrame(leaves, V.LEAF).repartition(7), 8).collect()
+    assert {(r.lang, bytes(r.term)): (r.docs, dict(zip(r.sources, r.counts, strict=True))) for r in got} == {k: (n, dict(sums[k])) for k, n in docs.items() if n >= 8}
+    assert len(got) == 52 and all(len(set(r.sources)) == len(r.sources) for r in got)
