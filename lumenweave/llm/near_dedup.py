@@ -282,7 +282,7 @@ def _share(percent: int):
 
                 sides = []
                 for c in (0, 1):
-                    v = batch.column(c)[i].as_py()
+                    v = batch.column(c)[i].as_py() or batch.column(0)[i].as_py()  # a tile that meets itself is sent once
                     sets = [np.frombuffer(m["s"], np.uint64) for m in v]
                     sides.append(([m["root"] for m in v], sets, np.array([len(s) for s in sets]), np.array([m["at"] for m in v])))
                 (rx, sx, nx, px), (ry, sy, ny, py) = sides
@@ -353,16 +353,19 @@ def _rarest(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame
     few = rows.join(_bounded(mixed.where(F.col("c") <= NAMED).select("shingle")), "shingle").select("shingle", "node", "root", "n", "at")
     pairs = cut(few.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_name(percent), "a binary, b binary").distinct())
     root = lambda side: nodes.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-    named = _confirm(docs, pairs, reps, k, percent).join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    named = _confirm_few(docs, pairs, reps, k, percent).join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
     many = _bounded(mixed.where(F.col("c") > NAMED).select("shingle", "tiles"))
-    placed = rows.join(many, "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    member = F.struct("root", "at", "s")
-    placed = placed.select("shingle", "tile", "node", "at").join(sets, "node").groupBy("shingle", "tile").agg(F.collect_list(member).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    placed = cut(placed)
-    side = lambda x: placed.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("tile", "members", "lo", "hi")))
+    placed = cut(rows.join(many, "shingle").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).select("shingle", "tile", "node", "root", "at"))
+    tile = placed.groupBy("shingle", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    side = lambda x: tile.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("tile", "lo", "hi")))
     next_ = "x_tile <= y_tile AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)"
-    met = side("x").join(side("y"), "shingle").where(next_).repartition("shingle", "x_tile", "y_tile").select("x_members", "y_members")
+    both = cut(side("x").join(side("y"), "shingle").where(next_).select("shingle", "x_tile", "y_tile"))
+    # nodes are told which tiles meet; their sets then move to each meeting once
+    told = lambda x, rows: rows.withColumn("tile", F.col(f"{x}_tile")).join(placed, ["shingle", "tile"]).withColumn("side", F.lit(x))
+    told = told("x", both).unionByName(told("y", both.where("x_tile < y_tile"))).drop("tile").join(sets.select("node", "s"), "node")
+    members = lambda x: F.collect_list(F.when(F.col("side") == x, F.struct("root", "at", "s"))).alias(f"{x}_members")
+    met = told.groupBy("shingle", "x_tile", "y_tile").agg(members("x"), members("y")).select("x_members", "y_members")
     # a row holds two tiles of up to some MB: few go to Python at once
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = spark.conf.get(key)
@@ -373,37 +376,59 @@ def _rarest(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame
         spark.conf.set(key, usual)
 
 
-def _sets(k: int):
+def _sets(k: int, kind: type = np.uint64):
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS):
                 sets = [s for t in batch.slice(at, DOCS).column(0).to_pylist() if len(s := shingles(t, k, hashes))]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array((s.tobytes() for s in sets), pa.binary())], ["node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array((s.astype(kind).tobytes() for s in sets), pa.binary())], ["node", "s"])
 
     return sets_of
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have a similarity of ``percent`` or more."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of whole sets whether they are linked."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _may_be_linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of the low bits of sets: whoever shares a shingle shares its bits, so sets that are linked never fail."""
+    at = np.zeros(1 << 16, bool)
+    at[y] = True
+    most = int(at[x].sum())
+    at[y], at[x] = False, True
+    most = min(most, int(at[y].sum()))
+    return 100 * most >= percent * (len(x) + len(y) - most)
+
+
+def _sift(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int, kind: type, test) -> DataFrame:
+    """The pairs whose sets pass a test, as shingles' hashes of some bits."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("id", "fp"))
     few = wanted.count() <= MOST_BROADCAST
     texts = docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["fp"] == wanted["fp"]), "left_semi").select("text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            ok = [test(*(np.frombuffer(v.as_buffer(), kind) for v in each), percent) for each in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = texts.mapInArrow(_sets(k), "node binary, s binary")
+    sets = texts.mapInArrow(_sets(k, kind), "node binary, s binary")
     met = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return cut(met.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary").distinct())
 
 
+def _confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have a similarity of ``percent`` or more."""
+    return _sift(docs, pairs, reps, k, percent, np.uint64, _linked)
+
+
+def _confirm_few(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same where few pairs are linked: the others are told by 16 bits of each shingle, and only what they leave moves in full."""
+    return _confirm(docs, _sift(docs, pairs, reps, k, percent, np.uint16, _may_be_linked), reps, k, percent)
+
+
 def _led(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``node, root`` after links between roots; a node without a row is its own root."""
     joined = cut(components(links)).select(F.col("node").alias("old"), F.col("root").alias("top"))
@@ -451,7 +476,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = apart.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
     rest = cut(apart.where("ra <> rb").select("a", "b", "ra", "rb"))
     if not rest.isEmpty():
-        more = _confirm(texts, rest.select("a", "b"), places, words, percent).join(rest, ["a", "b"]).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        more = _confirm_few(texts, rest.select("a", "b"), places, words, percent).join(rest, ["a", "b"]).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         roots = cut(_led(roots, more))
     if crowded:
         roots = cut(_led(roots, _rarest(texts, dense, places, roots, words, percent)))

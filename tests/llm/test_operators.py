@@ -641,3 +641,25 @@ def test_lm_score_against_brute_force(spark, awkward):
     got = LM.score(awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), model, counts).collect()
     texts = dict(rows_of(awkward))
     assert all(r.score == pytest.approx(brute_score(model, table, texts[r.doc_id]), rel=1e-4, abs=1e-4) for r in got)
+
+
+def test_near_dedup_low_bits_lose_no_link(monkeypatch):
+    # whatever the sizes and however many shingles share their low bits, a linked pair passes; most others don't
+    rng, left, passed, links = np.random.default_rng(9), 0, 0, 0
+    for n in (1, 5, 40, 400, 30_000):
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 1)), dtype=np.uint64)]))
+            may, linked = N._may_be_linked(x.astype(np.uint16), y.astype(np.uint16), 80), N._linked(x, y, 80)
+            assert may or not linked
+            left, passed, links = left + (n <= 400), passed + (may and n <= 400), links + (linked and n <= 400)
+    assert links <= passed < links + left // 8 and links > 10
+
+
+def test_near_dedup_sets_move_once_to_each_meeting_of_tiles(spark):
+    # sets that share a shingle in tiles of one; a tile that meets itself is sent once
+    sets = [("a", [1, 2, 3, 4, 5]), ("b", [1, 2, 3, 4, 5, 6]), ("c", [7, 8, 9]), ("d", [7, 8, 10])]
+    members = [{"root": r.encode(), "at": 0, "s": np.array(s, np.uint64).tobytes()} for r, s in sets]
+    batch = pa.RecordBatch.from_pydict({"x_members": [members, members[:1], members[2:]], "y_members": [[], members[1:2], None]})
+    got = [sorted(map(bytes, (x, y))) for b in N._share(80)(iter([batch])) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert got == [[b"a", b"b"], [b"a", b"b"]]
