@@ -79,6 +79,22 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mix(docs)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Where the table ``docs`` holds its rows: ``_id, _nth, _file, _row``; rows of one id are numbered by text, as they stand in the shards.
+
+    Only texts whose id is repeated are looked at: of all others none moves.
+    """
+    place = F.col("doc_id").alias("_id"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    repeated = cut(docs.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    alone = docs.select(*place)
+    if not repeated.isEmpty():
+        same = F.col("_id").eqNullSafe(F.col("_again"))
+        again = docs.select(*place, F.coalesce("text", F.lit("")).alias("_text")).join(repeated, same, "left_semi")
+        again = again.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_text"))).select("_id", "_nth", "_file", "_row")
+        return alone.join(repeated, same, "left_anti").select("_id", F.lit(1).alias("_nth"), "_file", "_row").unionByName(again)
+    return alone.select("_id", F.lit(1).alias("_nth"), "_file", "_row")
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of all documents, as read back from the files.
 
@@ -87,9 +103,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     is the mix: a reader that follows it gets the sources on target.
     """
     shards = read_token_shards(spark, write_token_shards(docs, new_path(spark, "corpus")))
-    # rows of one id stand in the shards by text
-    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    placed = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_text"))).select(F.col("doc_id").alias("_id"), "_nth", "_file", "_row")
+    placed = _placed(docs)
     nth = shards.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")))
     both = cut(nth.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_nth"))))
     # a row for each file in one window, then each file for itself

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[tuple, Any] = {}
 
 
@@ -14,3 +16,9 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+def released() -> None:
+    """Lets go of what is held, and of what Arrow keeps of earlier batches: for stages that hold nothing, before their own work."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()

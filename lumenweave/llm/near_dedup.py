@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.llm.common import keyed
 from lumenweave.llm.components import components
+from lumenweave.llm.memory import released
 from lumenweave.session import cut, text_batches
 
 #: Trees, values in a tree, and those of them that candidates share at least.
@@ -87,6 +88,7 @@ def _sign(k: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From id, fp, text: id, fp, node, n, keys."""
+        released()
         hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS):
@@ -378,6 +380,7 @@ def _rarest(docs: DataFrame, dense: DataFrame, reps: DataFrame, roots: DataFrame
 
 def _sets(k: int, kind: type = np.uint64):
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS):

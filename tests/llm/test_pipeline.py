@@ -135,3 +135,25 @@ def test_language_stage_learns_from_every_text(spark, monkeypatch):
     for lang in ("en", "fr"):
         own = sorted(fits[i][1] for i, _, label, _ in rows if label == lang and fits[i][0] == lang)
         assert seen["floors"][lang] == pytest.approx(own[(len(own) - 1) // 2] - 1, abs=4e-6)
+
+
+def test_token_output_moves_only_texts_whose_id_is_repeated(spark):
+    """Rows of one id by text, null ids too; without such rows no text is read again."""
+    rows = [(1, "b"), (1, "a"), (1, "a"), (2, "z"), (None, "d"), (None, None), (3, None)]
+    path = new_path(spark, "test")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = P._placed(spark.read.parquet(path)).collect()
+    assert sorted((r._row, r._id, r._nth) for r in got if r._row not in (1, 2)) == [(0, 1, 3), (3, 2, 1), (4, None, 2), (5, None, 1), (6, 3, 1)]
+    assert sorted((r._id, r._nth) for r in got if r._row in (1, 2)) == [(1, 1), (1, 2)]
+    path = new_path(spark, "test")
+    spark.createDataFrame(rows[2:5], "doc_id long, text string").write.parquet(path)
+    plan = P._placed(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id" in plan and "text#" not in plan and "Exchange" not in plan
+
+
+def test_near_dedup_lets_go_of_what_an_earlier_stage_held():
+    from lumenweave.llm import memory, near_dedup
+
+    for work in (near_dedup._sign(5), near_dedup._sets(5)):
+        memory.held(("words of an earlier stage",), lambda: [0])
+        assert list(work(iter([]))) == [] and not memory._held
