@@ -36,6 +36,7 @@ from lumenweave.session import cut, text_batches
 END = b"\n"
 #: Distinct words that a task counts before it hands the counts on.
 WORDS_HELD = 300_000
+CACHED = 1 << 18  # products of a class that are looked at together, so that they stay in a core's cache
 DOCS = 1000  # texts looked at together: the more, the more contexts they share
 
 
@@ -131,77 +132,105 @@ class Trainer:
     """
 
     def __init__(self, params: Params, prior: np.ndarray, shape: Shape, seed: int):
-        self.p, self.shape, self.rng = params, shape, np.random.default_rng(seed)
+        self.shape, self.rng = shape, np.random.default_rng(seed)
+        # a row has a vector, its bias and, where that makes it even, a zero: both are fetched and moved at once
+        self.words, self.classes = (self._rows(v, bias) for v, bias in ((params.q, params.b), (params.qc, params.bc)))
+        d = shape.size
+        self.p = Params(params.r, params.c, self.words[:, :d], self.words[:, d], self.classes[:, :d], self.classes[:, d])
         self.starts = class_starts(len(prior))
         self.sum = np.concatenate([[0.0], np.cumsum(prior)])
         self.sum[-1] = 1.0
         of_class = np.diff(self.sum[self.starts])
         self.class_of = np.repeat(np.arange(len(of_class)), np.diff(self.starts))
         self.class_sum = np.cumsum(of_class)
+        self.many = np.diff(self.starts) > 1
+        self.below, self.width = self.sum[self.starts[:-1]], of_class
         self.log_class = np.log(shape.noise * of_class).astype(np.float32)
         self.log_word = np.log(shape.noise_in_class * prior / of_class[self.class_of]).astype(np.float32)
-        self.seen = [np.full_like(x, 1e-8) for x in params.arrays()]  # far below a batch's squared gradients
+        self.seen = {id(x): np.full_like(x, 1e-8) for x in (self.p.r, self.p.c, self.words, self.classes)}  # far below a batch's squared gradients
 
-    def _step(self, i: int, at, grad: np.ndarray) -> None:
-        param, seen = self.p.arrays()[i], self.seen[i]
-        squares = seen[at] + grad * grad
+    @staticmethod
+    def _rows(vectors: np.ndarray, biases: np.ndarray) -> np.ndarray:
+        rows = np.zeros((len(vectors), (vectors.shape[1] + 2) // 2 * 2), np.float32)
+        rows[:, : vectors.shape[1]], rows[:, vectors.shape[1]] = vectors, biases
+        return rows
+
+    def _step(self, param: np.ndarray, at, grad: np.ndarray) -> None:
+        seen = self.seen[id(param)]
+        squares = grad * grad
+        squares += seen.take(at, 0)
         seen[at] = squares
         np.sqrt(squares, out=squares)
-        param[at] += self.shape.rate * grad / squares
+        grad *= np.float32(self.shape.rate)
+        grad /= squares
+        grad += param.take(at, 0)
+        param[at] = grad
 
     @staticmethod
     def _by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")  # few bits sort by counting
-        ranked = rows[order]
-        first = np.flatnonzero(np.diff(ranked, prepend=-1))
-        return ranked[first], np.add.reduceat(grad[order], first, axis=0)
+        ranked = rows.take(order)
+        new = np.ones(len(ranked), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        grad = grad.take(order, 0)
+        # two floats add up as one complex number: half as many sums
+        pairs = grad.view(np.complex64) if grad.shape[1] % 2 == 0 else grad
+        return ranked.take(first), np.add.reduceat(pairs, first, axis=0).view(np.float32)
+
+    def _wide(self, n: int) -> np.ndarray:
+        """Room for gradients of rows of ``words`` or ``classes``."""
+        wide = np.empty((n, self.words.shape[1]), np.float32)
+        wide[:, self.shape.size + 1 :] = 0
+        return wide
 
     def learn(self, contexts: np.ndarray, target: np.ndarray) -> None:
-        p, shape, k = self.p, self.shape, self.shape.noise_in_class
+        p, shape, k, d = self.p, self.shape, self.shape.noise_in_class, self.shape.size
         for lo in range(0, len(target), shape.batch):
-            ctx, t = contexts[lo : lo + shape.batch], target[lo : lo + shape.batch]
-            c = self.class_of[t]
+            at = contexts[lo : lo + shape.batch].T.ravel()  # place after place
+            t = target[lo : lo + shape.batch]
+            c = self.class_of.take(t)
             scale = np.float32(1 / len(t))
-            hat = p.predict(ctx)
+            each = p.r.take(at, 0).reshape(shape.context, len(t), d)
+            hat = sum(each[i] @ p.c[i] for i in range(shape.context))
             # classes
             noise = np.minimum(np.searchsorted(self.class_sum, self.rng.random(shape.noise)), len(p.bc) - 1)
-            g_c = 1 - _sigmoid(np.einsum("ij,ij->i", hat, p.qc[c]) + p.bc[c] - self.log_class[c])
-            g_n = -_sigmoid(hat @ p.qc[noise].T + p.bc[noise] - self.log_class[noise])
-            g_hat = g_c[:, None] * p.qc[c] + g_n @ p.qc[noise]
-            wide = np.empty((len(t) + len(noise), shape.size + 1), np.float32)  # vectors and, last, biases
-            np.multiply(g_c[:, None], hat, out=wide[: len(t), :-1])
-            np.matmul(g_n.T, hat, out=wide[len(t) :, :-1])
-            wide[: len(t), -1], wide[len(t) :, -1] = g_c, g_n.sum(0)
+            own_rows, noise_rows = self.classes.take(c, 0), self.classes.take(noise, 0)
+            g_c = 1 - _sigmoid(np.einsum("ij,ij->i", hat, own_rows[:, :d]) + own_rows[:, d] - self.log_class.take(c))
+            g_n = -_sigmoid(hat @ noise_rows[:, :d].T + noise_rows[:, d] - self.log_class.take(noise))
+            g_hat = g_c[:, None] * own_rows[:, :d]
+            g_hat += g_n @ noise_rows[:, :d]
+            wide = self._wide(len(t) + len(noise))
+            np.multiply(g_c[:, None], hat, out=wide[: len(t), :d])
+            np.matmul(g_n.T, hat, out=wide[len(t) :, :d])
+            wide[: len(t), d], wide[len(t) :, d] = g_c, g_n.sum(0)
             wide *= scale
-            moves = [(4, 5, *self._by_row(np.concatenate([c, noise]), wide))]
+            moves = [(self.classes, *self._by_row(np.concatenate([c, noise]), wide))]
             # words, where the class has more than one
-            own = np.flatnonzero(self.starts[c + 1] - self.starts[c] > 1)
+            own = np.flatnonzero(self.many.take(c))
             if len(own):
-                tw, cw, hw = t[own], c[own], hat[own]
-                a, b = self.sum[self.starts[cw]], self.sum[self.starts[cw + 1]]
-                drawn = np.searchsorted(self.sum, a + self.rng.random((k, len(own))) * (b - a), side="right") - 1  # within the class
-                drawn = np.clip(drawn, self.starts[cw], self.starts[cw + 1] - 1)
+                tw, cw, hw = t.take(own), c.take(own), hat.take(own, 0)
+                drawn = np.searchsorted(self.sum, self.below.take(cw) + self.rng.random((k, len(own))) * self.width.take(cw), side="right") - 1  # within the class
+                drawn = np.clip(drawn, self.starts.take(cw), self.starts.take(cw + 1) - 1)
                 every = np.concatenate([tw, *drawn])
-                vectors = p.q[every].reshape(k + 1, len(own), -1)
-                s = np.einsum("kij,ij->ki", vectors, hw) + (p.b[every] - self.log_word[every]).reshape(k + 1, -1)
+                rows = self.words.take(every, 0)
+                vectors = rows[:, :d].reshape(k + 1, len(own), d)
+                s = np.einsum("kij,ij->ki", vectors, hw) + (rows[:, d] - self.log_word.take(every)).reshape(k + 1, -1)
                 g = -_sigmoid(s)
                 g[0] += 1
                 g_hat[own] += np.einsum("ki,kij->ij", g, vectors)
-                wide = np.empty((len(every), shape.size + 1), np.float32)
-                np.multiply(g[:, :, None], hw, out=wide[:, :-1].reshape(k + 1, len(own), -1))
-                wide[:, -1] = g.ravel()
+                wide = self._wide(len(every))
+                np.multiply(g[:, :, None], hw, out=wide.reshape(k + 1, len(own), -1)[:, :, :d])
+                wide[:, d] = g.ravel()
                 wide *= scale
-                moves.append((2, 3, *self._by_row(every, wide)))
+                moves.append((self.words, *self._by_row(every, wide)))
             g_hat *= scale
-            at = ctx.T.ravel()  # place after place
             before = np.concatenate([g_hat @ p.c[i].T for i in range(shape.context)])
-            turns = [p.r[ctx[:, i]].T @ g_hat for i in range(shape.context)]
-            for v, bias, rows, grad in moves:
-                self._step(v, rows, grad[:, :-1])
-                self._step(bias, rows, grad[:, -1])
-            self._step(0, *self._by_row(at, before))
-            for i, turn in enumerate(turns):
-                self._step(1, i, turn)
+            turns = [each[i].T @ g_hat for i in range(shape.context)]
+            for param, rows, grad in moves:
+                self._step(param, rows, grad)
+            self._step(p.r, *self._by_row(at, before))
+            self._step(p.c, np.arange(shape.context), np.stack(turns))
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -362,6 +391,12 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
     return np.log(s.sum(1)) + (top if top > 40 else 0.0)
 
 
+def _products(h: np.ndarray, vectors: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    out = h @ vectors.T
+    out += biases
+    return out
+
+
 def log_probs(params: Params, tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Normalised log10 probabilities of the tokens after their contexts: of the class, and of the token within it."""
     starts = class_starts(len(params.b))
@@ -373,18 +408,21 @@ def log_probs(params: Params, tokens: np.ndarray, contexts: np.ndarray) -> np.nd
         code = code * (len(params.b) + 1) + contexts[:, i]
     _, first, which = np.unique(code, return_index=True, return_inverse=True)
     hat = params.predict(contexts[first])
-    sums = np.concatenate([_log_sum(hat[lo : lo + 4096] @ params.qc.T + params.bc) for lo in range(0, len(hat), 4096)]) if len(hat) else np.zeros(0)
+    sums = np.concatenate([_log_sum(_products(hat[lo : lo + 1024], params.qc, params.bc)) for lo in range(0, len(hat), 1024)]) if len(hat) else np.zeros(0)
     order = np.argsort(classes, kind="stable")
     ends = np.searchsorted(classes[order], np.arange(len(starts)))
     for c in np.flatnonzero(np.diff(ends)).tolist():
         x, y = starts[c], starts[c + 1]
-        for lo in range(ends[c], ends[c + 1], 1 << 16):
-            part = order[lo : min(lo + (1 << 16), ends[c + 1])]
-            h = hat[which[part]]
-            out[part] = h @ params.qc[c] + params.bc[c] - sums[which[part]]
+        step = max(1024, CACHED // (y - x))
+        for lo in range(ends[c], ends[c + 1], step):
+            part = order[lo : min(lo + step, ends[c + 1])]
+            of = which.take(part)
+            h = hat.take(of, 0)
+            each = h @ params.qc[c] + params.bc[c] - sums.take(of)
             if y - x > 1:
-                t = tokens[part]
-                out[part] += np.einsum("ij,ij->i", h, params.q[t]) + params.b[t] - _log_sum(h @ params.q[x:y].T + params.b[x:y])
+                t = tokens.take(part)
+                each += np.einsum("ij,ij->i", h, params.q.take(t, 0)) + params.b.take(t) - _log_sum(_products(h, params.q[x:y], params.b[x:y]))
+            out[part] = each
     return out / np.log(10)
 
 

@@ -663,3 +663,26 @@ def test_near_dedup_sets_move_once_to_each_meeting_of_tiles(spark):
     batch = pa.RecordBatch.from_pydict({"x_members": [members, members[:1], members[2:]], "y_members": [[], members[1:2], None]})
     got = [sorted(map(bytes, (x, y))) for b in N._share(80)(iter([batch])) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
     assert got == [[b"a", b"b"], [b"a", b"b"]]
+
+
+def test_lm_trainer_moves_a_vector_and_its_bias_at_once():
+    """Against AdaGrad row by row: one move for classes, one for words, one for contexts and one for the matrices."""
+    prior = np.array([0.4, 0.2, 0.15, 0.1, 0.08, 0.05, 0.02])
+    for size in (3, 4):
+        shape = LM.Shape(size=size, noise=3, batch=32)
+        trainer = LM.Trainer(LM.Params.start(prior, shape), prior, shape, 1)
+        moves, step = [], trainer._step
+
+        def checked(param, at, grad, moves=moves, step=step, trainer=trainer, shape=shape):
+            seen, before = trainer.seen[id(param)][at] + grad * grad, param[at].copy()
+            want = before + shape.rate * grad / np.sqrt(seen)
+            step(param, at, grad)
+            assert len(set(at.tolist())) == len(at) and np.allclose(param[at], want, atol=1e-6)
+            moves.append(param)
+
+        trainer._step = checked
+        trainer.learn(np.random.default_rng(2).integers(0, 8, (32, 2)), np.arange(32) % 7)
+        assert [id(x) for x in moves] == [id(x) for x in (trainer.classes, trainer.words, trainer.p.r, trainer.p.c)]
+        assert np.array_equal(trainer.p.q, trainer.words[:, :size]) and np.array_equal(trainer.p.b, trainer.words[:, size]) and np.abs(trainer.p.b - np.log(prior)).max() > 0
+        rows, sums = trainer._by_row(np.array([5, 2, 5]), np.arange(3 * size, dtype=np.float32).reshape(3, size))
+        assert rows.tolist() == [2, 5] and np.array_equal(sums, np.array([np.arange(size, 2 * size), 2 * np.arange(size) + 2 * size], np.float32))
