@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenweave.session import in_order
+
 # From so many seconds on, how a video's frames are chosen:
 # (least seconds, method, interval, scene threshold, share of scenes, least gap that is filled, most frames)
 ADAPTIVE = [
@@ -150,7 +152,7 @@ def semantic_clusters(frames: DataFrame, video: str, order: list[str], v: str, l
                 out.append(cluster)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "cluster"])
 
-    return frames.repartition(video).sortWithinPartitions(video, *order).mapInArrow(fold, schema)
+    return in_order(frames, video, *order).mapInArrow(fold, schema)
 
 
 def distinct_frames(frames: DataFrame, key: str, order: list[str], hashed: str, most: int = 12) -> DataFrame:
@@ -174,4 +176,4 @@ def distinct_frames(frames: DataFrame, key: str, order: list[str], hashed: str,
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return frames.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, frames.schema)
+    return in_order(frames, key, *order).mapInArrow(fold, frames.schema)

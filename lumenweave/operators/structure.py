@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.operators.sampling import keyframes, semantic_clusters
 from lumenweave.operators.timeline import containing, points_in, thin
+from lumenweave.session import in_order
 
 #: What is known of a boundary that only a cluster of like frames shows.
 SEMANTIC_CONFIDENCE = 0.7
@@ -74,7 +75,7 @@ def match_boundaries(visual: DataFrame, semantic: DataFrame, key: str, near: int
         if out:
             yield told()
 
-    return both.repartition(key).sortWithinPartitions(key, "t", "side", "number").mapInArrow(fold, f"`{key}` {kind}, t double, number long, confidence double, method string, left boolean")
+    return in_order(both, key, "t", "side", "number").mapInArrow(fold, f"`{key}` {kind}, t double, number long, confidence double, method string, left boolean")
 
 
 def merge_boundaries(visual: DataFrame, semantic: DataFrame, key: str, near: int = 2000, apart: int = 2000) -> DataFrame:

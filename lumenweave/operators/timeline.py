@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweave.session import in_order
+
 # What is said of a video's coverage.
 ADVICE = [
     "Consider using DEEP_ANALYSIS or ADAPTIVE preset for better coverage",
@@ -122,7 +124,7 @@ def thin(rows: DataFrame, key: str, at: str, gap: int) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return some.repartition(key).sortWithinPartitions(key, at).mapInArrow(fold, some.schema)
+    return in_order(some, key, at).mapInArrow(fold, some.schema)
 
 
 def candidate_points(durations: DataFrame, frames: DataFrame, segments: DataFrame, key: str, gap: int, most: int) -> DataFrame:
@@ -188,7 +190,7 @@ def scenes(points: DataFrame, key: str, least: int) -> DataFrame:
             step(None)
             yield _scene_batch(out, key, kind)
 
-    return some.repartition(key).sortWithinPartitions(key, "point").mapInArrow(fold, schema)
+    return in_order(some, key, "point").mapInArrow(fold, schema)
 
 
 def _scene_batch(rows: list[tuple], name: str, kind: pa.DataType) -> pa.RecordBatch:

@@ -103,3 +103,28 @@ def test_scenes_are_one_fold_whatever_the_points_come_as(spark):
         got = [(r.v, r.n, r.start_ms, r.end_ms, r.reasons) for r in L.scenes(points, "v", 25).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert L.scenes(single.where("false"), "v", 25).count() == 0
+
+
+def test_a_fold_has_each_key_in_one_task_after_a_union(spark):
+    """Both sides of the union are dealt by the key before, and each is put together anew by its own sizes."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "3k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    rows = spark.range(20_000).select((F.col("id") % 97).alias("v"), (F.col("id") * 7919 % 100_003).alias("point"))
+    ends = rows.groupBy("v").agg(F.max("point").alias("stop"))
+    points = rows.join(ends, "v").where("point < stop").select("v", "point", F.lit("x").alias("reason")).union(ends.select("v", "stop", F.lit("end")))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = L.scenes(points, "v", 5000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = []
+    for v in range(97):
+        at = sorted({i * 7919 % 100_003 for i in range(v, 20_000, 97)})
+        edges = at[:1]
+        for p in at[1:]:
+            if p - edges[-1] >= 5000 or p == at[-1]:
+                edges.append(p)
+        want += [(v, n, lo, hi) for n, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    assert sorted((r.v, r.n, r.start_ms, r.end_ms) for r in got) == want
