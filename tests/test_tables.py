@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.operators import sinks as K
 from lumenweave.operators import tables as B
-from lumenweave.plans import catalog, registry
+from lumenweave.plans import catalog, queries, registry
 from lumenweave.session import new_path
 from tests.compare import same
 
@@ -98,3 +98,12 @@ def test_a_new_row_meets_no_part_of_its_number(spark, tmp_path):
     rows = [(1_000_000, "ring", "Brand#7", "LARGE", 5), (1, "bolt", "Brand#1", "PROMO", 20), (2, "rod", "Brand#1", "PROMO", 30), (3, "rod", None, "SMALL", 30)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     same(catalog.changed_rows(spark, str(tmp_path)), registry.ORACLE_SQL["changed_rows"], str(tmp_path))
+
+
+def test_children_of_equal_place_come_by_their_part(spark, tmp_path):
+    """The SQL leaves rows of one price and line open; here they have an order, whatever the files'."""
+    rows = [(1, p, 5.0, 1) for p in (9, 3, 7)] + [(1, 1, 4.0, 1), (2, 8, 5.0, 2), (2, 6, 5.0, 1), (2, 4, 5.0, 1)]
+    for n, given in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(given, "l_orderkey long, l_partkey long, l_extendedprice double, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        got = queries.top_children(spark, f"{tmp_path}/{n}").collect()
+        assert sorted(map(tuple, got)) == [(1, 3, 1), (1, 7, 2), (2, 4, 1), (2, 6, 2)]
