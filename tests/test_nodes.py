@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lumenweave.operators import graph
 from lumenweave.operators import nodes as N
 from lumenweave.operators import tables as B
 from lumenweave.operators.graph import same_entities
@@ -51,3 +52,25 @@ def test_entities_of_no_user_are_the_same_as_none(spark):
     rows = [(1, "red car", "thing", "v", "u"), (2, "red car", "thing", "w", "u"), (3, "the red car", "thing", "x", "u"), (4, "red car", "thing", "y", "other"), (5, "red car", "thing", "v", None), (6, "red car", "thing", "w", None), (7, "red car", "place", "w", "u"), (8, None, "thing", "w", "u")]
     df = spark.createDataFrame(rows, "id int, name string, kind string, video string, user string")
     assert sorted(map(tuple, same_entities(df, "id", "name", "kind", "video", user="user").collect())) == [(1, 2, 1.0), (1, 3, 0.7), (2, 3, 0.7)]
+
+
+def test_the_same_is_found_by_names_and_tiles(spark, monkeypatch):
+    """Against all pairs; pairs of ids that are one row each are not gathered again, and no side is broadcast."""
+    monkeypatch.setattr(graph, "TILE", 3)
+    names = ["red car", "the red car", "red", "car", "Red car", "the red cart", "blue cart", None]
+    rows = [(n, names[n * 7 % 8], f"kind {n % 2}" if n % 11 else None, n % 5 if n % 13 else None, f"user {n % 3}" if n % 7 else None) for n in range(120)]
+    odd = rows + [(3, "red car", "kind 0", 4, "user 0"), (3, "red car", "kind 0", 1, "user 0"), (4, "red car", "kind 0", 2, "user 0")]
+    for given, user in ((rows, False), (rows, True), (odd, False), (odd, True)):
+        want = {}
+        for x in given:
+            for y in given:
+                if None in (x[1], x[2], x[3], y[1], y[2], y[3]) or x[2] != y[2] or x[3] == y[3] or user and (x[4] is None or x[4] != y[4] or x[0] == y[0]):
+                    continue
+                if x[1] == y[1] or min(len(x[1]), len(y[1])) > 3 and x[1] in y[1]:
+                    pair = min(x[0], y[0]), max(x[0], y[0])
+                    want[pair] = max(want.get(pair, 0), 1.0 if x[1] == y[1] else 0.7)
+        df = spark.createDataFrame(given, "id int, name string, kind string, video int, user string")
+        found = same_entities(df, "id", "name", "kind", "video", user="user" if user else None)
+        assert sorted(map(tuple, found.collect())) == sorted((a, b, s) for (a, b), s in want.items())
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "BroadcastHashJoin" not in plan and ("HashAggregate" in plan) == (given is odd)
