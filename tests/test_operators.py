@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,29 @@ def test_pick_apart_gathers_no_group(spark):
             taken.append((lo, hi))
     assert sorted(map(tuple, got.collect())) == sorted([("v", *t) for t in taken] + [("w", 0.0, 1.0)])
     assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_two_steps_over_hubs(spark, monkeypatch):
+    """Against sets, with every size of what counts as a hub, a tile and a list; hubs that lead to each other, loops and a start that is alone."""
+    rng = random.Random(4)
+    pairs = {(rng.randrange(40), int(rng.randrange(40) ** 2 / 60)) for _ in range(110)} | {(5, 5), (0, 1), (1, 2), (0, 2), (50, None), (51, 52)}
+    e = spark.createDataFrame(sorted(pairs, key=str), "src int, dst int").cache()
+    starts = spark.createDataFrame([(n,) for n in (*range(0, 40, 2), 1, 51, 52, 60, 0)], "start int")
+    to = {}
+    for a, b in pairs:
+        if b is not None:
+            to.setdefault(a, set()).add(b)
+            to.setdefault(b, set()).add(a)
+    want, shown = [], []
+    for s in {r.start for r in starts.collect()}:
+        one = to.get(s, set()) - {s}
+        two = {n for m in to.get(s, ()) for n in to[m]} - one - {s}
+        want += [(s, n, 1) for n in one] + [(s, n, 2) for n in two]
+        first = [(1, n) for n in sorted(one)] + [(2, n) for n in sorted(two)]
+        shown += [(s, n, d, len(first)) for i, (d, n) in enumerate(first[:6]) if sum(x == d for x, _ in first[:i]) < 3]
+    for hub, tile, few in ((6, 3, 0), (0, 2, 256)):
+        monkeypatch.setattr(G, "HUB", hub)
+        monkeypatch.setattr(G, "TILE", tile)
+        monkeypatch.setattr(G, "FEW", few)
+        assert sorted(map(tuple, G.neighbours(starts, e, 2).collect())) == sorted(want)
+        assert sorted(map(tuple, G.context(starts, e, 2, 6, 3).collect())) == sorted(shown)
