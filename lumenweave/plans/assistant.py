@@ -85,9 +85,9 @@ st AS (SELECT p_partkey AS start FROM part WHERE p_partkey % 20 = 0), h1 AS (SEL
 m AS (SELECT start, node, min(distance) AS distance FROM n GROUP BY ALL) SELECT start, node, distance FROM m QUALIFY row_number() OVER (PARTITION BY start ORDER BY distance, node) <= 15""")
 def related_content(spark, d):
     """Entities seen together with every twentieth, or with what is seen with it."""
-    edges = G.cooccurrence(V.contains(spark, d)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    held = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), F.col("l_partkey").alias("entity_id"))
     starts = table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("start"))
-    return R.per_group(G.neighbours(starts, edges, 2), "start", [F.col("distance"), F.col("node")], 15)
+    return G.companions(held, starts, 15)
 
 
 @query(f"WITH {SHOTS} SELECT video_id, list(frame_id ORDER BY ts, frame_id) AS frames, list(least(ts + 5, 125.0)::DOUBLE ORDER BY ts, frame_id) AS ends FROM shots GROUP BY video_id")

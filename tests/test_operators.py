@@ -195,3 +195,20 @@ def test_two_steps_over_hubs(spark, monkeypatch):
         monkeypatch.setattr(G, "FEW", few)
         assert sorted(map(tuple, G.neighbours(starts, e, 2).collect())) == sorted(want)
         assert sorted(map(tuple, G.context(starts, e, 2, 6, 3).collect())) == sorted(shown)
+
+
+def test_companions_are_the_first_of_all(spark):
+    """Against sets: crowded frames and entities, starts with few at one step, and none."""
+    rng = random.Random(5)
+    rows = [(f, rng.randrange(60)) for f in range(12) for _ in range(rng.choice([1, 2, 3, 30]))] + [(100, 70), (100, 71), (101, 71), *[(101, n) for n in range(40)], (102, 80), (102, 80)]
+    rows += [(f, 90 + f % 2) for f in range(200, 240)] + [(f, f) for f in range(200, 240)]
+    df = spark.createDataFrame(rows, "frame_id int, entity_id int")
+    for k in (1, 4, 9):
+        want = []
+        for s in range(0, 100, 5):
+            near = lambda xs: {n for f, n in rows if any((f, x) in rows for x in xs)}
+            one = near({s}) - {s}
+            two = near(one) - one - {s}
+            want += ([(s, n, 1) for n in sorted(one)] + [(s, n, 2) for n in sorted(two)])[:k]
+        starts = spark.createDataFrame([(s,) for s in range(0, 100, 5)], "start int")
+        assert sorted(map(tuple, G.companions(df, starts, k).collect())) == sorted(want)
