@@ -131,3 +131,26 @@ def test_one_query_reads_little_of_the_index(spark):
     index = FullTextIndex.build(spark.read.parquet(f"{DATA}/documents.parquet"), new_path(spark, "index"), "doc_id")
     plan = index.bounds(index.weighted(asked(spark, {"q": ["the"]})))._jdf.queryExecution().executedPlan().toString()
     assert "posts" not in plan.split("ReadSchema")[-1]
+
+
+def test_children_meet_in_blocks(spark):
+    """Against all pairs, with ties, a vector of no length, none at all, and blocks of a few rows."""
+    rng = np.random.default_rng(3)
+    some = rng.normal(size=(20, 5)).round(1)
+    kids = [(p, n, None if n == 5 else [0.0] * 5 if n == 6 else some[n % 20].tolist()) for p in range(3) for n in range(p, 60, p + 1)]
+    asks = [(q, p, some[q % 20].tolist()) for q in range(25) for p in (q % 3, 7)]
+    want = []
+    for q, p, v in asks:
+        scored = []
+        for kp, n, w in kids:
+            if kp == p:
+                a, b = np.float32(v).astype(float), np.float32(w or [0.0] * 5).astype(float)
+                length = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+                scored.append((-sum(x * y for x, y in zip(a, b, strict=True)) / length if length else 0.0, n))
+        want += [(q, p, n, round(-s, 9)) for s, n in sorted(scored)[:4]]
+    a, c = spark.createDataFrame(asks, "query long, parent long, q array<float>"), spark.createDataFrame(kids, "parent long, node long, v array<float>")
+    for rows in (7, 20_000):
+        found = R.best_children(a, c, 4, rows)
+        assert sorted((r.query, r.parent, r.node, round(r.score, 9)) for r in found.collect()) == sorted(want)
+        # no join has vectors of both sides
+        assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and " q" in x and " v" in x]
