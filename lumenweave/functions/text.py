@@ -104,10 +104,15 @@ def any_keyword(text: Column, words: Column) -> Column:
 
 def unique_ci(values: Column, n: int) -> Column:
     """Trimmed, distinct whatever the case (the first spelling stays), in order, ``n`` at most."""
-    clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
-    lows = F.transform(clean, lambda v: F.lower(v))
-    first = F.filter(F.transform(clean, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: F.array_position(lows, F.lower(s["v"])) == s["i"] + 1)
-    return F.slice(F.transform(first, lambda s: s["v"]), 1, n)
+    none = F.array().cast("array<string>")
+
+    def add(held: Column, value: Column) -> Column:
+        v = F.trim(value)
+        more = F.struct(F.array_append(held["found"], v).alias("found"), F.array_append(held["low"], F.lower(v)).alias("low"))
+        return F.when((F.size(held["found"]) < n) & (v != "") & ~F.array_contains(held["low"], F.lower(v)), more).otherwise(held)
+
+    # one pass that holds ``n`` at most, whatever the length
+    return F.aggregate(values, F.struct(none.alias("found"), none.alias("low")), add, lambda held: held["found"])
 
 
 def safe_segment(text: Column, default: str = "unknown") -> Column:

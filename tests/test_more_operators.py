@@ -149,3 +149,13 @@ def test_pooling(spark):
     assert by(R.pool(m, "k", "v", "w")) == {"a": [0.6, 0.8]} and by(R.pool(m, "k", "v", strategy="max")) == by(R.pool(m, "k", "v"))
     with pytest.raises(ValueError):
         R.pool(m, "k", "v", strategy="median")
+
+
+def test_topics_of_a_long_text_take_one_pass(spark):
+    """The words are split once, not once for each of them: a text of 60,000 words takes seconds."""
+    words = [f"Word{i % 997}" if i % 3 else f"wORD{i % 997}!" for i in range(60_000)]
+    want = [f"Word{i}" for i in range(1, 15) if i % 3][:10]
+    got = spark.createDataFrame([(1, "Zero, ZERO the That " + " ".join(words)), (2, None), (3, "")], "id int, text string")
+    plan = got.select("id", X.capitalised_topics(F.col("text")).alias("t"))
+    assert {r.id: r.t for r in plan.collect()} == {1: ["Zero", *want][:10], 2: None, 3: []}
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
